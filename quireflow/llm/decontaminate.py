@@ -106,7 +106,7 @@ def passages(block: Block, grams: np.ndarray, gram_offsets: np.ndarray) -> Itera
     apart = np.ones(len(doc), bool)
     apart[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 4 + 2)
     starts = np.flatnonzero(apart)
-    for a, b in zip(starts, np.append(starts[1:], len(doc)), strict=True):
+    for a, b in zip(starts, np.append(starts, len(doc))[1:], strict=True):
         slack = int(size[a]) // 3 + 4
         yield int(doc[a]), int(item[a]), max(0, int(diagonal[a]) - slack), int(diagonal[b - 1] + size[a]) + slack, int(b - a)
 
