@@ -83,11 +83,12 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[l
     return langs, matrix.astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, lang_pred, score). score is the posterior under mean log probability per n-gram times the root of their number."""
+def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str, text_col: str, keep: tuple[str, ...] = (), text: bool = False) -> DataFrame:
+    """(doc_id, *keep, text if asked for, lang_pred, score). score is the posterior under mean log probability per n-gram times the root of their number."""
     sent = docs.sparkSession.sparkContext.broadcast(matrix)
     kept = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    shown = len(kept.columns) - (not text)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:shown])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = sent.value
@@ -106,7 +107,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str,
                 top = part[np.arange(high - low), best] / part.sum(axis=1) if langs else np.zeros(high - low)
                 rows = batch.slice(low, high - low)
                 pred = pa.array([langs[b] if k else "und" for b, k in zip(best, known, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pred, pa.array(np.where(known, np.round(top, 9), 0.0))], names=[*rows.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:shown], pred, pa.array(np.where(known, np.round(top, 9), 0.0))], names=[*rows.schema.names[:shown], "lang_pred", "score"])
 
     return kept.mapInArrow(score, f"{fields}, lang_pred string, score double")
 
