@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("decontaminate", "jaccard_join", "language_id", "mixing", "quality", "url_reputation")
+_MODULES = ("decontaminate", "jaccard_join", "language_id", "mixing", "quality", "url_reputation", "warc")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in _MODULES:
