@@ -5,11 +5,12 @@ linked sets can differ in; a token of a document is the hash of one whole block,
 share frequent shingles hardly ever do.
 
 1. Tokens. Documents that share a token with others stay in play, all others are done.
-2. Groups. In every token's list the smallest document leads; the others are compared with it exactly, and linked ones form groups. Copies
+2. Leaders. In every token's list the smallest document leads; the others are compared with it exactly, and linked ones form components. Copies
    cost one comparison each, never a pair each.
-3. Matrix. (token, group) says which tokens the members of a group have between them. A document may have links into another group only
-   if it shares at least one token with that group's union; only those groups are opened, at the members that hold the shared token, and compared exactly.
-4. Links of 2 and 3 are all links between different groups; connected components over them give the result.
+3. Groups. Where a token still spans several components, its documents hang together as a family of similar documents. Families are dealt into
+   groups of bounded size, each packed with all its shingles.
+4. Matrix. A document's overlap with the union of a group's shingles bounds its overlap with any member; only groups that this leaves
+   open are compared member by member, as products of 0/1 matrices inside one task. They return links enough to connect components, not all pairs.
 
 Within a batch, the documents of one token are sent on as one row, so a token that a third of all documents has is a row per batch.
 """
@@ -31,6 +32,9 @@ from .words import mix, pieces, shingles, words
 BROADCAST_IDS = 1_000_000
 #: Blocks beyond those that linked sets can spoil, so that one of the equal blocks is not empty.
 SPARE = 1
+#: Documents and shingles of a group, and columns of a dense slice, at a time.
+GROUP, GROUP_GRAMS, SLICE = 256, 500_000, 8_192
+KEYS = ("doc_id", "component", "family", "band", "part")
 
 
 def classes(longest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +167,109 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
+def overlaps(rows: np.ndarray, grams: np.ndarray, n: int, others: np.ndarray, other_grams: np.ndarray, m: int) -> np.ndarray:
+    """Size of the intersection of n sets with m sets, each given as (set, gram), by matrix products over slices of the common grams."""
+    out = np.zeros((n, m), np.float32)
+    common = np.intersect1d(grams, other_grams)
+    at, other_at = np.searchsorted(common, grams), np.searchsorted(common, other_grams)
+    for low in range(0, len(common), SLICE):
+        parts = []
+        for size, r, g, k in ((n, rows, grams, at), (m, others, other_grams, other_at)):
+            here = (k >= low) & (k < min(low + SLICE, len(common)))
+            here[here] = common[k[here]] == g[here]
+            dense = np.zeros((size, min(SLICE, len(common) - low)), np.float32)
+            dense[r[here], k[here] - low] = 1
+            parts.append(dense)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def open_groups(x: tuple, y: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links (document, document) between the components of two groups, enough of them to connect what is linked.
+
+    A group is (ids, components, sizes, grams on end). A document of x is held against the members of y only if its overlap with the union of
+    y's grams leaves room for a link.
+    """
+    (ids, of, sizes, grams), (y_ids, y_of, y_sizes, y_grams) = x, y
+    rows = np.repeat(np.arange(len(ids)), sizes)
+    union = np.unique(y_grams)
+    k = np.minimum(np.searchsorted(union, grams), len(union) - 1)
+    most = np.bincount(rows, union[k] == grams, len(ids))
+    least = np.maximum(y_sizes.min(), -(-sizes * percent // 100))
+    wanted = (most * (100 + percent) >= percent * (sizes + least)) & ((y_of[:, None] != of[None, :]).any(axis=0))
+    if not wanted.any():
+        return []
+    number = np.cumsum(wanted) - 1
+    chosen = wanted[rows]
+    common = overlaps(number[rows[chosen]], grams[chosen], int(wanted.sum()), np.repeat(np.arange(len(y_ids)), y_sizes), y_grams, len(y_ids))
+    both = sizes[wanted][:, None] + y_sizes[None, :] - common
+    r, c = np.nonzero((100 * common >= percent * both) & (of[wanted][:, None] != y_of[None, :]))
+    pairs = np.stack([of[wanted][r], y_of[c]], axis=1)
+    _, first = np.unique(np.sort(pairs, axis=1), axis=0, return_index=True)
+    top: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := top.get(v, v)) != v:
+            top[v] = v = top.get(up, up)
+        return v
+
+    out = []
+    for i in first.tolist():
+        a, b = root(int(pairs[i, 0])), root(int(pairs[i, 1]))
+        if a != b:
+            top[a] = b
+            out.append((int(ids[wanted][r[i]]), int(y_ids[c[i]])))
+    return out
+
+
+def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, of members (doc_id, n_shingles, component, family).
+
+    Members of a family and size band are dealt into groups of about GROUP documents and GROUP_GRAMS shingles, packed as one row each with all
+    their shingles; groups of neighbouring bands of a family are held against each other.
+    """
+    wide = 105 / percent  # sizes of linked documents differ by less than a band
+    members = tables.written(members.withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(wide))).cast("int")), "members")
+    parts = members.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n_shingles") / GROUP_GRAMS)).alias("parts"))
+    dealt = members.join(parts, ["family", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
+    placed = docs.join(tables.small_or_not(tables.written(dealt, "groups"), BROADCAST_IDS), "doc_id")
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in pieces(batch.column("text")):
+                rows = batch.slice(low, high - low)
+                grams, offsets = sets(rows.column("text"), n)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(grams.view(np.int64)))
+                own = np.diff(offsets) == rows.column("n_shingles").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in KEYS), lists], names=[*KEYS, "grams"]).filter(pa.array(own))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table.column("grams").combine_chunks()
+        packed = [table.column(c).to_numpy().tobytes() for c in ("doc_id", "component")]
+        packed += [np.diff(lists.offsets.to_numpy()).astype(np.int64).tobytes(), lists.flatten().to_numpy().tobytes()]
+        return pa.table([*(table.column(c).slice(0, 1) for c in ("family", "band", "part")), *([x] for x in packed)], names=["family", "band", "part", "ids", "of", "sizes", "grams"])
+
+    columns = placed.select("doc_id", "component", "family", "band", "part", "n_shingles", "text").mapInArrow(gathered, "doc_id long, component long, family long, band int, part int, grams array<long>")
+    packed = columns.groupBy("family", "band", "part").applyInArrow(pack, "family long, band int, part int, ids binary, of binary, sizes binary, grams binary")
+    packed = tables.written(packed, "packed")
+    left, right = packed.select([F.col(c).alias(f"x_{c}") for c in packed.columns]), packed
+    near = F.expr("x_family = family and (x_band = band - 1 or x_band = band and x_part <= part)")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def group(batch: pa.RecordBatch, i: int, prefix: str) -> tuple:
+            kinds = {"ids": np.int64, "of": np.int64, "sizes": np.int64, "grams": np.uint64}
+            out = tuple(np.frombuffer(batch.column(prefix + c)[i].as_buffer(), k) for c, k in kinds.items())
+            return out
+
+        for batch in batches:
+            found = [link for i in range(batch.num_rows) for link in open_groups(group(batch, i, "x_"), group(batch, i, ""), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    binaries = ("ids", "of", "sizes", "grams")
+    return left.join(right, near).select(*[f"x_{c}" for c in binaries], *binaries).mapInArrow(search, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes of the links (a, b): the smallest node that can be reached.
 
@@ -206,14 +313,14 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # Groups around the leaders.
     tried = tables.written(shared.where("lead <> doc_id").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct(), "led")
     links = tables.written(_verified(docs, tried, shingle_words, percent), "links")
-    groups = components(links)
-    # The matrix, and the groups opened through it.
-    cells = shared.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("group"))
-    open_tokens = cells.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
-    opened = tables.written(cells.join(open_tokens, "token"), "matrix")
-    pairs = opened.alias("x").join(opened.alias("y"), F.expr("x.token = y.token and x.group <> y.group and x.doc_id < y.doc_id")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    pairs = tables.written(pairs.join(tried, ["a", "b"], "left_anti"), "opened")
-    more = _verified(docs, pairs, shingle_words, percent)
+    reached = components(links)
+    # Families: what may still be linked across components hangs together through tokens.
+    cells = shared.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    of_token = cells.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("first")).where("low < high").select("token", "first")
+    opened = tables.written(cells.join(of_token, "token").select("doc_id", "component", "first").distinct(), "open")
+    families = components(opened.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    members = opened.select("doc_id", "component").distinct().join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+    more = _across(docs, members.join(known.select("doc_id", "n_shingles").distinct(), "doc_id"), shingle_words, percent)
     every = components(links.union(more).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))))
     return sized.join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
