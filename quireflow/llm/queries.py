@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("decontaminate", "jaccard_join", "language_id", "mixing", "nearest", "quality", "url_reputation", "warc")
+_MODULES = ("decontaminate", "katz", "language_id", "mixing", "nearest", "token_counts", "quality", "warc", "url_reputation", "jaccard_join")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in _MODULES:
