@@ -5,8 +5,8 @@ linked sets can differ in; a token of a document is the hash of one whole block,
 share frequent shingles hardly ever do.
 
 1. Tokens. Documents that share a token with others stay in play, all others are done.
-2. Leaders. In every token's list the smallest document leads; the others are compared with it exactly, and linked ones form components. Copies
-   cost one comparison each, never a pair each.
+2. Leaders. In every token's list the smallest document leads. A document is compared exactly with the leader with which it shares most
+   tokens, and linked ones form components: one comparison for each document, never a pair each.
 3. Groups. Where a token still spans several components, its documents hang together as a family of similar documents. Families are dealt into
    groups of bounded size, each packed with all its shingles.
 4. Matrix. A document's overlap with the union of a group's shingles bounds its overlap with any member; only groups that this leaves
@@ -311,7 +311,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     shared = shared.join(to_first.withColumnRenamed("doc_id", "lead"), "lead", "left").select("token", F.coalesce("first", "lead").alias("lead"), "doc_id")
     shared = tables.written(shared.distinct(), "tokens")
     # Groups around the leaders.
-    tried = tables.written(shared.where("lead <> doc_id").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct(), "led")
+    led = shared.where("lead <> doc_id").groupBy("doc_id", "lead").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
+    tried = tables.written(led.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct(), "led")
     links = tables.written(_verified(docs, tried, shingle_words, percent), "links")
     reached = components(links)
     # Families: what may still be linked across components hangs together through tokens.
