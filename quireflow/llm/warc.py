@@ -108,7 +108,7 @@ class Bundler:
             return
         if self.out is None:
             self.files.create_dir(self.root, recursive=True)
-            self.out = self.files.open_output_stream(f"{self.root}/{self.name}")
+            self.out = self.files.open_output_stream(f"{self.root}/{self.name}", compression=None)
         frame = self.packer.compress(b"".join(x[4] for x in self.group))
         self.out.write(frame)
         self.rows += [(p, k, r, self.name, len(self.frames), self.at, len(frame), at, len(data)) for p, k, r, at, data in self.group]
