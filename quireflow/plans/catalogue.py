@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from . import checks, papers, projects, questions, streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+for _module in (projects, checks, papers, questions, streams):
+    QUERIES |= _module.ADD.queries
+    ORACLES |= _module.ADD.oracles
