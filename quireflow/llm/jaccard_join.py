@@ -5,8 +5,8 @@ linked sets can differ in; a token of a document is the hash of one whole block,
 share frequent shingles hardly ever do.
 
 1. Tokens. Documents that share a token with others stay in play, all others are done.
-2. Leaders. In every token's list the smallest document leads. A document is compared exactly with the leader with which it shares most
-   tokens, and linked ones form components: one comparison for each document, never a pair each.
+2. Leaders. In every token's list the smallest document leads. Where the blocks that a document shares with a leader hold shingles enough,
+   they prove a link without any text; linked ones form components. These are pairs with leaders only, never of all with all.
 3. Groups. Where a token still spans several components, its documents hang together as a family of similar documents. Families are dealt into
    groups of bounded size, each packed with all its shingles.
 4. Matrix. A document's overlap with the union of a group's shingles bounds its overlap with any member; only groups that this leaves
@@ -70,13 +70,13 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def tokens(grams: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(token, document) of all documents; those too small to differ from a linked set have none."""
+def tokens(grams: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, document, size class, shingles in the block); documents too small to differ from a linked set have none."""
     sizes = np.diff(offsets)
     low, blocks = classes(int(sizes.max(initial=1)), percent)
     own = np.searchsorted(low, sizes, "right") - 1
     spread = mix(grams ^ np.uint64(0x5DEECE66D))
-    out, of = [], []
+    out, of, kind, inside = [], [], [], []
     for up in (0, 1):
         c = np.minimum(own + up, len(low) - 1)
         takes = (sizes > 0) & (own + up < len(low)) & (100 * sizes >= percent * low[c]) & (blocks[c] > 1 + SPARE)
@@ -85,16 +85,19 @@ def tokens(grams: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.nda
         doc = np.repeat(np.arange(len(sizes)), np.where(takes, sizes, 0))
         used = np.repeat(takes, sizes)
         at = first[doc] + ((grams[used] >> np.uint64(20)) % m[doc].astype(np.uint64)).astype(np.int64)
-        sums, filled = np.zeros(first[-1], np.uint64), np.zeros(first[-1], bool)
+        sums = np.zeros(first[-1], np.uint64)
         np.add.at(sums, at, spread[used])
-        filled[at] = True
+        counts = np.bincount(at, minlength=first[-1])
+        filled = counts > 0
         holder = np.repeat(np.arange(len(sizes)), m)
         holes = np.bincount(holder[~filled], minlength=len(sizes))
         kept = filled | (holes[holder] > SPARE)
         block = np.arange(first[-1]) - first[holder]
         out.append(mix(sums + mix((c[holder] << 32 | block).astype(np.uint64)))[kept])
         of.append(holder[kept])
-    return np.concatenate(out), np.concatenate(of)
+        kind.append(c[holder[kept]])
+        inside.append(counts[kept])
+    return np.concatenate(out), np.concatenate(of), np.concatenate(kind), np.concatenate(inside)
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
@@ -111,60 +114,41 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _listed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(token, doc_id, more): per batch and token, its smallest document and the others, null if none. Equal sets of a batch count once."""
+    """(token, class, inside, doc_id, n, more): per batch and token, its smallest document with its size, and the others, null if none.
+
+    Equal sets of a batch count once. class and inside are those of the token's block.
+    """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            seen: set = set()
-            token, doc = [], []
+            parts, same = [], [np.zeros(0, np.uint64)]
             for low, high in pieces(batch.column("text")):
                 grams, offsets = sets(batch.column("text").slice(low, high - low), n)
-                t, d = tokens(grams, offsets, percent)
-                h = mix(_sums(mix(grams), offsets) + np.diff(offsets).astype(np.uint64)).tolist()
-                fresh = np.array([not (x in seen or seen.add(x)) for x in h], bool)
-                token.append(t[fresh[d]])
-                doc.append(ids[low:high][d[fresh[d]]])
-            token, doc = np.concatenate(token), np.concatenate(doc)
+                t, d, c, k = tokens(grams, offsets, percent)
+                same.append(mix(_sums(mix(grams), offsets) + np.diff(offsets).astype(np.uint64)))
+                parts.append((t, low + d, np.diff(offsets)[d], c, k))
+            same = np.concatenate(same)
+            order = np.lexsort((ids, same))
+            smallest = np.zeros(len(same), bool)
+            smallest[order[np.diff(same[order], prepend=same[order][:1] ^ np.uint64(1)) != 0]] = True
+            token, row, size, kind, inside = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
+            token, row, size, kind, inside = (x[smallest[row]] for x in (token, row, size, kind, inside))
+            doc = ids[row]
             order = np.lexsort((doc, token))
-            token, doc = token[order], doc[order]
+            token, doc, size, kind, inside = (x[order] for x in (token, doc, size, kind, inside))
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             sizes = np.diff(np.append(starts, len(token)))
             rest = np.ones(len(token), bool)
             rest[starts] = False
             bounds = np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(doc[rest], pa.int64()), mask=pa.array(sizes == 1))
+            others = pa.StructArray.from_arrays([pa.array(doc[rest], pa.int64()), pa.array(size[rest], pa.int32())], names=["doc_id", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(bounds), others, mask=pa.array(sizes == 1))
             for a in range(0, len(starts), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(token[starts[a : a + 200_000]].view(np.int64)), pa.array(doc[starts[a : a + 200_000]], pa.int64()), lists.slice(a, 200_000)], names=["token", "doc_id", "more"])
-
-    return docs.mapInArrow(listed, "token long, doc_id long, more array<long>")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of documents whose sets are similar enough, by exact intersection."""
-    ids = tables.small_or_not(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), BROADCAST_IDS)
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in pieces(batch.column("text")):
-                grams, offsets = sets(batch.column("text").slice(low, high - low), n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(grams.view(np.int64)))], names=["doc_id", "grams"])
-
-    own = docs.join(ids, "doc_id", "left_semi").mapInArrow(gathered, "doc_id long, grams array<long>")
-    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            (x, xo), (y, yo) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("x"), batch.column("y")))
-            for i in range(batch.num_rows):
-                a, b = x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]
-                if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    keep[i] = 100 * common >= percent * (len(a) + len(b) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+                at = starts[a : a + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(token[at].astype(np.uint64).view(np.int64)), pa.array(kind[at], pa.int32()), pa.array(inside[at], pa.int32()), pa.array(doc[at], pa.int64()), pa.array(size[at], pa.int32()), lists.slice(a, 200_000)], names=["token", "class", "inside", "doc_id", "n", "more"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    return docs.mapInArrow(listed, "token long, class int, inside int, doc_id long, n int, more array<struct<doc_id:long,n:int>>")
 
 
 def overlaps(rows: np.ndarray, grams: np.ndarray, n: int, others: np.ndarray, other_grams: np.ndarray, m: int) -> np.ndarray:
@@ -301,20 +285,21 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # Equal sets: the smallest id stands for all.
     same = known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = tables.written(known.join(same, ["n_shingles", "h1", "h2"]).where("doc_id > first").select("doc_id", "first").distinct(), "copies")
-    # Tokens that several documents have.
+    # Tokens that several documents have, each with its leader.
     lists = _listed(docs.where("doc_id is not null and text is not null"), shingle_words, percent)
     by = W.partitionBy("token")
-    lists = lists.withColumns({"lead": F.min("doc_id").over(by), "top": F.max("doc_id").over(by)}).where("lead < top or more is not null")
-    shared = lists.select("token", "lead", F.explode(F.concat(F.array("doc_id"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc_id"))
-    to_first = copies.select("doc_id", "first")
-    shared = shared.join(to_first, "doc_id", "left").select("token", "lead", F.coalesce("first", "doc_id").alias("doc_id"))
-    shared = shared.join(to_first.withColumnRenamed("doc_id", "lead"), "lead", "left").select("token", F.coalesce("first", "lead").alias("lead"), "doc_id")
-    shared = tables.written(shared.distinct(), "tokens")
-    # Groups around the leaders.
-    led = shared.where("lead <> doc_id").groupBy("doc_id", "lead").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
-    tried = tables.written(led.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct(), "led")
-    links = tables.written(_verified(docs, tried, shingle_words, percent), "links")
-    reached = components(links)
+    lists = lists.withColumns({"lead": F.min(F.struct("doc_id", "n")).over(by), "top": F.max("doc_id").over(by)}).where("lead.doc_id < top or more is not null")
+    own = F.array(F.struct("doc_id", "n"))
+    shared = lists.select("token", "class", "inside", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n"), F.explode(F.when(F.col("more").isNull(), own).otherwise(F.concat(own, "more"))).alias("doc"))
+    shared = shared.select("token", "class", "inside", "lead", "lead_n", "doc.doc_id", "doc.n")
+    # The smallest of equal sets lists every token, so its copies are not needed, and no copy leads.
+    shared = tables.written(shared.join(tables.small_or_not(copies.select("doc_id"), BROADCAST_IDS), "doc_id", "left_anti"), "tokens")
+    # Leaders: what the equal blocks alone prove to be linked. Ids with several rows would count twice.
+    repeated = tables.small_or_not(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), BROADCAST_IDS)
+    led = shared.where("lead <> doc_id").join(repeated, "doc_id", "left_anti").join(repeated.withColumnRenamed("doc_id", "lead"), "lead", "left_anti")
+    proof = led.groupBy("doc_id", "n", "lead", "lead_n", "class").agg(F.sum("inside").alias("common"))
+    links = tables.written(proof.where(F.col("common") * (100 + percent) >= percent * (F.col("n") + F.col("lead_n"))).select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct(), "links")
+    reached = tables.small_or_not(components(links), BROADCAST_IDS)
     # Families: what may still be linked across components hangs together through tokens.
     cells = shared.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     of_token = cells.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("first")).where("low < high").select("token", "first")
