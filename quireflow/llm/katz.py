@@ -31,7 +31,7 @@ from . import tables
 from .words import mix, pieces, words
 
 #: Counts up to KEPT are discounted by Good-Turing; frequent words that are broadcast (16 bytes each); tokens of a target and of a part of a task.
-KEPT, EPSILON, HOT, TARGET_TOKENS, PART_TOKENS = 5, 1e-3, 65_000, 2_000_000, 4_000_000
+KEPT, EPSILON, HOT, TARGET_TOKENS, PART_TOKENS = 5, 1e-3, 65_000, 1_500_000, 1_000_000
 #: A pair of at least this share of the training tokens is not dealt; there are 2 / HOT_PAIR of these at most.
 HOT_PAIR = 1 / 2000
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
