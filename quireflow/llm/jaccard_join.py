@@ -5,10 +5,9 @@ linked sets can differ in; a token of a document is the hash of one whole block,
 share frequent shingles hardly ever do.
 
 1. Tokens. Documents that share a token with others stay in play, all others are done.
-2. Leaders. In every token's list the smallest document leads. Where the blocks that a document shares with a leader hold shingles enough,
-   they prove a link without any text; linked ones form components. These are pairs with leaders only, never of all with all.
-3. Groups. Where a token still spans several components, its documents hang together as a family of similar documents. Families are dealt into
-   groups of bounded size, each packed with all its shingles.
+2. Families. Of the documents of one token, those may be linked whose sizes and bitmaps leave room for it: in a bitmap every shingle flips
+   a bit, so two differ in no more bits than their sets in shingles. What hangs together by such pairs is a family of similar documents.
+3. Groups. Families are dealt into groups of bounded size, each packed with all its shingles.
 4. Matrix. A document's overlap with the union of a group's shingles bounds its overlap with any member; only groups that this leaves
    open are compared member by member, as products of 0/1 matrices inside one task. They return links enough to connect components, not all pairs.
 
@@ -32,9 +31,9 @@ from .words import mix, pieces, shingles, words
 BROADCAST_IDS = 1_000_000
 #: Blocks beyond those that linked sets can spoil, so that one of the equal blocks is not empty.
 SPARE = 1
-#: Documents and shingles of a group, and columns of a dense slice, at a time.
-GROUP, GROUP_GRAMS, SLICE = 256, 500_000, 8_192
-KEYS = ("doc_id", "component", "family", "band", "part")
+#: Documents and shingles of a group, columns of a dense slice, and documents that are held against a group at a time.
+GROUP, GROUP_GRAMS, SLICE, ROWS = 256, 500_000, 8_192, 64
+KEYS = ("doc_id", "family", "band", "part")
 
 
 def classes(longest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,13 +69,13 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def tokens(grams: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, document, size class, shingles in the block); documents too small to differ from a linked set have none."""
+def tokens(grams: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, document) of all documents; those too small to differ from a linked set have none."""
     sizes = np.diff(offsets)
     low, blocks = classes(int(sizes.max(initial=1)), percent)
     own = np.searchsorted(low, sizes, "right") - 1
     spread = mix(grams ^ np.uint64(0x5DEECE66D))
-    out, of, kind, inside = [], [], [], []
+    out, of = [], []
     for up in (0, 1):
         c = np.minimum(own + up, len(low) - 1)
         takes = (sizes > 0) & (own + up < len(low)) & (100 * sizes >= percent * low[c]) & (blocks[c] > 1 + SPARE)
@@ -87,37 +86,47 @@ def tokens(grams: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.nda
         at = first[doc] + ((grams[used] >> np.uint64(20)) % m[doc].astype(np.uint64)).astype(np.int64)
         sums = np.zeros(first[-1], np.uint64)
         np.add.at(sums, at, spread[used])
-        counts = np.bincount(at, minlength=first[-1])
-        filled = counts > 0
+        filled = np.zeros(first[-1], bool)
+        filled[at] = True
         holder = np.repeat(np.arange(len(sizes)), m)
         holes = np.bincount(holder[~filled], minlength=len(sizes))
         kept = filled | (holes[holder] > SPARE)
         block = np.arange(first[-1]) - first[holder]
         out.append(mix(sums + mix((c[holder] << 32 | block).astype(np.uint64)))[kept])
         of.append(holder[kept])
-        kind.append(c[holder[kept]])
-        inside.append(counts[kept])
-    return np.concatenate(out), np.concatenate(of), np.concatenate(kind), np.concatenate(inside)
+    return np.concatenate(out), np.concatenate(of)
+
+
+def sketches(grams: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A bitmap per set in which every shingle flips one bit. Two bitmaps differ in no more bits than their sets do in shingles.
+
+    A set of n shingles has 64 * 2**j bits, at least n; a bitmap is made half as wide by xor of its halves.
+    """
+    sizes = np.diff(offsets)
+    words_ = (1 << np.ceil(np.log2(np.maximum(1, sizes / 64))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(words_)])
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (mix(grams ^ np.uint64(0x6A09E667F3BCC909)) % (64 * words_[of]).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(first[-1], np.uint64)
+    np.bitwise_xor.at(out, first[of] + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+    return [out[first[i] : first[i + 1]].tobytes() for i in range(len(sizes))]
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2): size and two hashes of each row's set."""
+    """(doc_id, n_shingles, h1, h2, sketch): size, two hashes and a bitmap of each row's set."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in pieces(batch.column("text")):
                 grams, offsets = sets(batch.column("text").slice(low, high - low), n)
                 h1, h2 = (_sums(mix(grams ^ np.uint64(salt)), offsets).view(np.int64) for salt in (0x1F123BB5, 0x2545F491))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(np.diff(offsets)), pa.array(h1), pa.array(h2)], names=["doc_id", "n_shingles", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(np.diff(offsets)), pa.array(h1), pa.array(h2), pa.array(sketches(grams, offsets), pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
-    return docs.mapInArrow(describe, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.mapInArrow(describe, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
 
 
 def _listed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(token, class, inside, doc_id, n, more): per batch and token, its smallest document with its size, and the others, null if none.
-
-    Equal sets of a batch count once. class and inside are those of the token's block.
-    """
+    """(token, doc_id, more): per batch and token, its smallest document and the others, null if none. Equal sets of a batch count once, as the smallest id."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,30 +134,132 @@ def _listed(docs: DataFrame, n: int, percent: int) -> DataFrame:
             parts, same = [], [np.zeros(0, np.uint64)]
             for low, high in pieces(batch.column("text")):
                 grams, offsets = sets(batch.column("text").slice(low, high - low), n)
-                t, d, c, k = tokens(grams, offsets, percent)
+                t, d = tokens(grams, offsets, percent)
                 same.append(mix(_sums(mix(grams), offsets) + np.diff(offsets).astype(np.uint64)))
-                parts.append((t, low + d, np.diff(offsets)[d], c, k))
+                parts.append((t, low + d))
             same = np.concatenate(same)
             order = np.lexsort((ids, same))
             smallest = np.zeros(len(same), bool)
             smallest[order[np.diff(same[order], prepend=same[order][:1] ^ np.uint64(1)) != 0]] = True
-            token, row, size, kind, inside = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
-            token, row, size, kind, inside = (x[smallest[row]] for x in (token, row, size, kind, inside))
-            doc = ids[row]
+            token, row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            token, doc = token[smallest[row]], ids[row[smallest[row]]]
             order = np.lexsort((doc, token))
-            token, doc, size, kind, inside = (x[order] for x in (token, doc, size, kind, inside))
+            token, doc = token[order], doc[order]
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             sizes = np.diff(np.append(starts, len(token)))
             rest = np.ones(len(token), bool)
             rest[starts] = False
             bounds = np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int32)
-            others = pa.StructArray.from_arrays([pa.array(doc[rest], pa.int64()), pa.array(size[rest], pa.int32())], names=["doc_id", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(bounds), others, mask=pa.array(sizes == 1))
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(doc[rest], pa.int64()), mask=pa.array(sizes == 1))
             for a in range(0, len(starts), 200_000):
                 at = starts[a : a + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(token[at].astype(np.uint64).view(np.int64)), pa.array(kind[at], pa.int32()), pa.array(inside[at], pa.int32()), pa.array(doc[at], pa.int64()), pa.array(size[at], pa.int32()), lists.slice(a, 200_000)], names=["token", "class", "inside", "doc_id", "n", "more"])
-
-    return docs.mapInArrow(listed, "token long, class int, inside int, doc_id long, n int, more array<struct<doc_id:long,n:int>>")
+                yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64)), pa.array(doc[at], pa.int64()), lists.slice(a, 200_000)], names=["token", "doc_id", "more"])
+
+    return docs.mapInArrow(listed, "token long, doc_id long, more array<long>")
+
+
+def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, document) joined within runs of one token, where sizes and bitmaps leave room for a link: enough pairs to connect all such."""
+    wide = np.array([len(x) // 8 for x in sketch], np.int64)
+    tables_: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bitmaps(w: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each row that has w words or twice as many, and their bitmaps of w words."""
+        if w not in tables_:
+            rows = np.flatnonzero((wide == w) | (wide == 2 * w))
+            out = np.zeros((len(rows), w), np.uint64)
+            for k, size_ in ((w, w), (2 * w, 2 * w)):
+                own = np.flatnonzero(wide[rows] == size_)
+                if len(own):
+                    x = np.frombuffer(b"".join(sketch[r] for r in rows[own]), np.uint64).reshape(len(own), k)
+                    out[own] = x if k == w else x[:, :w] ^ x[:, w:]
+            place = np.full(len(wide), -1)
+            place[rows] = np.arange(len(rows))
+            tables_[w] = place, out
+        return tables_[w]
+
+    label = np.arange(len(doc))
+
+    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = (doc[i] != doc[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+        i, j = i[keep], j[keep]
+        low = np.minimum(wide[i], wide[j])
+        fits = np.zeros(len(i), bool)
+        for w in np.unique(low):
+            place, bits = bitmaps(int(w))
+            for at in np.array_split(np.flatnonzero(low == w), 1 + int((low == w).sum() * w >> 21)):
+                apart = np.bitwise_count(bits[place[i[at]]] ^ bits[place[j[at]]]).sum(axis=1, dtype=np.int64)
+                fits[at] = apart * (100 + percent) <= (size[i[at]] + size[j[at]]) * (100 - percent)
+        return i[fits], j[fits]
+
+    starts = np.flatnonzero(np.diff(run, prepend=run[:1] ^ 1))
+    counts = np.diff(np.append(starts, len(run)))
+    left, right = [], []
+    small = np.repeat(counts <= 64, counts)
+    end = np.repeat(starts + counts, counts)
+    for step in range(1, int(counts[counts <= 64].max(initial=1))):
+        i = np.flatnonzero(small & (np.arange(len(run)) + step < end))
+        a, b = near(i, i + step)
+        left.append(a)
+        right.append(b)
+    for s, n in zip(starts[counts > 64].tolist(), counts[counts > 64].tolist(), strict=True):
+        # Long runs: block against block, and nothing within what is joined already.
+        for x in range(s, s + n, 512):
+            for y in range(x, s + n, 512):
+                i, j = (v.ravel() for v in np.meshgrid(np.arange(x, min(x + 512, s + n)), np.arange(y, min(y + 512, s + n)), indexing="ij"))
+                apart = (i < j) & (label[i] != label[j])
+                a, b = near(i[apart], j[apart])
+                left.append(a)
+                right.append(b)
+                for p, q in zip(a.tolist(), b.tolist(), strict=True):
+                    if label[p] != label[q]:
+                        label[s : s + n][label[s : s + n] == max(label[p], label[q])] = min(label[p], label[q])
+    if not left:
+        return doc[:0], doc[:0]
+    i, j = np.concatenate(left), np.concatenate(right)
+    _, node = np.unique(doc, return_inverse=True)
+    root, ids = np.arange(node.max(initial=-1) + 1), np.zeros(node.max(initial=-1) + 1, np.int64)
+    ids[node] = doc
+    a, b = node[i], node[j]
+    while True:  # smallest label of what hangs together
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    told = np.flatnonzero(root != np.arange(len(root)))
+    return ids[root[told]], ids[told]
+
+
+def _families(shared: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of what may be linked: documents of one token that size and bitmap leave possible."""
+    rows = shared.join(sized.select("doc_id", F.col("n_shingles").cast("int").alias("n"), "sketch").distinct(), "doc_id")
+    parts = shared.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    rows = rows.select("token", "doc_id", "n", "sketch").repartition(int(parts), "token").sortWithinPartitions("token")
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(table: pa.Table) -> pa.RecordBatch:
+            a, b = close_pairs(table.column("token").to_numpy(), table.column("doc_id").to_numpy(), table.column("n").to_numpy().astype(np.int64), table.column("sketch").to_pylist(), percent)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 100_000:
+                table = pa.Table.from_batches(held).combine_chunks()
+                token = table.column("token").to_numpy()
+                cut = int(np.searchsorted(token, token[-1]))  # the last token may go on
+                if cut:
+                    yield told(table.slice(0, cut))
+                    table = table.slice(cut)
+                held, n = table.to_batches(), table.num_rows
+        if n:
+            yield told(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.mapInArrow(edges, "a long, b long").distinct()
 
 
 def overlaps(rows: np.ndarray, grams: np.ndarray, n: int, others: np.ndarray, other_grams: np.ndarray, m: int) -> np.ndarray:
@@ -183,13 +294,6 @@ def open_groups(x: tuple, y: tuple, percent: int) -> list[tuple[int, int]]:
     wanted = (most * (100 + percent) >= percent * (sizes + least)) & ((y_of[:, None] != of[None, :]).any(axis=0))
     if not wanted.any():
         return []
-    number = np.cumsum(wanted) - 1
-    chosen = wanted[rows]
-    common = overlaps(number[rows[chosen]], grams[chosen], int(wanted.sum()), np.repeat(np.arange(len(y_ids)), y_sizes), y_grams, len(y_ids))
-    both = sizes[wanted][:, None] + y_sizes[None, :] - common
-    r, c = np.nonzero((100 * common >= percent * both) & (of[wanted][:, None] != y_of[None, :]))
-    pairs = np.stack([of[wanted][r], y_of[c]], axis=1)
-    _, first = np.unique(np.sort(pairs, axis=1), axis=0, return_index=True)
     top: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -197,17 +301,48 @@ def open_groups(x: tuple, y: tuple, percent: int) -> list[tuple[int, int]]:
             top[v] = v = top.get(up, up)
         return v
 
-    out = []
-    for i in first.tolist():
-        a, b = root(int(pairs[i, 0])), root(int(pairs[i, 1]))
-        if a != b:
-            top[a] = b
-            out.append((int(ids[wanted][r[i]]), int(y_ids[c[i]])))
+    out: list[tuple[int, int]] = []
+    others = np.repeat(np.arange(len(y_ids)), y_sizes)
+    chosen = np.flatnonzero(wanted)
+    for low in range(0, len(chosen), ROWS):
+        mine = chosen[low : low + ROWS]
+        # Components that are joined by now need no second link.
+        roots, y_roots = np.array([root(v) for v in of[mine].tolist()]), np.array([root(v) for v in y_of.tolist()])
+        open_ = roots[:, None] != y_roots[None, :]
+        mine, open_ = mine[open_.any(axis=1)], open_[open_.any(axis=1)]
+        if not len(mine):
+            continue
+        number = np.full(len(ids), -1)
+        number[mine] = np.arange(len(mine))
+        use = number[rows] >= 0
+        common = overlaps(number[rows[use]], grams[use], len(mine), others, y_grams, len(y_ids))
+        both = sizes[mine][:, None] + y_sizes[None, :] - common
+        r, c = np.nonzero((100 * common >= percent * both) & open_)
+        for i, j in zip(r.tolist(), c.tolist(), strict=True):
+            a, b = root(int(of[mine[i]])), root(int(y_of[j]))
+            if a != b:
+                top[a] = b
+                out.append((int(ids[mine[i]]), int(y_ids[j])))
     return out
 
 
+def connected(ids: np.ndarray, links: list[tuple[int, int]]) -> np.ndarray:
+    """Some id of each document's component, the same for all of it."""
+    at = {v: i for i, v in enumerate(ids.tolist())}
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for a, b in links:
+        root[find(at[a])] = find(at[b])
+    return ids[[find(at[v]) for v in ids.tolist()]]
+
+
 def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between components, of members (doc_id, n_shingles, component, family).
+    """Links (a, b) that connect what is linked among members (doc_id, n_shingles, family).
 
     Members of a family and size band are dealt into groups of about GROUP documents and GROUP_GRAMS shingles, packed as one row each with all
     their shingles; groups of neighbouring bands of a family are held against each other.
@@ -230,15 +365,18 @@ def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFr
     def pack(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         lists = table.column("grams").combine_chunks()
-        packed = [table.column(c).to_numpy().tobytes() for c in ("doc_id", "component")]
-        packed += [np.diff(lists.offsets.to_numpy()).astype(np.int64).tobytes(), lists.flatten().to_numpy().tobytes()]
-        return pa.table([*(table.column(c).slice(0, 1) for c in ("family", "band", "part")), *([x] for x in packed)], names=["family", "band", "part", "ids", "of", "sizes", "grams"])
-
-    columns = placed.select("doc_id", "component", "family", "band", "part", "n_shingles", "text").mapInArrow(gathered, "doc_id long, component long, family long, band int, part int, grams array<long>")
-    packed = columns.groupBy("family", "band", "part").applyInArrow(pack, "family long, band int, part int, ids binary, of binary, sizes binary, grams binary")
+        ids, sizes, grams = table.column("doc_id").to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy().view(np.uint64)
+        alone = (ids, ids.copy(), sizes, grams)
+        links = open_groups(alone, alone, percent)
+        of = connected(ids, links)
+        packed = [ids.tobytes(), of.tobytes(), sizes.tobytes(), grams.tobytes(), [{"a": a, "b": b} for a, b in links]]
+        return pa.Table.from_arrays([*(table.column(c).slice(0, 1).combine_chunks() for c in ("family", "band", "part")), *(pa.array([x], pa.binary()) for x in packed[:4]), pa.array([packed[4]], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["family", "band", "part", "ids", "of", "sizes", "grams", "links"])
+
+    columns = placed.select("doc_id", "family", "band", "part", "n_shingles", "text").mapInArrow(gathered, "doc_id long, family long, band int, part int, grams array<long>")
+    packed = columns.groupBy("family", "band", "part").applyInArrow(pack, "family long, band int, part int, ids binary, of binary, sizes binary, grams binary, links array<struct<a:long,b:long>>")
     packed = tables.written(packed, "packed")
     left, right = packed.select([F.col(c).alias(f"x_{c}") for c in packed.columns]), packed
-    near = F.expr("x_family = family and (x_band = band - 1 or x_band = band and x_part <= part)")
+    near = F.expr("x_family = family and (x_band = band - 1 or x_band = band and x_part < part)")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def group(batch: pa.RecordBatch, i: int, prefix: str) -> tuple:
@@ -251,7 +389,7 @@ def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     binaries = ("ids", "of", "sizes", "grams")
-    return left.join(right, near).select(*[f"x_{c}" for c in binaries], *binaries).mapInArrow(search, "a long, b long").distinct()
+    return left.join(right, near).select(*[f"x_{c}" for c in binaries], *binaries).mapInArrow(search, "a long, b long").union(packed.select(F.inline("links")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -285,29 +423,16 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # Equal sets: the smallest id stands for all.
     same = known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = tables.written(known.join(same, ["n_shingles", "h1", "h2"]).where("doc_id > first").select("doc_id", "first").distinct(), "copies")
-    # Tokens that several documents have, each with its leader.
+    # Tokens that several documents have. The smallest of equal sets lists every token, so its copies are not needed.
     lists = _listed(docs.where("doc_id is not null and text is not null"), shingle_words, percent)
     by = W.partitionBy("token")
-    lists = lists.withColumns({"lead": F.min(F.struct("doc_id", "n")).over(by), "top": F.max("doc_id").over(by)}).where("lead.doc_id < top or more is not null")
-    own = F.array(F.struct("doc_id", "n"))
-    shared = lists.select("token", "class", "inside", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n"), F.explode(F.when(F.col("more").isNull(), own).otherwise(F.concat(own, "more"))).alias("doc"))
-    shared = shared.select("token", "class", "inside", "lead", "lead_n", "doc.doc_id", "doc.n")
-    # The smallest of equal sets lists every token, so its copies are not needed, and no copy leads.
+    lists = lists.withColumns({"low": F.min("doc_id").over(by), "high": F.max("doc_id").over(by)}).where("low < high or more is not null")
+    shared = lists.select("token", F.explode(F.concat(F.array("doc_id"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc_id"))
     shared = tables.written(shared.join(tables.small_or_not(copies.select("doc_id"), BROADCAST_IDS), "doc_id", "left_anti"), "tokens")
-    # Leaders: what the equal blocks alone prove to be linked. Ids with several rows would count twice.
-    repeated = tables.small_or_not(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), BROADCAST_IDS)
-    led = shared.where("lead <> doc_id").join(repeated, "doc_id", "left_anti").join(repeated.withColumnRenamed("doc_id", "lead"), "lead", "left_anti")
-    proof = led.groupBy("doc_id", "n", "lead", "lead_n", "class").agg(F.sum("inside").alias("common"))
-    links = tables.written(proof.where(F.col("common") * (100 + percent) >= percent * (F.col("n") + F.col("lead_n"))).select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct(), "links")
-    reached = tables.small_or_not(components(links), BROADCAST_IDS)
-    # Families: what may still be linked across components hangs together through tokens.
-    cells = shared.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    of_token = cells.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("first")).where("low < high").select("token", "first")
-    opened = tables.written(cells.join(of_token, "token").select("doc_id", "component", "first").distinct(), "open")
-    families = components(opened.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
-    members = opened.select("doc_id", "component").distinct().join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-    more = _across(docs, members.join(known.select("doc_id", "n_shingles").distinct(), "doc_id"), shingle_words, percent)
-    every = components(links.union(more).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))))
+    # Families, and their groups opened through the matrix.
+    families = components(_families(shared, known, percent)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    links = _across(docs, families.join(known.select("doc_id", "n_shingles").distinct(), "doc_id"), shingle_words, percent)
+    every = components(links.union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))))
     return sized.join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
