@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_line, drop_citations, drop_control, match_key, normalize_whitespace, strip, strip_accents, strip_markdown, word_count
+from .text import clean_line, drop_citations, drop_control, let, match_key, normalize_whitespace, strip, strip_accents, strip_markdown, word_count
 
 # Terms that mark lines, as match keys.
 BODY_START_TERMS = (
@@ -57,48 +57,41 @@ def without_number(text: Column) -> Column:
 
 
 def is_table(line: Column) -> Column:
-    bare = strip(line)
-    return bare.rlike(TABLE_RULE) | bare.rlike(TABLE_GRID) | (bare.rlike(TABLE_ROW) & (F.length(bare) >= 2))
+    return let(strip(line), lambda bare: bare.rlike(TABLE_RULE) | bare.rlike(TABLE_GRID) | (bare.rlike(TABLE_ROW) & (F.length(bare) >= 2)))
 
 
 def is_image(line: Column) -> Column:
-    bare = strip(line)
-    low = F.lower(bare)
-    return bare.rlike(IMAGE) | bare.rlike(IMAGE_REST) | low.startswith("(picture") | low.startswith("[image") | F.contains(low, F.lit("data:image/")) | F.contains(low, F.lit("<img"))
+    marked = lambda low: low.startswith("(picture") | low.startswith("[image") | F.contains(low, F.lit("data:image/")) | F.contains(low, F.lit("<img"))
+    return let(strip(line), lambda bare: bare.rlike(IMAGE) | bare.rlike(IMAGE_REST) | let(F.lower(bare), marked))
 
 
 def is_section_boundary(text: Column) -> Column:
     """Numbered, a heading, or short."""
-    plain = strip_markdown(text)
-    return (plain != "") & (plain.rlike(NUMBERED) | text.rlike(r"(?U)^\s*#{1,6}\s+") | ((word_count(plain) <= 14) & (F.length(plain) <= 140)))
+    return let(strip_markdown(text), lambda plain: (plain != "") & (plain.rlike(NUMBERED) | text.rlike(r"(?U)^\s*#{1,6}\s+") | ((word_count(plain) <= 14) & (F.length(plain) <= 140))))
 
 
 def is_publication_metadata(line: Column) -> Column:
-    plain = strip_markdown(line)
-    key = match_key(plain)
-    return (plain != "") & (plain.rlike(PUBLICATION) | plain.rlike(EMAIL_OR_URL) | (has_term(key, FRONT_MATTER_TERMS) & (word_count(plain) <= 20)) | (plain.rlike(AFFILIATION_MARK) & has_term(key, AFFILIATION_TERMS)))
+    by_term = lambda plain, key: (has_term(key, FRONT_MATTER_TERMS) & (word_count(plain) <= 20)) | (plain.rlike(AFFILIATION_MARK) & has_term(key, AFFILIATION_TERMS))
+    return let(strip_markdown(line), lambda plain: (plain != "") & (plain.rlike(PUBLICATION) | plain.rlike(EMAIL_OR_URL) | let(match_key(plain), lambda key: by_term(plain, key))))
 
 
 def is_front_matter(text: Column) -> Column:
-    key = match_key(text)
-    return (key != "") & ((has_term(key, FRONT_MATTER_TERMS) & (is_section_boundary(text) | (word_count(text) <= 28))) | is_publication_metadata(text))
+    return let(match_key(text), lambda key: (key != "") & ((has_term(key, FRONT_MATTER_TERMS) & ((word_count(text) <= 28) | is_section_boundary(text))) | is_publication_metadata(text)))
 
 
 def is_body_stop(text: Column) -> Column:
-    plain = strip_markdown(text)
-    return (plain != "") & has_term(match_key(without_number(plain)), BODY_STOP_TERMS) & is_section_boundary(plain)
+    return let(strip_markdown(text), lambda plain: (plain != "") & has_term(match_key(without_number(plain)), BODY_STOP_TERMS) & is_section_boundary(plain))
 
 
 def has_body_start_term(text: Column) -> Column:
-    plain = strip_markdown(text)
-    return (plain != "") & ~is_front_matter(plain) & ~is_body_stop(plain) & has_term(match_key(without_number(plain)), BODY_START_TERMS) & is_section_boundary(plain)
+    heading = lambda plain: has_term(match_key(without_number(plain)), BODY_START_TERMS) & is_section_boundary(plain)
+    return let(strip_markdown(text), lambda plain: (plain != "") & heading(plain) & ~is_front_matter(plain) & ~is_body_stop(plain))
 
 
 def is_body_start(text: Column) -> Column:
-    plain = strip_markdown(text)
-    heading = has_term(match_key(without_number(plain)), BODY_START_TERMS) & is_section_boundary(plain)
-    numbered = plain.rlike(NUMBERED) & has_vietnamese(plain) & (word_count(plain) <= 16)
-    return (plain != "") & ~is_front_matter(plain) & ~is_body_stop(plain) & (heading | numbered)
+    heading = lambda plain: has_term(match_key(without_number(plain)), BODY_START_TERMS) & is_section_boundary(plain)
+    numbered = lambda plain: plain.rlike(NUMBERED) & has_vietnamese(plain) & (word_count(plain) <= 16)
+    return let(strip_markdown(text), lambda plain: (plain != "") & (heading(plain) | numbered(plain)) & ~is_front_matter(plain) & ~is_body_stop(plain))
 
 
 def is_author_name(token: Column) -> Column:
@@ -109,23 +102,24 @@ def is_author_name(token: Column) -> Column:
 
 def is_artifact(line: Column) -> Column:
     """No body text: a rule, caption, table, image or publication detail."""
-    bare = strip(line)
-    return (bare != "") & (bare.rlike(RULE_LINE) | line.rlike(CAPTION) | is_table(line) | is_image(line) | is_publication_metadata(line))
+    return let(strip(line), lambda bare: (bare != "") & (bare.rlike(RULE_LINE) | line.rlike(CAPTION) | is_table(bare) | is_image(bare) | is_publication_metadata(line)))
 
 
 def is_early_artifact(line: Column) -> Column:
     """As is_artifact, but labels of abstract and keywords stay."""
-    plain = strip_markdown(line)
-    return strip(line).rlike(RULE_LINE) | line.rlike(CAPTION) | is_table(line) | is_image(line) | plain.rlike(PUBLICATION) | plain.rlike(EMAIL_OR_URL)
+    return let(strip(line), lambda bare: bare.rlike(RULE_LINE) | line.rlike(CAPTION) | is_table(bare) | is_image(bare)) | let(strip_markdown(line), lambda plain: plain.rlike(PUBLICATION) | plain.rlike(EMAIL_OR_URL))
 
 
 def is_junk(line: Column) -> Column:
     """Only numbers, marks and one- or two-letter rests, and nothing Vietnamese; or under ten characters without a letter."""
-    bare = drop_control(line)
-    tokens = F.filter(F.split(bare, r"(?U)\s+"), lambda t: t != "")
     rest = lambda t: t.rlike(r"^\d{1,4}\.*\z") | ~t.rlike(r"[\p{L}\p{N}]") | ((F.length(t) <= 2) & ~t.rlike(r"^\p{Nd}+\z"))
-    tight = F.replace(bare, F.lit(" "), F.lit(""))
-    return (F.size(tokens) > 0) & ~bare.rlike(VIETNAMESE) & (F.forall(tokens, rest) | ((F.length(tight) < 10) & ~tight.rlike(r"\p{L}")))
+    short = lambda tight: (F.length(tight) < 10) & ~tight.rlike(r"\p{L}")
+
+    def of(bare: Column) -> Column:
+        tokens = F.filter(F.split(bare, r"(?U)\s+"), lambda t: t != "")
+        return bare.rlike(r"(?U)\S") & ~bare.rlike(VIETNAMESE) & (F.forall(tokens, rest) | let(F.replace(bare, F.lit(" "), F.lit("")), short))
+
+    return let(drop_control(line), of)
 
 
 FLAGS = {
@@ -148,42 +142,48 @@ def split_lines(text: Column) -> Column:
 
 def repeated_keys(keys: Column) -> Column:
     """Keys of at most 100 characters that occur at least twice; found in the sorted array."""
-    ordered = F.array_sort(F.filter(keys, lambda k: (k != "") & (F.length(k) <= 100)))
-    return F.array_distinct(F.filter(ordered, lambda k, i: (i > 0) & (k == F.get(ordered, i - 1))))
+    again = lambda ordered: F.array_distinct(F.filter(ordered, lambda k, i: (i > 0) & (k == F.get(ordered, i - 1))))
+    return let(F.array_sort(F.filter(keys, lambda k: (k != "") & (F.length(k) <= 100))), again)
 
 
 def drop_repeated(lines: Column, key=match_key) -> Column:
     """Lines without all that occur at least twice in the document, but for body starts and numbered ones."""
-    again = repeated_keys(F.transform(lines, key))
-    return F.filter(lines, lambda x: ~F.array_contains(again, key(x)) | is_body_start(x) | strip_markdown(x).rlike(NUMBERED))
+    stays = lambda x: is_body_start(x) | strip_markdown(x).rlike(NUMBERED)
+
+    def kept(keyed: Column) -> Column:
+        return let(repeated_keys(F.transform(keyed, lambda x: x["key"])), lambda again: F.filter(keyed, lambda x: ~F.array_contains(again, x["key"]) | stays(x["line"])))
+
+    return F.transform(let(F.transform(lines, lambda x: F.struct(x.alias("line"), key(x).alias("key"))), kept), lambda x: x["line"])
 
 
 def outside_fences(lines: Column) -> Column:
     """Lines that stand in no fenced block, without the fences."""
     fence = lambda x: strip(x).rlike("^(```|~~~)")
     start = F.struct(F.lit(False).alias("within"), F.array().cast("array<string>").alias("kept"))
-    step = lambda s, x: F.struct((s["within"] != fence(x)).alias("within"), F.when(fence(x) | s["within"], s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))
-    return F.aggregate(lines, start, step, lambda s: s["kept"])
+    added = lambda s, x, f: F.struct((s["within"] != f).alias("within"), F.when(f | s["within"], s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))
+    return F.aggregate(lines, start, lambda s, x: let(fence(x), lambda f: added(s, x, f)), lambda s: s["kept"])
 
 
 def drop_captions(lines: Column) -> Column:
     """Lines without tables, captions and up to two lines that go on from a caption; a blank line or a section boundary ends it."""
     start = F.struct(F.lit(0).alias("left"), F.array().cast("array<string>").alias("kept"))
 
-    def step(s: Column, x: Column) -> Column:
+    def kinds(x: Column) -> Column:
         bare = strip(x)
-        goes_on = (s["left"] > 0) & (bare != "") & ~is_section_boundary(x) & (F.length(bare) <= 170)
-        caption = ~goes_on & (bare != "") & x.rlike(CAPTION)
-        left = F.when(is_table(x), s["left"]).when(goes_on, s["left"] - 1).when(caption, 2).otherwise(0)
-        return F.struct(left.alias("left"), F.when(is_table(x) | goes_on | caption, s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))
+        return F.struct(x.alias("line"), is_table(x).alias("table"), ((bare != "") & (F.length(bare) <= 170) & ~is_section_boundary(x)).alias("goes_on"), ((bare != "") & x.rlike(CAPTION)).alias("caption"))
+
+    def step(s: Column, x: Column) -> Column:
+        goes_on = (s["left"] > 0) & x["goes_on"]
+        left = F.when(x["table"], s["left"]).when(goes_on, s["left"] - 1).when(x["caption"], 2).otherwise(0)
+        return F.struct(left.alias("left"), F.when(x["table"] | goes_on | x["caption"], s["kept"]).otherwise(F.concat(s["kept"], F.array(x["line"]))).alias("kept"))
 
-    return F.aggregate(lines, start, step, lambda s: s["kept"])
+    return F.aggregate(F.transform(lines, kinds), start, step, lambda s: s["kept"])
 
 
 def before_first(lines: Column, stop) -> Column:
     """Lines up to the first that stop holds for."""
-    at = F.array_position(F.transform(lines, lambda x: stop(x).cast("int")), 1)
-    return F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines)
+    cut = lambda all_, at: F.when(at > 0, F.slice(all_, F.lit(1), (at - 1).cast("int"))).otherwise(all_)
+    return let(lines, lambda all_: let(F.array_position(F.transform(all_, lambda x: stop(x).cast("int")), 1), lambda at: cut(all_, at)))
 
 
 def _tidy(lines: Column) -> Column:
@@ -203,8 +203,8 @@ def clean_body(text: Column) -> Column:
     lines = F.filter(drop_captions(before_first(lines, is_body_stop)), lambda x: ~is_artifact(x) & ~is_junk(x))
 
     def tidy(x: Column) -> Column:
-        bare = drop_citations(x)
-        return F.when(bare.rlike(HEADING), clean_line(F.regexp_replace(bare, r"(?U)^\s*#{1,6}\s+", ""))).otherwise(normalize_whitespace(bare))
+        plain = lambda bare: F.when(bare.rlike(HEADING), clean_line(F.regexp_replace(bare, r"(?U)^\s*#{1,6}\s+", ""))).otherwise(normalize_whitespace(bare))
+        return let(drop_citations(x), plain)
 
     joined = F.array_join(F.transform(lines, tidy), "\n")
     return strip(F.regexp_replace(F.regexp_replace(joined, r"(?U)\s+([.,;:!?])", "$1"), r"\n{3,}", "\n\n"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,6 +29,11 @@ def nfd(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFD")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: inside lambdas Spark computes an expression as often as it is written."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _accented() -> tuple[str, str]:
     """All characters of the basic plane that decompose into one character and marks, and those characters."""
     out = {"đ": "d", "Đ": "D"}

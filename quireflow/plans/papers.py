@@ -55,10 +55,10 @@ k AS (SELECT *, trim(lower(line)) AS key FROM l), c AS (SELECT *, count(*) OVER
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (key <> '' AND length(key) <= 100 AND n >= 2)), '') AS text FROM c GROUP BY doc_id""")
 def drop_repeated_lines(spark, d):
     """The operator with a key that SQL has too; the default key is tested on literals."""
-    lines = F.split("text", "\n", -1)
     key = lambda x: F.trim(F.lower(x))
-    again = L.repeated_keys(F.transform(lines, key))
-    return _docs(spark, d).select("doc_id", F.array_join(F.filter(lines, lambda x: ~F.array_contains(again, key(x))), "\n").alias("text"))
+    kept = lambda lines, again: F.filter(lines, lambda x: ~F.array_contains(again, key(x)))
+    one = T.let(F.split("text", "\n", -1), lambda lines: T.let(L.repeated_keys(F.transform(lines, key)), lambda again: kept(lines, again)))
+    return _docs(spark, d).select("doc_id", F.array_join(one, "\n").alias("text"))
 
 
 @ADD("""
