@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text turned into words at a time; a longer text is taken alone, whole.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _random.integers(0, 2**64, 256, dtype=np.uint64)
