@@ -72,7 +72,7 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def tokens(grams: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(token, document) of all documents; those too small to differ from a linked set have none."""
     sizes = np.diff(offsets)
-    low, blocks = classes(int(sizes.max(initial=1)), percent)
+    low, blocks = classes(int(sizes.max(initial=1)) * 100 // percent + 1, percent)  # the class above the largest set's too
     own = np.searchsorted(low, sizes, "right") - 1
     spread = mix(grams ^ np.uint64(0x5DEECE66D))
     out, of = [], []

@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quireflow.llm.jaccard_join import classes, jaccard_join
+from quireflow.llm.jaccard_join import classes, jaccard_join, tokens
 
 SCHEMA = "doc_id long, text string, source string, token string, component string"
 
@@ -77,3 +78,12 @@ def test_size_classes_reach_every_linked_size(percent):
     of = lambda n: int((low <= n).sum()) - 1
     for n in range(1, 2000):
         assert of(n * 100 // percent) - of(n) <= 1
+
+
+def test_largest_set_of_a_piece_shares_a_token_with_a_larger_one_elsewhere():
+    r = np.random.default_rng(1)
+    for n in range(20, 400, 7):
+        large = np.sort(r.integers(0, 2**63, n * 10 // 9, dtype=np.uint64))
+        small = np.sort(large[r.permutation(len(large))[:n]])
+        found = [set(tokens(x, np.array([0, len(x)]), 90)[0].tolist()) for x in (small, large)]
+        assert found[0] & found[1]
