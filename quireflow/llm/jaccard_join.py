@@ -33,6 +33,8 @@ BROADCAST_IDS = 1_000_000
 SPARE = 1
 #: Documents and shingles of a group, columns of a dense slice, and documents that are held against a group at a time.
 GROUP, GROUP_GRAMS, SLICE, ROWS = 256, 500_000, 8_192, 64
+#: Rows that a task holds while it lists tokens, and while it compares those of one token (more only where one token has more).
+LISTED, ROWS_AT_ONCE = 2_500, 25_000
 KEYS = ("doc_id", "family", "band", "part")
 
 
@@ -129,7 +131,7 @@ def _listed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(token, doc_id, more): per batch and token, its smallest document and the others, null if none. Equal sets of a batch count once, as the smallest id."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, LISTED) for b in batches for low in range(0, b.num_rows, LISTED)):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             parts, same = [], [np.zeros(0, np.uint64)]
             for low, high in pieces(batch.column("text")):
@@ -187,7 +189,7 @@ def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list
         fits = np.zeros(len(i), bool)
         for w in np.unique(low):
             place, bits = bitmaps(int(w))
-            for at in np.array_split(np.flatnonzero(low == w), 1 + int((low == w).sum() * w >> 21)):
+            for at in np.array_split(np.flatnonzero(low == w), 1 + int((low == w).sum() * w >> 18)):
                 apart = np.bitwise_count(bits[place[i[at]]] ^ bits[place[j[at]]]).sum(axis=1, dtype=np.int64)
                 fits[at] = apart * (100 + percent) <= (size[i[at]] + size[j[at]]) * (100 - percent)
         return i[fits], j[fits]
@@ -248,7 +250,7 @@ def _families(shared: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= 100_000:
+            if n >= ROWS_AT_ONCE:
                 table = pa.Table.from_batches(held).combine_chunks()
                 token = table.column("token").to_numpy()
                 cut = int(np.searchsorted(token, token[-1]))  # the last token may go on
