@@ -55,7 +55,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     bits = F.length(F.bin("size"))
     band = F.when(F.col("size") < 16, F.col("size")).otherwise(bits * 8 + F.floor(F.col("size") / F.pow(F.lit(2.0), bits - 4)) % 8).cast("int")
     part = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))), 1, 2)
-    sized = sized.withColumns({"band": band, "part": part})
+    sized = tables.written(sized.withColumns({"band": band, "part": part}), "sizes")  # words are counted once, for three uses
     cells = sized.groupBy("source", "band", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     per_source = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     before = W.partitionBy("source").orderBy("band", "part").rowsBetween(W.unboundedPreceding, -1)  # 256 parts of some 500 bands at most
