@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .lines import AFFILIATION_TERMS, has_term, is_artifact, is_author_name, is_body_start, is_body_stop, is_front_matter, is_publication_metadata, is_section_boundary
-from .text import clean_authors, clean_metadata, clean_paragraph, match_key, strip, word_count
+from .text import clean_authors, clean_metadata, clean_paragraph, let, match_key, strip, word_count
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style"}
@@ -73,12 +73,13 @@ def first_title(found: Column) -> Column:
 def authors_of(found: Column) -> Column:
     """Names from the first tag after the title, before the body, all of whose one to eight parts look like names; no affiliations or publication details."""
     title = F.get(F.filter(found, lambda t: t["tag"].isin("h1", "h2")), F.lit(0))["pos"]
-    after = F.filter(found, lambda t: (t["pos"] > title) & (t["text"] != "") & ~t["tag"].isin(*NO_TEXT, *SILENT))
-    body = F.get(F.filter(after, lambda t: is_body_start(t["text"])), F.lit(0))["pos"]
-    parts = lambda x: F.filter(F.split(x, "[,;]"), lambda p: strip(p) != "")
-    names = lambda x: F.size(parts(x)).between(1, 8) & F.forall(parts(x), is_author_name) & ~has_term(match_key(x), AFFILIATION_TERMS) & ~is_publication_metadata(x)
-    chosen = F.filter(after, lambda t: (body.isNull() | (t["pos"] < body)) & names(t["text"]))
-    return F.coalesce(clean_authors(F.get(chosen, F.lit(0))["text"]), F.lit(""))
+    named = lambda x: let(F.filter(F.split(x, "[,;]"), lambda p: strip(p) != ""), lambda parts: F.size(parts).between(1, 8) & F.forall(parts, is_author_name))
+    names = lambda x: named(x) & ~has_term(match_key(x), AFFILIATION_TERMS) & ~is_publication_metadata(x)
+    first = lambda tags_, holds: F.get(F.filter(tags_, lambda t: holds(t["text"])), F.lit(0))
+    before = lambda body, x: body["pos"].isNull() | (x["pos"] < body["pos"])
+    chosen = lambda after: let(first(after, is_body_start), lambda body: F.get(F.filter(after, lambda t: before(body, t) & names(t["text"])), F.lit(0))["text"])
+    after = lambda start: F.filter(found, lambda t: (t["pos"] > start) & (t["text"] != "") & ~t["tag"].isin(*NO_TEXT, *SILENT))
+    return F.coalesce(clean_authors(let(let(title, after), chosen)), F.lit(""))
 
 
 # Labels of abstract and keywords.
@@ -96,25 +97,29 @@ def label_end(text: Column, label: str, terms: tuple[str, ...]) -> Column:
 
 def labelled(text: Column, label: str, terms: tuple[str, ...], stop: str | None = None) -> Column:
     """What follows a label, up to the stop label; empty without label."""
-    clean = clean_metadata(text)
-    end = label_end(clean, label, terms)
-    value = F.when(end.isNotNull(), F.substr(clean, end)).otherwise(F.lit(""))
+    value = lambda clean: let(label_end(clean, label, terms), lambda end: F.when(end.isNotNull(), F.substr(clean, end)).otherwise(F.lit("")))
+    out = let(clean_metadata(text), value)
     if stop:
-        value = F.element_at(F.split(value, stop, 2), 1)
-    return F.btrim(value, F.lit(" :.-–—"))
+        out = F.element_at(F.split(out, stop, 2), 1)
+    return F.btrim(out, F.lit(" :.-–—"))
 
 
 def labelled_value(found: Column, label: str, terms: tuple[str, ...], stop: str | None = None, stop_terms: tuple[str, ...] = ()) -> Column:
     """Value of the first labelled tag, or, where a label stands alone, the text of the next tag that is neither label nor stop; large outer tags come last."""
-    spoken = F.filter(found, lambda t: (t["text"] != "") & ~t["tag"].isin(*SILENT))
-    having = F.filter(spoken, lambda t: label_end(clean_metadata(t["text"]), label, terms).isNotNull())
-    small = F.filter(having, lambda t: word_count(t["text"]) <= 220)
-    values = F.filter(F.transform(small, lambda t: labelled(t["text"], label, terms, stop)), lambda v: v != "")
-    alone = F.get(F.filter(having, lambda t: labelled(t["text"], label, terms) == ""), F.lit(0))["pos"]
-    follow = F.filter(spoken, lambda t: (t["pos"] > alone) & (label_end(clean_metadata(t["text"]), label, terms).isNull()))
-    nearest = F.get(follow, F.lit(0))["text"]
-    stopped = has_term(match_key(nearest), stop_terms) if stop_terms else F.lit(False)
-    return F.coalesce(F.get(F.reverse(values), F.lit(0)), F.when(~stopped, clean_metadata(nearest)), F.lit(""))
+    told = lambda t: let(clean_metadata(t["text"]), lambda x: F.struct(t["pos"].alias("pos"), t["text"].alias("text"), label_end(x, label, terms).isNotNull().alias("has")))
+    valued = lambda t: F.struct(t["pos"].alias("pos"), labelled(t["text"], label, terms).alias("all"), F.when(word_count(t["text"]) <= 220, labelled(t["text"], label, terms, stop)).alias("value"))
+
+    def of(spoken: Column) -> Column:
+        return let(F.transform(F.filter(spoken, lambda t: t["has"]), valued), lambda having: from_(spoken, having))
+
+    def from_(spoken: Column, having: Column) -> Column:
+        values = F.filter(F.transform(having, lambda t: t["value"]), lambda v: v != "")
+        alone = F.get(F.filter(having, lambda t: t["all"] == ""), F.lit(0))["pos"]
+        nearest = let(alone, lambda at: F.get(F.filter(spoken, lambda t: (t["pos"] > at) & ~t["has"]), F.lit(0))["text"])
+        stopped = lambda x: has_term(match_key(x), stop_terms) if stop_terms else F.lit(False)
+        return F.coalesce(F.get(F.reverse(values), F.lit(0)), let(nearest, lambda x: F.when(~stopped(x), clean_metadata(x))), F.lit(""))
+
+    return let(F.transform(F.filter(found, lambda t: (t["text"] != "") & ~t["tag"].isin(*SILENT)), told), of)
 
 
 def metadata(found: Column) -> Column:

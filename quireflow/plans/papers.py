@@ -136,7 +136,7 @@ def composed(spark, d):
 
 @ADD()
 def html_metadata(spark, d):
-    return table(spark, d, "pages").select("page_id", H.tags(F.col("html")).alias("t")).select("page_id", H.metadata(F.col("t")).alias("m")).select("page_id", "m.*")
+    return table(spark, d, "pages").select("page_id", T.let(H.tags(F.col("html")), H.metadata).alias("m")).select("page_id", "m.*")
 
 
 @ADD()
