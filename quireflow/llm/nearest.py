@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from . import tables
 
 TABLES, PROBES, AXES, BLOCK, SEED = 12, 8, 32, 32_768, 77
+#: Entries that a task turns and deals to buckets.
+DEALT = 4_096
 #: Entries of (query, vector, score) that a task holds before it cuts them to the best or passes them on.
 HELD = 2_000_000
 #: Queries that are held against all rows at once where the tables find too few.
@@ -117,6 +119,32 @@ def _told(query, rep, score) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(rep, pa.int64()), pa.array(score, pa.float64())], names=["query", "rep", "score"])
 
 
+def _packed(blocks: DataFrame, salts: int) -> DataFrame:
+    """The blocks of each slot on end, up to BLOCK entries in a row where there are as many; a slot is dealt to so many tasks at most."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, ids, vectors, n = None, [], [], 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([slot], kind), pa.array([b"".join(ids)], pa.binary()), pa.array([b"".join(vectors)], pa.binary())], names=["slot", "ids", "vectors"])
+
+        for batch in batches:
+            kind = batch.schema.field("slot").type
+            for s, i, v in zip(batch.column("slot").to_pylist(), batch.column("ids"), batch.column("vectors"), strict=True):
+                i, v = i.as_py(), v.as_py()
+                if n and (s != slot or n + len(i) // 8 > BLOCK):
+                    yield told()
+                    ids, vectors, n = [], [], 0
+                slot, n = s, n + len(i) // 8
+                ids.append(i)
+                vectors.append(v)
+        if n:
+            yield told()
+
+    dealt = blocks.select("slot", "ids", "vectors").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts))).repartition("slot", "salt").sortWithinPartitions("slot", "salt").drop("salt")
+    return dealt.mapInArrow(pack, blocks.select("slot", "ids", "vectors").schema)
+
+
 def _searched(points: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
     """(query, rep, score): per task the k best entries of each query in the opened buckets."""
     pairs = points.join(queries.withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"}), "slot").select("ids", "vectors", "q_ids", "q_vectors")
@@ -192,8 +220,9 @@ def search(vectors: DataFrame, query_ids: DataFrame, *, id_col: str = "vec_id",
     asked = rows.join(query_ids.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi").distinct()
     asked = tables.written(asked.join(entries.select("rep", "vec"), "vec").select("id", "rep", "vec"), "queries")
     searched = asked.select("rep", "vec").distinct()
-    points = _blocks(entries.repartition(max(1, n // BLOCK), "rep"), dim, largest, 1)
-    opened = _blocks(searched.repartition(max(1, searched.count() // BLOCK), "rep"), dim, None, PROBES)
+    asking, wide = searched.count(), min(AXES, 1 << dim.bit_length())
+    points = _packed(_blocks(entries.repartition(max(1, n // DEALT), "rep"), dim, largest, 1), 1 + n // (2 * wide * BLOCK))
+    opened = _packed(_blocks(searched.repartition(max(1, asking // DEALT), "rep"), dim, None, PROBES), 1 + PROBES * asking // (2 * wide * BLOCK))
     found = tables.written(_searched(points, opened, dim, k + 1), "found")
 
     def ranked(found: DataFrame) -> DataFrame:
