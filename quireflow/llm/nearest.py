@@ -227,7 +227,9 @@ def search(vectors: DataFrame, query_ids: DataFrame, *, id_col: str = "vec_id",
 
     def ranked(found: DataFrame) -> DataFrame:
         """(query_id, vec_id, score, rank) with ids in the place of entries."""
-        ids = found.distinct().join(entries.select("rep", "ids"), "rep").select("query", F.explode("ids").alias("vec_id"), "score")
+        nearest = W.partitionBy("query").orderBy(F.desc("score"), "rep")  # rep is its smallest id, so no more than k + 1 entries can count
+        found = found.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n")
+        ids = found.join(entries.select("rep", "ids"), "rep").select("query", F.explode("ids").alias("vec_id"), "score")
         first = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
         ids = ids.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
         each = ids.join(asked.select(F.col("id").alias("query_id"), F.col("rep").alias("query")), "query").where("vec_id <> query_id")
