@@ -1,8 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find training passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find training passages, Smith-Waterman alignment scores them.
 
-Two passes over the documents, neither of which shuffles text. The first counts how often every benchmark n-gram occurs in the corpus; the
-n-grams that are rare there (or among the rarer half of their item, so that every item keeps some) become seeds. The second finds seeds in
-each document, opens the passage around them and aligns it with the item word by word.
+Two passes over the documents, neither of which shuffles text. The first counts how often every benchmark n-gram occurs in the corpus. The
+second finds n-grams in each document, opens the passage around them and aligns it with the item word by word. Every n-gram is a seed: an
+edited copy may have kept none but frequent ones. Passages without a rare n-gram are only aligned if they have enough of the item's words to
+reach the least score at all, which loses none.
 
 The benchmark is the query set: it is dealt into blocks of a bounded number of words, and each block is sent to the executors and held
 against all documents. A larger benchmark means more blocks, never a larger broadcast.
@@ -26,7 +27,7 @@ MATCH, MISS = 2, 1
 
 
 class Block:
-    """Some benchmark items as word hashes, with their n-grams sorted; seeds marks those to look for."""
+    """Some benchmark items as word hashes, with their n-grams sorted; rare marks those that are rare in the corpus."""
 
     def __init__(self, texts: list[str], n: int):
         self.n = n
@@ -40,7 +41,7 @@ class Block:
         self.first = np.append(self.first, len(self.grams))
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.unique >> np.uint64(42)).astype(np.int64)] = True
-        self.seeds = np.ones(len(self.grams), bool)
+        self.rare = np.ones(len(self.grams), bool)
 
     def found(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in grams, index in unique) of those that the block has."""
@@ -49,15 +50,9 @@ class Block:
         same = self.unique[k] == grams[at] if len(self.unique) else np.zeros(len(at), bool)
         return at[same], k[same]
 
-    def keep_rare(self, counts: np.ndarray, most: float) -> None:
-        """Seeds are n-grams of at most so many occurrences in the corpus, and the rarer half of each item's."""
-        count = counts[np.searchsorted(self.unique, self.grams)] if len(self.unique) else np.zeros(0)
-        self.seeds = count <= most
-        order = np.lexsort((self.place, count, self.item))
-        sizes = np.bincount(self.item) if len(self.item) else np.zeros(0, int)
-        starts = np.cumsum(sizes) - sizes
-        rank = np.arange(len(order)) - np.repeat(starts, sizes)
-        self.seeds[order[rank < np.repeat((sizes + 1) // 2, sizes)]] = True
+    def mark_rare(self, counts: np.ndarray, most: float) -> None:
+        """Rare n-grams have at most so many occurrences in the corpus."""
+        self.rare = counts[np.searchsorted(self.unique, self.grams)] <= most if len(self.unique) else np.zeros(0, bool)
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -91,24 +86,33 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def passages(block: Block, grams: np.ndarray, gram_offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, item, first and last word of the passage within the document, seeds in it) around seeds on about one diagonal."""
+def passages(block: Block, hashes: np.ndarray, offsets: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, item, first and last word of the passage within the document, seeds in it) around seeds on about one diagonal.
+
+    An alignment scores at most the share of the item's words that the passage has; passages without rare seeds where this is under least are left out.
+    """
+    grams, gram_offsets = shingles(hashes, offsets, block.n)
     at, k = block.found(grams)
     counts = block.first[k + 1] - block.first[k]
     entry = np.repeat(block.first[k] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    at = np.repeat(at, counts)[block.seeds[entry]]
-    entry = entry[block.seeds[entry]]
+    at = np.repeat(at, counts)
     doc = np.searchsorted(gram_offsets, at, "right") - 1
     item, diagonal = block.item[entry], at - gram_offsets[doc] - block.place[entry]
     order = np.lexsort((diagonal, item, doc))
-    doc, item, diagonal = doc[order], item[order], diagonal[order]
+    doc, item, diagonal, rare = doc[order], item[order], diagonal[order], block.rare[entry[order]]
     size = np.diff(block.offsets)[item]
     apart = np.ones(len(doc), bool)
     apart[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 4 + 2)
     starts = np.flatnonzero(apart)
-    for a, b in zip(starts, np.append(starts, len(doc))[1:], strict=True):
+    sure = np.logical_or.reduceat(rare, starts) if len(starts) else starts
+    for a, b, some in zip(starts, np.append(starts, len(doc))[1:], sure, strict=True):
         slack = int(size[a]) // 3 + 4
-        yield int(doc[a]), int(item[a]), max(0, int(diagonal[a]) - slack), int(diagonal[b - 1] + size[a]) + slack, int(b - a)
+        low, high = max(0, int(diagonal[a]) - slack), int(diagonal[b - 1] + size[a]) + slack
+        if not some:
+            own = block.words[block.offsets[item[a]] : block.offsets[item[a] + 1]]
+            if np.isin(own, hashes[offsets[doc[a]] : offsets[doc[a] + 1]][low:high]).sum() / len(own) < least:
+                continue
+        yield int(doc[a]), int(item[a]), low, high, int(b - a)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", seed_words: int = 4, rare_share: float = 1e-3, min_score: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -118,7 +122,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     are left out. Words are maximal runs other than ASCII white space and punctuation, A-Z as a-z. seeds counts the n-grams that led to the
     passage; passage_from and passage_to are its bounds in words. Several passages of an item in a document give the best one.
 
-    Null and empty texts match nothing, and items of fewer than seed_words words have no seed and match nothing. Repeated documents or
+    Null and empty texts match nothing, and items of fewer than seed_words words have no seed and match nothing; nor does a passage that has
+    not kept seed_words words of the item in a row, as one with every fourth word changed, though it may score 0.6. Repeated documents or
     items each get their rows; null ids stay null. Empty tables give no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -149,7 +154,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
         for r in counted.toLocalIterator():  # at most a row for each n-gram of the block
             counts[r.gram] = r.n
         n_docs = chosen.count() if n_docs is None else n_docs
-        block.keep_rare(counts, rare_share * n_docs)
+        block.mark_rare(counts, rare_share * n_docs)
         sent = spark.sparkContext.broadcast((block, ids))
 
         def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -157,7 +162,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
             for batch in batches:
                 for low, high in pieces(batch.column("text")):
                     hashes, offsets, _, _ = words(batch.column("text").slice(low, high - low), MARKS)
-                    found = list(passages(block, *shingles(hashes, offsets, block.n)))
+                    found = list(passages(block, hashes, offsets, min_score))
                     pairs = [(block.words[block.offsets[i] : block.offsets[i + 1]], hashes[offsets[d] : offsets[d + 1]][f:t]) for d, i, f, t, _ in found]
                     best: dict = {}
                     for (d, i, f, t, seeds), score in zip(found, align(pairs), strict=True):

@@ -39,6 +39,21 @@ def test_decontaminate_finds_copies_and_edits_only(spark):
     assert decontaminate.decontaminate(docs(spark, rows), items.where(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 60])
+def test_decontaminate_finds_edited_copies_without_whole_ones(spark, copies):
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    texts = {f"{n}/{step}": words(n) for n in (20, 30, 40, 59) for step in (7, 8)}
+    rows, wanted = [(0, " ".join(words(200)), "s", "l")], set()
+    for name, item in texts.items():
+        edited = ["other" if i % int(name.split("/")[1]) == int(name.split("/")[1]) - 1 else w for i, w in enumerate(item)]
+        for _ in range(copies):
+            rows.append((len(rows), " ".join(words(30) + edited + words(30)), "s", "l"))
+            wanted.add((rows[-1][0], name))
+    items = spark.createDataFrame([(name, " ".join(item)) for name, item in texts.items()], "item_id string, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.decontaminate(docs(spark, rows), items).collect()} == wanted
+
+
 def test_alignment_is_smith_waterman():
     r = np.random.default_rng(3)
     for _ in range(60):
