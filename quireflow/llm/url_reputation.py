@@ -1,22 +1,22 @@
 """URL filter: fixed rules, then empirical-Bayes reputation of hosts. DataFrame functions only.
 
 Labelled page outcomes are counted per host with partial aggregation; a beta-binomial posterior is shrunk step by step: the suffix toward
-the whole, the registered domain toward its suffix, the host toward its registered domain. A url is blocked when even the lower bound of its
-host's posterior bad share lies above a limit, so that a few bad pages cannot block a host about which little is known.
+the whole, the registered domain toward its suffix, the host toward its registered domain, by strengths that fit the spread between the sites
+of a level (method of moments). Hosts without labels have their domain's posterior, else their suffix's, else the whole's. A url is blocked when
+even the lower bound of its host's posterior bad share lies above a limit, so that a few bad pages cannot block a host about which little is known.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tables
 
 #: (action, host, path). The longest fitting rule wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Pseudo-observations that a level lends to the level below it.
-STRENGTH = {"suffix": 20.0, "domain": 10.0, "host": 5.0}
+#: Least and most pseudo-observations that a level lends to the level below it.
+LEAST, MOST = 1.0, 10_000.0
 LIMIT, Z = 0.5, 1.645
 
 
@@ -40,37 +40,52 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, action
 
 
-def reputations(outcomes: DataFrame, strength: dict[str, float] = STRENGTH, z: float = Z) -> DataFrame:
-    """(host, domain, suffix, n, bad, mean, low) from rows (host, bad 0/1): every host's posterior bad share and its lower bound.
+def strength(sites: DataFrame, above: Column) -> float:
+    """Pseudo-observations that the level above lends, from the spread of the bad shares of sites (n, bad) around that of their group above; MOST where no group has two sites to compare."""
+    groups = sites.where("n > 0").groupBy(above.alias("above")).agg(F.count("*").alias("k"), F.sum("n").cast("double").alias("n"), F.sum("bad").alias("bad"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.sum(F.col("bad").cast("double") * F.col("bad") / F.col("n")).alias("means"))
+    noise = F.col("bad") / F.col("n") * (1 - F.col("bad") / F.col("n"))
+    excess, room = groups.agg(F.sum(F.col("means") - F.col("bad") * F.col("bad") / F.col("n") - (F.col("k") - 1) * noise), F.sum((F.col("n") - F.col("squares") / F.col("n")) * noise)).first()
+    return min(MOST, max(LEAST, room / excess - 1)) if room and excess > 0 else MOST
 
-    The registered domain is the last two labels of the host, the suffix the last one. Mean at each level:
-    (bad + strength * mean of the level above) / (n + strength); at the top (bad + 1) / (n + 2). low = mean - z standard deviations of the beta posterior.
+
+def reputations(outcomes: DataFrame, z: float = Z) -> DataFrame:
+    """(host, domain, suffix, n, bad, mean, low) from rows (host, bad 0/1/null): every host's posterior bad share and its lower bound.
+
+    A row whose bad is null only names its host, which has n = 0 if it has no other. The registered domain is the last two labels of the host,
+    the suffix the last one. Mean at each level: (bad + strength * mean of the level above) / (n + strength); at the top (bad + 1) / (n + 2).
+    low = mean - z standard deviations of the posterior: the beta's variance, and that of the level above by the share that comes from there.
     """
     labels = F.split("host", r"\.")
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").cast("long").alias("bad"))
-    hosts = hosts.withColumns({"suffix": F.element_at(labels, -1), "domain": F.substring_index("host", ".", -2)})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n_d"), F.sum("bad").alias("bad_d"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("bad_d").alias("bad_s"))
-    whole = W.partitionBy(F.lit(0))  # over one row per suffix
-    shrunk = lambda bad, n, level, above: (F.col(bad) + strength[level] * F.col(above)) / (F.col(n) + strength[level])
-    suffixes = suffixes.withColumn("m_all", (F.sum("bad_s").over(whole) + 1.0) / (F.sum("n_s").over(whole) + 2.0)).withColumn("m_s", shrunk("bad_s", "n_s", "suffix", "m_all"))  # whole is one row
-    domains = domains.join(suffixes.select("suffix", "m_s"), "suffix").withColumn("m_d", shrunk("bad_d", "n_d", "domain", "m_s"))
-    out = hosts.join(domains.select("domain", "m_d"), "domain").withColumn("mean", shrunk("bad", "n", "host", "m_d"))
-    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strength["host"] + 1))
-    return out.withColumn("low", F.col("mean") - z * spread).select("host", "domain", "suffix", "n", "bad", "mean", "low")
-
-
-def judge_urls(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, strength: dict[str, float] = STRENGTH, limit: float = LIMIT, z: float = Z) -> DataFrame:
+    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    hosts = tables.written(hosts.withColumns({"suffix": F.element_at(labels, -1), "domain": F.substring_index("host", ".", -2)}), "hosts")
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    n, bad = (x or 0 for x in suffixes.agg(F.sum("n"), F.sum("bad")).first())
+    top = (bad + 1) / (n + 2)
+
+    def shrunk(sites: DataFrame, lent: float, above: Column, var_above: Column) -> DataFrame:
+        mean = (F.col("bad") + lent * above) / (F.col("n") + lent)
+        var = mean * (1 - mean) / (F.col("n") + lent + 1) + F.pow(lent / (F.col("n") + lent), 2) * var_above
+        return sites.withColumns({"mean": mean, "var": var})
+
+    upper = lambda df, key: df.select(key, F.col("mean").alias("m"), F.col("var").alias("v"))
+    suffixes = shrunk(suffixes, strength(suffixes, F.lit(0)), F.lit(top), F.lit(top * (1 - top) / (n + 3)))
+    domains = shrunk(domains.join(upper(suffixes, "suffix"), "suffix"), strength(domains, F.col("suffix")), F.col("m"), F.col("v")).drop("m", "v")
+    out = shrunk(hosts.join(upper(domains, "domain"), "domain"), strength(hosts, F.col("domain")), F.col("m"), F.col("v"))
+    return out.withColumn("low", F.col("mean") - z * F.sqrt("var")).select("host", "domain", "suffix", "n", "bad", "mean", "low")
+
+
+def judge_urls(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
     """A row per row of pages: (page_id, host, path, rule, verdict, bad_share, bad_share_low).
 
     outcomes has rows (page_id, bad), bad 1 for a page found bad, 0 for a good one; null outcomes and ids count for nothing. A host without
-    labelled pages has null shares and is allowed unless a rule says otherwise. Null urls and urls without :// have host and path empty:
+    labelled pages has the shares of its registered domain, else of its suffix, else of the whole. Null urls and urls without :// have host and path empty:
     no rule fits these, and they get no reputation. Repeated pages each get a row; each labelled row counts. Empty tables give empty or rule-only results.
     """
     split = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     known = outcomes.select("page_id", F.col("bad").cast("int").alias("bad")).where("page_id is not null and bad is not null")
-    known = split.where("host <> ''").select("page_id", "host").join(known, "page_id").select("host", "bad")
-    shares = reputations(known, strength, z).select("host", F.col("mean").alias("bad_share"), F.col("low").alias("bad_share_low"))
+    known = split.where("host <> ''").select("page_id", "host").join(known, "page_id", "left").select("host", "bad")
+    shares = reputations(known, z).select("host", F.col("mean").alias("bad_share"), F.col("low").alias("bad_share_low"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(action, F.when(F.col("bad_share_low") > limit, "block").otherwise("allow"))
     out = split.join(shares, "host", "left")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quireflow.llm import decontaminate, language_id, mixing, nearest, quality, queries, token_counts
+from quireflow.llm import decontaminate, language_id, mixing, nearest, quality, queries, token_counts, url_reputation
 
 DATA = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, source string, lang string, score double, item_id string"
@@ -147,3 +147,25 @@ def test_pipeline_stages_take_effect(spark):
         kept = new
     assert 0 < kept.count() < table.count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_hosts_without_labels_have_posteriors_of_what_is_above(spark):
+    r = random.Random(8)
+    urls = [(i, f"http://h{i % 5}.evil.com/") for i in range(100)] + [(i, f"http://h{i % 7}.d{i % 40}.org/") for i in range(100, 500)]
+    urls += [(900, "http://new.evil.com/"), (901, "http://new.unseen.org/"), (902, "http://a.b.unheard/"), (903, None), (None, "http://new.d1.org/")]
+    outcomes = spark.createDataFrame([(i, int(i < 100 or r.random() < 0.1)) for i in range(500)] + [(901, None), (None, 1)], "page_id long, bad int")
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = {x.page_id: x for x in url_reputation.judge_urls(pages, outcomes, rules=()).collect()}
+    assert len(got) == len(urls) and got[903].bad_share is None
+    assert got[900].verdict == "block" and {got[i].verdict for i in (901, 902, 903, None)} == {"allow"}
+    assert got[900].bad_share > 0.9 and got[901].bad_share < 0.2 < got[902].bad_share < 0.5 and got[None].bad_share < 0.3
+    one = url_reputation.judge_urls(pages, outcomes.where("page_id is null or page_id = 0 or page_id >= 100"), rules=()).where("page_id = 900").first()
+    assert one.verdict == "allow"  # a single bad page of its domain
+    assert url_reputation.judge_urls(pages, outcomes.where("page_id < 0"), rules=()).where("verdict = 'block'").count() == 0
+
+
+def test_strengths_fit_the_spread_between_sites(spark):
+    r = np.random.default_rng(6)
+    sites = lambda shares: spark.createDataFrame([(200, int(r.binomial(200, p))) for p in shares], "n long, bad long")
+    assert url_reputation.strength(sites(r.beta(3, 7, 300)), F.lit(0)) == pytest.approx(10, rel=0.3)
+    assert url_reputation.strength(sites([0.3] * 300), F.lit(0)) > 300
