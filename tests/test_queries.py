@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +33,35 @@ def test_contract(spark):
     assert __spark_entry__.entry(spark).columns
 
 
+@pytest.fixture
+def papers(spark, tmp_path):
+    texts = [" \tends in white space \n", "a  b\t\tc", "\u00a0wide\u3000", "One line\ngoes on\n\nNew. \nAfter a stop\n" + "x" * 60 + "\nend ", "\n \n", "", "x\x07y"]
+    rows = [(i, texts[i % len(texts)], "odd" if i % 4 == 1 else f"s{i % 4}", 10) for i in range(21)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    return f"file://{tmp_path}", rows
+
+
+def test_whole_tables(spark, papers):
+    """No row is left out: each against plain Python."""
+    place, rows = papers
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    got = lambda name: {tuple(r) for r in catalogue.QUERIES[name](spark, place).collect()}
+
+    def merged(text):
+        out, before = [], ""
+        for line in (x.strip() for x in text.split("\n")):
+            if not out or line == "" or len(line) >= 60 or before == "" or before[-1] in ".:?!;":
+                out.append(line)
+            else:
+                out[-1] += " " + line
+            before = line
+        return "\n".join(out)
+
+    assert got("whitespace_normalised") == {(i, md5(re.sub(r"[ \t]+", " ", re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", t)).strip())) for i, t, _, _ in rows}
+    assert got("line_merge") == {(i, md5(merged(t))) for i, t, _, _ in rows}
+    assert got("pending_ttl") == {("s0", True, 10), ("odd", True, 10), ("s2", False, 300), ("s3", False, 300)}
+
+
 @pytest.mark.parametrize(
     ("f", "value", "wanted"),
     [
