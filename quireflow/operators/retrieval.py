@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -101,15 +102,25 @@ def hashing_embedder(dim: int = 64, prefix: str = ""):
     return embed
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, *, k: int = 20, threshold: float | None = 0.45, fallback: bool = True, scope: str | None = None) -> DataFrame:
+def top_k(queries: DataFrame, chunks: DataFrame, *, k: int = 20, threshold: float | None = 0.45, fallback: bool = True, scope: str | None = None, others: bool = False, digits: int | None = None, block: int = 10_000) -> DataFrame:
     """The k most similar chunks of each query (query_id, vec) among chunks (chunk_id, vec), by cosine, ties to the smaller id.
 
     Only scores of at least threshold count; with fallback, a query that has none gets its best k all the same. Chunks of the same scope
-    (a project, say) are joined by it; without one, queries are few and go to all chunks. Top rows are cut before the shuffle.
+    (a project, say) are joined by it; without one, queries are sent to all chunks in blocks of about so many, each query in one of them.
+    With others, an entry does not answer itself; digits rounds scores before they are ranked. Top rows are cut before the shuffle.
     """
-    q = queries.select("query_id", F.col("vec").alias("q_vec"), *([scope] if scope else []))
-    pairs = chunks.join(q, scope) if scope else chunks.join(F.broadcast(q.limit(10_000)), F.lit(True))
-    scored = pairs.withColumn("score", cosine("q_vec", "vec"))
+    length = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    q = queries.select("query_id", F.col("vec").alias("q_vec"), length("vec").alias("__q"), *([scope] if scope else []))
+    c = chunks.withColumn("__c", length("vec"))
+    if scope:
+        pairs = c.join(q, scope)
+    else:
+        n = max(1, -(-q.count() // block))
+        parts = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [q]
+        pairs = reduce(DataFrame.unionByName, [c.join(F.broadcast(part), F.lit(True)) for part in parts])
+    pairs = pairs.where("query_id <> chunk_id") if others else pairs
+    score = F.try_divide(dot(F.col("q_vec"), F.col("vec")), F.col("__q") * F.col("__c"))
+    scored = pairs.withColumn("score", score if digits is None else F.round(score, digits)).drop("q_vec", "vec", "__q", "__c")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     if threshold is not None:
@@ -117,7 +128,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, *, k: int = 20, threshold: floa
         if fallback:
             kept = kept | (F.max("score").over(W.partitionBy("query_id")) < threshold)
         ranked = ranked.withColumn("__kept", kept).where("__kept").drop("__kept")
-    return ranked.drop("q_vec", "vec")
+    return ranked
 
 
 # --- sources, prompts, citations

@@ -21,19 +21,13 @@ SELECT query_id, chunk_id, source, rank FROM r WHERE rank <= 5 AND """
 
 
 def _retrieved(spark, d, fallback: bool, threshold: float | None = 0.38, k: int = 5):
-    """Vectors of the first ids ask, all chunks of documents answer; an entry does not answer itself."""
+    """Every vector whose id 20 divides asks, all chunks of documents answer; an entry does not answer itself."""
     vectors = table(spark, d, "embeddings")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
     chunks = vectors.join(docs, "vec_id").select(F.col("vec_id").alias("chunk_id"), "source", F.col("embedding").alias("vec"))
-    queries = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
-    scored = chunks.join(F.broadcast(queries), F.expr("query_id <> chunk_id")).withColumn("score", F.round(V.cosine(F.col("q_vec"), F.col("vec")), 9))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    ranked = scored.select("query_id", "chunk_id", "source", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    if threshold is not None:
-        kept = F.col("score") >= threshold
-        kept = kept | (F.max("score").over(W.partitionBy("query_id")) < threshold) if fallback else kept
-        ranked = ranked.withColumn("kept", kept).where("kept")
-    return ranked.select("query_id", "chunk_id", "source", "rank")
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    found = V.top_k(queries, chunks, k=k, threshold=threshold, fallback=fallback, others=True, digits=9)
+    return found.select("query_id", "chunk_id", "source", "rank")
 
 
 @ADD(_SCORED + "(score >= 0.38 OR best < 0.38)")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from quireflow.functions import html, lines, text
+from quireflow.operators import retrieval
 from quireflow.plans import catalogue
 
 
@@ -94,3 +96,27 @@ def test_page_metadata(spark):
     page = "<h1>A title of a paper</h1><p>Nguyen Van An, Tran Thi Binh</p><p>Tóm tắt: What it says. Từ khóa: one, two</p>"
     got = one(spark, page, lambda x: text.let(html.tags(x), html.metadata))
     assert (got.title, got.authors, got.abstract, got.keywords) == ("A title of a paper", "Nguyen Van An, Tran Thi Binh", "What it says", "one, two")
+
+
+def test_searches_ask_with_every_twentieth_vector(spark):
+    small = "/root/testdata/sf0.001"
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    ids = {r.doc_id for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()} & set(rows)
+    cos = lambda a, b: round(float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)), 9)
+    exact, above, either = set(), set(), set()
+    for q in (q for q in rows if q % 20 == 0):
+        best = sorted((-cos(rows[q], rows[c]), c) for c in ids - {q})[:5]
+        own = {(q, c, i) for i, (_, c) in enumerate(best, 1)}
+        over = {(q, c, i) for i, (s, c) in enumerate(best, 1) if -s >= 0.38}
+        exact, above, either = exact | own, above | over, either | (over or own)
+    for name, wanted in (("vec_topk_exact", exact), ("vec_topk_threshold", above), ("vec_topk_fallback", either)):
+        assert {(r.query_id, r.chunk_id, r["rank"]) for r in catalogue.QUERIES[name](spark, small).collect()} == wanted
+
+
+def test_top_k_answers_all_queries(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id long, vec array<double>")
+    many = spark.range(10_050).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("vec"))
+    got = retrieval.top_k(many, chunks, k=1)
+    assert got.count() == 10_050 and got.select("chunk_id").distinct().collect() == [(1,)]
+    few = retrieval.top_k(many.limit(40), chunks, k=2, threshold=None, block=7)
+    assert few.count() == 80 and few.select("query_id").distinct().count() == 40
