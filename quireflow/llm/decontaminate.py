@@ -3,7 +3,8 @@
 Two passes over the documents, neither of which shuffles text. The first counts how often every benchmark n-gram occurs in the corpus. The
 second finds n-grams in each document, opens the passage around them and aligns it with the item word by word. Every n-gram is a seed: an
 edited copy may have kept none but frequent ones. Passages without a rare n-gram are only aligned if they have enough of the item's words to
-reach the least score at all, which loses none.
+reach the least score at all, which loses none. Items of more than SEGMENT words are aligned segment by segment, so the work grows with their
+length and not with its square. Items too short for a seed are looked for as whole documents.
 
 The benchmark is the query set: it is dealt into blocks of a bounded number of words, and each block is sent to the executors and held
 against all documents. A larger benchmark means more blocks, never a larger broadcast.
@@ -24,24 +25,34 @@ from .words import MARKS, pieces, shingles, words
 #: Words of benchmark text sent to the executors at once (8 bytes each, and as much again for the n-grams).
 BLOCK_WORDS = 1_000_000
 MATCH, MISS = 2, 1
+#: Words of an item that are aligned in one piece; longer items are split evenly.
+SEGMENT = 2_000
 
 
 class Block:
-    """Some benchmark items as word hashes, with their n-grams sorted; rare marks those that are rare in the corpus."""
+    """Some benchmark items as word hashes, in segments, with the n-grams of these sorted; rare marks those that are rare in the corpus."""
 
     def __init__(self, texts: list[str], n: int):
         self.n = n
-        self.words, self.offsets, _, _ = words(pa.array(texts, pa.large_string()), MARKS)
+        self.words, bounds, _, _ = words(pa.array(texts, pa.large_string()), MARKS)
+        self.sizes = np.diff(bounds)
+        parts = np.maximum(1, -(-self.sizes // SEGMENT))
+        self.item = np.repeat(np.arange(len(texts)), parts)
+        number = np.arange(len(self.item)) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.offsets = np.append(bounds[:-1][self.item] + self.sizes[self.item] * number // parts[self.item], bounds[-1])
         grams, offsets = shingles(self.words, self.offsets, n)
         order = np.argsort(grams, kind="stable")
         self.grams = grams[order]
-        self.item = np.repeat(np.arange(len(texts)), np.diff(offsets))[order]
+        self.segment = np.repeat(np.arange(len(self.item)), np.diff(offsets))[order]
         self.place = (np.arange(len(grams)) - np.repeat(offsets[:-1], np.diff(offsets)))[order]
         self.unique, self.first = np.unique(self.grams, return_index=True)
         self.first = np.append(self.first, len(self.grams))
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.unique >> np.uint64(42)).astype(np.int64)] = True
         self.rare = np.ones(len(self.grams), bool)
+        self.short: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero((self.sizes > 0) & (self.sizes < n)).tolist():
+            self.short.setdefault(self.words[bounds[i] : bounds[i + 1]].tobytes(), []).append(i)
 
     def found(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in grams, index in unique) of those that the block has."""
@@ -87,9 +98,10 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def passages(block: Block, hashes: np.ndarray, offsets: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, item, first and last word of the passage within the document, seeds in it) around seeds on about one diagonal.
+    """(document, segment, first and last word of the passage within the document, seeds in it) around seeds on about one diagonal.
 
-    An alignment scores at most the share of the item's words that the passage has; passages without rare seeds where this is under least are left out.
+    An alignment scores at most the share of the item's words that the passage has; passages without rare seeds where this is under least are left
+    out. A segment of a longer item says nothing of the whole, so none of these is.
     """
     grams, gram_offsets = shingles(hashes, offsets, block.n)
     at, k = block.found(grams)
@@ -97,34 +109,57 @@ def passages(block: Block, hashes: np.ndarray, offsets: np.ndarray, least: float
     entry = np.repeat(block.first[k] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     at = np.repeat(at, counts)
     doc = np.searchsorted(gram_offsets, at, "right") - 1
-    item, diagonal = block.item[entry], at - gram_offsets[doc] - block.place[entry]
-    order = np.lexsort((diagonal, item, doc))
-    doc, item, diagonal, rare = doc[order], item[order], diagonal[order], block.rare[entry[order]]
-    size = np.diff(block.offsets)[item]
+    segment, diagonal = block.segment[entry], at - gram_offsets[doc] - block.place[entry]
+    order = np.lexsort((diagonal, segment, doc))
+    doc, segment, diagonal, rare = doc[order], segment[order], diagonal[order], block.rare[entry[order]]
+    size = np.diff(block.offsets)[segment]
     apart = np.ones(len(doc), bool)
-    apart[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 4 + 2)
+    apart[1:] = (doc[1:] != doc[:-1]) | (segment[1:] != segment[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 4 + 2)
     starts = np.flatnonzero(apart)
     sure = np.logical_or.reduceat(rare, starts) if len(starts) else starts
     for a, b, some in zip(starts, np.append(starts, len(doc))[1:], sure, strict=True):
         slack = int(size[a]) // 3 + 4
         low, high = max(0, int(diagonal[a]) - slack), int(diagonal[b - 1] + size[a]) + slack
-        if not some:
-            own = block.words[block.offsets[item[a]] : block.offsets[item[a] + 1]]
+        if not some and size[a] == block.sizes[block.item[segment[a]]]:
+            own = block.words[block.offsets[segment[a]] : block.offsets[segment[a] + 1]]
             if np.isin(own, hashes[offsets[doc[a]] : offsets[doc[a] + 1]][low:high]).sum() / len(own) < least:
                 continue
-        yield int(doc[a]), int(item[a]), low, high, int(b - a)
+        yield int(doc[a]), int(segment[a]), low, high, int(b - a)
+
+
+def matches(block: Block, hashes: np.ndarray, offsets: np.ndarray, least: float) -> list[tuple[int, int, float, int, int, int]]:
+    """(document, item, score, seeds, first and last word of the passage) of all that reach the least score, by document and item."""
+    found = list(passages(block, hashes, offsets, least))
+    scores = align([(block.words[block.offsets[g] : block.offsets[g + 1]], hashes[offsets[d] : offsets[d + 1]][f:t]) for d, g, f, t, _ in found])
+    best: dict = {}
+    for (d, g, f, t, seeds), score in zip(found, scores, strict=True):
+        if (-score, f) < best.get((d, g), (1, 0))[:2]:
+            best[d, g] = (-score, f, min(t, int(offsets[d + 1] - offsets[d])), seeds)
+    whole: dict = {}
+    for (d, g), (score, f, t, seeds) in sorted(best.items()):
+        i = int(block.item[g])
+        share = -score * int(block.offsets[g + 1] - block.offsets[g]) / int(block.sizes[i])
+        s, n, low, high = whole.get((d, i), (0.0, 0, f, t))
+        whole[d, i] = (s + share, n + seeds, min(low, f), max(high, t))
+    if block.short:
+        few = np.diff(offsets)
+        for d in np.flatnonzero((few > 0) & (few < block.n)).tolist():
+            for i in block.short.get(hashes[offsets[d] : offsets[d + 1]].tobytes(), ()):
+                whole[d, i] = (1.0, 0, 0, int(few[d]))
+    return [(d, i, round(s, 6), n, f, t) for (d, i), (s, n, f, t) in sorted(whole.items()) if s >= least]
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", seed_words: int = 4, rare_share: float = 1e-3, min_score: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row per document and benchmark item with an aligned passage: (doc_id, item_id, score, seeds, passage_from, passage_to).
 
     score is the best local alignment's share of the item's own score (1: the whole item stands there word for word); rows under min_score
-    are left out. Words are maximal runs other than ASCII white space and punctuation, A-Z as a-z. seeds counts the n-grams that led to the
-    passage; passage_from and passage_to are its bounds in words. Several passages of an item in a document give the best one.
+    are left out. Of an item of more than SEGMENT words, it is the sum over its segments. Words are maximal runs other than ASCII white space and
+    punctuation, A-Z as a-z. seeds counts the n-grams that led to the passage; passage_from and passage_to are its bounds in words. Several
+    passages of an item in a document give the best one, of equally good ones the first.
 
-    Null and empty texts match nothing, and items of fewer than seed_words words have no seed and match nothing; nor does a passage that has
-    not kept seed_words words of the item in a row, as one with every fourth word changed, though it may score 0.6. Repeated documents or
-    items each get their rows; null ids stay null. Empty tables give no rows. Other columns are ignored, whatever their names.
+    Null and empty texts match nothing. Items of fewer than seed_words words match documents that consist of them alone, with score 1 and no seed. A
+    passage that has not kept seed_words words of the item in a row matches nothing, as one with every fourth word changed, though it may score 0.6.
+    Repeated documents or items each get their rows; null ids stay null. Empty tables give no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, score double, seeds int, passage_from int, passage_to int"
@@ -162,16 +197,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
             for batch in batches:
                 for low, high in pieces(batch.column("text")):
                     hashes, offsets, _, _ = words(batch.column("text").slice(low, high - low), MARKS)
-                    found = list(passages(block, hashes, offsets, min_score))
-                    pairs = [(block.words[block.offsets[i] : block.offsets[i + 1]], hashes[offsets[d] : offsets[d + 1]][f:t]) for d, i, f, t, _ in found]
-                    best: dict = {}
-                    for (d, i, f, t, seeds), score in zip(found, align(pairs), strict=True):
-                        if score >= min_score and (-score, f) < best.get((d, i), (0, 0))[:2]:
-                            best[d, i] = (-score, f, min(t, int(offsets[d + 1] - offsets[d])), seeds)
-                    if best:
-                        keys = list(best)
-                        rows = list(best.values())
-                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([low + d for d, _ in keys])), pa.array([ids[i] for _, i in keys], ITEM), pa.array([round(-x[0], 6) for x in rows]), pa.array([x[3] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.int32())], names=["doc_id", "item_id", "score", "seeds", "passage_from", "passage_to"])
+                    found = matches(block, hashes, offsets, min_score)
+                    if found:
+                        d, i, score, seeds, first, last = zip(*found, strict=True)
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([low + x for x in d])), pa.array([ids[x] for x in i], ITEM), pa.array(score), *(pa.array(x, pa.int32()) for x in (seeds, first, last))], names=["doc_id", "item_id", "score", "seeds", "passage_from", "passage_to"])
 
         from pyspark.sql.pandas.types import to_arrow_type
 
