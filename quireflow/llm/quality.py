@@ -1,8 +1,9 @@
 """Quality classifier: evidence of a document's own text, and hierarchical empirical-Bayes posteriors of its host and path.
 
-A logistic regression on a few measures of the text gives each document a probability. Sums of these per path, host and in all give
-beta posteriors, in which a path is shrunk toward its host and a host toward the whole, by strengths that fit the spread between sites
-(method of moments). The path's posterior odds, relative to the whole's, multiply the document's own.
+A logistic regression on a few measures of the text gives each document a probability of being good. What is known of a site's documents, their
+labels or else these probabilities, is summed per path, host and in all; beta posteriors shrink a path toward its host and a host toward the whole, by
+strengths that fit the spread between sites (method of moments). A document is left out of the sums that it is judged by, so its own evidence counts
+once: the odds of its path, relative to the whole's, multiply its own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .words import buffers, pieces, words
 
 #: About as many labelled rows are fetched at most to fit the regression, chosen by a hash of the id.
 MOST_TRAINING_ROWS = 50_000
+#: Labels and sites (some 20 and 60 bytes each) that may be broadcast; more are joined by shuffle.
+BROADCAST_LABELS, BROADCAST_SITES = 500_000, 200_000
 MEASURES = ("log_words", "distinct", "repeated", "word_bytes", "symbols", "digits", "capitals", "lines", "top_word", "bare_marks")
 _KIND = np.zeros(256, np.int64)
 _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
@@ -105,30 +108,36 @@ def strength(sums: DataFrame, mean: float) -> float:
     return float(min(10_000.0, max(1.0, noise / spread - 1))) if spread > 0 else 10_000.0
 
 
-def site_posteriors(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, float]:
-    """((host, path, host_posterior, path_posterior), mean of the whole) from rows with own probability p, by partial aggregation."""
-    paths = tables.written(scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+def site_sums(known: DataFrame) -> tuple[DataFrame, float, float, float, float]:
+    """((host, path, n, s of the path, host_n, host_s), n and s of the whole, strengths of host and path) from rows (host, path, y), by partial aggregation."""
+    paths = tables.written(known.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
     n, s = paths.agg(F.sum("n"), F.sum("s")).first()
+    n, s = float(n or 0), float(s or 0)
     mean = min(1 - 1e-6, max(1e-6, s / n)) if n else 0.5
-    of_host, of_path = strength(hosts, mean), strength(paths, mean)
-    hosts = hosts.select("host", ((F.col("s") + of_host * mean) / (F.col("n") + of_host)).alias("host_posterior"))
-    out = paths.alias("x").join(hosts.alias("y"), F.col("x.host").eqNullSafe(F.col("y.host")))
-    return out.select("x.host", "path", "host_posterior", ((F.col("s") + of_path * F.col("host_posterior")) / (F.col("n") + of_path)).alias("path_posterior")), mean
+    of_host, of_path = strength(hosts.select(F.col("host_n").alias("n"), F.col("host_s").alias("s")), mean), strength(paths, mean)
+    out = paths.alias("x").join(hosts.alias("y"), F.col("x.host").eqNullSafe(F.col("y.host"))).select("x.host", "path", "n", "s", "host_n", "host_s")
+    return out, n, s, of_host, of_path
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_id: str = "doc_id", label_col: str = "quality", keep: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
     """A row per document: (doc_id, *keep, own_score, host_posterior, path_posterior, score, good).
 
-    label_col is 1 for good documents, 0 for others; null labels and unlabelled documents are not learnt from. Without two classes of labels
-    every document keeps the same own score, the share of good labels (0.5 without labels). Null hosts and paths are sites of their own. Null, empty and blank
-    texts measure as 0 throughout. Repeated documents count and are returned each; of repeated labels all are learnt from. An empty table gives an empty result. score >= threshold is good.
+    label_col is 1 for good documents, 0 for others; null labels and unlabelled documents are not learnt from; of repeated labels of a document
+    all are learnt from, and their mean is what its site knows of it. Without two classes of labels every document has the same own score, the share
+    of good labels (0.5 without labels). Posteriors are those of the document's site without the document. Null hosts and paths are sites of
+    their own. Null, empty and blank texts measure as 0 throughout. Repeated documents count and are returned each. An empty table gives an empty
+    result. score >= threshold is good. Extra columns are ignored, whatever their names.
+
+    Whole texts are measured once; the measures, with the columns to keep, are a table in the shared folder.
     """
-    chosen = docs.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), F.col(path_col).alias("__path"), F.col(text_col).alias("__text"), *[F.col(c) for c in keep])
-    narrow = measured(chosen.select("__id", "__host", "__path", "__text"), "__text").drop("__text")
-    narrow = tables.written(narrow, "measures")
-    known = labels.select(F.col(label_id).alias("__id"), F.col(label_col).cast("int").alias("good")).where("good is not null")
-    train = narrow.join(known, "__id").select("__id", "__m", "good")
+    text = f"__k{keep.index(text_col)}" if text_col in keep else "__text"
+    own = [F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), F.col(path_col).alias("__path"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]]
+    chosen = docs.select(*own, *([] if text_col in keep else [F.col(text_col).alias("__text")]))
+    measured_ = measured(chosen, text)
+    measured_ = tables.written(measured_ if text_col in keep else measured_.drop("__text"), "measures")
+    known = labels.select(F.col(label_id).alias("__id"), F.col(label_col).cast("int").alias("good")).where("__id is not null and good is not null")
+    train = measured_.join(known, "__id").select("__id", "__m", "good")
     part = min(1.0, MOST_TRAINING_ROWS / max(1, known.count()))
     sample = train.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < math.ceil(part * (1 << 20))).orderBy("__id", "good", "__m").limit(2 * MOST_TRAINING_ROWS).toArrow()
     good = sample.column("good").to_numpy().astype(float)
@@ -137,14 +146,20 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     else:
         base = good.mean() if len(good) else 0.5
         model = (np.zeros(len(MEASURES)), np.ones(len(MEASURES)), np.array([math.log(max(base, 1e-6) / max(1 - base, 1e-6)), *[0.0] * len(MEASURES)]))
-    sites, mean = site_posteriors(narrow.select("__host", "__path", probability(model).alias("p")), "__host", "__path")
-    sites = tables.small_or_not(tables.written(sites, "sites"), 200_000)
-    scored = measured(chosen, "__text").withColumn("own_score", probability(model))
+    told = tables.small_or_not(tables.written(known.groupBy("__id").agg(F.avg("good").alias("__label")), "labels"), BROADCAST_LABELS)
+    scored = measured_.join(told, "__id", "left").withColumn("own_score", probability(model)).withColumn("__y", F.coalesce("__label", "own_score"))
+    sites, n, s, of_host, of_path = site_sums(scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__y").alias("y")))
+    sites = tables.small_or_not(tables.written(sites, "sites"), BROADCAST_SITES)
     same = F.col("__host").eqNullSafe(F.col("host")) & F.col("__path").eqNullSafe(F.col("path"))
+    y, one = F.col("__y"), F.lit(1.0)
+    mean = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), (F.lit(s) - y) / (n - 1))) if n > 1 else F.lit(0.5)
+    host = (F.col("host_s") - y + of_host * mean) / (F.col("host_n") - one + of_host)
+    path = (F.col("s") - y + of_path * F.col("host_posterior")) / (F.col("n") - one + of_path)
     odds = lambda p: F.log(F.greatest(F.lit(1e-9), p) / F.greatest(F.lit(1e-9), 1 - p))
-    total = odds(F.col("own_score")) + odds(F.col("path_posterior")) - math.log(mean / (1 - mean))
-    out = scored.join(sites, same, "left").withColumn("score", F.round(1 / (1 + F.exp(-total)), 6))
-    return out.select(F.col("__id").alias(id_col), *keep, F.round("own_score", 6).alias("own_score"), F.round("host_posterior", 6).alias("host_posterior"), F.round("path_posterior", 6).alias("path_posterior"), "score", (F.col("score") >= threshold).alias("good"))
+    total = odds(F.col("own_score")) + odds(F.col("path_posterior")) - odds(mean)
+    out = scored.join(sites, same, "left").withColumn("host_posterior", host).withColumn("path_posterior", path).withColumn("score", F.round(1 / (1 + F.exp(-total)), 6))
+    kept = [F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)]
+    return out.select(F.col("__id").alias(id_col), *kept, *[F.round(c, 6).alias(c) for c in ("own_score", "host_posterior", "path_posterior")], "score", (F.col("score") >= threshold).alias("good"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
