@@ -39,16 +39,16 @@ def one_line(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in value)
 
 
-def record(kind: str, record_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(kind: str, record_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """A WARC/1.1 record; a revisit has no block, its payload's digest and size stand in the header."""
     block = b"" if kind == "revisit" else payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if url is not None:
         head.append(f"WARC-Target-URI: {one_line(url)}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -125,12 +125,13 @@ class Bundler:
         self.out, self.frames, self.at, self.number = None, [], 0, self.number + 1
 
 
-def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes a record per row into bundles under folder, a URI that all executors share, and returns the manifest as a written table.
 
     Of equal payloads of LEAST_REVISIT bytes or more, the rows with the smallest id are responses and others revisit it. Null payloads
     count as empty. Rows with a null id are responses of their own and nothing refers to them. Repeated rows each get a record; those that share the smallest id are all
-    responses. Null urls are left out of the record. A record's id is made of the page's, so repeated rows share it. An empty table writes no bundle.
+    responses. Null urls are left out of the record. A record's id is
+    made of the page's and its place in the task, so no two share it; a revisit names the page that it refers to. date is that of every record. An empty table writes no bundle.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
@@ -159,9 +160,9 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
             for i in range(batch.num_rows):
                 page, url, payload, digest, refers = (c[i].as_py() for c in batch.columns)
                 kind = "response" if refers is None else "revisit"
-                record_id = f"urn:record:{task}-{serial}" if page is None else f"urn:page:{page}"
+                record_id = uuid.uuid5(uuid.NAMESPACE_URL, f"{page}/{digest.hex()}/{task}/{serial}").urn
                 serial += 1
-                out.add(page, kind, record_id, record(kind, record_id, page, url, payload, digest.hex(), refers))
+                out.add(page, kind, record_id, record(kind, record_id, page, url, payload, digest.hex(), refers, date))
             yield told()
         out.end_bundle()
         yield told()
@@ -196,7 +197,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                             if not revisit and hashlib.sha256(block).hexdigest() != told:
                                 raise ValueError(f"{path}: digest differs in {head['warc-record-id']}")
                             page = head.get("x-page-id")
-                            rows.append((page and int(page), int(head["x-payload-length"]) if revisit else len(block), told, head["warc-type"], int(head["warc-refers-to"][10:-1]) if revisit else None, head.get("warc-target-uri"), None if revisit else block))
+                            rows.append((page and int(page), int(head["x-payload-length"]) if revisit else len(block), told, head["warc-type"], int(head["x-refers-to-page"]) if revisit else None, head.get("warc-target-uri"), None if revisit else block))
                         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
 
