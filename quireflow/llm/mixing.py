@@ -43,15 +43,16 @@ def _unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """A row per document: (doc_id, source, size, source_size, target, copies, taken).
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per document: (doc_id, source, size, source_size, target, copies, taken, *keep).
 
-    size counts the words of the whole text (null: 0), copies says how often the mix holds the document (0 too), taken = copies * size.
+    size counts the words of the whole text (null: 0), copies says how often the mix holds the document (0 too), taken = copies * size. A source's
+    taken words differ from its target by no more than about the size of its largest document.
     Documents with a null source are a source of their own; those with a null id take part. A source without words has target 0 and is not
     taken. Repeated rows count one by one; equal sizes and ids are in no fixed order, which changes nothing that is returned but which of equal rows is taken.
     Reruns agree: offsets and cells are hashes of source, id and seed. An empty table gives an empty result; extra columns are ignored.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
     bits = F.length(F.bin("size"))
     band = F.when(F.col("size") < 16, F.col("size")).otherwise(bits * 8 + F.floor(F.col("size") / F.pow(F.lit(2.0), bits - 4)) % 8).cast("int")
     part = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))), 1, 2)
@@ -64,10 +65,26 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ranked = sized.withColumn("rank", F.row_number().over(W.partitionBy("source", "band", "part").orderBy("size", "doc_id")))
     same = F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.band") == F.col("c.band")) & (F.col("d.part") == F.col("c.part"))
-    out = ranked.alias("d").join(cells.alias("c"), same).select("doc_id", "d.source", "size", "source_size", "target", (F.col("before") + F.col("rank")).alias("place"))
+    out = ranked.alias("d").join(cells.alias("c"), same).select("doc_id", "d.source", "size", "source_size", "target", (F.col("before") + F.col("rank")).alias("place"), *[f"__k{i}" for i in range(len(keep))])
     offset = _unit(F.concat(F.lit(seed), F.lit("/"), F.coalesce(F.col("source"), F.lit(""))))
     copies = (F.floor(F.col("place") * each + offset) - F.floor((F.col("place") - 1) * each + offset)).cast("long")
-    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copy_col: str = "copy", **how) -> DataFrame:
+    """The mix itself: every row of docs as often as mix() takes it, with all its columns and the number of the copy, from 1, in copy_col.
+
+    Rows that are the same in every column count one by one in mix(), and are given out together. All columns must be of types that Spark can hash. Null
+    and empty texts have size 0: they cost the mix nothing and are taken as mix() says. An empty table gives an empty result.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns({"__h1": F.xxhash64(*columns), "__h2": F.xxhash64(F.lit(1), *columns)})
+    rows = mix(keyed, id_col=id_col, text_col=text_col, source_col=source_col, keep=("__h1", "__h2"), **how)
+    taken = tables.written(rows.groupBy("__h1", "__h2").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0"), "taken")
+    once = keyed.join(taken.where("__rows = 1"), ["__h1", "__h2"])
+    if not taken.where("__rows > 1").isEmpty():
+        once = once.unionByName(keyed.join(taken.where("__rows > 1"), ["__h1", "__h2"]).dropDuplicates(["__h1", "__h2"]))
+    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias(copy_col))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
