@@ -1,17 +1,20 @@
 """N-gram Jaccard self-join of documents through a token-group matrix.
 
 A document's set is its distinct word shingles. All sets of a size class are cut by hash into the same number of blocks, more than two
-linked sets can differ in; a token of a document is the hash of one whole block, so two linked documents share a token, and two that merely
-share frequent shingles hardly ever do.
+linked sets can differ in; a token of a document is the hash of one whole block that is not empty, so two linked documents share a token, and two that
+merely share frequent shingles hardly ever do.
 
 1. Tokens. Documents that share a token with others stay in play, all others are done.
 2. Families. Of the documents of one token, those may be linked whose sizes and bitmaps leave room for it: in a bitmap every shingle flips
    a bit, so two differ in no more bits than their sets in shingles. What hangs together by such pairs is a family of similar documents.
-3. Groups. Families are dealt into groups of bounded size, each packed with all its shingles.
-4. Matrix. A document's overlap with the union of a group's shingles bounds its overlap with any member; only groups that this leaves
-   open are compared member by member, as products of 0/1 matrices inside one task. They return links enough to connect components, not all pairs.
-
-Within a batch, the documents of one token are sent on as one row, so a token that a third of all documents has is a row per batch.
+3. Groups. Families are dealt into groups of bounded size, each packed with all its shingles, and with the union of these.
+4. Matrix. Two groups whose unions have too little in common for any link stay closed, and their members do not move. Of open ones, a document's
+   overlap with the other's union bounds its overlap with any member; what this leaves is compared member by member, as products of
+   0/1 matrices inside one task. They return links enough to connect components, not all pairs.
+
+One document of each component of a group is linked with those of other groups first, in rounds. Groups that are by then one and the same component
+are not compared, so a family of near copies costs work in proportion to its size. Within a batch, the documents of one token are sent on as one row, so a
+token that a third of all documents has is a row per batch; where it is too many rows for a task, it is split.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from .words import mix, pieces, shingles, words
 
 #: Ids (8 bytes each) that may be broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Blocks beyond those that linked sets can spoil, so that one of the equal blocks is not empty.
-SPARE = 1
+#: Times that a set with too many empty blocks is cut anew before it lists its shingles one by one.
+ROUNDS = 24
 #: Documents and shingles of a group, columns of a dense slice, and documents that are held against a group at a time.
 GROUP, GROUP_GRAMS, SLICE, ROWS = 256, 500_000, 8_192, 64
 #: Rows that a task holds while it lists tokens, and while it compares those of one token (more only where one token has more).
@@ -38,15 +41,28 @@ LISTED, ROWS_AT_ONCE = 2_500, 25_000
 KEYS = ("doc_id", "family", "band", "part")
 
 
-def classes(longest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest size of each class, its number of blocks): sets of one class link into it and its neighbours only."""
+def classes(longest: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(smallest size of each class, blocks that may be empty, number of blocks): sets of one class link into it and its neighbours only.
+
+    There are one more blocks than linked sets can spoil and those that may be empty; of these there are as many as the smallest sets that
+    list them have but for chance, or as many as can be spoilt if that is less.
+    """
     low, first = 1, []
     while low <= longest + 1:
         first.append(low)
         low = max(low + 1, -(-low * 100 // percent))
     first.append(low)
-    largest = np.array(first[1:], np.int64) - 1
-    return np.array(first[:-1], np.int64), 2 * largest * (100 - percent) // (100 + percent) + 1 + SPARE
+    low, largest = np.array(first[:-1], np.int64), np.array(first[1:], np.int64) - 1
+    spoilt = 2 * largest * (100 - percent) // (100 + percent)
+    smallest = np.maximum(1, low * percent // 100)
+    spare = np.ones(len(low), np.int64)
+    while True:
+        blocks = spoilt + 1 + spare
+        holes = blocks * np.exp(-smallest / blocks)
+        short = (holes + 2 * np.sqrt(holes) > spare) & (spare < spoilt)
+        if not short.any():
+            return low, spare, blocks
+        spare = np.where(short, spare + 1 + spare // 16, spare)
 
 
 def sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,30 +88,41 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def tokens(grams: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(token, document) of all documents; those too small to differ from a linked set have none."""
+    """(token, document) of all documents; those too small to differ from a linked set have none.
+
+    Of the equal blocks of two linked sets there is one more than may be empty, so one is not, if one of the two has no more empty blocks than
+    that. A set that has more is cut anew by another hash, in each round in which it fails, and lists its blocks of all these rounds; in the first round in which
+    one of two linked sets succeeds both have listed theirs. Sets that fail in all ROUNDS list every shingle.
+    """
     sizes = np.diff(offsets)
-    low, blocks = classes(int(sizes.max(initial=1)) * 100 // percent + 1, percent)  # the class above the largest set's too
+    low, spare, blocks = classes(int(sizes.max(initial=1)) * 100 // percent + 1, percent)  # the class above the largest set's too
     own = np.searchsorted(low, sizes, "right") - 1
-    spread = mix(grams ^ np.uint64(0x5DEECE66D))
-    out, of = [], []
+    out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for up in (0, 1):
         c = np.minimum(own + up, len(low) - 1)
-        takes = (sizes > 0) & (own + up < len(low)) & (100 * sizes >= percent * low[c]) & (blocks[c] > 1 + SPARE)
-        m = np.where(takes, blocks[c], 0)
-        first = np.concatenate([[0], np.cumsum(m)])
-        doc = np.repeat(np.arange(len(sizes)), np.where(takes, sizes, 0))
-        used = np.repeat(takes, sizes)
-        at = first[doc] + ((grams[used] >> np.uint64(20)) % m[doc].astype(np.uint64)).astype(np.int64)
-        sums = np.zeros(first[-1], np.uint64)
-        np.add.at(sums, at, spread[used])
-        filled = np.zeros(first[-1], bool)
-        filled[at] = True
-        holder = np.repeat(np.arange(len(sizes)), m)
-        holes = np.bincount(holder[~filled], minlength=len(sizes))
-        kept = filled | (holes[holder] > SPARE)
-        block = np.arange(first[-1]) - first[holder]
-        out.append(mix(sums + mix((c[holder] << 32 | block).astype(np.uint64)))[kept])
-        of.append(holder[kept])
+        left = (sizes > 0) & (own + up < len(low)) & (100 * sizes >= percent * low[c]) & (blocks[c] > 1 + spare[c])
+        for round_ in range(ROUNDS + 1):
+            if not left.any():
+                break
+            used = np.repeat(left, sizes)
+            doc, own_grams = np.repeat(np.arange(len(sizes)), np.where(left, sizes, 0)), grams[used]
+            if round_ == ROUNDS:
+                out.append(mix(own_grams + mix((c[doc] + 1).astype(np.uint64))))
+                of.append(doc)
+                break
+            m = np.where(left, blocks[c], 0)
+            first = np.concatenate([[0], np.cumsum(m)])
+            spread = mix(own_grams ^ np.uint64(0x5DEECE66D + round_))
+            at = first[doc] + ((spread >> np.uint64(20)) % m[doc].astype(np.uint64)).astype(np.int64)
+            sums = np.zeros(first[-1], np.uint64)
+            np.add.at(sums, at, mix(spread))
+            filled = np.zeros(first[-1], bool)
+            filled[at] = True
+            holder = np.repeat(np.arange(len(sizes)), m)
+            block = np.arange(first[-1]) - first[holder]
+            out.append(mix(sums + mix((c[holder] << 40 | round_ << 32 | block).astype(np.uint64)))[filled])
+            of.append(holder[filled])
+            left &= np.bincount(holder[~filled], minlength=len(sizes)) > spare[c]
     return np.concatenate(out), np.concatenate(of)
 
 
@@ -160,64 +187,69 @@ def _listed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(listed, "token long, doc_id long, more array<long>")
 
 
-def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, document) joined within runs of one token, where sizes and bitmaps leave room for a link: enough pairs to connect all such."""
+def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list[bytes], percent: int, steps: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, document, leader) within runs of one token: enough pairs to connect all that sizes and bitmaps leave possible, and the places of leaders.
+
+    In a long run, leaders are taken in turn, each with all that are close to it and have none yet. If members of two leaders are close, the leaders are
+    within three times the distance, so such leaders are joined; this may join more than is close, never less. steps says how many
+    distances two may lie apart.
+    """
     wide = np.array([len(x) // 8 for x in sketch], np.int64)
     tables_: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def bitmaps(w: int) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each row that has w words or twice as many, and their bitmaps of w words."""
+        """Place of each row that has w words or more, and their bitmaps folded to w words."""
         if w not in tables_:
-            rows = np.flatnonzero((wide == w) | (wide == 2 * w))
+            rows = np.flatnonzero(wide >= w)
             out = np.zeros((len(rows), w), np.uint64)
-            for k, size_ in ((w, w), (2 * w, 2 * w)):
-                own = np.flatnonzero(wide[rows] == size_)
-                if len(own):
-                    x = np.frombuffer(b"".join(sketch[r] for r in rows[own]), np.uint64).reshape(len(own), k)
-                    out[own] = x if k == w else x[:, :w] ^ x[:, w:]
+            for k in np.unique(wide[rows]).tolist():
+                own = np.flatnonzero(wide[rows] == k)
+                x = np.frombuffer(b"".join(sketch[r] for r in rows[own]), np.uint64).reshape(len(own), k // w, w)
+                out[own] = np.bitwise_xor.reduce(x, axis=1)
             place = np.full(len(wide), -1)
             place[rows] = np.arange(len(rows))
             tables_[w] = place, out
         return tables_[w]
 
-    label = np.arange(len(doc))
-
-    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = (doc[i] != doc[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-        i, j = i[keep], j[keep]
+    def near(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+        fits = (doc[i] != doc[j]) & (100**n * np.minimum(size[i], size[j]) >= percent**n * np.maximum(size[i], size[j]))
         low = np.minimum(wide[i], wide[j])
-        fits = np.zeros(len(i), bool)
-        for w in np.unique(low):
+        for w in np.unique(low[fits]):
             place, bits = bitmaps(int(w))
-            for at in np.array_split(np.flatnonzero(low == w), 1 + int((low == w).sum() * w >> 18)):
+            chosen = np.flatnonzero(fits & (low == w))
+            for at in np.array_split(chosen, 1 + (len(chosen) * int(w) >> 18)):
                 apart = np.bitwise_count(bits[place[i[at]]] ^ bits[place[j[at]]]).sum(axis=1, dtype=np.int64)
-                fits[at] = apart * (100 + percent) <= (size[i[at]] + size[j[at]]) * (100 - percent)
-        return i[fits], j[fits]
+                fits[at] = apart * (100 + percent) <= n * (size[i[at]] + size[j[at]]) * (100 - percent)
+        return fits
 
     starts = np.flatnonzero(np.diff(run, prepend=run[:1] ^ 1))
     counts = np.diff(np.append(starts, len(run)))
-    left, right = [], []
+    left, right, leaders = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+        fits = near(i, j, n)
+        left.append(i[fits])
+        right.append(j[fits])
+        return fits
+
     small = np.repeat(counts <= 64, counts)
     end = np.repeat(starts + counts, counts)
     for step in range(1, int(counts[counts <= 64].max(initial=1))):
         i = np.flatnonzero(small & (np.arange(len(run)) + step < end))
-        a, b = near(i, i + step)
-        left.append(a)
-        right.append(b)
+        add(i, i + step, steps)
+    leaders.append(np.flatnonzero(small))
     for s, n in zip(starts[counts > 64].tolist(), counts[counts > 64].tolist(), strict=True):
-        # Long runs: block against block, and nothing within what is joined already.
-        for x in range(s, s + n, 512):
-            for y in range(x, s + n, 512):
-                i, j = (v.ravel() for v in np.meshgrid(np.arange(x, min(x + 512, s + n)), np.arange(y, min(y + 512, s + n)), indexing="ij"))
-                apart = (i < j) & (label[i] != label[j])
-                a, b = near(i[apart], j[apart])
-                left.append(a)
-                right.append(b)
-                for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                    if label[p] != label[q]:
-                        label[s : s + n][label[s : s + n] == max(label[p], label[q])] = min(label[p], label[q])
-    if not left:
-        return doc[:0], doc[:0]
+        free, chosen = np.arange(s, s + n), []
+        while len(free):
+            chosen.append(free[0])
+            same = doc[free[1:]] == doc[free[0]]
+            free = free[1:][~(add(np.full(len(free) - 1, free[0]), free[1:], steps) | same)]
+        chosen = np.array(chosen)
+        leaders.append(chosen)
+        for x in range(0, len(chosen), 512):
+            for y in range(x, len(chosen), 512):
+                i, j = (v.ravel() for v in np.meshgrid(chosen[x : x + 512], chosen[y : y + 512], indexing="ij"))
+                add(i[i < j], j[i < j], 3 * steps)
     i, j = np.concatenate(left), np.concatenate(right)
     _, node = np.unique(doc, return_inverse=True)
     root, ids = np.arange(node.max(initial=-1) + 1), np.zeros(node.max(initial=-1) + 1, np.int64)
@@ -232,36 +264,57 @@ def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list
         if (root == before).all():
             break
     told = np.flatnonzero(root != np.arange(len(root)))
-    return ids[root[told]], ids[told]
+    return ids[root[told]], ids[told], np.sort(np.concatenate(leaders))
 
 
 def _families(shared: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of what may be linked: documents of one token that size and bitmap leave possible."""
-    rows = shared.join(sized.select("doc_id", F.col("n_shingles").cast("int").alias("n"), "sketch").distinct(), "doc_id")
-    parts = shared.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = rows.select("token", "doc_id", "n", "sketch").repartition(int(parts), "token").sortWithinPartitions("token")
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(table: pa.Table) -> pa.RecordBatch:
-            a, b = close_pairs(table.column("token").to_numpy(), table.column("doc_id").to_numpy(), table.column("n").to_numpy().astype(np.int64), table.column("sketch").to_pylist(), percent)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    """Edges (a, b) of what may be linked: documents of one token that size and bitmap leave possible.
 
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= ROWS_AT_ONCE:
-                table = pa.Table.from_batches(held).combine_chunks()
-                token = table.column("token").to_numpy()
-                cut = int(np.searchsorted(token, token[-1]))  # the last token may go on
-                if cut:
-                    yield told(table.slice(0, cut))
-                    table = table.slice(cut)
-                held, n = table.to_batches(), table.num_rows
-        if n:
-            yield told(pa.Table.from_batches(held).combine_chunks())
-
-    return rows.mapInArrow(edges, "a long, b long").distinct()
+    A token of more than ROWS_AT_ONCE documents is dealt into parts; the leaders of its parts are held against each other in a second round.
+    """
+    described = sized.select("doc_id", F.col("n_shingles").cast("int").alias("n"), "sketch").distinct()
+    tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = shared.groupBy("token").count().where(F.col("count") > ROWS_AT_ONCE).select("token", F.ceil(F.col("count") / ROWS_AT_ONCE).cast("int").alias("parts"))
+    hot = tables.written(hot, "hot-tokens")
+    split = shared.join(tables.small_or_not(hot, BROADCAST_IDS), "token", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
+
+    def edges(steps: int):
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def told(table: pa.Table) -> pa.RecordBatch:
+                token, part, doc = (table.column(c).to_numpy() for c in ("token", "part", "doc_id"))
+                a, b, leaders = close_pairs(token ^ part, doc, table.column("n").to_numpy().astype(np.int64), table.column("sketch").to_pylist(), percent, steps)
+                leaders = leaders[part[leaders] >= 0]
+                kinds = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(token[leaders])])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, doc[leaders]])), pa.array(np.concatenate([b, doc[leaders]])), kinds], names=["a", "b", "token"])
+
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= ROWS_AT_ONCE:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    run = table.column("token").to_numpy() ^ table.column("part").to_numpy()
+                    cut = int(np.flatnonzero(np.append(True, run[1:] != run[:-1]))[-1])  # the last run may go on
+                    if cut:
+                        yield told(table.slice(0, cut))
+                        table = table.slice(cut)
+                    held, n = table.to_batches(), table.num_rows
+            if n:
+                yield told(pa.Table.from_batches(held).combine_chunks())
+
+        return found
+
+    def ran(rows: DataFrame, steps: int) -> DataFrame:
+        rows = rows.join(described, "doc_id").select("token", F.coalesce("part", F.lit(-1)).cast("long").alias("part"), "doc_id", "n", "sketch")
+        rows = rows.repartition(tasks, "token", "part").sortWithinPartitions("token", "part")
+        return rows.mapInArrow(edges(steps), "a long, b long, token long")
+
+    first = tables.written(ran(split, 1), "edges")
+    out = first.where("token is null").select("a", "b")
+    if not hot.isEmpty():
+        leaders = first.where("token is not null").select("token", F.col("a").alias("doc_id"), F.lit(None).cast("int").alias("part")).distinct()
+        out = out.union(ran(leaders, 3).select("a", "b"))
+    return out.distinct()
 
 
 def overlaps(rows: np.ndarray, grams: np.ndarray, n: int, others: np.ndarray, other_grams: np.ndarray, m: int) -> np.ndarray:
@@ -284,12 +337,11 @@ def overlaps(rows: np.ndarray, grams: np.ndarray, n: int, others: np.ndarray, ot
 def open_groups(x: tuple, y: tuple, percent: int) -> list[tuple[int, int]]:
     """Links (document, document) between the components of two groups, enough of them to connect what is linked.
 
-    A group is (ids, components, sizes, grams on end). A document of x is held against the members of y only if its overlap with the union of
-    y's grams leaves room for a link.
+    A group is (ids, components, sizes, grams on end, union of the grams). A document of x is held against the members of y only if its overlap
+    with the union of y leaves room for a link.
     """
-    (ids, of, sizes, grams), (y_ids, y_of, y_sizes, y_grams) = x, y
+    (ids, of, sizes, grams, _), (y_ids, y_of, y_sizes, y_grams, union) = x, y
     rows = np.repeat(np.arange(len(ids)), sizes)
-    union = np.unique(y_grams)
     k = np.minimum(np.searchsorted(union, grams), len(union) - 1)
     most = np.bincount(rows, union[k] == grams, len(ids))
     least = np.maximum(y_sizes.min(), -(-sizes * percent // 100))
@@ -343,6 +395,52 @@ def connected(ids: np.ndarray, links: list[tuple[int, int]]) -> np.ndarray:
     return ids[[find(at[v]) for v in ids.tolist()]]
 
 
+_GROUP = {"ids": np.int64, "of": np.int64, "sizes": np.int64, "grams": np.uint64, "union": np.uint64}
+_PACKED = "family long, band int, part int, least long, ids binary, of binary, sizes binary, grams binary, union binary, links array<struct<a:long,b:long>>"
+
+
+def _packed(columns: DataFrame, percent: int) -> DataFrame:
+    """A row per group (family, band, part) of documents (doc_id, grams), with the links that connect what is linked within it."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table.column("grams").combine_chunks()
+        ids, sizes, grams = table.column("doc_id").to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy().view(np.uint64)
+        union = np.unique(grams)
+        alone = (ids, ids.copy(), sizes, grams, union)
+        links = open_groups(alone, alone, percent)
+        binaries = [x.tobytes() for x in (ids, connected(ids, links), sizes, grams, union)]
+        found = pa.array([[{"a": a, "b": b} for a, b in links]], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+        return pa.Table.from_arrays([*(table.column(c).slice(0, 1).combine_chunks() for c in ("family", "band", "part")), pa.array([int(sizes.min())]), *(pa.array([x], pa.binary()) for x in binaries), found], names=[f.split()[0] for f in _PACKED.split(", ")])
+
+    return tables.written(columns.groupBy("family", "band", "part").applyInArrow(pack, _PACKED), "packed")
+
+
+def _parts(members: DataFrame) -> DataFrame:
+    """members (family, band, doc_id, n_shingles, ...) with the part of their family and band that they are dealt to."""
+    parts = members.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n_shingles") / GROUP_GRAMS)).alias("parts"))
+    parts = tables.small_or_not(tables.written(parts, "parts"), BROADCAST_IDS)
+    return members.join(parts, ["family", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
+
+
+def _heads(packed: DataFrame) -> DataFrame:
+    """(family, band, doc_id, n_shingles, grams): one document of each component of every group of a family and band that has several groups."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, of, sizes, grams = (np.frombuffer(batch.column(c)[i].as_buffer(), _GROUP[c]) for c in ("ids", "of", "sizes", "grams"))
+                _, first = np.unique(of, return_index=True)
+                ends = np.cumsum(sizes)
+                lists = pa.array([grams[ends[k] - sizes[k] : ends[k]].view(np.int64) for k in first], pa.list_(pa.int64()))
+                same = [pa.array([batch.column(c)[i].as_py()] * len(first), batch.schema.field(c).type) for c in ("family", "band")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(ids[first]), pa.array(sizes[first]), lists], names=["family", "band", "doc_id", "n_shingles", "grams"])
+
+    several = packed.groupBy("family", "band").count().where("count > 1").select("family", "band")
+    chosen = packed.join(tables.small_or_not(tables.written(several, "several"), BROADCAST_IDS), ["family", "band"], "left_semi")
+    return chosen.select("family", "band", "ids", "of", "sizes", "grams").mapInArrow(heads, "family long, band int, doc_id long, n_shingles long, grams array<long>")
+
+
 def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what is linked among members (doc_id, n_shingles, family).
 
@@ -351,9 +449,7 @@ def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFr
     """
     wide = 105 / percent  # sizes of linked documents differ by less than a band
     members = tables.written(members.withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(wide))).cast("int")), "members")
-    parts = members.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n_shingles") / GROUP_GRAMS)).alias("parts"))
-    dealt = members.join(parts, ["family", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
-    placed = docs.join(tables.small_or_not(tables.written(dealt, "groups"), BROADCAST_IDS), "doc_id")
+    placed = docs.join(tables.small_or_not(tables.written(_parts(members), "groups"), BROADCAST_IDS), "doc_id")
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,34 +460,76 @@ def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFr
                 own = np.diff(offsets) == rows.column("n_shingles").to_numpy()
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in KEYS), lists], names=[*KEYS, "grams"]).filter(pa.array(own))
 
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        lists = table.column("grams").combine_chunks()
-        ids, sizes, grams = table.column("doc_id").to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy().view(np.uint64)
-        alone = (ids, ids.copy(), sizes, grams)
-        links = open_groups(alone, alone, percent)
-        of = connected(ids, links)
-        packed = [ids.tobytes(), of.tobytes(), sizes.tobytes(), grams.tobytes(), [{"a": a, "b": b} for a, b in links]]
-        return pa.Table.from_arrays([*(table.column(c).slice(0, 1).combine_chunks() for c in ("family", "band", "part")), *(pa.array([x], pa.binary()) for x in packed[:4]), pa.array([packed[4]], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["family", "band", "part", "ids", "of", "sizes", "grams", "links"])
-
     columns = placed.select("doc_id", "family", "band", "part", "n_shingles", "text").mapInArrow(gathered, "doc_id long, family long, band int, part int, grams array<long>")
-    packed = columns.groupBy("family", "band", "part").applyInArrow(pack, "family long, band int, part int, ids binary, of binary, sizes binary, grams binary, links array<struct<a:long,b:long>>")
-    packed = tables.written(packed, "packed")
-    left, right = packed.select([F.col(c).alias(f"x_{c}") for c in packed.columns]), packed
-    near = F.expr("x_family = family and (x_band = band - 1 or x_band = band and x_part < part)")
+    packed = _packed(columns, percent)
+    links = packed.select(F.inline("links"))
+    # Heads of groups among themselves, as long as this leaves fewer.
+    heads, before = _heads(packed), None
+    while True:
+        heads = tables.written(heads, "heads")
+        count = heads.count()
+        if not count or (before is not None and 2 * count > before):
+            break
+        before = count
+        upper = _packed(_parts(heads).select("doc_id", "family", "band", "part", "grams"), percent)
+        links = links.union(upper.select(F.inline("links")))
+        heads = _heads(upper)
+    links = tables.written(links.distinct(), "links")
+    joined = components(links)
+    # Pairs of groups: by components and unions alone.
+    key = ["family", "band", "part"]
+    ids = packed.select(*key, "ids").mapInArrow(_unpacked, "family long, band int, part int, doc_id long")
+    of = tables.written(ids.join(joined, F.col("doc_id") == F.col("node"), "left").select(*key, "doc_id", F.coalesce("component", "doc_id").alias("component")), "of")
+    whole = of.groupBy(*key).agg(F.when(F.min("component") == F.max("component"), F.min("component")).alias("only"))
+    kinds = tables.written(whole.groupBy("family", "band", "only").agg(F.count("*").alias("n")), "kinds")
+    x = kinds.select(*[F.col(c).alias(f"x_{c}") for c in kinds.columns])
+    neighbours = F.expr("x_family = family and (x_band = band - 1 or x_band = band) and (x_only is null or only is null or x_only <> only)")
+    pairs = x.join(kinds, neighbours).where("x_band < band or x_only is null or only is null or x_only < only")
+    if pairs.isEmpty():
+        return links
+    named = tables.written(packed.join(whole, key).select(*key, "only", "least", F.col("union").alias("grams")), "unions")
+    left = named.select(*[F.col(c).alias(f"x_{c}") for c in named.columns])
+    near = F.expr("x_family = family and (x_band = band - 1 or x_band = band and x_part < part) and (x_only is null or only is null or x_only <> only)")
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("x_grams", "grams"))
+                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                keep.append(common * (100 + percent) >= percent * (batch.column("x_least")[i].as_py() + batch.column("least")[i].as_py()))
+            yield batch.drop_columns(["x_grams", "grams", "x_least", "least"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = left.join(named, near).select("x_family", "x_band", "x_part", *key, "x_least", "least", "x_grams", "grams")
+    wanted = tables.written(wanted.mapInArrow(open_, "x_family long, x_band int, x_part int, family long, band int, part int"), "open")
+    # Open groups, with what is known of their components.
+    by_group = of.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "component"))).alias("known"))  # GROUP entries or so
+    full = packed.drop("links", "least", "of").join(by_group, key)
+    full = tables.written(full.join(wanted.select(*key).union(wanted.select("x_family", "x_band", "x_part")).distinct(), key, "left_semi"), "opened")
+    left = full.select([F.col(c).alias(f"x_{c}") for c in full.columns])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def group(batch: pa.RecordBatch, i: int, prefix: str) -> tuple:
-            kinds = {"ids": np.int64, "of": np.int64, "sizes": np.int64, "grams": np.uint64}
-            out = tuple(np.frombuffer(batch.column(prefix + c)[i].as_buffer(), k) for c, k in kinds.items())
-            return out
+            ids, sizes, grams, union = (np.frombuffer(batch.column(prefix + c)[i].as_buffer(), _GROUP[c]) for c in ("ids", "sizes", "grams", "union"))
+            known = dict(batch.column(prefix + "known")[i].as_py())
+            return ids, np.array([known[v] for v in ids.tolist()], np.int64), sizes, grams, union
 
         for batch in batches:
             found = [link for i in range(batch.num_rows) for link in open_groups(group(batch, i, "x_"), group(batch, i, ""), percent)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    binaries = ("ids", "of", "sizes", "grams")
-    return left.join(right, near).select(*[f"x_{c}" for c in binaries], *binaries).mapInArrow(search, "a long, b long").union(packed.select(F.inline("links")))
+    payload = [c for c in full.columns if c not in key]
+    opened = wanted.join(left, ["x_family", "x_band", "x_part"]).join(full, key).select(*[f"x_{c}" for c in payload], *payload)
+    return links.union(opened.mapInArrow(search, "a long, b long"))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document of packed groups."""
+    for batch in batches:
+        sizes = [len(x.as_buffer()) // 8 for x in batch.column("ids")]
+        at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+        ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("family", "band", "part")), pa.array(ids)], names=["family", "band", "part", "doc_id"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -424,13 +562,16 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     known = sized.where("doc_id is not null and n_shingles > 0")
     # Equal sets: the smallest id stands for all.
     same = known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    same = tables.small_or_not(tables.written(same, "equal-sets"), BROADCAST_IDS)  # beyond that, Spark splits the rows of a hot set
     copies = tables.written(known.join(same, ["n_shingles", "h1", "h2"]).where("doc_id > first").select("doc_id", "first").distinct(), "copies")
-    # Tokens that several documents have. The smallest of equal sets lists every token, so its copies are not needed.
+    # Tokens that several documents have. The smallest of equal sets lists every token, so its copies are not needed, but for ids that have other sets as well.
     lists = _listed(docs.where("doc_id is not null and text is not null"), shingle_words, percent)
     by = W.partitionBy("token")
     lists = lists.withColumns({"low": F.min("doc_id").over(by), "high": F.max("doc_id").over(by)}).where("low < high or more is not null")
     shared = lists.select("token", F.explode(F.concat(F.array("doc_id"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc_id"))
-    shared = tables.written(shared.join(tables.small_or_not(copies.select("doc_id"), BROADCAST_IDS), "doc_id", "left_anti"), "tokens")
+    several = known.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high")
+    spare = copies.select("doc_id").join(several, "doc_id", "left_anti")
+    shared = tables.written(shared.join(tables.small_or_not(tables.written(spare, "spare"), BROADCAST_IDS), "doc_id", "left_anti"), "tokens")
     # Families, and their groups opened through the matrix.
     families = components(_families(shared, known, percent)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     links = _across(docs, families.join(known.select("doc_id", "n_shingles").distinct(), "doc_id"), shingle_words, percent)

@@ -74,7 +74,7 @@ def test_null_ids_repeats_and_empty_table(spark):
 
 @pytest.mark.parametrize("percent", [70, 80, 90])
 def test_size_classes_reach_every_linked_size(percent):
-    low, _ = classes(3000, percent)
+    low, _, _ = classes(3000, percent)
     of = lambda n: int((low <= n).sum()) - 1
     for n in range(1, 2000):
         assert of(n * 100 // percent) - of(n) <= 1
