@@ -20,11 +20,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: later steps read files that outlive any executor."""
-    path = new_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+#: Spark's setting by which the shuffle files of a query go when it has ended.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a Parquet table in the shared folder, partitioned by columns if some are given: later steps read files that outlive any executor.
+
+    Nothing before the table is needed again, so the shuffle files of the query that writes it are freed.
+    """
+    conf, path = df.sparkSession.conf, new_path(df.sparkSession, name)
+    before = conf.get(_FREE, None)
+    conf.set(_FREE, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    finally:
+        conf.unset(_FREE) if before is None else conf.set(_FREE, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
