@@ -1,17 +1,20 @@
-"""Katz backoff language model over word pairs, with Good-Turing discounts and exactly normalised backoff weights.
+"""Katz backoff language model of any order, with Good-Turing discounts and exactly normalised backoff weights, in stored tables.
 
-P(w | v) = d(c) c / C(v) where the pair (v, w) was seen c times in training, else alpha(v) P(w). Discounts are Good-Turing's for counts up to
-KEPT; above, a count loses EPSILON, so that every context leaves something. P(w) is discounted the same way and what it leaves is the
-probability of any unknown word. alpha(v) = (1 - sum of P(w | v) over seen w) / (1 - sum of P(w) over them).
+P(w | h) = d(c) c / C(h) where the n-gram (h, w) was seen c times in training and its history h C(h) times, else alpha(h) P(w | shorter h), down to single
+words. Discounts are Good-Turing's for counts up to KEPT; above, a count loses EPSILON, so that every history leaves something. What discounted words
+leave is the probability of any unknown word. alpha(h) = (1 - sum of P(w | h) over the seen w) / (1 - sum of P(w | shorter h) over them).
 
-The tables grow with the corpus, so none is broadcast but the HOT most frequent words:
+An n-gram is a 64-bit hash of its history's hash and its word. Texts are encoded once, in parts of about PART_TOKENS tokens. For each question that
+a part has, it sends every distinct n-gram once, to the target that owns its hash, and is answered in the same order:
 
-1. Word counts: per task, then by key; a table in the shared folder.
-2. Every pair of every text is dealt to a target by its rarer word's hash, or by both words' if both are frequent, as compressed arrays. So
-   a target has all of a pair and all of a rare word. Pairs that make up a large share of all are counted where they stand, and not dealt.
-3. A target counts its pairs and writes a row: pair counts of its tokens, sums per context, and the tokens that must back off.
-4. Counts of counts give the discounts, sums per context the weights. Tokens that back off are joined with the weights by context; all else is
-   added up per text.
+1. Counts. A target adds up what parts have counted in training, answers with the sums, and keeps them: the table of counts (level, hashes, counts).
+   One of the parts that saw an n-gram is told to speak for it.
+2. Weights. A part that speaks for n-grams sends what they add to their histories. A target adds up, and keeps the table of weights (level, hashes of
+   histories, log alpha). It answers where a text backs off.
+3. Scores. Every token's probability is evaluated from the shortest history to the longest.
+
+A frequent n-gram is one entry a part, so it is no more work for its target than a rare one. Targets grow in number with the tokens. The tables are partitioned
+by kind and level, a row per target, sorted by hash; score() evaluates any other corpus from them in the same way.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,15 @@ from pyspark.sql import functions as F
 from . import tables
 from .words import mix, pieces, words
 
-#: Counts up to KEPT are discounted by Good-Turing; frequent words that are broadcast (16 bytes each); tokens of a target and of a part of a task.
-KEPT, EPSILON, HOT, TARGET_TOKENS, PART_TOKENS = 5, 1e-3, 65_000, 1_500_000, 1_000_000
-#: A pair of at least this share of the training tokens is not dealt; there are 2 / HOT_PAIR of these at most.
-HOT_PAIR = 1 / 2000
+#: Words of an n-gram; counts up to KEPT are discounted by Good-Turing; tokens of a target and of a part.
+ORDER, KEPT, EPSILON, TARGET_TOKENS, PART_TOKENS = 3, 5, 1e-3, 1_500_000, 1_000_000
+#: Bits of a hash that an entry carries beside those that name its target. Of TARGET_TOKENS n-grams two share them with a chance of about 0.004.
+BITS = 48
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+#: Kinds of rows: what a part asks, what it is answered, and what a target keeps.
+ASK, ANSWER, KEEP = range(3)
+_ROWS = "level int, target long, part long, kind int, body binary, types array<long>"
+_PARTS = "part long, body binary, docs long, learnt long, tokens long"
 
 
 def pack(*arrays) -> bytes:
@@ -61,338 +69,338 @@ def discounted(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(counts > KEPT, counts - EPSILON, table[np.minimum(counts, KEPT)])
 
 
-def pair_up(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, text) of every token: each text's words and one end, after a start."""
-    n = len(offsets) - 1
-    sizes = np.diff(offsets) + 1
-    doc = np.repeat(np.arange(n), sizes)
-    ends = np.cumsum(sizes) - 1
-    word, context = np.empty(len(doc), np.uint64), np.empty(len(doc), np.uint64)
-    inner = np.ones(len(doc), bool)
-    inner[ends] = False
-    word[ends], word[inner] = END, hashes
-    context[1:] = word[:-1]
-    context[np.concatenate([[0], ends[:-1] + 1])] = START
-    return context, word, doc
-
-
-class Unigrams:
-    """The most frequent words with their counts, and the constants of word probabilities. Small enough to send to every task."""
-
-    def __init__(self, hot: np.ndarray, counts: np.ndarray, starts: int, total: int, types: int, of: dict[int, int], lost: float):
-        order = np.argsort(hot)
-        self.hot, self.counts, self.starts, self.total, self.types = hot[order], counts[order], starts, total, types
-        self.table = discounts(of)
-        self.unknown = lost / total if total else 1.0
+@dataclass
+class Totals:
+    """What is known of the training texts as a whole; a few numbers for each level."""
 
-    def codes(self, hashes: np.ndarray) -> np.ndarray:
-        """Place among the frequent words, or -1."""
-        k = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
-        return np.where(self.hot[k] == hashes, k, -1)
+    docs: int
+    tokens: int
+    types: int
+    tables: list[np.ndarray]  # discounted counts of each level
+    unknown: float  # probability of all unknown words
+    bits: int  # targets are 2**bits
 
-    def probability(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, discounted(counts, self.table) / max(1, self.total), self.unknown)
 
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / (self.total + self.types + 1))
+class Part:
+    """Some texts on end: words as places in a list of distinct ones, a start before and an end after each text."""
 
+    def __init__(self, ids: list, held: np.ndarray, sizes: np.ndarray, place: np.ndarray, distinct: np.ndarray):
+        self.ids, self.held, self.sizes = ids, held, sizes
+        self.words = distinct[place]
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.first = np.cumsum(sizes) - sizes
+        self.learnt = ~held[self.doc]
 
-def _add(total: tuple, more: tuple) -> tuple:
-    keys, inverse = np.unique(np.concatenate([total[0], more[0]]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([total[1], more[1]])).astype(np.int64)
+    def after(self, values: np.ndarray, start) -> np.ndarray:
+        """The value of the token before each, or that of a text's start."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = start
+        return out
 
+    def levels(self, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(hashes of the n-grams that end at each token, those of their histories), for n = 1 to order; a single word's history is empty."""
+        grams, histories, start = [mix(self.words)], [np.zeros(len(self.words), np.uint64)], np.uint64(0)
+        for _ in range(1, order):
+            start = mix(start * np.uint64(0x9E3779B97F4A7C15) + START)
+            histories.append(self.after(grams[-1], start))
+            grams.append(mix(histories[-1] * np.uint64(0x9E3779B97F4A7C15) + self.words))
+        return grams, histories
 
-def count_words(train: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((word, n) of all training tokens but ends; (context, word, n) of pairs that are frequent within a task)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def encoded(docs: DataFrame) -> DataFrame:
+    """Parts of (doc_id, held_out, text), as a written table."""
+    part_tokens = PART_TOKENS
 
-        def told(seen: tuple, contexts: np.ndarray, n_words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(contexts.view(np.int64), mask=n_words), pa.array(n)], names=["word", "context", "n"])
-
-        held, pending, size = none, [], 0
-        sample: list[tuple[np.ndarray, np.ndarray]] = []
-        tokens = 0
-        for batch in batches:
-            for low, high in pieces(batch.column("text")):
-                hashes, offsets, _, _ = words(batch.column("text").slice(low, high - low))
-                pending.append(hashes)
-                size += len(hashes)
-                context, word, _ = pair_up(hashes, offsets)
-                tokens += len(word)
-                keys, first, n = np.unique(mix(context) + word, return_index=True, return_counts=True)
-                often = n >= max(8, HOT_PAIR * len(word))
-                sample += [(context[first[often]], word[first[often]], n[often])]
-                if size > PART_TOKENS // 2:
-                    held, pending, size = _add(held, np.unique(np.concatenate(pending), return_counts=True)), [], 0
-                if len(held[0]) > PART_TOKENS:
-                    yield told(held[0], held[0], np.ones(len(held[0]), bool), held[1])
-                    held = none
-        held = _add(held, np.unique(np.concatenate([*pending, none[0]]), return_counts=True))
-        for a in range(0, len(held[0]), 200_000):
-            part = held[0][a : a + 200_000], held[1][a : a + 200_000]
-            yield told(part[0], part[0], np.ones(len(part[0]), bool), part[1])
-        if sample:
-            context, word, n = (np.concatenate(x) for x in zip(*sample, strict=True))
-            keys, first, inverse = np.unique(mix(context) + word, return_index=True, return_inverse=True)
-            n = np.bincount(inverse, n).astype(np.int64) if len(keys) else n
-            often = n >= HOT_PAIR * tokens
-            if len(keys) and often.any():
-                yield told(word[first[often]], context[first[often]], np.zeros(int(often.sum()), bool), n[often])
-
-    counted = tables.written(train.select("text").mapInArrow(count, "word long, context long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")), "words")
-    return counted.where("context is null").select("word", "n"), counted.where("context is not null")
-
-
-def fit_words(train: DataFrame) -> tuple[DataFrame, Unigrams, np.ndarray]:
-    """(table of word counts, what tasks need of it, codes of frequent pairs)."""
-    counted, pairs = count_words(train)
-    docs = train.count()
-    total, types = counted.agg(F.sum("n"), F.count("*")).first()
-    total, types = (total or 0) + docs, types + (docs > 0)
-    of = {r.n: r["count"] for r in counted.where(F.col("n") <= KEPT + 1).groupBy("n").count().collect()}
-    if 0 < docs <= KEPT + 1:
-        of[docs] = of.get(docs, 0) + 1
-    table = discounts(of)
-    low = sum(k * of.get(r, 0) for r, k in ((r, r - table[r]) for r in range(1, KEPT + 1)))
-    lost = low + EPSILON * (types - sum(of.get(r, 0) for r in range(1, KEPT + 1)))
-    top = counted.orderBy(F.desc("n"), "word").limit(HOT).toArrow()  # HOT rows at most
-    hot = np.concatenate([top.column("word").to_numpy().view(np.uint64), [END, START]])
-    counts = np.concatenate([top.column("n").to_numpy(), [docs, 0]]).astype(np.int64)
-    model = Unigrams(hot, counts, docs, total, types, of, lost)
-    rows = pairs.where(F.col("n") >= HOT_PAIR * total).toArrow()  # 1 / HOT_PAIR rows at most
-    a, b = (model.codes(rows.column(c).to_numpy().view(np.uint64)) for c in ("context", "word"))
-    n = rows.column("n").to_numpy()
-    keep = (a >= 0) & (b >= 0) & (n > KEPT)
-    return counted, model, np.unique(a[keep].astype(np.uint32) << np.uint32(16) | b[keep].astype(np.uint32))
-
-
-#: Kinds of what is dealt: both words frequent; word rare; context rare; both rare; and what goes with the texts themselves.
-BOTH, WORD, CONTEXT, NEITHER, TEXTS = range(5)
-
-
-def _dealt(docs: DataFrame, model: Unigrams, hot_pairs: np.ndarray, targets: int) -> DataFrame:
-    """(target, kind, train, part, body): the tokens of a part of a task for one target, and the part's texts."""
-    sent, part_tokens = docs.sparkSession.sparkContext.broadcast((model, hot_pairs)), PART_TOKENS
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot_pairs = sent.value
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        log = np.log10(np.maximum(1, model.counts))
-        base = model.base(model.counts)
-        is_end, start = int(model.codes(np.array([END]))[0]), math.log10(max(1, model.starts))
-        parts: list[tuple] = []
-        state = {"docs": 0, "tokens": 0, "part": number}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            ids, held, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            texts = [x for p in parts for x in p[3]]
-            context, word, doc, c1, c2 = (np.concatenate([p[i] for p in parts]) for i in range(4, 9))
-            train = ~held[doc]
-            known = c2 >= 0
-            n = len(held)
-            sums = np.stack([np.bincount(doc[known], base[c2[known]], n), np.bincount(doc[known], model.counts[c2[known]] > 0, n), np.bincount(doc[known], np.where(c2[known] == is_end, 0, log[c2[known]]), n) + start])
-            both = (c1 >= 0) & known
-            pair = np.where(both, c1 << 16 | c2, 0).astype(np.uint32)
-            k = np.minimum(np.searchsorted(hot_pairs, pair), max(0, len(hot_pairs) - 1))
-            often = both & (hot_pairs[k] == pair) if len(hot_pairs) else np.zeros(len(pair), bool)
-            counts = np.bincount(k[often & train], minlength=len(hot_pairs))
-            rows = [(int(state["part"] % targets), TEXTS, False, pack(texts, held, size, sums, doc[often].astype(np.uint32), k[often].astype(np.uint16), counts))]
-            at = np.where(both, mix(pair.astype(np.uint64)), np.where(known, mix(context), mix(word))) % np.uint64(targets)
-            kind = np.where(both, BOTH, np.where(known, CONTEXT, np.where(c1 >= 0, WORD, NEITHER)))
-            group = (at.astype(np.int64) * 4 + kind) * 2 + train
-            group[often] = -1
-            order = np.argsort(group, kind="stable")[int(often.sum()) :]
-            cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
-            for a, b in zip(cuts, np.append(cuts, len(order))[1:], strict=True):
-                rows_here = order[a:b]
-                g = int(group[rows_here[0]])
-                which = g // 2 % 4
-                first, second = {BOTH: (pair, None), WORD: (word, c1), CONTEXT: (context, c2), NEITHER: (word, context)}[which]
-                second = None if second is None else second[rows_here].astype(np.uint64 if which == NEITHER else np.uint16)
-                rows.append((g // 8, which, bool(g % 2), pack(np.diff(doc[rows_here], prepend=0).astype(np.uint32), first[rows_here], second)))
-            target, kinds, flags, bodies = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), pa.array(kinds, pa.int32()), pa.array(flags), pa.array([state["part"]] * len(rows), pa.int64()), pa.array(bodies, pa.binary())], names=["target", "kind", "train", "part", "body"])
-            state.update(docs=0, tokens=0, part=state["part"] + n)
-            parts.clear()
+        held: list[tuple] = []
+        tokens = 0
+
+        def flush() -> pa.RecordBatch:
+            ids, out, sizes, all_words = [x for h in held for x in h[0]], *(np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+            distinct, place = np.unique(all_words, return_inverse=True)
+            learnt = int(sizes[~out].sum())
+            body = pack(ids, out, sizes, place.astype(np.uint32), distinct)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([body], pa.binary()), pa.array([int((~out).sum())], pa.int64()), pa.array([learnt], pa.int64()), pa.array([len(all_words)], pa.int64())], names=["part", "body", "docs", "learnt", "tokens"])
 
         for batch in batches:
             for low, high in pieces(batch.column("text")):
                 rows = batch.slice(low, high - low)
                 hashes, offsets, _, _ = words(rows.column("text"))
-                context, word, doc = pair_up(hashes, offsets)
-                c2 = model.codes(word)
-                first = np.flatnonzero(np.diff(doc, prepend=-1))
-                c1 = np.roll(c2, 1)
-                c1[first] = model.codes(np.array([START]))[0]
-                held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-                parts.append((np.zeros(high - low), held, np.diff(offsets) + 1, rows.column("doc_id").to_pylist(), context, word, doc + state["docs"], c1, c2))
-                state["docs"] += high - low
-                state["tokens"] += len(word)
-                if state["tokens"] >= part_tokens:
-                    yield from flush()
-        if parts:
-            yield from flush()
-
-    return docs.select("doc_id", "held_out", "text").mapInArrow(deal, "target int, kind int, train boolean, part long, body binary")
-
-
-_COUNTED = "bodies array<struct<part:long,kind:int,body:binary>>, types array<long>, contexts array<struct<word:long,m1:long,m2:long,m3:long,m4:long,m5:long,more:long,mass:double>>, misses array<struct<context:long,text:long,log_p:double>>"
-
-
-def _counted(dealt: DataFrame, model: Unigrams) -> DataFrame:
-    """A row per target: pair counts per token by part, numbers of pairs by count, sums per context, and tokens to back off."""
-    sent = dealt.sparkSession.sparkContext.broadcast(model)
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(_parse_datatype_string(_COUNTED))
-
-    def count(table: pa.Table) -> pa.Table:
-        model = sent.value
-        bodies = []
-        blocks: dict[int, list] = {BOTH: [], WORD: [], CONTEXT: [], NEITHER: []}
-        for kind, train, part, body in zip(*(table.column(c).to_pylist() for c in ("kind", "train", "part", "body")), strict=True):
-            if kind == TEXTS:
-                bodies.append({"part": part, "kind": 1, "body": body})
-            else:
-                step, a, b = unpack(body)
-                blocks[kind].append((np.cumsum(step, dtype=np.int64), a, b, train, part))
-        # Counts of the words that are rare: all their tokens are here.
-        rare = [x[1] for k in (WORD, NEITHER) for x in blocks[k] if x[3]]
-        known, times = np.unique(np.concatenate(rare), return_counts=True) if rare else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-        def count_of(words_: np.ndarray) -> np.ndarray:
-            if not len(known):
-                return np.zeros(len(words_), np.int64)
-            k = np.minimum(np.searchsorted(known, words_), len(known) - 1)
-            return np.where(known[k] == words_, times[k], 0)
-
-        types = np.zeros(KEPT + 1, np.int64)
-        sums, misses = [], []
-        for kind, own in blocks.items():
-            if not own:
-                continue
-            doc, a, b, train, part = ([x[i] for x in own] for i in range(5))
-            sizes = [len(x) for x in doc]
-            train = np.repeat(train, sizes)
-            a = np.concatenate(a)
-            b = None if kind == BOTH else np.concatenate(b)
-            key = a if kind == BOTH else mix(a) + b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            if kind == BOTH:
-                context, n_word = model.hot[a >> np.uint32(16)], model.counts[a & np.uint32(0xFFFF)]
-            elif kind == WORD:
-                context, n_word = model.hot[b], count_of(a)
-            elif kind == CONTEXT:
-                context, n_word = a, model.counts[b]
-            else:
-                context, n_word = b, count_of(a)
-            keys, first, n = np.unique(key[train], return_index=True, return_counts=True)
-            k = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            c = np.where(keys[k] == key, n[k], 0) if len(keys) else np.zeros(len(key), np.int64)
-            types += np.bincount(n[n <= KEPT + 1], minlength=KEPT + 2)[1:]
-            if len(keys):
-                sums.append((context[train][first], np.minimum(n, KEPT + 1), model.probability(n_word[train][first])))
-            missed = c == 0
-            texts = np.concatenate([d + p for d, p in zip(doc, part, strict=True)])
-            misses.append((context[missed], texts[missed], np.log10(model.probability(n_word[missed]))))
-            cut = np.concatenate([[0], np.cumsum(sizes)])
-            for i, d in enumerate(doc):
-                at = slice(cut[i], cut[i + 1])
-                bodies.append({"part": part[i], "kind": 0, "body": pack(np.diff(d, prepend=0).astype(np.uint32), c[at].astype(np.uint32), n_word[at].astype(np.uint32) if kind in (WORD, NEITHER) else None)})
-        contexts = {f.name: [] for f in schema.field("contexts").type.value_type}
-        if sums:
-            context, level, mass = (np.concatenate(x) for x in zip(*sums, strict=True))
-            keys, inverse = np.unique(context, return_inverse=True)
-            contexts = {"word": keys.view(np.int64)} | {m: np.bincount(inverse, level == r, len(keys)).astype(np.int64) for r, m in enumerate(("m1", "m2", "m3", "m4", "m5", "more"), 1)} | {"mass": np.bincount(inverse, mass, len(keys))}
-        context, text, log_p = (np.concatenate(x) for x in zip(*misses, strict=True)) if misses else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
-
-        def one(name: str, columns: list) -> pa.Array:
-            kind = schema.field(name).type
-            values = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values, type=kind)
-
-        return pa.Table.from_arrays([pa.array([bodies], schema.field("bodies").type), pa.array([types], schema.field("types").type), one("contexts", list(contexts.values())), one("misses", [context.view(np.int64), text, log_p])], schema=schema)
-
-    return dealt.groupBy("target").applyInArrow(count, _COUNTED)
-
-
-def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learnt from those that are not held out.
+                sizes = np.diff(offsets) + 1
+                with_ends = np.full(len(hashes) + high - low, END)
+                inner = np.ones(len(with_ends), bool)
+                inner[np.cumsum(sizes) - 1] = False
+                with_ends[inner] = hashes
+                held.append((rows.column("doc_id").to_pylist(), rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), sizes, with_ends))
+                tokens += len(with_ends)
+                if tokens >= part_tokens:
+                    yield flush()
+                    held, tokens, number = [], 0, number + 1
+        if held:
+            yield flush()
+
+    return tables.written(docs.select("doc_id", "held_out", "text").mapInArrow(encode, _PARTS), "parts")
+
+
+def _dealt(level: int, part: int, bits: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """Rows of what a part asks of each target about sorted distinct hashes, with a value of each kind for every hash."""
+    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+    cuts = [0, *cuts, len(keys)]
+    low = _low(keys, bits)
+    for target, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            yield level, target, part, ASK, pack(np.diff(low[a:b], prepend=np.uint64(0)), *(v[a:b] for v in values)), None
+
+
+def _low(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of a hash below those that name its target, BITS of them at most."""
+    return (keys << np.uint64(bits) if bits else keys) >> np.uint64(max(bits, 64 - BITS))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _ROWS.split(", ")])
+
+
+def _gathered(rows: pa.Table) -> tuple[list[tuple], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(part, kind and number of entries of each row by part, distinct hashes, place of every entry among these, values of every entry)."""
+    rows = rows.sort_by([("part", "ascending")])
+    bodies = [unpack(b) for b in rows.column("body").to_pylist()]
+    heads = list(zip(rows.column("part").to_pylist(), rows.column("kind").to_pylist(), [len(b[0]) for b in bodies], strict=True))
+    keys, place = np.unique(np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in bodies]), return_inverse=True)
+    return heads, keys, place, [np.concatenate(v) for v in zip(*[b[1:] for b in bodies], strict=True)]
+
+
+def _answered(rows: pa.Table, values: np.ndarray, heads: list[tuple], chosen: np.ndarray | None = None) -> Iterator[tuple]:
+    """A row for each part that asked, with its entries' values (of the chosen ones) in the order in which it asked."""
+    level, target, at = rows.column("level")[0].as_py(), rows.column("target")[0].as_py(), 0
+    for part, kind, n in heads:
+        if kind == ASK:
+            own = values[at : at + n]
+            yield level, target, part, ANSWER, pack(own if chosen is None else own[chosen[at : at + n]]), None
+        at += n
+
+
+def counted(parts: DataFrame, order: int, bits: int, stored: DataFrame | None = None) -> DataFrame:
+    """Answers with twice the training count of every n-gram of a part, and one more where the part speaks for it; and the table of counts.
+
+    With stored counts, nothing is learnt from the parts.
+    """
+    learn = stored is None
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, body in zip(batch.column("part").to_pylist(), batch.column("body"), strict=True):
+                part = Part(*unpack(body.as_py()))
+                for level, grams in enumerate(part.levels(order)[0], 1):
+                    keys, place = np.unique(grams, return_inverse=True)
+                    n = np.bincount(place[part.learnt], minlength=len(keys)) if learn else np.zeros(len(keys), np.int64)
+                    yield _batch(list(_dealt(level, number, bits, keys, n.astype(np.uint32))))
+
+    def count(rows: pa.Table) -> pa.Table:
+        heads, keys, place, (n,) = _gathered(rows)
+        total = np.bincount(place, n, len(keys)).astype(np.int64)
+        seen = np.flatnonzero(n > 0)
+        speaks = np.zeros(len(n), np.int64)
+        if learn:
+            speaks[seen[np.unique(place[seen], return_index=True)[1]]] = 1
+        out = list(_answered(rows, (2 * total[place] + speaks).astype(np.uint64), heads))
+        if learn:
+            known = total > 0
+            types = np.bincount(np.minimum(total[known], KEPT + 2), minlength=KEPT + 3).tolist()
+            body = pack(np.diff(keys[known], prepend=np.uint64(0)), total[known].astype(np.uint32))
+            out.append((rows.column("level")[0].as_py(), rows.column("target")[0].as_py(), -1, KEEP, body, [*types, int(total.sum())]))
+        return pa.Table.from_batches([_batch(out)])
+
+    asked = parts.select("part", "body").mapInArrow(ask, _ROWS)
+    asked = asked if learn else asked.unionByName(stored.select(asked.columns))
+    return tables.written(asked.groupBy("level", "target").applyInArrow(count, _ROWS), "counts", ("kind", "level"))
+
+
+class Told:
+    """A part with the counts that it was answered: of the n-gram that ends at each token, and of its history."""
+
+    def __init__(self, part: Part, answers: dict[int, np.ndarray], totals: Totals):
+        self.part, self.totals, self.order = part, totals, len(totals.tables)
+        self.grams, self.histories = part.levels(self.order)
+        self.counts, self.of, self.speaks, self.at = [], [np.full(len(part.words), totals.tokens)], [], []
+        for level in range(1, self.order + 1):
+            _, first, place = np.unique(self.grams[level - 1], return_index=True, return_inverse=True)
+            answer = answers[level].astype(np.int64)
+            self.counts.append((answer // 2)[place])
+            self.at.append(first)
+            self.speaks.append(answer % 2 == 1)
+            self.of.append(part.after(self.counts[-1], totals.docs))
+
+    def probability(self, level: int) -> np.ndarray:
+        """Of every token by its own level's count; 0 where the n-gram is unseen."""
+        return discounted(self.counts[level - 1], self.totals.tables[level - 1]) / np.maximum(1, self.of[level - 1])
+
+    def unseen(self, level: int) -> np.ndarray:
+        """Tokens of texts that may back off at a level from a history that was seen."""
+        return (self.counts[level - 1] == 0) & (self.of[level - 1] > 0)
+
+
+def _answers(rows: list[tuple]) -> dict[int, np.ndarray]:
+    """What a part was answered at each level, in the order of its hashes, from rows (level, target, body)."""
+    out: dict[int, list] = {}
+    for level, _, body in sorted(rows, key=lambda r: r[:2]):
+        out.setdefault(level, []).append(unpack(body)[0])
+    return {level: np.concatenate(x) for level, x in out.items()}
+
+
+def _by_part(parts: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Rows of a part and of what it was answered, under the number of the question; a part itself is question 0."""
+    out = parts.select("part", F.lit(0).alias("question"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("target"), "body")
+    for i, a in enumerate(answers, 1):
+        out = out.unionByName(a.where(F.col("kind") == ANSWER).select("part", F.lit(i).alias("question"), "level", "target", "body"))
+    return out.groupBy("part")
+
+
+def _opened(rows: pa.Table, totals: Totals) -> tuple[int, Told, dict[int, np.ndarray]]:
+    found: list[list] = [[], [], []]
+    for question, *row in zip(*(rows.column(c).to_pylist() for c in ("question", "level", "target", "body")), strict=True):
+        found[question].append(tuple(row))
+    return rows.column("part")[0].as_py(), Told(Part(*unpack(found[0][0][2])), _answers(found[1]), totals), _answers(found[2])
+
+
+def weighed(parts: DataFrame, counts: DataFrame, totals: Totals, stored: DataFrame | None = None) -> DataFrame:
+    """Answers with log10 alpha of the histories from which a part's texts back off, by hash, and the table of weights of all histories."""
+    learn = stored is None
+
+    def ask(rows: pa.Table) -> pa.Table:
+        number, told, _ = _opened(rows, totals)
+        out = []
+        for level in range(2, told.order + 1):
+            histories = told.histories[level - 1]
+            at = told.at[level - 1][told.speaks[level - 1]] if learn else np.zeros(0, np.int64)
+            wanted = np.flatnonzero(told.unseen(level))
+            keys, first, place = np.unique(np.concatenate([histories[at], histories[wanted]]), return_index=True, return_inverse=True)
+            own = np.concatenate([at, wanted])[first]
+            own_count, shorter_count = told.counts[level - 1][at], told.counts[level - 2][at]
+            spent = np.bincount(place[: len(at)], discounted(own_count, totals.tables[level - 1]), len(keys))
+            covered = np.bincount(place[: len(at)], discounted(shorter_count, totals.tables[level - 2]), len(keys))
+            needed = np.zeros(len(keys), bool)
+            needed[place[len(at) :]] = True
+            out += _dealt(level, number, totals.bits, keys, spent, told.of[level - 1][own], covered, told.of[level - 2][own], needed)
+        return pa.Table.from_batches([_batch(out)])
+
+    def weigh(rows: pa.Table) -> pa.Table:
+        heads, keys, place, values = _gathered(rows)
+        spent, of, covered, shorter_of, needed = values
+        first = np.unique(place, return_index=True)[1]
+        if learn:
+            left = 1 - np.bincount(place, spent, len(keys)) / np.maximum(1, of[first])
+            rest = 1 - np.bincount(place, covered, len(keys)) / np.maximum(1, shorter_of[first])
+            alpha = np.log10(np.maximum(left, 1e-300) / np.maximum(rest, 1e-300))
+        else:  # stored weights stand in the place of what was spent
+            alpha = np.bincount(place, spent, len(keys))
+        out = list(_answered(rows, alpha[place], heads, needed))
+        if learn:
+            out.append((rows.column("level")[0].as_py(), rows.column("target")[0].as_py(), -1, KEEP, pack(np.diff(keys, prepend=np.uint64(0)), alpha.astype(np.float32)), None))
+        return pa.Table.from_batches([_batch(out)])
+
+    asked = _by_part(parts, counts).applyInArrow(ask, _ROWS)
+    if not learn:
+        asked = asked.unionByName(stored.select(asked.columns))
+    return tables.written(asked.groupBy("level", "target").applyInArrow(weigh, _ROWS), "weights", ("kind", "level"))
+
+
+def evaluated(parts: DataFrame, counts: DataFrame, weights: DataFrame, totals: Totals, kind) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text of the parts."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(kind)
+
+    def score(rows: pa.Table) -> pa.Table:
+        _, told, alphas = _opened(rows, totals)
+        part, n = told.part, len(told.part.sizes)
+        known = told.counts[0] > 0
+        p = np.log10(np.where(known, np.maximum(told.probability(1), 1e-300), max(totals.unknown, 1e-300))) if totals.tokens else np.zeros(len(part.words))
+        for level in range(2, told.order + 1):
+            alpha = np.zeros(len(part.words))
+            unseen = told.unseen(level)
+            if unseen.any():
+                _, place = np.unique(told.histories[level - 1][unseen], return_inverse=True)
+                alpha[unseen] = alphas[level][place]
+            seen = told.counts[level - 1] > 0
+            p = np.where(seen, np.log10(np.maximum(told.probability(level), 1e-300)), alpha + p)
+        base = np.log10((told.counts[0] + 1) / (totals.tokens + totals.types + 1))
+        sums = [np.bincount(part.doc, x, n) for x in (known, base, p)]
+        return pa.table([pa.array(part.ids, id_type), pa.array(part.held), pa.array(part.sizes, pa.int64()), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(np.full(n, totals.tokens)), pa.array(np.round(sums[1], 9)), pa.array(np.round(sums[2], 9))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return _by_part(parts, counts, weights).applyInArrow(score, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+@dataclass
+class Model:
+    """A fitted model: the tables of counts and weights (rows of kind KEEP, partitioned by level) and the totals."""
+
+    counts: DataFrame
+    weights: DataFrame
+    totals: Totals
+
+
+def _chosen(docs: DataFrame, held_out, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+
+
+def fit_and_score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> tuple[Model, DataFrame]:
+    """(the model learnt from the documents that are not held out, a row per document with its scores): see score().
+
+    What is learnt and what is scored is encoded, sent and counted once.
+    """
+    chosen = _chosen(docs, held_out, id_col, text_col)
+    parts = encoded(chosen)
+    docs_, tokens, whole = parts.agg(F.sum("docs"), F.sum("learnt"), F.sum("tokens")).first()
+    bits = max(0, math.ceil(math.log2(max(1, whole or 0) / TARGET_TOKENS)))
+    counts = counted(parts, order, bits)
+    # Types with each count up to KEPT + 1, those with more, and the sum of all counts.
+    sums = F.array(*[F.sum(F.col("types")[i]) for i in range(KEPT + 4)])
+    types = {r.level: r.types for r in counts.where(F.col("kind") == KEEP).groupBy("level").agg(sums.alias("types")).collect()}
+    none = [0] * (KEPT + 4)
+    tables_ = [discounts(dict(enumerate(types.get(level, none)[: KEPT + 2]))) for level in range(1, order + 1)]
+    single = types.get(1, none)
+    often, all_ = single[KEPT + 1] + single[KEPT + 2], single[KEPT + 3]
+    few = sum(r * single[r] for r in range(1, KEPT + 1))
+    spent = sum(float(tables_[0][r]) * single[r] for r in range(1, KEPT + 1)) + (all_ - few) - EPSILON * often
+    totals = Totals(docs_ or 0, tokens or 0, sum(single[: KEPT + 3]), tables_, 1 - spent / all_ if all_ else 1.0, bits)
+    weights = weighed(parts, counts, totals)
+    keep = F.col("kind") == KEEP
+    return Model(counts.where(keep), weights.where(keep), totals), evaluated(parts, counts, weights, totals, chosen.schema["doc_id"].dataType)
+
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), all held out, evaluated from the model's tables.
 
     Tokens are the words of the whole text, A-Z as a-z, and one end; n_known counts those that training has. base_score is the add-one unigram
-    model's log10 probability, score this model's. A null, empty or blank text is its end alone. A null id is returned as it is. Rows are
-    scored each for itself, so repeated ones count in training each time and each get a row. If nothing is learnt, every token has probability 1. An empty table
+    model's log10 probability, score this model's. A null, empty or blank text is its end alone. A null id is returned as it is. Rows are scored each
+    for itself, so repeated ones count in training each time and each get a row. If nothing was learnt, every token has probability 1. An empty table
     gives an empty result. Extra columns are ignored.
     """
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    counted, model, hot_pairs = fit_words(chosen.where(~F.col("held_out")))
-    held_tokens = model.total * chosen.count() / max(1, model.starts)
-    targets = max(1, math.ceil(held_tokens / TARGET_TOKENS))
-    by_target = tables.written(_counted(_dealt(chosen, model, hot_pairs, targets), model), "pairs")
-    bodies = by_target.select(F.inline("bodies"))
-    # Counts of the frequent pairs, and of counts.
-    hot_counts = np.zeros(len(hot_pairs), np.int64)
-
-    def of_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(hot_pairs), np.int64)
+    chosen = _chosen(docs, F.lit(True), id_col, text_col)
+    parts = encoded(chosen)
+    # Stored rows look like a part's questions: hashes with a value of each kind.
+    none = np.zeros(0)
+
+    def as_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body in batch.column("body").to_pylist():
-                total += unpack(body)[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["pair", "n"])
-
-    if len(hot_pairs):
-        for r in bodies.where("kind = 1").select("body").mapInArrow(of_hot, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # a row per frequent pair
-            hot_counts[r.pair] = r.n
-    types = by_target.select(*[F.sum(F.col("types")[i]) for i in range(KEPT + 1)]).first()
-    table = discounts({r + 1: n or 0 for r, n in enumerate(types)})
-    # Backoff weights.
-    spark = docs.sparkSession
-    names = ["word", "m1", "m2", "m3", "m4", "m5", "more", "mass"]
-    contexts = by_target.select(F.inline("contexts"))
-    if len(hot_pairs):
-        own = pa.table({"word": model.hot[hot_pairs >> np.uint32(16)].view(np.int64), **{m: np.zeros(len(hot_pairs), np.int64) for m in names[1:6]}, "more": np.ones(len(hot_pairs), np.int64), "mass": model.probability(model.counts[hot_pairs & np.uint32(0xFFFF)])})
-        contexts = contexts.unionByName(spark.createDataFrame(own))
-    contexts = contexts.groupBy("word").agg(*[F.sum(c).alias(c) for c in names[1:]])
-    starts = spark.createDataFrame([(int(START.view(np.int64)), model.starts)], "word long, n long")
-    misses = by_target.select(F.inline("misses"))
-    lost = sum((F.col(f"m{r}") * float(r - table[r]) for r in range(2, KEPT + 1)), F.col("m1") * float(1 - table[1])) + F.col("more") * EPSILON
-    weights = contexts.join(counted.union(starts), "word").select(F.col("word").alias("context"), F.log10(lost / (1 - F.col("mass"))).alias("weight"))  # log10 of alpha(v) C(v)
-    backed = misses.join(weights, "context", "left").groupBy("text").agg(F.sum(F.col("log_p") + F.coalesce("weight", F.lit(0.0))).alias("backed"))
-    # What was seen.
-    kind = chosen.schema["doc_id"].dataType.simpleString()
-    known = spark.sparkContext.broadcast((model, table, np.log10(np.maximum(1, hot_counts) - EPSILON)))
-    from pyspark.sql.pandas.types import to_arrow_type
+            for row in batch.to_pylist():
+                keys, alpha = unpack(row["body"])
+                zero = np.zeros(len(keys))
+                yield _batch([(row["level"], row["target"], -1, KEEP, pack(keys, alpha.astype(float), zero, zero, zero, np.zeros(len(keys), bool)), none.tolist())])
 
-    id_type = to_arrow_type(chosen.schema["doc_id"].dataType)
-
-    def add(rows: pa.Table) -> pa.Table:
-        model, table, hot_log = known.value
-        found = list(zip(rows.column("kind").to_pylist(), rows.column("body").to_pylist(), strict=True))
-        texts, held, size, sums, doc, pair, _ = unpack(next(body for kind, body in found if kind == 1))
-        n = len(held)
-        base, sure, seen = sums[0], sums[1], np.bincount(doc, hot_log[pair], n) - sums[2] if len(doc) else -sums[2]
-        for kind, body in found:
-            if kind == 0:
-                step, c, rare = unpack(body)
-                at = np.cumsum(step, dtype=np.int64)
-                seen = seen + np.bincount(at, np.where(c > 0, np.log10(np.maximum(discounted(c.astype(np.int64), table), 1e-300)), 0), n)
-                if rare is not None:
-                    rare = rare.astype(np.int64)
-                    base = base + np.bincount(at, model.base(rare), n)
-                    sure = sure + np.bincount(at, rare > 0, n)
-                    seen = seen - np.bincount(at, np.log10(np.maximum(1, rare)), n)
-        part = rows.column("part")[0].as_py()
-        return pa.table([pa.array(part + np.arange(n)), pa.array(texts, id_type), pa.array(held), pa.array(size, pa.int64()), pa.array(np.rint(sure).astype(np.int64)), pa.array(base), pa.array(seen)], names=["text", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "seen"])
-
-    seen = bodies.groupBy("part").applyInArrow(add, f"text long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, seen double")
-    out = seen.join(backed, "text", "left")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), F.round("base_score", 9).alias("base_score"), F.round(F.col("seen") + F.coalesce("backed", F.lit(0.0)), 9).alias("score"))
+    columns = [f.split()[0] for f in _ROWS.split(", ")]
+    counts = counted(parts, len(model.totals.tables), model.totals.bits, model.counts.select(columns))
+    weights = weighed(parts, counts, model.totals, model.weights.select(columns).mapInArrow(as_weights, _ROWS))
+    return evaluated(parts, counts, weights, model.totals, chosen.schema["doc_id"].dataType)
 
 
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(tables.read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    return fit_and_score(tables.read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)[1]
 
 
 QUERIES = {"op2_katz": op2_katz}

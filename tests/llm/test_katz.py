@@ -17,41 +17,45 @@ def split(text):
     return (text or "").translate({c: c + 32 for c in range(65, 91)}).split(" ") if text and text.strip(" ") else []
 
 
-def brute(rows, held):
+def brute(rows, held, order=3):
+    """Every probability from its definition; asserts that each history's sum to 1."""
     tokens = lambda t: [w for w in split(t) if w] + ["</s>"]
-    one, two, ctx = Counter(), Counter(), Counter()
-    for i, t in rows:
-        if not held(i):
-            w = tokens(t)
-            one.update(w)
-            for a, b in zip(["<s>", *w], w, strict=False):
-                two[a, b] += 1
-                ctx[a] += 1
-    total, types = sum(one.values()), len(one)
-    k = katz.KEPT
-
-    def discount(counts):
-        of = Counter(counts.values())
-        table = katz.discounts(dict(of))
-        return lambda c: c - katz.EPSILON if c > k else table[c]
-
-    d1, d2 = discount(one), discount(two)
-    left = 1 - sum(d1(c) for c in one.values()) / total if total else 1
-    p1 = lambda w: d1(one[w]) / total if one[w] else left
-    after = defaultdict(list)
-    for a, b in two:
-        after[a].append(b)
-    alpha = {a: (1 - sum(d2(two[a, b]) for b in bs) / ctx[a]) / (1 - sum(map(p1, bs))) for a, bs in after.items()}
-    for a in list(after)[:5]:  # exactly normalised
-        whole = sum(d2(two[a, w]) / ctx[a] if two[a, w] else alpha[a] * p1(w) for w in one) + alpha[a] * left
-        assert abs(whole - 1) < 1e-9
+    grams = lambda t, n: [tuple(x) for x in zip(*[(["<s>"] * (n - 1) + tokens(t))[i:] for i in range(n)], strict=False)]
+    counts = {n: Counter(g for i, t in rows if not held(i) for g in grams(t, n)) for n in range(1, order + 1)}
+    one, total = counts[1], sum(counts[1].values())
+    after = {n: defaultdict(list) for n in counts}
+    for n, seen in counts.items():
+        for g in seen:
+            after[n][g[:-1]].append(g[-1])
+    tables = {n: katz.discounts(dict(Counter(c.values()))) for n, c in counts.items()}
+    d = lambda n, c: c - katz.EPSILON if c > katz.KEPT else tables[n][c]
+    of = {n: {h: sum(counts[n][(*h, w)] for w in ws) for h, ws in after[n].items()} for n in counts}
+    left = 1 - sum(d(1, c) for c in one.values()) / total if total else 1
+    alphas = {}
+
+    def p(g):
+        n = len(g)
+        if n == 1:
+            return d(1, one[g]) / total if one[g] else left
+        if counts[n][g]:
+            return d(n, counts[n][g]) / of[n][g[:-1]]
+        return alpha(g[:-1]) * p(g[1:])
+
+    def alpha(h):
+        n = len(h) + 1
+        if h not in alphas:
+            ws = after[n].get(h, [])
+            alphas[h] = (1 - sum(d(n, counts[n][(*h, w)]) for w in ws) / of[n][h]) / (1 - sum(p((*h, w)[1:]) for w in ws)) if ws else 1.0
+        return alphas[h]
+
+    for n in range(2, order + 1):
+        for h in list(after[n])[:5]:
+            assert sum(p((*h, w[0])) for w in one) + p((*h, "never seen")) == pytest.approx(1, abs=1e-9)
     out = []
     for i, t in rows:
         w = tokens(t)
-        s = 0.0
-        for a, b in zip(["<s>", *w], w, strict=False):
-            s += math.log10(d2(two[a, b]) / ctx[a] if two[a, b] else alpha.get(a, 1.0) * p1(b))
-        out.append((i, held(i), len(w), sum(one[x] > 0 for x in w), total, sum(math.log10((one[x] + 1) / (total + types + 1)) for x in w), s))
+        s = sum(math.log10(p(g)) for g in grams(t, order)) if total else 0.0
+        out.append((i, held(i), len(w), sum(one[(x,)] > 0 for x in w), total, sum(math.log10((one[(x,)] + 1) / (total + len(one) + 1)) for x in w), s))
     return out
 
 
@@ -59,30 +63,50 @@ def is_held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def compare(spark, rows):
+def compare(spark, rows, order=3):
     df = spark.createDataFrame([(i, t, "s", "w", 1) for i, t in rows], SCHEMA).repartition(3)
-    got = katz.score(df, F.crc32(F.col("doc_id").cast("string")) % 7 == 2).collect()
+    model, scored = katz.fit_and_score(df, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, order=order)
+    got = scored.collect()
     key = lambda r: (str(r[0]), r[2], round(r[6], 4))
-    got, want = sorted(map(tuple, got), key=key), sorted(brute(rows, is_held), key=key)
+    got, want = sorted(map(tuple, got), key=key), sorted(brute(rows, is_held, order), key=key)
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5]
         assert a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=1e-6)
 
 
-@pytest.mark.parametrize(("hot", "target", "part"), [(65_000, 2_000_000, 4_000_000), (20, 500, 800), (0, 300, 200)])
-def test_same_scores_as_brute_force(spark, monkeypatch, hot, target, part):
-    for name, value in (("HOT", hot), ("TARGET_TOKENS", target), ("PART_TOKENS", part)):
+@pytest.mark.parametrize(("order", "target", "part"), [(3, 1_500_000, 1_000_000), (3, 500, 800), (2, 300, 200), (4, 2_000, 700)])
+def test_same_scores_as_brute_force(spark, monkeypatch, order, target, part):
+    for name, value in (("TARGET_TOKENS", target), ("PART_TOKENS", part)):
         monkeypatch.setattr(katz, name, value)
-    r = random.Random(hot)
+    r = random.Random(order + target)
     words = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(words[min(299, int(r.expovariate(0.02)))] for _ in range(r.randrange(120)))) for i in range(150)]
     rows += [(150, None), (151, ""), (152, "  \t".replace("\t", " ")), (153, "the end " * 400), (153, "the end " * 400), (None, "W1 w2 never-seen"), (154, "Only here"), (155, "w1  W2")]
-    compare(spark, rows)
+    compare(spark, rows, order)
+
+
+def test_tables_score_another_corpus(spark, monkeypatch):
+    monkeypatch.setattr(katz, "TARGET_TOKENS", 400)
+    monkeypatch.setattr(katz, "PART_TOKENS", 300)
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{min(80, int(r.expovariate(0.05)))}" for _ in range(r.randrange(60)))) for i in range(80)]
+    df = spark.createDataFrame([(i, t, "s", "w", 1) for i, t in rows], SCHEMA)
+    other = lambda i: i >= 50
+    model, scored = katz.fit_and_score(df, F.col("doc_id") >= 50)
+    want = {x[0]: x for x in brute(rows, other)}
+    got = {x.doc_id: x for x in katz.score(df, model).collect()}
+    joint = {x.doc_id: x for x in scored.collect()}
+    assert set(got) == set(joint) == set(want)
+    for i, x in got.items():
+        assert (x.n_tokens, x.n_known, x.train_tokens) == want[i][2:5] and x.held_out
+        assert x.base_score == pytest.approx(want[i][5], abs=1e-6) and x.score == pytest.approx(want[i][6], abs=1e-4) and joint[i].score == pytest.approx(want[i][6], abs=1e-6)
+    levels = {r.level: r.n for r in model.counts.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    assert set(levels) == {1, 2, 3} and min(levels.values()) > 1 and {r.level for r in model.weights.select("level").distinct().collect()} == {2, 3}
 
 
 def test_nothing_to_learn_and_empty_table(spark):
     held = next(i for i in range(100) if is_held(i))
     compare(spark, [(held, "a b c")])
     df = spark.createDataFrame([], SCHEMA)
-    assert katz.score(df, F.lit(False)).count() == 0
+    assert katz.fit_and_score(df, F.lit(False))[1].count() == 0
