@@ -1,14 +1,19 @@
-"""What a line of a converted paper is, and operators on a document's lines. Everything is a Column expression over one document's row.
+"""What a line of a converted paper is, and operators on the lines of documents.
 
-A document's lines are an array, so no operator here shuffles; what must look at neighbouring lines folds over the array.
+Lines are rows (document, position, line). describe() adds what all rules look at, as flat columns, so that each is computed once and in generated
+code; FLAGS are conditions on these. What must look at neighbouring lines is a window over the document's positions: documents are
+dealt once, by row, and every window uses that. Texts are composed (NFC) whole before they are split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .text import clean_line, drop_citations, drop_control, let, match_key, normalize_whitespace, strip, strip_accents, strip_markdown, word_count
+from .text import clean_line, drop_citations, drop_control, fold, nfc, normalize_whitespace, strip, strip_markdown, word_count
 
 # Terms that mark lines, as match keys.
 BODY_START_TERMS = (
@@ -39,172 +44,176 @@ PUBLICATION = (
     r"|(?:corresponding\s+author|tác\s+giả\s+liên\s+hệ|email\s*:|e-mail\s*:)|(?:vol(?:ume)?\.?\s*\d+|no\.?\s*\d+|số\s+\d+|tập\s+\d+)\b)"
 )
 EMAIL_OR_URL = r"(?iU)(?:[\w.+-]+@[\w-]+(?:\.[\w-]+)+|https?://|www\.)"
-VIETNAMESE = r"(?iu)[àáạảãăắặẳẵâấậẩẫèéẹẻẽêếệểễìíịỉĩòóọỏõôốộổỗơớợởỡùúụủũưứựửữỳýỵỷỹđ]"
+VIETNAMESE = "àáạảãăắặẳẵâấậẩẫèéẹẻẽêếệểễìíịỉĩòóọỏõôốộổỗơớợởỡùúụủũưứựửữỳýỵỷỹđ"
 AFFILIATION_MARK = r"(?U)^\s*(?:\[\d+\]|\d+[,.\s]|[*†‡])"
 HEADING = r"(?U)^\s*#{1,6}\s"
 
 
 def has_term(key: Column, terms: tuple[str, ...]) -> Column:
-    return key.rlike("|".join(terms))
+    return reduce(lambda a, b: a | b, [F.contains(key, F.lit(t)) for t in terms])
 
 
 def has_vietnamese(text: Column) -> Column:
-    return text.rlike(VIETNAMESE)
+    """Whether there is any of the letters in either case: dropping them changes the text. A class of as many letters is slow as a pattern."""
+    return F.translate(text, VIETNAMESE + VIETNAMESE.upper(), "") != text
 
 
 def without_number(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, NUMBERED, ""), F.lit(" .:-–—"))
 
 
-def is_table(line: Column) -> Column:
-    return let(strip(line), lambda bare: bare.rlike(TABLE_RULE) | bare.rlike(TABLE_GRID) | (bare.rlike(TABLE_ROW) & (F.length(bare) >= 2)))
-
-
-def is_image(line: Column) -> Column:
-    marked = lambda low: low.startswith("(picture") | low.startswith("[image") | F.contains(low, F.lit("data:image/")) | F.contains(low, F.lit("<img"))
-    return let(strip(line), lambda bare: bare.rlike(IMAGE) | bare.rlike(IMAGE_REST) | let(F.lower(bare), marked))
-
-
-def is_section_boundary(text: Column) -> Column:
-    """Numbered, a heading, or short."""
-    return let(strip_markdown(text), lambda plain: (plain != "") & (plain.rlike(NUMBERED) | text.rlike(r"(?U)^\s*#{1,6}\s+") | ((word_count(plain) <= 14) & (F.length(plain) <= 140))))
-
-
-def is_publication_metadata(line: Column) -> Column:
-    by_term = lambda plain, key: (has_term(key, FRONT_MATTER_TERMS) & (word_count(plain) <= 20)) | (plain.rlike(AFFILIATION_MARK) & has_term(key, AFFILIATION_TERMS))
-    return let(strip_markdown(line), lambda plain: (plain != "") & (plain.rlike(PUBLICATION) | plain.rlike(EMAIL_OR_URL) | let(match_key(plain), lambda key: by_term(plain, key))))
-
-
-def is_front_matter(text: Column) -> Column:
-    return let(match_key(text), lambda key: (key != "") & ((has_term(key, FRONT_MATTER_TERMS) & ((word_count(text) <= 28) | is_section_boundary(text))) | is_publication_metadata(text)))
-
-
-def is_body_stop(text: Column) -> Column:
-    return let(strip_markdown(text), lambda plain: (plain != "") & has_term(match_key(without_number(plain)), BODY_STOP_TERMS) & is_section_boundary(plain))
-
-
-def has_body_start_term(text: Column) -> Column:
-    heading = lambda plain: has_term(match_key(without_number(plain)), BODY_START_TERMS) & is_section_boundary(plain)
-    return let(strip_markdown(text), lambda plain: (plain != "") & heading(plain) & ~is_front_matter(plain) & ~is_body_stop(plain))
+def is_author_name(token: Column) -> Column:
+    """Two to five words, each with a capital first and no digit, of four characters or more in all."""
+    return (F.length(strip(token)) >= 4) & strip(token).rlike(r"(?U)^\p{Lu}[^\s\p{Nd}]*(?:\s+\p{Lu}[^\s\p{Nd}]*){1,4}\z")
 
 
-def is_body_start(text: Column) -> Column:
-    heading = lambda plain: has_term(match_key(without_number(plain)), BODY_START_TERMS) & is_section_boundary(plain)
-    numbered = lambda plain: plain.rlike(NUMBERED) & has_vietnamese(plain) & (word_count(plain) <= 16)
-    return let(strip_markdown(text), lambda plain: (plain != "") & (heading(plain) | numbered(plain)) & ~is_front_matter(plain) & ~is_body_stop(plain))
+#: What rules look at: the line stripped, without Markdown, its match key, that of what follows a number, and counts of words.
+VIEWS = ("bare", "plain", "key", "head", "words", "all_words")
 
 
-def is_author_name(token: Column) -> Column:
-    """Two to five words, each with a capital first and no digit."""
-    parts = F.filter(F.split(strip(token), r"(?U)\s+"), lambda p: p != "")
-    return (F.length(strip(token)) >= 4) & F.size(parts).between(2, 5) & F.forall(parts, lambda p: p.rlike(r"^\p{Lu}") & ~p.rlike(r"\p{Nd}"))
+def describe(rows: DataFrame, line: str = "line") -> DataFrame:
+    """rows with the columns of VIEWS and one for each of FLAGS."""
+    text = F.col(line)
+    rows = rows.withColumns({"bare": strip(text), "plain": strip_markdown(text)})
+    plain = F.col("plain")
+    rows = rows.withColumns({"key": fold(plain), "head": fold(without_number(plain)), "words": word_count(plain), "all_words": word_count(text)})
+    terms = {"__front": has_term(F.col("key"), FRONT_MATTER_TERMS), "__numbered": plain.rlike(NUMBERED), "__details": plain.rlike(PUBLICATION) | plain.rlike(EMAIL_OR_URL), "__affiliated": plain.rlike(AFFILIATION_MARK) & has_term(F.col("key"), AFFILIATION_TERMS)}
+    rows = rows.withColumns({**terms, "__ruled": F.col("bare").rlike(RULE_LINE), "caption": (F.col("bare") != "") & text.rlike(CAPTION), "table": _table(F.col("bare")), "image": _image(F.col("bare"))})
+    some, short = plain != "", (F.col("words") <= 14) & (F.length("plain") <= 140)
+    publication = some & (F.col("__details") | (F.col("__front") & (F.col("words") <= 20)) | F.col("__affiliated"))
+    rows = rows.withColumns({"section_boundary": some & (F.col("__numbered") | text.rlike(HEADING) | short), "bounded": some & (F.col("__numbered") | short), "publication_metadata": publication})
+    front = lambda words, bounded: (F.col("key") != "") & ((F.col("__front") & ((F.col(words) <= 28) | F.col(bounded))) | F.col("publication_metadata"))
+    rows = rows.withColumns({"front_matter": front("all_words", "section_boundary"), "__front_plain": front("words", "bounded"), "body_stop": F.col("bounded") & has_term(F.col("head"), BODY_STOP_TERMS), "__start": F.col("bounded") & has_term(F.col("head"), BODY_START_TERMS)})
+    inside = some & ~F.col("__front_plain") & ~F.col("body_stop")
+    numbered = F.col("__numbered") & has_vietnamese(plain) & (F.col("words") <= 16)
+    plainly = F.col("__ruled") | F.col("caption") | F.col("table") | F.col("image")
+    flags = {"body_start_term": inside & F.col("__start"), "body_start": inside & (F.col("__start") | numbered), "author_name": is_author_name(text), "artifact": (F.col("bare") != "") & (plainly | F.col("publication_metadata")), "early_artifact": plainly | F.col("__details"), "junk": _junk(text)}
+    return rows.withColumns({**flags, "numbered": F.col("__numbered")}).drop("__front", "__numbered", "__details", "__affiliated", "__ruled", "__front_plain", "__start")
 
 
-def is_artifact(line: Column) -> Column:
-    """No body text: a rule, caption, table, image or publication detail."""
-    return let(strip(line), lambda bare: (bare != "") & (bare.rlike(RULE_LINE) | line.rlike(CAPTION) | is_table(bare) | is_image(bare) | is_publication_metadata(line)))
+def _table(bare: Column) -> Column:
+    return bare.rlike(TABLE_RULE) | bare.rlike(TABLE_GRID) | (bare.rlike(TABLE_ROW) & (F.length(bare) >= 2))
 
 
-def is_early_artifact(line: Column) -> Column:
-    """As is_artifact, but labels of abstract and keywords stay."""
-    return let(strip(line), lambda bare: bare.rlike(RULE_LINE) | line.rlike(CAPTION) | is_table(bare) | is_image(bare)) | let(strip_markdown(line), lambda plain: plain.rlike(PUBLICATION) | plain.rlike(EMAIL_OR_URL))
+def _image(bare: Column) -> Column:
+    low = F.lower(bare)
+    return bare.rlike(IMAGE) | bare.rlike(IMAGE_REST) | low.startswith("(picture") | low.startswith("[image") | F.contains(low, F.lit("data:image/")) | F.contains(low, F.lit("<img"))
 
 
-def is_junk(line: Column) -> Column:
-    """Only numbers, marks and one- or two-letter rests, and nothing Vietnamese; or under ten characters without a letter."""
-    rest = lambda t: t.rlike(r"^\d{1,4}\.*\z") | ~t.rlike(r"[\p{L}\p{N}]") | ((F.length(t) <= 2) & ~t.rlike(r"^\p{Nd}+\z"))
-    short = lambda tight: (F.length(tight) < 10) & ~tight.rlike(r"\p{L}")
+def _junk(line: Column) -> Column:
+    """Only numbers, marks and one- or two-letter rests, and nothing Vietnamese; or under ten characters without a letter.
 
-    def of(bare: Column) -> Column:
-        tokens = F.filter(F.split(bare, r"(?U)\s+"), lambda t: t != "")
-        return bare.rlike(r"(?U)\S") & ~bare.rlike(VIETNAMESE) & (F.forall(tokens, rest) | let(F.replace(bare, F.lit(" "), F.lit("")), short))
+    A token is such a rest if it is one to four digits and full stops, has no letter or digit, or has one or two characters that are not all digits.
+    """
+    text = drop_control(line)
+    other = r"(?U)(?<!\S)(?!(?:[0-9]{1,4}\.*|[^\s\p{L}\p{N}]+|(?!\p{Nd}+(?!\S))\S{1,2})(?!\S))\S"  # the start of a token that is no such rest
+    tight = F.replace(text, F.lit(" "), F.lit(""))
+    return text.rlike(r"(?U)\S") & ~has_vietnamese(text) & (~text.rlike(other) | ((F.length(tight) < 10) & ~tight.rlike(r"\p{L}")))
 
-    return let(drop_control(line), of)
 
+FLAGS = ("table", "image", "section_boundary", "publication_metadata", "front_matter", "body_stop", "body_start_term", "body_start", "author_name", "artifact", "early_artifact", "junk")
 
-FLAGS = {
-    "table": is_table, "image": is_image, "section_boundary": is_section_boundary, "publication_metadata": is_publication_metadata, "front_matter": is_front_matter, "body_stop": is_body_stop,
-    "body_start_term": has_body_start_term, "body_start": is_body_start, "author_name": is_author_name, "artifact": is_artifact, "early_artifact": is_early_artifact, "junk": is_junk,
-}
 
+# --- documents as rows of lines
 
-def flags(line: Column) -> Column:
-    """All of these at once, as a struct."""
-    return F.struct(*[f(line).alias(name) for name, f in FLAGS.items()])
+_ROW = "__row"
 
 
-# --- operators on the lines of a document
+def split_lines(text: Column) -> Column:
+    return F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)
 
 
-def split_lines(text: Column) -> Column:
-    return F.split(text, r"\r\n|[\n\r\x85  ]", -1)
+def lines_of(docs: DataFrame, key: str, text: str, split=split_lines) -> DataFrame:
+    """(row, key, pos, line): the lines of every document, composed and without control characters; null counts as empty."""
+    composed = docs.select(F.monotonically_increasing_id().alias(_ROW), F.col(key), nfc(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
+    return composed.select(_ROW, key, F.posexplode(split(drop_control(F.col("__text")))).alias("pos", "line"))
 
 
-def repeated_keys(keys: Column) -> Column:
-    """Keys of at most 100 characters that occur at least twice; found in the sorted array."""
-    again = lambda ordered: F.array_distinct(F.filter(ordered, lambda k, i: (i > 0) & (k == F.get(ordered, i - 1))))
-    return let(F.array_sort(F.filter(keys, lambda k: (k != "") & (F.length(k) <= 100))), again)
+def _place() -> object:
+    return W.partitionBy(_ROW).orderBy("pos")
 
 
-def drop_repeated(lines: Column, key=match_key) -> Column:
-    """Lines without all that occur at least twice in the document, but for body starts and numbered ones."""
-    stays = lambda x: is_body_start(x) | strip_markdown(x).rlike(NUMBERED)
+def mark_repeated(rows: DataFrame, key: Column, stays: Column, live: str = "live") -> DataFrame:
+    """live becomes false for lines whose key, of 100 characters at most, occurs at least twice in the document, but for those that stay."""
+    rows = rows.withColumn("__key", key)
+    counted = rows.withColumn("__n", F.count("*").over(W.partitionBy(_ROW, "__key")))
+    again = (F.col("__key") != "") & (F.length("__key") <= 100) & (F.col("__n") >= 2)
+    return counted.withColumn(live, F.col(live) & ~(again & ~stays)).drop("__key", "__n")
 
-    def kept(keyed: Column) -> Column:
-        return let(repeated_keys(F.transform(keyed, lambda x: x["key"])), lambda again: F.filter(keyed, lambda x: ~F.array_contains(again, x["key"]) | stays(x["line"])))
 
-    return F.transform(let(F.transform(lines, lambda x: F.struct(x.alias("line"), key(x).alias("key"))), kept), lambda x: x["line"])
+def mark_fenced(rows: DataFrame, live: str = "live") -> DataFrame:
+    """live becomes false for the marks of fenced blocks and all between them: an odd number of marks stands before it."""
+    fence = F.col(live) & F.col("bare").rlike("^(```|~~~)")
+    rows = rows.withColumn("__fence", fence).withColumn("__marks", F.sum(F.col("__fence").cast("int")).over(_place()))
+    return rows.withColumn(live, F.col(live) & ~F.col("__fence") & (F.col("__marks") % 2 == 0)).drop("__fence", "__marks")
 
 
-def outside_fences(lines: Column) -> Column:
-    """Lines that stand in no fenced block, without the fences."""
-    fence = lambda x: strip(x).rlike("^(```|~~~)")
-    start = F.struct(F.lit(False).alias("within"), F.array().cast("array<string>").alias("kept"))
-    added = lambda s, x, f: F.struct((s["within"] != f).alias("within"), F.when(f | s["within"], s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))
-    return F.aggregate(lines, start, lambda s, x: let(fence(x), lambda f: added(s, x, f)), lambda s: s["kept"])
+def mark_captions(rows: DataFrame, live: str = "live") -> DataFrame:
+    """live becomes false for tables, captions and up to two lines that go on from a caption; a blank line or a section boundary ends it.
 
+    Tables do not count. Among the other lines, one that cannot go on settles the state: after a caption two may follow, else none. Between such lines, a
+    line that could go on does so within two lines of the last caption; if it is a caption itself and too far away, it is the last one from there.
+    """
+    counts = F.col(live) & ~F.col("table")
+    goes_on = (F.col("bare") != "") & (F.length("bare") <= 170) & ~F.col("section_boundary")
+    rows = rows.withColumns({"__counts": counts, "__goes": goes_on}).withColumn("__settles", F.col("__counts") & ~F.col("__goes"))
+    rows = rows.withColumns({"__i": F.sum(F.col("__counts").cast("int")).over(_place()), "__part": F.sum(F.col("__settles").cast("int")).over(_place())})
+    part = W.partitionBy(_ROW, "__part").orderBy("pos")
+    whole = part.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    settled = F.first(F.when(F.col("__settles"), F.when(F.col("caption"), F.col("__i")).otherwise(F.lit(-9))), ignorenulls=True).over(whole)
+    both = F.collect_list(F.when(F.col("__counts") & F.col("__goes") & F.col("caption"), F.col("__i"))).over(whole)
+    rows = rows.withColumns({"__first": F.coalesce(settled, F.lit(-9)), "__both": both})
+    fired = F.aggregate("__both", F.array(F.col("__first")), lambda done, i: F.when(i - F.element_at(done, -1) > 2, F.concat(done, F.array(i))).otherwise(done))
+    gone = F.exists(fired, lambda f: (F.col("__i") - f).between(0, 2)) & (F.col("__goes") | F.col("caption"))
+    return rows.withColumn(live, F.col("__counts") & ~gone).drop("__counts", "__goes", "__settles", "__i", "__part", "__first", "__both")
 
-def drop_captions(lines: Column) -> Column:
-    """Lines without tables, captions and up to two lines that go on from a caption; a blank line or a section boundary ends it."""
-    start = F.struct(F.lit(0).alias("left"), F.array().cast("array<string>").alias("kept"))
 
-    def kinds(x: Column) -> Column:
-        bare = strip(x)
-        return F.struct(x.alias("line"), is_table(x).alias("table"), ((bare != "") & (F.length(bare) <= 170) & ~is_section_boundary(x)).alias("goes_on"), ((bare != "") & x.rlike(CAPTION)).alias("caption"))
+def mark_from(rows: DataFrame, stop: Column, live: str = "live") -> DataFrame:
+    """live becomes false from the first live line on that stop holds for."""
+    first = F.min(F.when(F.col(live) & stop, F.col("pos"))).over(W.partitionBy(_ROW))
+    return rows.withColumn("__stop", first).withColumn(live, F.col(live) & (F.col("__stop").isNull() | (F.col("pos") < F.col("__stop")))).drop("__stop")
 
-    def step(s: Column, x: Column) -> Column:
-        goes_on = (s["left"] > 0) & x["goes_on"]
-        left = F.when(x["table"], s["left"]).when(goes_on, s["left"] - 1).when(x["caption"], 2).otherwise(0)
-        return F.struct(left.alias("left"), F.when(x["table"] | goes_on | x["caption"], s["kept"]).otherwise(F.concat(s["kept"], F.array(x["line"]))).alias("kept"))
 
-    return F.aggregate(F.transform(lines, kinds), start, step, lambda s: s["kept"])
+def joined_lines(rows: DataFrame, key: str, line: Column, name: str = "text") -> DataFrame:
+    """(key, text): the live lines of every document in order; empty where none is left."""
+    row = F.when(F.col("live"), F.struct("pos", line.alias("line")))
+    out = rows.groupBy(_ROW, key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["line"]), "\n").alias(name))
+    return out.drop(_ROW)
 
 
-def before_first(lines: Column, stop) -> Column:
-    """Lines up to the first that stop holds for."""
-    cut = lambda all_, at: F.when(at > 0, F.slice(all_, F.lit(1), (at - 1).cast("int"))).otherwise(all_)
-    return let(lines, lambda all_: let(F.array_position(F.transform(all_, lambda x: stop(x).cast("int")), 1), lambda at: cut(all_, at)))
+def _repeated_noise(rows: DataFrame) -> DataFrame:
+    return mark_repeated(describe(rows.withColumn("live", F.lit(True))), F.col("key"), F.col("body_start") | F.col("numbered"))
 
 
-def _tidy(lines: Column) -> Column:
-    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+def preclean(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text): Markdown without repeated lines, fenced blocks, tables, captions and other artifacts; headings and order stay."""
+    rows = mark_captions(mark_fenced(_repeated_noise(lines_of(docs, key, text))))
+    rows = rows.withColumn("live", F.col("live") & ~F.col("early_artifact"))
+    out = joined_lines(rows, key, F.regexp_replace("line", r"(?U)\s+\z", ""))
+    return out.withColumn("text", strip(F.regexp_replace("text", r"\n{3,}", "\n\n")))
 
 
-def preclean(text: Column) -> Column:
-    """Markdown without repeated lines, fenced blocks, tables, captions and other artifacts; headings and order stay."""
-    lines = drop_repeated(split_lines(drop_control(F.coalesce(text, F.lit("")))))
-    lines = drop_captions(outside_fences(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+\z", ""))))
-    return _tidy(F.filter(lines, lambda x: ~is_early_artifact(x)))
+def clean_body(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text): body text up to the first stop heading, without artifacts, junk lines, citations and heading marks."""
+    rows = _repeated_noise(lines_of(docs, key, text, lambda x: F.split(x, "\n", -1)))
+    rows = mark_captions(mark_from(rows, F.col("body_stop")))
+    rows = rows.withColumn("live", F.col("live") & ~F.col("artifact") & ~F.col("junk")).withColumn("__said", drop_citations(F.col("line")))
+    said = F.col("__said")
+    tidy = F.when(said.rlike(HEADING), clean_line(F.regexp_replace(said, r"(?U)^\s*#{1,6}\s+", ""))).otherwise(normalize_whitespace(said))
+    out = joined_lines(rows, key, tidy)
+    return out.withColumn("text", strip(F.regexp_replace(F.regexp_replace("text", r"(?U)\s+([.,;:!?])", "$1"), r"\n{3,}", "\n\n")))
 
 
-def clean_body(text: Column) -> Column:
-    """Body text up to the first stop heading, without artifacts, junk lines, citations and heading marks."""
-    lines = drop_repeated(F.split(drop_control(F.coalesce(text, F.lit(""))), "\n", -1))
-    lines = F.filter(drop_captions(before_first(lines, is_body_stop)), lambda x: ~is_artifact(x) & ~is_junk(x))
+def drop_repeated(docs: DataFrame, key: str, text: str, match=None) -> DataFrame:
+    """(key, text): texts without lines that are repeated within the document; match gives the key that lines are compared by, else their match key."""
+    rows = lines_of(docs, key, text, lambda x: F.split(x, "\n", -1)).withColumn("live", F.lit(True))
+    if match is None:
+        return joined_lines(_repeated_noise(rows.drop("live")), key, F.col("line"))
+    return joined_lines(mark_repeated(rows, match(F.col("line")), F.lit(False)), key, F.col("line"))
 
-    def tidy(x: Column) -> Column:
-        plain = lambda bare: F.when(bare.rlike(HEADING), clean_line(F.regexp_replace(bare, r"(?U)^\s*#{1,6}\s+", ""))).otherwise(normalize_whitespace(bare))
-        return let(drop_citations(x), plain)
 
-    joined = F.array_join(F.transform(lines, tidy), "\n")
-    return strip(F.regexp_replace(F.regexp_replace(joined, r"(?U)\s+([.,;:!?])", "$1"), r"\n{3,}", "\n\n"))
+def truncate(docs: DataFrame, key: str, text: str, stop) -> DataFrame:
+    """(key, text, lines): lines up to the first that stop holds for, and their number."""
+    rows = mark_from(lines_of(docs, key, text, lambda x: F.split(x, "\n", -1)).withColumn("live", F.lit(True)), stop(F.col("line")))
+    rows = rows.withColumn("__left", F.count_if("live").over(W.partitionBy(_ROW)))
+    return joined_lines(rows.withColumn(key, F.struct(key, "__left")), key, F.col("line")).select(F.col(f"{key}.{key}").alias(key), "text", F.col(f"{key}.__left").alias("lines"))

@@ -84,10 +84,14 @@ def clean_line(text: Column) -> Column:
     return normalize_whitespace(strip_markdown(drop_control(text)))
 
 
+def fold(plain: Column) -> Column:
+    """Letters and digits without accents or case, single spaces."""
+    return normalize_whitespace(F.regexp_replace(F.lower(strip_accents(plain)), r"(?U)[\W_]+", " "))
+
+
 def match_key(text: Column) -> Column:
-    """What two lines must share to count as the same: letters and digits without accents or case, single spaces."""
-    plain = F.lower(strip_accents(strip_markdown(text)))
-    return normalize_whitespace(F.regexp_replace(plain, r"(?U)[\W_]+", " "))
+    """What two lines must share to count as the same. Composed letters or decomposed ones make no difference."""
+    return fold(strip_markdown(text))
 
 
 def word_count(text: Column) -> Column:
@@ -110,7 +114,8 @@ def clean_author_column(text: Column) -> Column:
 
 
 def escape_sql(text: Column) -> Column:
-    return F.coalesce(F.replace(drop_control(text), F.lit("'"), F.lit("''")), F.lit("NULL"))
+    """Control characters dropped (DEL stays), quotes doubled; NULL for null."""
+    return F.coalesce(F.replace(drop_illegal(text), F.lit("'"), F.lit("''")), F.lit("NULL"))
 
 
 def words(text: Column) -> Column:
@@ -177,8 +182,8 @@ def clean_metadata(text: Column) -> Column:
 
 
 def clean_question_text(text: Column) -> Column:
-    """Without unprintable characters, white space single."""
-    return strip(F.regexp_replace(F.regexp_replace(text, r"[\p{C}&&[^\n\t]]", ""), r"(?U)\s+", " "))
+    """Composed, without unprintable characters, white space single."""
+    return strip(F.regexp_replace(F.regexp_replace(nfc(text), r"[\p{C}&&[^\n\t]]", ""), r"(?U)\s+", " "))
 
 
 def drop_null_bytes(text: Column) -> Column:
@@ -218,11 +223,15 @@ def strong_clean(text: Column, *, normalize_first: bool = False, compose: bool =
 
 
 def merge_lines(lines: Column, shortest: int = 60) -> Column:
-    """Lines with short ones appended to the line before, unless that is empty or ends a sentence; lines are stripped."""
+    """Lines with short ones appended to the line before, unless that is empty or ends a sentence; lines are stripped.
+
+    Whether a line is appended depends on it and the one before alone, so each is written with what stands before it and all are joined once.
+    """
     bare = F.transform(lines, strip)
-    starts = F.transform(bare, lambda line, i: F.struct(line.alias("line"), ((line == "") | (F.length(line) >= shortest) | (i == 0) | F.coalesce(F.get(bare, i - 1).rlike(r"[.:?!;]\z"), F.lit(True)) | (F.coalesce(F.get(bare, i - 1), F.lit("")) == "")).alias("new")))
-    out = F.aggregate(starts, F.lit("").cast("string"), lambda done, x: F.when(x["new"], F.concat(done, F.lit("\n"), x["line"])).otherwise(F.concat(done, F.lit(" "), x["line"])))
-    return F.split(F.substring(out, 2, 2**31 - 1), "\n", -1)
+    before = lambda i: F.coalesce(F.get(bare, i - 1), F.lit(""))
+    starts = lambda line, i: (line == "") | (F.length(line) >= shortest) | (before(i) == "") | before(i).rlike(r"[.:?!;]\z")
+    parts = F.transform(bare, lambda line, i: F.concat(F.when(i == 0, F.lit("")).when(starts(line, i), F.lit("\n")).otherwise(F.lit(" ")), line))
+    return F.split(F.array_join(parts, ""), "\n", -1)
 
 
 def clean_academic_text(text: Column) -> Column:

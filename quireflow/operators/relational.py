@@ -127,12 +127,19 @@ def reject_reason(*, path: Column, body: Column, full: Column, has_summary: Colu
 
 def sql_dump(df: DataFrame, table: str, *, quote_nulls: bool = False) -> DataFrame:
     """One INSERT statement per row: control characters dropped, quotes doubled, nulls as NULL (or the quoted text, as older dumps have it)."""
-    clean = lambda c: F.replace(F.regexp_replace(F.col(c).cast("string"), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), F.lit("'"), F.lit("''"))
+    clean = lambda c: F.replace(F.regexp_replace(F.col(c).cast("string"), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), F.lit("'"), F.lit("''"))
     value = lambda c: F.coalesce(F.concat(F.lit("'"), clean(c), F.lit("'")), F.lit("'NULL'" if quote_nulls else "NULL"))
     values = F.concat_ws(", ", *[value(c) for c in df.columns])
     return df.select(F.concat(F.lit(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ("), values, F.lit(");")).alias("statement"))
 
 
+def sql_script(df: DataFrame, table: str, *, quote_nulls: bool = False) -> DataFrame:
+    """(n, statement): the statements that make the table anew, in the order of n; all columns are texts."""
+    make = [f"DROP TABLE IF EXISTS {table};", f"CREATE TABLE {table} ({', '.join(f'{c} TEXT' for c in df.columns)});"]
+    head = df.sparkSession.createDataFrame(list(enumerate(make)), "n int, statement string")
+    return head.unionByName(sql_dump(df, table, quote_nulls=quote_nulls).withColumn("n", F.lit(2)))
+
+
 def cache_seconds(pending: Column) -> Column:
     """How long a list may be cached: 10 s while something is pending, else 300 s."""
     return F.when(pending, 10).otherwise(300)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import checks, papers, projects, questions, streams
+from . import checks, papers, projects, questions, records, streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (projects, checks, papers, questions, streams):
+for _module in (projects, records, checks, papers, questions, streams):
     QUERIES |= _module.ADD.queries
     ORACLES |= _module.ADD.oracles

@@ -104,7 +104,7 @@ def stuck_recovery(spark, d):
     return R.recover_stuck(docs, table(spark, d, "labels").withColumnRenamed("doc_id", "document_id")).select("id", "status", "chunks")
 
 
-@ADD(f"SELECT source, bool_or({_STATUS_SQL} IN ('uploaded', 'processing')) AS pending, CASE WHEN bool_or({_STATUS_SQL} IN ('uploaded', 'processing')) THEN 10 ELSE 300 END::INT AS ttl FROM documents WHERE doc_id % 2 = 0 OR n_chars > 1000 GROUP BY source")
+@ADD(f"SELECT source, bool_or({_STATUS_SQL} IN ('uploaded', 'processing')) AS pending, CASE WHEN bool_or({_STATUS_SQL} IN ('uploaded', 'processing')) THEN 10 ELSE 300 END::INT AS ttl FROM documents GROUP BY source")
 def pending_ttl(spark, d):
     docs = table(spark, d, "documents").withColumn("status", _status())
     return docs.groupBy("source").agg(F.bool_or(F.col("status").isin("uploaded", "processing")).alias("pending")).withColumn("ttl", R.cache_seconds(F.col("pending")))

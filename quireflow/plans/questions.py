@@ -13,7 +13,7 @@ from .registry import Registry, table
 ADD = Registry()
 
 _SCORED = """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE vec_id % 20 = 0),
 c AS (SELECT vec_id AS chunk_id, source, embedding::DOUBLE[] AS b, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS m FROM embeddings JOIN documents ON doc_id = vec_id),
 s AS (SELECT query_id, chunk_id, source, round(list_dot_product(a, b) / (n * m), 9) AS score FROM q, c WHERE query_id <> chunk_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM s)
@@ -83,16 +83,17 @@ def history_block(spark, d):
 
 
 def _found(spark, d):
-    """Documents of a source as what was found for it, in order of id."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("query_id"), "doc_id", F.substring("text", 1, 120).alias("text"))
-    return docs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id"))).where("rank <= 30")
+    """The whole texts of the documents that were found for each query, best first."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id"), "text")
+    return _retrieved(spark, d, True, k=20).select("query_id", "chunk_id", "rank").join(docs, "chunk_id").drop("chunk_id")
 
 
-_SOURCES = r"""
-WITH f AS (SELECT source AS query_id, doc_id, regexp_replace(substr(text, 1, 120), '^\s+|\s+$', '', 'g') AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
-u AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY rank) AS n FROM f WHERE rank <= 30 AND length(text) > 40),
+_SOURCES = _SCORED.replace("SELECT query_id, chunk_id, source, rank FROM r WHERE rank <= 5 AND ", r"""
+f AS (SELECT query_id, chunk_id AS doc_id, rank FROM r WHERE rank <= 20 AND (score >= 0.38 OR best < 0.38)),
+t AS (SELECT query_id, doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, rank FROM f JOIN documents USING (doc_id)),
+u AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY rank) AS n FROM t WHERE length(text) > 40),
 s AS (SELECT query_id, doc_id, text, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS source FROM u WHERE n = 1)
-"""
+""").replace("AS best FROM s)", "AS best FROM s),").replace("s AS (SELECT query_id, chunk_id, source, round", "p AS (SELECT query_id, chunk_id, source, round").replace("AS best FROM s)", "AS best FROM p)")
 
 
 @ADD(_SOURCES + "SELECT query_id, doc_id, source FROM s")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,6 +12,14 @@ from .registry import Registry, table
 ADD = Registry()
 
 
+def _place(spark) -> str:
+    """A folder of its own where the whole cluster can read and write."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 @ADD("SELECT user_id, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id")
 def lifecycle_latest(spark, d):
     return I.latest_state(table(spark, d, "events"), "user_id", "event_type", "ts", "event_id").select("user_id", "state")
@@ -33,8 +41,21 @@ def expired_uploads(spark, d):
 def stream_ingest_counts(spark, d):
     """The events table read as a stream and appended batch by batch; the result is what was written."""
     schema = table(spark, d, "events").schema
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    place = f"{folder.rstrip('/')}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    place = _place(spark)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     I.run_available(stream, lambda batch, n: batch.select("event_type").write.mode("append").parquet(f"{place}/out"), f"{place}/checkpoint")
     return spark.read.parquet(f"{place}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@ADD("""
+WITH e AS (SELECT event_id % 500 AS document_id, CASE event_type WHEN 'purchase' THEN 'indexed' ELSE 'processing' END AS status, ts, event_id FROM events),
+l AS (SELECT document_id, max_by(status, (ts, event_id)) AS status, max(ts) AS ts FROM e GROUP BY document_id)
+SELECT document_id, CASE WHEN status = 'processing' AND ts + INTERVAL 20 MINUTE <= (SELECT max(ts) FROM e) - INTERVAL 10 MINUTE THEN 'failed' ELSE status END AS status FROM l""")
+def lifecycle_stream(spark, d):
+    """States of documents from a stream of their changes; one without news for 20 minutes of event time fails. Batches are numbered, the last state of each is kept."""
+    place, source = _place(spark), table(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    status = F.when(F.col("event_type") == "purchase", "indexed").otherwise("processing")
+    states = I.lifecycle(stream.select((F.col("event_id") % 500).alias("document_id"), status.alias("status"), "ts", "event_id"), order=("ts", "event_id"))
+    I.run_available(states, lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{place}/out"), f"{place}/checkpoint", "update")
+    return spark.read.parquet(f"{place}/out").groupBy("document_id").agg(F.max_by("status", "batch").alias("status"))

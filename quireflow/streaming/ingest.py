@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def run_available(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def run_available(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Processes all there is, batch by batch, exactly as often as the checkpoint lacks it, and stops."""
-    query = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(process).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -39,10 +39,10 @@ def expired(docs: DataFrame, now, minutes: int = 20) -> DataFrame:
     return docs.withColumn("status", F.when(late, "failed").otherwise(F.col("status")))
 
 
-def lifecycle(events: DataFrame, key: str = "document_id", minutes: int = 20) -> DataFrame:
+def lifecycle(events: DataFrame, key: str = "document_id", minutes: int = 20, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """(document_id, status) changes from a stream of (document_id, status, ts); an unfinished document without news for so many minutes fails.
 
-    State per document is its last status and time.
+    State per document is its last status and time; changes of one batch count in the order of columns.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,7 +54,7 @@ def lifecycle(events: DataFrame, key: str = "document_id", minutes: int = 20) ->
             return
         status, at = state.get if state.exists else (None, -1)
         for frame in frames:
-            for row in frame.sort_values("ts").itertuples():
+            for row in frame.sort_values(list(order)).itertuples():
                 ms = int(row.ts.timestamp() * 1000)
                 if ms >= at:
                     status, at = row.status, ms

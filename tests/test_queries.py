@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quireflow.functions import html, lines, text
-from quireflow.operators import retrieval
+from quireflow.operators import records, retrieval
 from quireflow.plans import catalogue
+from quireflow.sources import readers
+from quireflow.streaming import ingest
 
 
 def one(spark, value, f):
@@ -24,7 +28,7 @@ def test_same_as_sql(same_as_sql, name):
     same_as_sql(catalogue.QUERIES[name], catalogue.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - {"html_metadata"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs_without_sql(spark, name):
     df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert df.columns and df.count() > 0
@@ -74,17 +78,6 @@ def test_whole_tables(spark, papers):
         (text.clean_paragraph, "seg- mentation works [1, 2] well", "segmentation works well"),
         (text.strong_clean, "head INTRODUCTION a\n\nb REFERENCES c", "INTRODUCTION a b"),
         (text.strong_clean, None, ""),
-        (lines.is_table, "| a | b |", True),
-        (lines.is_image, "![x](y.png)", True),
-        (lines.is_junk, "12 3 - x", True),
-        (lines.is_junk, "a plain sentence of words", False),
-        (lines.is_body_stop, "## References", True),
-        (lines.is_body_start, "1. Introduction", True),
-        (lines.is_author_name, "Nguyen Van An", True),
-        (lines.is_author_name, "nguyen van an", False),
-        (lines.preclean, "Head\nsame\nbody of it\nsame\n```\ncode\n```\nend", "Head\nbody of it\nend"),
-        (lines.preclean, None, ""),
-        (lines.clean_body, "A first line of the body\n## References\n[1] gone", "A first line of the body"),
     ],
 )
 def test_on_literals(spark, f, value, wanted):
@@ -92,10 +85,130 @@ def test_on_literals(spark, f, value, wanted):
     assert " ".join(got.split(" ")) == wanted if isinstance(got, str) else got == wanted
 
 
+def of(spark, value, f, **how):
+    df = f(spark.createDataFrame([(1, value)], "id long, x string"), "id", "x", **how).drop("id")
+    rows = df.collect()
+    return (rows[0] if len(df.columns) > 1 else rows[0][0]) if rows else None
+
+
+@pytest.mark.parametrize(
+    ("f", "value", "wanted"),
+    [
+        (lines.preclean, "Head\nsame\nbody of it\nsame\n```\ncode\n```\nend", "Head\nbody of it\nend"),
+        (lines.preclean, None, ""),
+        (lines.preclean, "a\n| t | u |\nBảng 1. x\n\nb\n---\nHình 2: y\nc", "a\n\nb\nc"),
+        (lines.clean_body, "A first line of the body\n## References\n[1] gone", "A first line of the body"),
+        (lines.clean_body, "## **Head** [1,2]\nsome  text (3) .\n12 3 - x\nmore", "Head\nsome text.\nmore"),
+        (lines.clean_body, "same\nsame\n", ""),
+        (lines.clean_body, None, ""),
+    ],
+)
+@pytest.mark.parametrize("form", ["NFC", "NFD"])
+def test_documents_as_lines(spark, f, value, wanted, form):
+    """Composed and decomposed letters make no difference."""
+    assert of(spark, value and unicodedata.normalize(form, value), f) == wanted
+
+
+def test_captions_as_read_line_by_line(spark):
+    """Against the rule as a loop over lines, with long captions that could go on from others."""
+    r = random.Random(5)
+    kinds = {"cap": "Hình 1. " + "dài hơn " * 17, "short": "Bảng 2: x", "long": "dòng chữ " * 17, "blank": "", "table": "| a |", "plain": "ngắn"}
+    docs = [[r.choice(list(kinds)) for _ in range(r.randrange(1, 25))] for _ in range(60)]
+    rows = [(i, "\n".join(kinds[k] + (f" {n}" if k not in ("blank", "table") else "") for n, k in enumerate(d))) for i, d in enumerate(docs)]
+    marked = lines.mark_captions(lines.describe(lines.lines_of(spark.createDataFrame(rows, "id long, x string"), "id", "x")).withColumn("live", F.lit(True)))
+    got: dict = {}
+    for x in marked.orderBy("id", "pos").collect():
+        got.setdefault(x.id, []).append(x)
+    for i in range(len(docs)):
+        left, want = 0, []
+        for x in got[i]:
+            goes_on = left > 0 and x.bare != "" and len(x.bare) <= 170 and not x.section_boundary
+            if x.table:
+                want.append(False)
+                continue
+            want.append(not goes_on and not x.caption)
+            left = left - 1 if goes_on else 2 if x.caption else 0
+        assert [x.live for x in got[i]] == want
+
+
 def test_page_metadata(spark):
     page = "<h1>A title of a paper</h1><p>Nguyen Van An, Tran Thi Binh</p><p>Tóm tắt: What it says. Từ khóa: one, two</p>"
-    got = one(spark, page, lambda x: text.let(html.tags(x), html.metadata))
-    assert (got.title, got.authors, got.abstract, got.keywords) == ("A title of a paper", "Nguyen Van An, Tran Thi Binh", "What it says", "one, two")
+    for form in ("NFC", "NFD"):
+        got = html.metadata(spark.createDataFrame([(1, unicodedata.normalize(form, page))], "id long, x string"), "id", F.col("x")).first()
+        assert (got.title, got.authors, got.abstract, got.keywords) == ("A title of a paper", "Nguyen Van An, Tran Thi Binh", "What it says", "one, two")
+    assert tuple(html.metadata(spark.createDataFrame([(1, None), (2, "no tags")], "id long, x string"), "id", F.col("x")).orderBy("id").collect()[1])[1:] == ("", "", "", "")
+
+
+PAPER = (
+    "<h1>A title of a paper</h1><p>Nguyen Van An, Tran Thi Binh</p><p>Abstract: said before. Keywords: one, two</p><h2>1. Introduction</h2><p>The text of the intro- duction [1, 2] is here .</p>"
+    "<table><tr><td><div><p>cell that is hidden</p></div></td></tr></table><ol start='3'><li>third thing</li><li>fourth<table><tr><td>no</td></tr></table> thing</li></ol><ul><li>dotted</li></ul>"
+    "<pre><p>code</p></pre><h2>References</h2><p>[1] A book that is left out of the body</p>"
+)
+
+
+def test_bodies_of_pages(spark):
+    assert of(spark, PAPER, html.body_text) == "1. Introduction\n\nThe text of the introduction is here.\n\n3. third thing\n4. fourth thing\n\n- dotted"
+    assert of(spark, "<p>short</p>", html.body_text) is None and of(spark, None, html.body_text) is None
+    got = of(spark, PAPER, html.record)
+    assert (got.title, got.authors, got.content[:15]) == ("A title of a paper", "Nguyen Van An, Tran Thi Binh", "1. Introduction")
+    assert tuple(of(spark, None, html.record)) == ("",) * 5
+    raw = of(spark, PAPER, html.raw_text)
+    assert raw.startswith("Tiêu đề: A title of a paper\nTác giả: Nguyen Van An, Tran Thi Binh\n\n") and "hidden" not in raw and "#" not in raw and raw.count("A title of a paper") == 1
+    late = "<h3>Alpha beta</h3>" + "<p>Received: 1 May 2020</p>" + "<h3>Gamma delta</h3><p>Words of the body that go on for quite a while and then for some more of it.</p>"
+    assert of(spark, late, html.body_text).startswith("Gamma delta")
+
+
+def test_crawl_follows_archive_issues_and_articles(spark):
+    pages = [
+        ("http://j/archive/1", "<a class='title' href='http://j/issue/view/1'>I1</a><a href='http://j/issue/view/9'>no</a><a class='title' href='http://j/about'>no</a>"),
+        ("http://j/issue/view/1", "<div class='obj_article_summary'><h3 class='title'><a href='http://j/a1'> One </a></h3></div><div class='obj_article_summary'><div class='title'><a href='http://j/a2'>Two</a></div></div><div class='obj_article_summary'><p>none</p></div>"),
+        ("http://j/a1", "<section class='item abstract'>Tóm tắt It says</section><section class='item authors'>An</section><a class='obj_galley_link pdf' href='http://j/article/view/1'>PDF</a>"),
+    ]
+    got = html.crawl(spark.createDataFrame(pages, "url string, html string"), "http://j/archive").orderBy("n").collect()
+    assert [(r.n, r.title, r.author, r.abstract, r.pdf_url) for r in got] == [(1, "One", "An", "It says", "http://j/article/download/1"), (2, "Two", "N/A", "N/A", None)]
+    assert html.crawl(spark.createDataFrame(pages, "url string, html string"), "http://j/archive", wanted=1).count() == 1
+
+
+def test_files_in_and_out(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "quoted"\nline'), (2, None)], "id long, x string")
+    place = f"file://{tmp_path}"
+    readers.write_csv(rows, f"{place}/csv")
+    assert sorted(map(tuple, readers.csv(spark, f"{place}/csv", "id long, x string").collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    readers.write_log(rows, f"{place}/log")
+    assert {x.value for x in spark.read.text(f"{place}/log").collect()} == {'{"id":1,"x":"a \\"quoted\\"\\nline"}', '{"id":2}'}
+    (tmp_path / "docs").mkdir()
+    for name, body in (("a.pdf", b"%PDF one|two| "), ("b.pdf", b"bad"), ("c.txt", b"no")):
+        (tmp_path / "docs" / name).write_bytes(body)
+
+    def strict(content: bytes) -> list[str]:
+        if not content.startswith(b"%PDF"):
+            raise ValueError("no PDF")
+        return content[5:].decode().split("|")
+
+    found = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in readers.extracted(readers.files(spark, f"{place}/docs"), [strict], missing="N/A").collect()}
+    assert found == {"a.pdf": ("one\ntwo", None), "b.pdf": ("N/A", "ValueError: no PDF")}
+    kept = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(x).alias("text")) for t, x in ((0, " a "), (1, "image"), (0, " "), (0, "b"))])
+    assert spark.range(1).select(readers.page_text(kept).alias("t")).first().t == "a\nb"
+    spark.createDataFrame([("u", "a@b.c")], "id string, email string").write.parquet(f"{place}/users.parquet")
+    assert readers.declared(spark, f"{place}/users.parquet", "users").columns[:3] == ["id", "email", "full_name"]
+    with pytest.raises(LookupError):
+        records.one_or_404(rows, id=9)
+    with pytest.raises(ValueError, match="several"):
+        records.one_or_404(rows.union(rows), id=1)
+
+
+def test_streams_read_a_folder(spark, tmp_path):
+    place = f"file://{tmp_path}"
+    for n in range(3):
+        spark.range(n * 10, n * 10 + 10).write.parquet(f"{place}/in/{n}.parquet")
+    seen = lambda: spark.read.parquet(f"{place}/out").count()
+    stream = lambda: ingest.read_folder(spark, f"{place}/in/*.parquet", "id long", files=1)
+    run = lambda: ingest.run_available(stream(), lambda batch, n: batch.write.mode("append").parquet(f"{place}/out"), f"{place}/check")
+    run()
+    assert seen() == 30
+    spark.range(100, 105).write.parquet(f"{place}/in/9.parquet")
+    run()  # after a restart only what is new is read
+    assert seen() == 35
 
 
 def test_searches_ask_with_every_twentieth_vector(spark):
