@@ -35,7 +35,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 def grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(bucket of the n-gram that ends at each character, for each order; offsets of the texts in these; letters in each text).
 
-    Letters count in lower case, all else as a space. Each text is read as if it stood between spaces, so n-grams never span two texts.
+    Letters count in lower case, all else as a space. Each text is read as if it stood between spaces, two of which end it, so n-grams never span two texts.
     """
     fold, letter = _tables()
     rows = texts.fill_null("").to_pylist()
@@ -43,7 +43,7 @@ def grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     sizes = np.array([len(r) for r in rows], np.int64)
     starts = 2 + np.concatenate([[0], np.cumsum(sizes + 2)])[:-1]
     letters = np.concatenate([[0], np.cumsum(letter[codes])])
-    offsets = np.append(starts - 1, len(codes) - 1)
+    offsets = np.append(starts, len(codes))
     low = fold[codes].astype(np.uint64)
     out, key = [], np.zeros(len(codes), np.uint64)
     for n in ORDERS:
