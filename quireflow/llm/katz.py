@@ -36,8 +36,8 @@ from .words import mix, pieces, words
 
 #: Words of an n-gram; counts up to KEPT are discounted by Good-Turing; tokens of a target and of a part.
 ORDER, KEPT, EPSILON, TARGET_TOKENS, PART_TOKENS = 3, 5, 1e-3, 1_500_000, 1_000_000
-#: Bits of a hash that an entry carries beside those that name its target. Of TARGET_TOKENS n-grams two share them with a chance of about 0.004.
-BITS = 48
+#: Bits of a hash that an entry carries beside those that name its target. Of TARGET_TOKENS n-grams any two share them with a chance of about 0.06.
+BITS = 44
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Kinds of rows: what a part asks, what it is answered, and what a target keeps.
 ASK, ANSWER, KEEP = range(3)
@@ -46,11 +46,19 @@ _PARTS = "part long, body binary, docs long, learnt long, tokens long"
 
 
 def pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    """Arrays of numbers, each as its lowest bytes, then its second lowest and so on, which compresses best; anything else as it is."""
+    plain = [("", a) if not isinstance(a, np.ndarray) else (a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()) for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(plain, protocol=5))
 
 
 def unpack(body: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(body))
+    out = []
+    for kind, value in pickle.loads(zstandard.ZstdDecompressor().decompress(body)):
+        if kind:
+            wide = np.dtype(kind).itemsize
+            value = np.ascontiguousarray(np.frombuffer(value, np.uint8).reshape(wide, -1).T).reshape(-1).view(kind)
+        out.append(value)
+    return tuple(out)
 
 
 def discounts(of: dict[int, int]) -> np.ndarray:
@@ -102,7 +110,7 @@ class Part:
         """(hashes of the n-grams that end at each token, those of their histories), for n = 1 to order; a single word's history is empty."""
         grams, histories, start = [mix(self.words)], [np.zeros(len(self.words), np.uint64)], np.uint64(0)
         for _ in range(1, order):
-            start = mix(start * np.uint64(0x9E3779B97F4A7C15) + START)
+            start = mix(np.array([start]) * np.uint64(0x9E3779B97F4A7C15) + START)[0]
             histories.append(self.after(grams[-1], start))
             grams.append(mix(histories[-1] * np.uint64(0x9E3779B97F4A7C15) + self.words))
         return grams, histories
@@ -119,9 +127,13 @@ def encoded(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             ids, out, sizes, all_words = [x for h in held for x in h[0]], *(np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
-            distinct, place = np.unique(all_words, return_inverse=True)
+            distinct, place, often = np.unique(all_words, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words have small numbers
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            distinct, place = distinct[order], rank[place]
             learnt = int(sizes[~out].sum())
-            body = pack(ids, out, sizes, place.astype(np.uint32), distinct)
+            body = pack(ids, out, sizes.astype(np.int64), place, distinct)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([body], pa.binary()), pa.array([int((~out).sum())], pa.int64()), pa.array([learnt], pa.int64()), pa.array([len(all_words)], pa.int64())], names=["part", "body", "docs", "learnt", "tokens"])
 
         for batch in batches:
@@ -145,7 +157,7 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(level: int, part: int, bits: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """Rows of what a part asks of each target about sorted distinct hashes, with a value of each kind for every hash."""
+    """Rows of what a part asks of each target about sorted distinct hashes, with a value of each kind for every hash. There are 2**bits targets."""
     cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
     cuts = [0, *cuts, len(keys)]
     low = _low(keys, bits)
@@ -285,7 +297,7 @@ def weighed(parts: DataFrame, counts: DataFrame, totals: Totals, stored: DataFra
             covered = np.bincount(place[: len(at)], discounted(shorter_count, totals.tables[level - 2]), len(keys))
             needed = np.zeros(len(keys), bool)
             needed[place[len(at) :]] = True
-            out += _dealt(level, number, totals.bits, keys, spent, told.of[level - 1][own], covered, told.of[level - 2][own], needed)
+            out += _dealt(level, number, totals.bits, keys, spent, told.of[level - 1][own].astype(np.uint32), covered, told.of[level - 2][own].astype(np.uint32), needed)
         return pa.Table.from_batches([_batch(out)])
 
     def weigh(rows: pa.Table) -> pa.Table:
