@@ -47,7 +47,7 @@ _PARTS = "part long, body binary, docs long, learnt long, tokens long"
 
 def pack(*arrays) -> bytes:
     """Arrays of numbers, each as its lowest bytes, then its second lowest and so on, which compresses best; anything else as it is."""
-    plain = [("", a) if not isinstance(a, np.ndarray) else (a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()) for a in arrays]
+    plain = [("", a) if not isinstance(a, np.ndarray) else (a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes()) for a in arrays]
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(plain, protocol=5))
 
 
