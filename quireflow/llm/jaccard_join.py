@@ -485,9 +485,10 @@ def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFr
     x = kinds.select(*[F.col(c).alias(f"x_{c}") for c in kinds.columns])
     neighbours = F.expr("x_family = family and (x_band = band - 1 or x_band = band) and (x_only is null or only is null or x_only <> only)")
     pairs = x.join(kinds, neighbours).where("x_band < band or x_only is null or only is null or x_only < only")
-    if pairs.isEmpty():
+    mixed = tables.written(pairs.select("family").distinct(), "mixed")  # families that are not yet one component
+    if mixed.isEmpty():
         return links
-    named = tables.written(packed.join(whole, key).select(*key, "only", "least", F.col("union").alias("grams")), "unions")
+    named = packed.join(tables.small_or_not(mixed, BROADCAST_IDS), "family", "left_semi").join(whole, key).select(*key, "only", "least", F.col("union").alias("grams"))
     left = named.select(*[F.col(c).alias(f"x_{c}") for c in named.columns])
     near = F.expr("x_family = family and (x_band = band - 1 or x_band = band and x_part < part) and (x_only is null or only is null or x_only <> only)")
 
@@ -504,8 +505,8 @@ def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFr
     wanted = tables.written(wanted.mapInArrow(open_, "x_family long, x_band int, x_part int, family long, band int, part int"), "open")
     # Open groups, with what is known of their components.
     by_group = of.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "component"))).alias("known"))  # GROUP entries or so
-    full = packed.drop("links", "least", "of").join(by_group, key)
-    full = tables.written(full.join(wanted.select(*key).union(wanted.select("x_family", "x_band", "x_part")).distinct(), key, "left_semi"), "opened")
+    both = wanted.select(*key).union(wanted.select("x_family", "x_band", "x_part")).distinct()
+    full = packed.drop("links", "least", "of").join(tables.small_or_not(tables.written(both, "both"), BROADCAST_IDS), key, "left_semi").join(by_group, key)
     left = full.select([F.col(c).alias(f"x_{c}") for c in full.columns])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
