@@ -114,7 +114,7 @@ _ROW = "__row"
 def tag_rows(pages: DataFrame, key: str, html: Column) -> DataFrame:
     """(row, key, pos, last, tag, parent, cls, href, text) of every tag; a page without tags has a row of nulls."""
     found = pages.select(F.monotonically_increasing_id().alias(_ROW), F.col(key), tags(html).alias("found"))
-    return found.select(_ROW, key, F.inline_outer("found"))
+    return found.select(_ROW, key, F.inline_outer("found")).repartition(F.col(_ROW))  # before what is added to each: windows need no other exchange
 
 
 # Labels of abstract and keywords.
@@ -173,7 +173,7 @@ def metadata(pages: DataFrame, key: str, html: Column) -> DataFrame:
 def _block_rows(pages: DataFrame, key: str, html: Column) -> DataFrame:
     """(row, key, index, tag, items, start, text, ...) of every block, described."""
     found = pages.select(F.monotonically_increasing_id().alias(_ROW), F.col(key), blocks(html).alias("found"))
-    rows = found.select(_ROW, key, F.posexplode("found").alias("index", "b")).select(_ROW, key, "index", "b.*")
+    rows = found.select(_ROW, key, F.posexplode("found").alias("index", "b")).select(_ROW, key, "index", "b.*").repartition(F.col(_ROW))
     return describe(rows, "text").withColumn("heading", F.col("tag").isin(*HEADINGS))
 
 

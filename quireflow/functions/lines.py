@@ -67,7 +67,7 @@ def is_author_name(token: Column) -> Column:
     return (F.length(strip(token)) >= 4) & strip(token).rlike(r"(?U)^\p{Lu}[^\s\p{Nd}]*(?:\s+\p{Lu}[^\s\p{Nd}]*){1,4}\z")
 
 
-#: What rules look at: the line stripped, without Markdown, its match key, that of what follows a number, and counts of words.
+#: What rules look at: the line stripped, without Markdown, its match key, that of what follows a number in a line that may be a heading, and counts of words.
 VIEWS = ("bare", "plain", "key", "head", "words", "all_words")
 
 
@@ -76,12 +76,13 @@ def describe(rows: DataFrame, line: str = "line") -> DataFrame:
     text = F.col(line)
     rows = rows.withColumns({"bare": strip(text), "plain": strip_markdown(text)})
     plain = F.col("plain")
-    rows = rows.withColumns({"key": fold(plain), "head": fold(without_number(plain)), "words": word_count(plain), "all_words": word_count(text)})
+    rows = rows.withColumns({"key": fold(plain), "words": word_count(plain), "all_words": word_count(text)})
     terms = {"__front": has_term(F.col("key"), FRONT_MATTER_TERMS), "__numbered": plain.rlike(NUMBERED), "__details": plain.rlike(PUBLICATION) | plain.rlike(EMAIL_OR_URL), "__affiliated": plain.rlike(AFFILIATION_MARK) & has_term(F.col("key"), AFFILIATION_TERMS)}
     rows = rows.withColumns({**terms, "__ruled": F.col("bare").rlike(RULE_LINE), "caption": (F.col("bare") != "") & text.rlike(CAPTION), "table": _table(F.col("bare")), "image": _image(F.col("bare"))})
     some, short = plain != "", (F.col("words") <= 14) & (F.length("plain") <= 140)
     publication = some & (F.col("__details") | (F.col("__front") & (F.col("words") <= 20)) | F.col("__affiliated"))
     rows = rows.withColumns({"section_boundary": some & (F.col("__numbered") | text.rlike(HEADING) | short), "bounded": some & (F.col("__numbered") | short), "publication_metadata": publication})
+    rows = rows.withColumn("head", F.when(F.col("bounded"), fold(without_number(plain))).otherwise(F.lit("")))  # only such lines can be headings
     front = lambda words, bounded: (F.col("key") != "") & ((F.col("__front") & ((F.col(words) <= 28) | F.col(bounded))) | F.col("publication_metadata"))
     rows = rows.withColumns({"front_matter": front("all_words", "section_boundary"), "__front_plain": front("words", "bounded"), "body_stop": F.col("bounded") & has_term(F.col("head"), BODY_STOP_TERMS), "__start": F.col("bounded") & has_term(F.col("head"), BODY_START_TERMS)})
     inside = some & ~F.col("__front_plain") & ~F.col("body_stop")
@@ -108,7 +109,7 @@ def _junk(line: Column) -> Column:
     text = drop_control(line)
     other = r"(?U)(?<!\S)(?!(?:[0-9]{1,4}\.*|[^\s\p{L}\p{N}]+|(?!\p{Nd}+(?!\S))\S{1,2})(?!\S))\S"  # the start of a token that is no such rest
     tight = F.replace(text, F.lit(" "), F.lit(""))
-    return text.rlike(r"(?U)\S") & ~has_vietnamese(text) & (~text.rlike(other) | ((F.length(tight) < 10) & ~tight.rlike(r"\p{L}")))
+    return text.rlike(r"(?U)\S") & (~text.rlike(other) | ((F.length(tight) < 10) & ~tight.rlike(r"\p{L}"))) & ~has_vietnamese(text)
 
 
 FLAGS = ("table", "image", "section_boundary", "publication_metadata", "front_matter", "body_stop", "body_start_term", "body_start", "author_name", "artifact", "early_artifact", "junk")
@@ -124,9 +125,12 @@ def split_lines(text: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, key: str, text: str, split=split_lines) -> DataFrame:
-    """(row, key, pos, line): the lines of every document, composed and without control characters; null counts as empty."""
+    """(row, key, pos, line): the lines of every document, composed and without control characters; null counts as empty.
+
+    Lines are dealt by document here, before anything is added to them: windows over a document need no other exchange.
+    """
     composed = docs.select(F.monotonically_increasing_id().alias(_ROW), F.col(key), nfc(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
-    return composed.select(_ROW, key, F.posexplode(split(drop_control(F.col("__text")))).alias("pos", "line"))
+    return composed.select(_ROW, key, F.posexplode(split(drop_control(F.col("__text")))).alias("pos", "line")).repartition(F.col(_ROW))
 
 
 def _place() -> object:
