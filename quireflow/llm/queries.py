@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("decontaminate", "katz", "language_id", "mixing", "nearest", "token_counts", "quality", "warc", "url_reputation", "jaccard_join", "token_alignment")
+_MODULES = ("decontaminate", "katz", "language_id", "mixing", "nearest", "token_counts", "quality", "warc", "url_reputation", "jaccard_join", "token_alignment", "lexical_search", "secret_scan")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in _MODULES:
