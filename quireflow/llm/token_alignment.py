@@ -1,14 +1,17 @@
 """Alignment of the tokens of two tokenizers over the same bytes.
 
-Each document is encoded once by both. The cumulative byte ends of the two token rows are merged as by two pointers, for a batch of documents at a time:
-every distinct end is one step, at which the token of either side that covers the bytes before it are linked, and an end that both share closes a
-group. Spark counts in how many documents each pair of ids is linked and joins the counts, and each side's highest, back to the links.
+Neither tokenizer has a token that goes on past a single space between two other characters than white space, so both sides' tokens end before each such
+space, and what lies between two of them is encoded alike wherever it stands. Such chunks are encoded once for many documents. The cumulative byte ends of a
+chunk's two token rows are merged as by two pointers, many chunks at a time: every distinct end is one step, at which the token of either side that covers
+the bytes before it are linked, and an end that both share closes a group. Documents are put together from their chunks. Spark counts in how many
+documents each pair of ids is linked and joins the counts, and each side's highest, back to the links.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from itertools import pairwise
 from pathlib import Path
@@ -26,6 +29,11 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE = 1 << 20
 #: Pairs of ids that hold more than one of so many of all rows are broadcast; there cannot be more of them than this. Others are joined by shuffle.
 HOT = 100_000
+#: Distinct chunks, and characters of these, that a worker remembers before it begins anew.
+KNOWN_CHUNKS, KNOWN_CHARACTERS = 300_000, 1 << 24
+#: Bytes of new chunks that are encoded together.
+TOGETHER = 1 << 16
+SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _coders: dict[int, Coder] = {}
 
 
@@ -47,16 +55,67 @@ class Coder:
         self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
         # An id of A within a group, A's last, an id of B within a group, B's last: as written in `groups`.
         self.shown = [f"{i}{end}" for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(n)]
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides for each text; none where the bytes of either side are not those of space + text."""
-        a = [x.ids for x in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for r, text in enumerate(texts):
-            whole = b" " + text.encode()
-            if not text or b"".join(map(self.bytes_a.__getitem__, a[r])) != whole or b"".join(map(self.bytes_b.__getitem__, b[r])) != whole:
-                a[r], b[r] = [], []
-        return a, b
+        # A token that goes on past a space after another character than white space would forbid to split there.
+        self.splits = not any(re.search(r"\S ", x.decode(errors="replace")) for x in [*self.bytes_a, *self.bytes_b])
+        self.forget()
+
+    def forget(self) -> None:
+        """Chunks known so far, by number: their groups as written, numbers of A tokens, B tokens and groups, and links from offset to offset."""
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.counts = np.zeros((0, 3), np.int64)
+        self.offsets, self.left, self.right, self.characters = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.fresh: list[tuple] = []
+
+    def chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the chunks of all texts on end, n + 1 offsets of the texts in these); new chunks are encoded, merged and remembered."""
+        if len(self.known) > KNOWN_CHUNKS or self.characters > KNOWN_CHARACTERS:
+            self.forget()
+        rows = [(SPLIT.split(t) if self.splits else [t]) if t else [] for t in texts]
+        parts, offsets = [x for row in rows for x in row], np.zeros(len(rows) + 1, np.int64)
+        np.cumsum([*map(len, rows)], out=offsets[1:])
+        new = [x for x in dict.fromkeys(parts) if x not in self.known]
+        if new:
+            self._learn(new)
+            counts, links, left, right = zip(*self.fresh, strict=True)
+            self.counts, self.left, self.right = np.concatenate([self.counts, *counts]), np.concatenate([self.left, *left]), np.concatenate([self.right, *right])
+            self.offsets, self.fresh = np.append(self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(links))), []
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts)), offsets
+
+    def _learn(self, new: list[str]) -> None:
+        alone = [x for x in new if x[0].isspace() or x[-1].isspace()] if self.splits else new
+        joined = [x for x in new if not (x[0].isspace() or x[-1].isspace())] if self.splits else []
+        self.known.update(zip([*joined, *alone], range(len(self.groups), len(self.groups) + len(new)), strict=True))
+        self.characters += sum(map(len, new))
+        sizes = np.fromiter((len(x.encode()) + 1 for x in joined), np.int64, len(joined))
+        some = np.searchsorted(np.cumsum(sizes), np.arange(TOGETHER, sizes.sum() + TOGETHER, TOGETHER)).tolist() if joined else []
+        for low, high in pairwise([0, *some]):
+            if low < high:
+                self._merge(joined[low:high], sizes[low:high])
+        for x in alone:
+            self._merge([x], np.array([len(x.encode()) + 1]))
+
+    def _merge(self, new: list[str], sizes: np.ndarray) -> None:
+        """Remembers chunks that are encoded together; one by one where some bytes differ, and a chunk whose own differ has no tokens."""
+        a, b = self.encode(" ".join(new))
+        if not len(a) and len(new) > 1:
+            for x, size in zip(new, sizes, strict=True):
+                self._merge([x], np.array([size]))
+            return
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        cuts, at_a, at_b, shared = merged(ends_a, ends_b)
+        closed, bounds = cuts[shared], np.append(0, np.cumsum(sizes)) if len(a) else np.zeros(len(new) + 1, np.int64)
+        of_a, of_b, of_link, of_group = (np.searchsorted(x, bounds, "right") for x in (ends_a, ends_b, cuts, closed))
+        self.groups += _groups(self, a, b, np.searchsorted(closed, ends_a), np.searchsorted(closed, ends_b), of_a + of_b)
+        self.fresh.append((np.diff([of_a, of_b, of_group]).T, np.diff(of_link), a[at_a], b[at_b]))
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both sides, none where the bytes of either side are not those of space + text."""
+        whole = f" {text}"
+        sides = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.b.encode(text, num_threads=1)
+        if not all(b"".join(map(own.__getitem__, ids)) == whole.encode() for own, ids in zip((self.bytes_a, self.bytes_b), sides, strict=True)):
+            sides = [], []
+        return np.array(sides[0], np.int64), np.array(sides[1], np.int64)
 
 
 def byte_letters() -> dict[str, bytes]:
@@ -84,13 +143,6 @@ def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cuts, np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts), np.diff(np.append(at, len(ends))) == 2
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(all on end, n + 1 offsets)."""
-    offsets = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([*map(len, lists)], out=offsets[1:])
-    return np.fromiter((x for row in lists for x in row), np.int64, offsets[-1]), offsets
-
-
 def _groups(c: Coder, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, offsets: np.ndarray) -> list[str]:
     """`a1,a2|b1;a3|b2,b3` for each document, offsets counting the tokens of both sides."""
     last_a, last_b = np.append(group_a[1:] != group_a[:-1], True)[: len(a)], np.append(group_b[1:] != group_b[:-1], True)[: len(b)]
@@ -102,23 +154,30 @@ def _groups(c: Coder, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b
 
 def _aligned(c: Coder, texts: list[str], groups: bool) -> dict[str, list | np.ndarray]:
     """Columns of a row per text; pairs are distinct within a text, with the times that they are linked."""
-    (a, of_a), (b, of_b) = map(_flat, c.encode(texts))
-    ends_a, ends_b = np.cumsum(c.size_a[a]), np.cumsum(c.size_b[b])  # both sides cover the same bytes, so ends of all texts on end agree
-    cuts, at_a, at_b, shared = merged(ends_a, ends_b)
-    doc = np.searchsorted(of_a[1:], at_a, "right")
-    closed = cuts[shared]
-    shown = _groups(c, a, b, np.searchsorted(closed, ends_a), np.searchsorted(closed, ends_b), of_a + of_b)
-    left, right = a[at_a], b[at_b]
+    chunk, of = c.chunks(texts)
+    n = len(texts)
+    doc = np.repeat(np.arange(n), np.diff(of))
+    failed = np.zeros(n, bool)  # a chunk without tokens is one whose bytes differ, and so do the text's
+    failed[doc[c.counts[chunk, 0] == 0]] = True
+    chunk, doc = chunk[~failed[doc]], doc[~failed[doc]]
+    of = np.searchsorted(doc, np.arange(n + 1))
+    sums = np.stack([np.bincount(doc, c.counts[chunk, k], n) for k in range(3)]).astype(np.int64)
+    shown = [";".join(map(c.groups.__getitem__, chunk[low:high].tolist())) for low, high in pairwise(of.tolist())]
+    pair, times = np.unique(doc * len(c.groups) + chunk, return_counts=True)
+    doc, chunk = pair // max(1, len(c.groups)), pair % max(1, len(c.groups))
+    size = c.offsets[chunk + 1] - c.offsets[chunk]
+    at = np.arange(size.sum()) + np.repeat(c.offsets[chunk] - (np.cumsum(size) - size), size)
+    doc, times, left, right = np.repeat(doc, size), np.repeat(times, size), c.left[at], c.right[at]
     order = np.lexsort((right, left, doc))
-    doc_, left, right = doc[order], left[order], right[order]
+    doc, times, left, right = doc[order], times[order], left[order], right[order]
     new = np.ones(len(order), bool)
-    new[1:] = (doc_[1:] != doc_[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
     first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(order)))
-    split = np.searchsorted(doc_[first], np.arange(1, len(texts)))
-    n = len(texts)
+    n_links = np.bincount(doc, times, n).astype(np.int64)
+    times = np.add.reduceat(times, first) if len(first) else times
+    split = np.searchsorted(doc[first], np.arange(1, n))
     out = {
-        "n_a": np.diff(of_a), "n_b": np.diff(of_b), "n_groups": np.bincount(doc[shared], minlength=n), "n_links": np.bincount(doc, minlength=n), "groups_sha256": [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in shown],
+        "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": n_links, "groups_sha256": [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in shown],
         "pair_a": np.split(left[first].astype(np.int32), split), "pair_b": np.split(right[first].astype(np.int32), split), "times": np.split(times.astype(np.int32), split),
     }
     return out | ({"groups": shown} if groups else {})

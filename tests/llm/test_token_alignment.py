@@ -78,6 +78,21 @@ def test_rows_are_those_of_two_pointers(spark, texts, tmp_path):
     assert want[texts.index(SPECIAL)][0] > 3 and want[texts.index("a▁b")] == (0, 0, 0, 0, 0, 0, "")
 
 
+def test_chunks_are_forgotten_and_learnt_anew(spark, texts, monkeypatch):
+    c, some = T.coder(*(open(x, "rb").read() for x in (T.BYTE_LEVEL, T.PIECES))), [x or "" for x in texts]
+    want = brute(some)
+    assert c.splits and len(T.SPLIT.split("a b\u00a0 c  d e\n f")) == 3
+    monkeypatch.setattr(T, "KNOWN_CHUNKS", 3)
+    for step in (1, 2, 7, len(some)):
+        rows = [T._aligned(c, some[low : low + step], False) for low in range(0, len(some), step)]
+        assert [x for r in rows for x in zip(*(list(r[k]) for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")), strict=True)] == [(*x[:4], x[6]) for x in want]
+    c.splits = False
+    c.forget()
+    assert list(T._aligned(c, some, False)["groups_sha256"]) == [x[6] for x in want]
+    c.splits = True
+    c.forget()
+
+
 def test_cold_pairs_give_the_same(spark, texts, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "HOT", 20)
     got = dict(found(spark, [(i, t, "l", "s") for i, t in enumerate(texts)], tmp_path))
