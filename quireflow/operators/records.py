@@ -119,3 +119,11 @@ def cache_seconds(kind: str, *, pending: Column, empty: Column) -> Column:
     """How long an answer of a kind may be cached: documents shorter while something is pending, summaries while there are none."""
     short, long = CACHE[kind]
     return F.when(pending if kind == "documents" else empty if kind == "summaries" else F.lit(False), short).otherwise(long)
+
+
+def cache_seconds_by(kind: Column, short: Column) -> Column:
+    """How long an answer may be cached where the kind is a column; short says that something is pending, or that it is empty. Null for other kinds."""
+    out = F.lit(None).cast("int")
+    for name in CACHE:
+        out = F.when(kind == name, cache_seconds(name, pending=short, empty=short)).otherwise(out)
+    return out

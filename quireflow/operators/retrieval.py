@@ -8,9 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import strip
 
@@ -102,25 +106,84 @@ def hashing_embedder(dim: int = 64, prefix: str = ""):
     return embed
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, *, k: int = 20, threshold: float | None = 0.45, fallback: bool = True, scope: str | None = None, others: bool = False, digits: int | None = None, block: int = 10_000) -> DataFrame:
+#: Numbers in the query vectors that are sent to all chunks at once, and scores that are held at a time.
+BLOCK_NUMBERS, HELD_SCORES = 4_000_000, 4_000_000
+
+
+def _matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the vectors that have so many numbers, all finite, and a length, as unit vectors; which rows these are)."""
+    lists = vectors.cast(pa.list_(pa.float64()))
+    own = pc.fill_null(pc.equal(pc.list_value_length(lists), width), False).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(own)
+    m = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(rows) else np.zeros((0, width))
+    length = np.sqrt(np.einsum("ij,ij->i", m, m))
+    good = np.isfinite(length) & (length > 0)
+    return m[good] / length[good, None], rows[good]
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the scores of each row that are not below its k-th best, ties included; -inf is never among them."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
+        return np.nonzero((scores >= least) & (scores > -np.inf))
+    return np.nonzero(scores > -np.inf)
+
+
+def _scored(chunks: DataFrame, block: pa.Table, width: int, k: int, scope: str | None, others: bool, digits: int | None) -> DataFrame:
+    """Chunks with query_id and score, the best k and their ties of each batch for each query of a block, as one matrix product a batch."""
+    matrix, rows = _matrix(block.column("vec").combine_chunks() if block.num_rows else pa.array([], block.schema.field("vec").type), width)
+    ids = block.column("query_id").take(pa.array(rows)).combine_chunks()
+    scopes = block.column(scope).take(pa.array(rows)).to_pylist() if scope else None
+    sent = chunks.sparkSession.sparkContext.broadcast((matrix, ids, scopes))
+    kept = [c for c in chunks.columns if c != "vec"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, ids, scopes = sent.value
+        groups: dict = {None: np.arange(len(asked))}
+        if scopes is not None:
+            groups = {}
+            for i, x in enumerate(scopes):
+                if x is not None:
+                    groups.setdefault(x, []).append(i)
+        step = max(1, HELD_SCORES // max(1, len(asked)))
+        for batch in batches:
+            units, places = _matrix(batch.column("vec"), width)
+            members: dict = {None: np.arange(len(places))}
+            if scope:
+                members = {}
+                for i, x in enumerate(batch.column(scope).take(pa.array(places)).to_pylist()):
+                    members.setdefault(x, []).append(i)
+            for group in groups.keys() & members.keys():
+                queries, own = groups[group], np.asarray(members[group])
+                for low in range(0, len(own), step):
+                    some = own[low : low + step]
+                    score = asked[queries] @ units[some].T
+                    if digits is not None:
+                        score = np.round(score, digits)
+                    told = pa.array(places[some])
+                    if others:
+                        mine, theirs = ids.take(pa.array(np.asarray(queries))).to_numpy(zero_copy_only=False), batch.column("chunk_id").take(told).to_numpy(zero_copy_only=False)
+                        score[mine[:, None] == theirs[None, :]] = -np.inf
+                    q, c = _best(score, k)
+                    taken = batch.select(kept).take(told.take(pa.array(c)))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, ids.take(pa.array(np.asarray(queries)[q])), pa.array(score[q, c])], names=[*kept, "query_id", "score"])
+
+    schema = StructType([*[f for f in chunks.schema if f.name != "vec"], StructField("query_id", from_arrow_type(ids.type)), StructField("score", DoubleType())])
+    return chunks.mapInArrow(run, schema)
+
+
+def top_k(queries: DataFrame, chunks: DataFrame, *, k: int = 20, threshold: float | None = 0.45, fallback: bool = True, scope: str | None = None, others: bool = False, digits: int | None = None) -> DataFrame:
     """The k most similar chunks of each query (query_id, vec) among chunks (chunk_id, vec), by cosine, ties to the smaller id.
 
-    Only scores of at least threshold count; with fallback, a query that has none gets its best k all the same. Chunks of the same scope
-    (a project, say) are joined by it; without one, queries are sent to all chunks in blocks of about so many, each query in one of them.
-    With others, an entry does not answer itself; digits rounds scores before they are ranked. Top rows are cut before the shuffle.
+    Only scores of at least threshold count; with fallback, a query that has none gets its best k all the same. With scope (a project, say) a query sees only the chunks of its own; null is nobody's.
+    With others, an entry does not answer itself; digits rounds scores before they are ranked. Vectors that are null or zero, or hold nulls or what is not finite, or are not as long as the longest query take
+    no part. Queries are sent to the chunks in blocks of so many numbers as BLOCK_NUMBERS; chunks stay where they are, and only the best of every batch are shuffled.
     """
-    length = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
-    q = queries.select("query_id", F.col("vec").alias("q_vec"), length("vec").alias("__q"), *([scope] if scope else []))
-    c = chunks.withColumn("__c", length("vec"))
-    if scope:
-        pairs = c.join(q, scope)
-    else:
-        n = max(1, -(-q.count() // block))
-        parts = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [q]
-        pairs = reduce(DataFrame.unionByName, [c.join(F.broadcast(part), F.lit(True)) for part in parts])
-    pairs = pairs.where("query_id <> chunk_id") if others else pairs
-    score = F.try_divide(dot(F.col("q_vec"), F.col("vec")), F.col("__q") * F.col("__c"))
-    scored = pairs.withColumn("score", score if digits is None else F.round(score, digits)).drop("q_vec", "vec", "__q", "__c")
+    asked = queries.select("query_id", "vec", *([scope] if scope else []))
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    blocks = max(1, -(-n * max(width, 1) // BLOCK_NUMBERS))
+    parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked for i in range(blocks)]
+    scored = reduce(DataFrame.unionByName, [_scored(chunks, part.toArrow(), max(width, 1), k, scope, others, digits) for part in parts])
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     if threshold is not None:
@@ -131,6 +194,38 @@ def top_k(queries: DataFrame, chunks: DataFrame, *, k: int = 20, threshold: floa
     return ranked
 
 
+# --- chunks by project
+
+#: Folders that a store's projects are dealt to.
+SHELVES = 64
+
+
+def _shelf(project: Column) -> Column:
+    return F.pmod(F.xxhash64(project), F.lit(SHELVES)).cast("int")
+
+
+def store_chunks(chunks: DataFrame, path: str) -> None:
+    """Adds chunks (project_id, chunk_id, vec, ...) to a store: folders by a hash of the project, in each of them sorted by project so that row groups hold few."""
+    shelved = chunks.withColumn("shelf", _shelf(F.col("project_id")))
+    shelved.repartition("shelf", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("shelf", "project_id").write.mode("append").partitionBy("shelf").parquet(path)
+
+
+def stored_chunks(store: DataFrame, queries: DataFrame) -> DataFrame:
+    """The chunks of a store on the shelves that the projects of queries are on: other folders are not read. At most SHELVES numbers go to the driver."""
+    needed = [x.shelf for x in queries.where(F.col("project_id").isNotNull()).select(_shelf(F.col("project_id")).alias("shelf")).distinct().collect()]
+    return store.where(F.col("shelf").isin(needed)).drop("shelf")
+
+
+def search_projects(store: DataFrame, queries: DataFrame, **how) -> DataFrame:
+    """top_k of queries (query_id, project_id, vec) among the chunks of their own projects."""
+    return top_k(queries, stored_chunks(store, queries), scope="project_id", **how)
+
+
+def retyped(chunks: DataFrame, size: int, vec: str = "embedding") -> DataFrame:
+    """chunks with vectors of another size taken out, so that they are embedded anew: what is left when the vector column gets another type."""
+    return chunks.withColumn(vec, F.when(F.size(vec) == size, F.col(vec)))
+
+
 # --- sources, prompts, citations
 
 

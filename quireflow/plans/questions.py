@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import claims as C
 from ..operators import retrieval as V
-from .registry import Registry, table
+from .registry import Registry, place_of_its_own, table
 
 ADD = Registry()
 
@@ -45,6 +45,30 @@ def vec_topk_exact(spark, d):
     return _retrieved(spark, d, False, None)
 
 
+_BY_PROJECT = _SCORED.replace("AS query_id, embedding", "AS query_id, source, embedding").replace("FROM embeddings WHERE vec_id % 20 = 0", "FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0").replace("SELECT query_id, chunk_id, source, round", "SELECT query_id, chunk_id, c.source AS project_id, round").replace("FROM q, c WHERE", "FROM q JOIN c ON c.source = q.source WHERE").replace("SELECT query_id, chunk_id, source, rank", "SELECT query_id, chunk_id, project_id, rank")
+
+
+@ADD(_BY_PROJECT + "(score >= 0.38 OR best < 0.38)")
+def project_search(spark, d):
+    """The source of a document is its project: chunks are stored by it, every question looks at its own project's."""
+    place = place_of_its_own(spark, "chunks")
+    vectors = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("project_id")), "vec_id")
+    V.store_chunks(vectors.select("project_id", F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec")), place)
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "project_id", F.col("embedding").alias("vec"))
+    found = V.search_projects(spark.read.parquet(place), queries, k=5, threshold=0.38, others=True, digits=9)
+    return found.select("query_id", "chunk_id", "project_id", "rank")
+
+
+@ADD("SELECT vec_id, CASE WHEN len(embedding) = 64 THEN len(embedding) END AS size, vec_id % 3 = 0 AS again FROM embeddings")
+def retyped_vectors(spark, d):
+    """Vectors of which a third come from a model of another size, after the column's type has changed: those have to be embedded anew."""
+    vectors = table(spark, d, "embeddings")
+    other = F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 48)).otherwise(F.col("embedding"))
+    kept = V.retyped(vectors.withColumn("embedding", other), 64)
+    whole = kept.join(vectors.select("vec_id", F.col("embedding").alias("__new")), "vec_id").withColumn("again", F.col("embedding").isNull())
+    return whole.select("vec_id", F.size(F.coalesce("embedding", "__new")).alias("size"), "again")
+
+
 @ADD("SELECT doc_id, (i // 280)::INT AS chunk_index, md5(substr(text, i + 1, 400)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text), 280)) AS i FROM documents)")
 def chunk_fixed_windows(spark, d):
     rows = V.number_chunks(table(spark, d, "documents"), V.fixed_windows(F.col("text")), ["doc_id"])

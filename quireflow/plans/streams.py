@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import ingest as I
-from .registry import Registry, table
+from .registry import Registry, place_of_its_own, table
 
 ADD = Registry()
 
 
 def _place(spark) -> str:
-    """A folder of its own where the whole cluster can read and write."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return place_of_its_own(spark, "stream")
 
 
 @ADD("SELECT user_id, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id")

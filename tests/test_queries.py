@@ -226,10 +226,46 @@ def test_searches_ask_with_every_twentieth_vector(spark):
         assert {(r.query_id, r.chunk_id, r["rank"]) for r in catalogue.QUERIES[name](spark, small).collect()} == wanted
 
 
-def test_top_k_answers_all_queries(spark):
+def test_top_k_answers_all_queries(spark, monkeypatch):
     chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id long, vec array<double>")
     many = spark.range(10_050).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("vec"))
     got = retrieval.top_k(many, chunks, k=1)
     assert got.count() == 10_050 and got.select("chunk_id").distinct().collect() == [(1,)]
-    few = retrieval.top_k(many.limit(40), chunks, k=2, threshold=None, block=7)
+    monkeypatch.setattr(retrieval, "BLOCK_NUMBERS", 14)
+    monkeypatch.setattr(retrieval, "HELD_SCORES", 5)
+    few = retrieval.top_k(many.limit(40), chunks, k=2, threshold=None)
     assert few.count() == 80 and few.select("query_id").distinct().count() == 40
+
+
+def test_top_k_by_scope_against_a_loop(spark):
+    r = random.Random(4)
+    vector = lambda: r.choice([None, [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, float("nan"), 0.0], [1.0, 2.0], *[[r.choice([-1.0, 0.5, 2.0]) for _ in range(3)] for _ in range(9)]])
+    chunks = [(i, r.choice(["a", "a", "b", None]), vector(), f"c{i}") for i in range(80)] + [(79, "a", [1.0, 1.0, 1.0], "again")]
+    asked = [(i, r.choice(["a", "b", "none", None]), vector()) for i in range(30)] + [(99, "a", [1.0, 1.0, 1.0])]
+    good = lambda v: v is not None and len(v) == 3 and None not in v and np.isfinite(v).all() and any(v)
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    c = spark.createDataFrame(chunks, "chunk_id long, project string, vec array<double>, name string").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, project string, vec array<double>")
+    for others, scope in ((False, "project"), (True, "project"), (False, None)):
+        want = set()
+        for i, p, v in asked:
+            if good(v):
+                scores = [(-round(float(unit(v) @ unit(w)), 9), n, name) for n, p2, w, name in chunks if good(w) and (scope is None or p == p2 and p is not None) and not (others and n == i)]
+                best = sorted(scores)[:4]
+                kept = [x for x in best if -x[0] >= 0.9] or best
+                want |= {(i, n, name) for _, n, name in kept}
+        got = {(x.query_id, x.chunk_id, x.name) for x in retrieval.top_k(q, c, k=4, threshold=0.9, scope=scope, others=others, digits=9).collect()}
+        assert got == want and len(got) > 30
+    assert retrieval.top_k(q.limit(0), c, k=4).count() == 0 and retrieval.top_k(q, c.limit(0), k=4).count() == 0
+
+
+def test_stored_chunks_are_read_by_shelf(spark, tmp_path):
+    place = f"file://{tmp_path}/store"
+    chunks = spark.range(200).selectExpr("'p' || id % 20 AS project_id", "id AS chunk_id", "array(1.0D, CAST(id AS DOUBLE)) AS vec")
+    retrieval.store_chunks(chunks, place)
+    queries = spark.createDataFrame([(1, "p3", [1.0, 50.0]), (2, None, [1.0, 1.0])], "query_id long, project_id string, vec array<double>")
+    opened = retrieval.stored_chunks(spark.read.parquet(place), queries)
+    plan = opened._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "shelf" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    found = retrieval.search_projects(spark.read.parquet(place), queries, k=3)
+    assert {(x.query_id, x.project_id) for x in found.collect()} == {(1, "p3")} and found.count() == 3
