@@ -234,27 +234,40 @@ def body_text(pages: DataFrame, key: str, html: str) -> DataFrame:
     return clean_body(_rendered(rows, key, True, False), key, "raw").withColumnRenamed("text", "body")
 
 
+def _each_once(pages: DataFrame, html: str) -> tuple[DataFrame, DataFrame]:
+    """(pages with `__page`, a name of what they hold; (__page, __html) of what is held, once): what is read off a page depends on nothing else. Null counts as empty."""
+    named = pages.withColumn("__page", F.sha2(F.coalesce(F.col(html), F.lit("")), 256))
+    return named, named.groupBy("__page").agg(F.first(F.coalesce(F.col(html), F.lit(""))).alias("__html"))
+
+
 def record(pages: DataFrame, key: str, html: str, head: int = 5000) -> DataFrame:
-    """(key, title, authors, abstract, keywords, content): the body, and what the first characters of the page say of it; empty where nothing is found."""
-    said = metadata(pages, key, F.substring(F.col(html), 1, head))
-    return said.join(body_text(pages, key, html), key, "left").select(*said.columns, F.coalesce("body", F.lit("")).alias("content"))
+    """(key, title, authors, abstract, keywords, content): the body, and what the first characters of the page say of it; empty where nothing is found.
+
+    Every row of pages gets its own, once, be its key null or that of other rows as well.
+    """
+    named, once = _each_once(pages, html)
+    said = metadata(once, "__page", F.substring("__html", 1, head))
+    told = said.join(body_text(once, "__page", "__html"), "__page", "left").select(*said.columns, F.coalesce("body", F.lit("")).alias("content"))
+    return named.select(key, "__page").join(told, "__page").drop("__page")
 
 
 def raw_text(pages: DataFrame, key: str, html: str, head: int = 5000) -> DataFrame:
     """(key, text): all text of a page without headings' marks, front matter and references included, under its title and authors.
 
-    The first heading that equals the title is left out, as the title stands above.
+    The first heading that equals the title is left out, as the title stands above. Every row of pages gets its own, once, be its key null or that of other rows as well.
     """
-    said = metadata(pages, key, F.substring(F.col(html), 1, head)).select(key, "title", "authors")
-    rows = _block_rows(pages, key, F.col(html)).join(said.select(key, match_key(F.col("title")).alias("__title")), key, "left")
+    named, once = _each_once(pages, html)
+    said = metadata(once, "__page", F.substring("__html", 1, head)).select("__page", "title", "authors")
+    rows = _block_rows(once, "__page", F.col("__html")).join(said.select("__page", match_key(F.col("title")).alias("__title")), "__page", "left")
     same = ~F.col("artifact") & F.col("heading") & (F.col("__title") != "") & (match_key(F.col("text")) == F.col("__title"))
     first = F.min(F.when(same, F.col("index"))).over(W.partitionBy(_ROW))
     rows = rows.withColumn("__skip", first).where(~F.col("artifact") & (F.col("__skip").isNull() | (F.col("index") != F.col("__skip"))))
-    body = clean_body(_rendered(rows, key, False, True), key, "raw")
+    body = clean_body(_rendered(rows, "__page", False, True), "__page", "raw")
     line = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c)))
-    out = said.join(body, key, "left").withColumn("__head", F.concat_ws("\n", line("Tiêu đề: ", "title"), line("Tác giả: ", "authors")))
+    out = said.join(body, "__page", "left").withColumn("__head", F.concat_ws("\n", line("Tiêu đề: ", "title"), line("Tác giả: ", "authors")))
     text = F.coalesce("text", F.lit(""))
-    return out.select(key, F.when(F.col("__head") != "", F.concat("__head", F.lit("\n\n"), text)).otherwise(text).alias("text"))
+    told = out.select("__page", F.when(F.col("__head") != "", F.concat("__head", F.lit("\n\n"), text)).otherwise(text).alias("text"))
+    return named.select(key, "__page").join(told, "__page").drop("__page")
 
 
 # --- pages of a journal's archive

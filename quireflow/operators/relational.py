@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
+# Fixed value: how lists of authors begin.
+NAMED_AUTHORS = "các tác giả"
+
 # --- filters and projections
 
 
@@ -140,6 +145,21 @@ def sql_script(df: DataFrame, table: str, *, quote_nulls: bool = False) -> DataF
     return head.unionByName(sql_dump(df, table, quote_nulls=quote_nulls).withColumn("n", F.lit(2)))
 
 
+def script_of(df: DataFrame, table: str, key: str, authors: str | None = None) -> DataFrame:
+    """(n, statement): the statements that make a table anew with a numbered key, as articles are exported. Nulls are the quoted text NULL; authors are named without the words for them, N/A where there are none."""
+    if authors:
+        bare = strip(F.replace(F.col(authors), F.lit(NAMED_AUTHORS), F.lit("")))
+        df = df.withColumn(authors, F.when(missing(F.col(authors)), F.lit("N/A")).otherwise(bare))
+    make = [f"DROP TABLE IF EXISTS {table};", f"CREATE TABLE {table} ({key} SERIAL PRIMARY KEY, {', '.join(f'{c} TEXT' for c in df.columns)});"]
+    head = df.sparkSession.createDataFrame(list(enumerate(make)), "n int, statement string")
+    return head.unionByName(sql_dump(df, table, quote_nulls=True).withColumn("n", F.lit(2)))
+
+
+def pending(status: Column, title: Column) -> Column:
+    """Whether a document is still to be waited for: it is not done, or it has no title yet."""
+    return F.coalesce(status.isin("uploaded", "processing"), F.lit(False)) | missing(F.trim(title))
+
+
 def cache_seconds(pending: Column) -> Column:
     """How long a list may be cached: 10 s while something is pending, else 300 s."""
     return F.when(pending, 10).otherwise(300)

@@ -62,7 +62,11 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...])
     return out
 
 
-def recursive_chunks(size: int = 400, overlap: int = 120, separators: tuple[str, ...] = ("\n\n", "\n", " ", ""), shortest: int = 20):
+# Where texts are split, and the length of chunks that are left out.
+SEPARATORS, SHORTEST = ("\n\n", "\n", " ", ""), 20
+
+
+def recursive_chunks(size: int = 400, overlap: int = 120, separators: tuple[str, ...] = SEPARATORS, shortest: int = SHORTEST):
     """A vectorised function text -> chunks of more than shortest characters."""
 
     @F.pandas_udf("array<string>")
@@ -72,6 +76,16 @@ def recursive_chunks(size: int = 400, overlap: int = 120, separators: tuple[str,
     return chunks
 
 
+@F.udtf(returnType="chunk_index int, chunk_text string")
+class SplitChunks:
+    """recursive_chunks as a table function, with the longest chunk and the longest overlap as arguments: a row per chunk, numbered from 0."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        found = split_text(text, size, overlap, SEPARATORS) if text else []
+        for i, chunk in enumerate(c for c in found if len(c.strip()) > SHORTEST):
+            yield i, chunk
+
+
 def number_chunks(docs: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
     """A row per chunk with a dense chunk_index from 0."""
     return docs.select(*keep, F.posexplode(chunks).alias("chunk_index", "chunk_text"))

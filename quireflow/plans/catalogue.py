@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import checks, papers, projects, questions, records, services, streams, timeline
+from . import checks, papers, projects, questions, records, rules, services, streams, timeline
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (projects, records, checks, papers, questions, streams, timeline, services):
+for _module in (projects, records, checks, papers, questions, streams, timeline, services, rules):
     QUERIES |= _module.ADD.queries
     ORACLES |= _module.ADD.oracles

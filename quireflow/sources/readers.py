@@ -23,7 +23,7 @@ def declared(spark: SparkSession, path: str, name: str, form: str = "parquet") -
 
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
     """A query's rows over JDBC; partitionColumn, lowerBound, upperBound and numPartitions read it in parallel."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", **options).load()
 
 
 def sql(spark: SparkSession, text: str, **args) -> DataFrame:

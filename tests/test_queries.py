@@ -158,6 +158,18 @@ def test_bodies_of_pages(spark):
     assert of(spark, late, html.body_text).startswith("Gamma delta")
 
 
+def test_every_page_has_its_own_record(spark):
+    """Pages of one id, of none, and the same page twice."""
+    other = PAPER.replace("A title of a paper", "Another title")
+    pages = [(7, PAPER), (7, other), (None, PAPER), (None, None), (8, ""), (9, PAPER), (9, PAPER)]
+    df = spark.createDataFrame(pages, "id long, x string").repartition(3)
+    alone = {html_: (of(spark, html_, html.record), of(spark, html_, html.raw_text)) for html_ in {x for _, x in pages}}
+    got = sorted(tuple(x) for x in html.record(df, "id", "x").fillna(-1, ["id"]).collect())
+    assert got == sorted((-1 if i is None else i, *alone[x][0]) for i, x in pages)
+    texts = sorted(tuple(x) for x in html.raw_text(df, "id", "x").fillna(-1, ["id"]).collect())
+    assert texts == sorted((-1 if i is None else i, alone[x][1]) for i, x in pages) and "Another title" in "".join(x for _, x in texts)
+
+
 def test_crawl_follows_archive_issues_and_articles(spark):
     pages = [
         ("http://j/archive/1", "<a class='title' href='http://j/issue/view/1'>I1</a><a href='http://j/issue/view/9'>no</a><a class='title' href='http://j/about'>no</a>"),
