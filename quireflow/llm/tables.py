@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written in the step that is running, if one is.
+_step: ContextVar[list[str] | None] = ContextVar("step", default=None)
 #: Spark's setting by which the shuffle files of a query go when it has ended.
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -30,6 +34,8 @@ def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     Nothing before the table is needed again, so the shuffle files of the query that writes it are freed.
     """
     conf, path = df.sparkSession.conf, new_path(df.sparkSession, name)
+    if (own := _step.get()) is not None:
+        own.append(path)
     before = conf.get(_FREE, None)
     conf.set(_FREE, "true")
     try:
@@ -39,6 +45,33 @@ def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a written table, in whatever file system it is; one that is gone already is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, as a written table; all other tables written meanwhile are deleted, and if it fails all of them.
+
+    Steps may be nested: the result of an inner one is a table of the outer one. What make() gives may read nothing that is deleted: only the result is handed out.
+    """
+    outer, own = _step.get(), []
+    token = _step.set(own)
+    kept = None
+    try:
+        result = written(make(), name)
+        kept = own[-1]
+        if outer is not None:
+            outer.append(kept)
+        return result
+    finally:
+        _step.reset(token)
+        for path in own:
+            if path != kept:
+                delete(spark, path)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
