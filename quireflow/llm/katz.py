@@ -36,7 +36,7 @@ from .words import mix, pieces, words
 
 #: Words of an n-gram; counts up to KEPT are discounted by Good-Turing; tokens of a target and of a part.
 ORDER, KEPT, EPSILON, TARGET_TOKENS, PART_TOKENS = 3, 5, 1e-3, 1_500_000, 1_000_000
-#: Bits of a hash that an entry carries beside those that name its target. Of TARGET_TOKENS n-grams any two share them with a chance of about 0.06.
+#: Bits of an n-gram's hash that an entry carries beside those that name its target; a single word's is whole. Of TARGET_TOKENS n-grams any two share them with a chance of about 0.06.
 BITS = 44
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Kinds of rows: what a part asks, what it is answered, and what a target keeps.
@@ -77,6 +77,12 @@ def discounted(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(counts > KEPT, counts - EPSILON, table[np.minimum(counts, KEPT)])
 
 
+def lost(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What discounting takes from counts."""
+    few = np.minimum(counts, KEPT)
+    return np.where(counts > KEPT, EPSILON, few - table[few])
+
+
 @dataclass
 class Totals:
     """What is known of the training texts as a whole; a few numbers for each level."""
@@ -160,15 +166,15 @@ def _dealt(level: int, part: int, bits: int, keys: np.ndarray, *values: np.ndarr
     """Rows of what a part asks of each target about sorted distinct hashes, with a value of each kind for every hash. There are 2**bits targets."""
     cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
     cuts = [0, *cuts, len(keys)]
-    low = _low(keys, bits)
+    low = _low(keys, bits, 64 if level == 1 else BITS)
     for target, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if a < b:
             yield level, target, part, ASK, pack(np.diff(low[a:b], prepend=np.uint64(0)), *(v[a:b] for v in values)), None
 
 
-def _low(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The bits of a hash below those that name its target, BITS of them at most."""
-    return (keys << np.uint64(bits) if bits else keys) >> np.uint64(max(bits, 64 - BITS))
+def _low(keys: np.ndarray, bits: int, most: int) -> np.ndarray:
+    """The bits of a hash below those that name its target, so many of them at most."""
+    return (keys << np.uint64(bits) if bits else keys) >> np.uint64(max(bits, 64 - most))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -223,7 +229,7 @@ def counted(parts: DataFrame, order: int, bits: int, stored: DataFrame | None =
         if learn:
             known = total > 0
             types = np.bincount(np.minimum(total[known], KEPT + 2), minlength=KEPT + 3).tolist()
-            body = pack(np.diff(keys[known], prepend=np.uint64(0)), total[known].astype(np.uint32))
+            body = pack(np.diff(keys[known], prepend=np.uint64(0)), total[known])
             out.append((rows.column("level")[0].as_py(), rows.column("target")[0].as_py(), -1, KEEP, body, [*types, int(total.sum())]))
         return pa.Table.from_batches([_batch(out)])
 
@@ -293,23 +299,26 @@ def weighed(parts: DataFrame, counts: DataFrame, totals: Totals, stored: DataFra
             keys, first, place = np.unique(np.concatenate([histories[at], histories[wanted]]), return_index=True, return_inverse=True)
             own = np.concatenate([at, wanted])[first]
             own_count, shorter_count = told.counts[level - 1][at], told.counts[level - 2][at]
-            spent = np.bincount(place[: len(at)], discounted(own_count, totals.tables[level - 1]), len(keys))
-            covered = np.bincount(place[: len(at)], discounted(shorter_count, totals.tables[level - 2]), len(keys))
+            gone, shorter_gone = (np.bincount(place[: len(at)], lost(c, totals.tables[level - i]), len(keys)) for i, c in ((1, own_count), (2, shorter_count)))
+            covered = np.zeros(len(keys), np.int64)
+            np.add.at(covered, place[: len(at)], shorter_count)
             needed = np.zeros(len(keys), bool)
             needed[place[len(at) :]] = True
-            out += _dealt(level, number, totals.bits, keys, spent, told.of[level - 1][own].astype(np.uint32), covered, told.of[level - 2][own].astype(np.uint32), needed)
+            out += _dealt(level, number, totals.bits, keys, gone, told.of[level - 1][own], covered, shorter_gone, told.of[level - 2][own], needed)
         return pa.Table.from_batches([_batch(out)])
 
     def weigh(rows: pa.Table) -> pa.Table:
         heads, keys, place, values = _gathered(rows)
-        spent, of, covered, shorter_of, needed = values
+        gone, of, covered, shorter_gone, shorter_of, needed = values
         first = np.unique(place, return_index=True)[1]
-        if learn:
-            left = 1 - np.bincount(place, spent, len(keys)) / np.maximum(1, of[first])
-            rest = 1 - np.bincount(place, covered, len(keys)) / np.maximum(1, shorter_of[first])
+        if learn:  # what is left of whole counts is small beside them: counts are subtracted as such
+            left = np.where(of[first] > 0, np.bincount(place, gone, len(keys)) / np.maximum(1, of[first]), 1.0)
+            whole = shorter_of[first]
+            np.subtract.at(whole, place, covered)
+            rest = np.where(shorter_of[first] > 0, (whole + np.bincount(place, shorter_gone, len(keys))) / np.maximum(1, shorter_of[first]), 1.0)
             alpha = np.log10(np.maximum(left, 1e-300) / np.maximum(rest, 1e-300))
-        else:  # stored weights stand in the place of what was spent
-            alpha = np.bincount(place, spent, len(keys))
+        else:  # stored weights stand in the place of what was lost
+            alpha = np.bincount(place, gone, len(keys))
         out = list(_answered(rows, alpha[place], heads, needed))
         if learn:
             out.append((rows.column("level")[0].as_py(), rows.column("target")[0].as_py(), -1, KEEP, pack(np.diff(keys, prepend=np.uint64(0)), alpha.astype(np.float32)), None))
@@ -377,9 +386,8 @@ def fit_and_score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col
     tables_ = [discounts(dict(enumerate(types.get(level, none)[: KEPT + 2]))) for level in range(1, order + 1)]
     single = types.get(1, none)
     often, all_ = single[KEPT + 1] + single[KEPT + 2], single[KEPT + 3]
-    few = sum(r * single[r] for r in range(1, KEPT + 1))
-    spent = sum(float(tables_[0][r]) * single[r] for r in range(1, KEPT + 1)) + (all_ - few) - EPSILON * often
-    totals = Totals(docs_ or 0, tokens or 0, sum(single[: KEPT + 3]), tables_, 1 - spent / all_ if all_ else 1.0, bits)
+    gone = sum((r - float(tables_[0][r])) * single[r] for r in range(1, KEPT + 1)) + EPSILON * often
+    totals = Totals(docs_ or 0, tokens or 0, sum(single[: KEPT + 3]), tables_, gone / all_ if all_ else 1.0, bits)
     weights = weighed(parts, counts, totals)
     keep = F.col("kind") == KEEP
     return Model(counts.where(keep), weights.where(keep), totals), evaluated(parts, counts, weights, totals, chosen.schema["doc_id"].dataType)
@@ -403,7 +411,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             for row in batch.to_pylist():
                 keys, alpha = unpack(row["body"])
                 zero = np.zeros(len(keys))
-                yield _batch([(row["level"], row["target"], -1, KEEP, pack(keys, alpha.astype(float), zero, zero, zero, np.zeros(len(keys), bool)), none.tolist())])
+                yield _batch([(row["level"], row["target"], -1, KEEP, pack(keys, alpha.astype(float), zero.astype(np.int64), zero.astype(np.int64), zero, zero.astype(np.int64), np.zeros(len(keys), bool)), none.tolist())])
 
     columns = [f.split()[0] for f in _ROWS.split(", ")]
     counts = counted(parts, len(model.totals.tables), model.totals.bits, model.counts.select(columns))
@@ -412,7 +420,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit_and_score(tables.read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)[1]
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return tables.finished(spark, "scores", lambda: fit_and_score(tables.read(spark, sf_dir, "documents"), held_out)[1])
 
 
 QUERIES = {"op2_katz": op2_katz}

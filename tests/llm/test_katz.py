@@ -17,11 +17,12 @@ def split(text):
     return (text or "").translate({c: c + 32 for c in range(65, 91)}).split(" ") if text and text.strip(" ") else []
 
 
-def brute(rows, held, order=3):
-    """Every probability from its definition; asserts that each history's sum to 1."""
+def brute(rows, held, order=3, times=1):
+    """Every probability from its definition, every training text counted so many times; asserts that each history's sum to 1."""
     tokens = lambda t: [w for w in split(t) if w] + ["</s>"]
     grams = lambda t, n: [tuple(x) for x in zip(*[(["<s>"] * (n - 1) + tokens(t))[i:] for i in range(n)], strict=False)]
     counts = {n: Counter(g for i, t in rows if not held(i) for g in grams(t, n)) for n in range(1, order + 1)}
+    counts = {n: Counter({g: c * times for g, c in x.items()}) for n, x in counts.items()}
     one, total = counts[1], sum(counts[1].values())
     after = {n: defaultdict(list) for n in counts}
     for n, seen in counts.items():
@@ -30,7 +31,8 @@ def brute(rows, held, order=3):
     tables = {n: katz.discounts(dict(Counter(c.values()))) for n, c in counts.items()}
     d = lambda n, c: c - katz.EPSILON if c > katz.KEPT else tables[n][c]
     of = {n: {h: sum(counts[n][(*h, w)] for w in ws) for h, ws in after[n].items()} for n in counts}
-    left = 1 - sum(d(1, c) for c in one.values()) / total if total else 1
+    lost = lambda n, c: c - tables[n][c] if c <= katz.KEPT else katz.EPSILON
+    left = sum(lost(1, c) for c in one.values()) / total if total else 1
     alphas = {}
 
     def p(g):
@@ -45,7 +47,10 @@ def brute(rows, held, order=3):
         n = len(h) + 1
         if h not in alphas:
             ws = after[n].get(h, [])
-            alphas[h] = (1 - sum(d(n, counts[n][(*h, w)]) for w in ws) / of[n][h]) / (1 - sum(p((*h, w)[1:]) for w in ws)) if ws else 1.0
+            shorter = [counts[n - 1][(*h, w)[1:]] for w in ws]
+            whole = of[n - 1][h[1:]] if ws else 1
+            rest = (whole - sum(shorter) + sum(lost(n - 1, c) for c in shorter)) / whole
+            alphas[h] = sum(lost(n, counts[n][(*h, w)]) for w in ws) / of[n][h] / rest if ws else 1.0
         return alphas[h]
 
     for n in range(2, order + 1):
@@ -110,3 +115,36 @@ def test_nothing_to_learn_and_empty_table(spark):
     compare(spark, [(held, "a b c")])
     df = spark.createDataFrame([], SCHEMA)
     assert katz.fit_and_score(df, F.lit(False))[1].count() == 0
+
+
+def test_counts_beyond_32_bits(spark, monkeypatch):
+    """Every training text stands for 2**33 of its kind."""
+    times, encoded, counted = 2**33, katz.encoded, katz.counted
+    monkeypatch.setattr(katz, "TARGET_TOKENS", 300)
+    monkeypatch.setattr(katz, "PART_TOKENS", 200)
+    # Sums that the driver is told, and answers and stored counts, as if each had been counted that often.
+    monkeypatch.setattr(katz, "encoded", lambda docs: encoded(docs).withColumns({c: F.col(c) * times for c in ("docs", "learnt")}))
+
+    def often(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for x in rows:
+                values = list(katz.unpack(x["body"]))
+                if x["kind"] == katz.ANSWER:
+                    values[0] = values[0] // 2 * 2 * times + values[0] % 2
+                else:
+                    values[1] = values[1].astype("int64") * times
+                    x["types"] = [0] * (katz.KEPT + 2) + [sum(x["types"][:-1]), x["types"][-1] * times]
+                x["body"] = katz.pack(*values)
+            yield katz._batch([tuple(x[f.split()[0]] for f in katz._ROWS.split(", ")) for x in rows])
+
+    columns = [f.split()[0] for f in katz._ROWS.split(", ")]
+    monkeypatch.setattr(katz, "counted", lambda *how: counted(*how).select(columns).mapInArrow(often, katz._ROWS))
+    r = random.Random(12)
+    rows = [(i, " ".join(f"w{min(40, int(r.expovariate(0.1)))}" for _ in range(r.randrange(40)))) for i in range(60)]
+    df = spark.createDataFrame([(i, t, "s", "w", 1) for i, t in rows], SCHEMA)
+    got = {x.doc_id: x for x in katz.fit_and_score(df, F.col("doc_id") >= 40)[1].collect()}
+    for i, _, n, known, total, base, score in brute(rows, lambda i: i >= 40, times=times):
+        x = got[i]
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (n, known, total) and total > 2**40
+        assert x.base_score == pytest.approx(base, abs=1e-6) and x.score == pytest.approx(score, abs=1e-6)
