@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the n-grams of every labelled text, per task in numpy and then by key in Spark; what is gathered has at most one number per
-language and bucket. The log-probability matrix (buckets x languages) is broadcast, and whole texts are scored a batch at a time.
+language and bucket. The log-probability matrix (buckets x languages) is broadcast, and whole texts are scored a batch at a time. Many languages are learnt and
+scored in blocks, each with a matrix of its own, one after the other; a text carries on what it had so far, so the result is that of one matrix.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from . import tables
 from .words import pieces
 
-#: The matrix has BUCKETS x languages 4-byte numbers; more languages than MOST_LANGS would outgrow the broadcast and are refused.
+#: A matrix has BUCKETS x languages 4-byte numbers, for MOST_LANGS languages at most.
 BUCKETS, ORDERS, MOST_LANGS = 1 << 16, (1, 2, 3), 200
 _FOLD: dict[int, np.ndarray] = {}
 
@@ -52,14 +53,17 @@ def grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return out, offsets, letters[starts + sizes] - letters[starts]
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
-    """(languages by name, matrix of log probabilities of buckets and, in its last row, of the languages themselves)."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[np.ndarray]]:
+    """(languages by name; for each block of them, a matrix of log probabilities of buckets and, in its last row, of the languages themselves)."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    named = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGS + 1).collect()
-    if len(named) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages to learn")
-    langs = [r.lang for r in named]
+    named = sorted(labelled.groupBy("lang").agg(F.count("*").alias("n")).collect())  # a row per language
+    langs, share = [r.lang for r in named], np.array([r.n for r in named], float)
+    blocks = [slice(a, a + MOST_LANGS) for a in range(0, len(langs), MOST_LANGS)]
+    return langs, [_learnt(labelled if len(blocks) == 1 else labelled.where(F.col("lang").isin(langs[b])), langs[b], share[b] / share.sum()) for b in blocks]
+
+
+def _learnt(labelled: DataFrame, langs: list[str], share: np.ndarray) -> np.ndarray:
+    """The matrix of some languages, from their texts; share is that of each among all."""
     index = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,29 +82,64 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[l
     gathered = labelled.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS rows at most
     counts[gathered.column("cell").to_numpy()] = gathered.column("n").to_numpy()
     counts = counts.reshape(len(langs), BUCKETS).T + 0.5
-    share = np.array([r.n for r in named], float)
-    matrix = np.vstack([np.log(counts / counts.sum(axis=0)), np.log(share / share.sum())]) if langs else np.zeros((BUCKETS + 1, 0))
-    return langs, matrix.astype(np.float32)
-
-
-def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str, text_col: str, keep: tuple[str, ...] = (), text: bool = False) -> DataFrame:
+    return np.vstack([np.log(counts / counts.sum(axis=0)), np.log(share)]).astype(np.float32)
+
+
+def _sums(matrix: np.ndarray, found: list[np.ndarray], offsets: np.ndarray) -> np.ndarray:
+    """What speaks for each language in each text, over the root of the number of its n-grams."""
+    sums = np.tile(matrix[-1].astype(float), (len(offsets) - 1, 1))
+    for g in found:
+        for k in range(matrix.shape[1]):
+            sums[:, k] += np.add.reduceat(matrix[:-1, k][g[: offsets[-1]]].astype(float), offsets[:-1])
+    return sums / np.sqrt(np.maximum(1, np.diff(offsets)) * len(ORDERS))[:, None]
+
+
+def _in_blocks(kept: DataFrame, langs: list[str], matrices: list[np.ndarray], shown: int) -> DataFrame:
+    """predict() for several blocks of languages: a text has, after each, the best language so far, what speaks for it, and the sum of all so far as a multiple of its own."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    names, state = kept.columns, ["__place", "__most", "__sum", "__letters"]
+
+    def carried(b: int):
+        sent, first = kept.sparkSession.sparkContext.broadcast(matrices[b]), b * MOST_LANGS
+
+        def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low, high in pieces(batch.column("text")):
+                    rows = batch.slice(low, high - low)
+                    found, offsets, letters = grams(rows.column("text"))
+                    sums = _sums(sent.value, found, offsets)
+                    place, most = sums.argmax(axis=1) + first, sums.max(axis=1)
+                    total = np.exp(sums - most[:, None]).sum(axis=1)
+                    if b:
+                        before, was, had = (rows.column(c).to_numpy() for c in state[:3])
+                        top = np.maximum(was, most)
+                        total, place, most = had * np.exp(was - top) + total * np.exp(most - top), np.where(most > was, place, before), top
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(place, pa.int64()), pa.array(most), pa.array(total), pa.array(letters, pa.int64())], names=[*names, *state])
+
+        return carry
+
+    for b in range(len(matrices)):
+        kept = kept.mapInArrow(carried(b), f"{fields}, __place long, __most double, __sum double, __letters long")
+    known = F.col("__letters") > 0
+    pred = F.when(known, F.element_at(F.array(*map(F.lit, langs)), (F.col("__place") + 1).cast("int"))).otherwise("und")
+    return kept.select(*[f"`{c}`" for c in names[:shown]], pred.alias("lang_pred"), F.when(known, F.round(1 / F.col("__sum"), 9)).otherwise(0.0).alias("score"))
+
+
+def predict(docs: DataFrame, langs: list[str], matrices: list[np.ndarray], id_col: str, text_col: str, keep: tuple[str, ...] = (), text: bool = False) -> DataFrame:
     """(doc_id, *keep, text if asked for, lang_pred, score). score is the posterior under mean log probability per n-gram times the root of their number."""
-    sent = docs.sparkSession.sparkContext.broadcast(matrix)
     kept = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
     shown = len(kept.columns) - (not text)
+    if len(matrices) > 1:
+        return _in_blocks(kept, langs, matrices, shown)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:shown])
+    sent = docs.sparkSession.sparkContext.broadcast(matrices[0] if matrices else np.zeros((BUCKETS + 1, 0), np.float32))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = sent.value
         for batch in batches:
             for low, high in pieces(batch.column("text")):
                 found, offsets, letters = grams(batch.column("text").slice(low, high - low))
-                sums = np.tile(matrix[-1].astype(float), (high - low, 1))
-                size = np.maximum(1, np.diff(offsets)) * len(ORDERS)
-                for g in found:
-                    for k in range(len(langs)):
-                        sums[:, k] += np.add.reduceat(matrix[:-1, k][g[: offsets[-1]]].astype(float), offsets[:-1])
-                sums /= np.sqrt(size)[:, None]
+                sums = _sums(matrix, found, offsets)
                 part = np.exp(sums - sums.max(axis=1, initial=-np.inf, keepdims=True)) if langs else np.zeros((high - low, 0))
                 best = part.argmax(axis=1) if langs else np.zeros(high - low, int)
                 known = (letters > 0) & bool(langs)
@@ -121,8 +160,8 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held.alias("held_out"))
-    langs, matrix = train(docs.where(~F.col("held_out")), "doc_id", "text", "lang")
-    return predict(docs, langs, matrix, "doc_id", "text", ("held_out",))
+    langs, matrices = train(docs.where(~F.col("held_out")), "doc_id", "text", "lang")
+    return predict(docs, langs, matrices, "doc_id", "text", ("held_out",))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

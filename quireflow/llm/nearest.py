@@ -127,7 +127,7 @@ def probes(turned: np.ndarray, table: int, shape: tuple[int, ...], most: int) ->
 
 
 def fitted(query: np.ndarray, near: np.ndarray, of: np.ndarray, n: int, largest: float) -> tuple[tuple[int, ...], int]:
-    """(shape, probes a table) that find TARGET of the true neighbours `near` of queries `of` at the least cost; all buckets, if nothing less does."""
+    """(shape, probes a table) that find TARGET of the true neighbours `near` of queries `of` at the least cost; None if none does with MOST_PROBES."""
     q, x = unit(query, None), unit(near, largest)
     best = None
     for shape in shapes(n, q.shape[1]):
@@ -140,7 +140,7 @@ def fitted(query: np.ndarray, near: np.ndarray, of: np.ndarray, n: int, largest:
         wanted = np.sort(place)[max(0, int(np.ceil(TARGET * len(place))) - 1)] if len(place) else 0
         if np.isfinite(wanted) and (best is None or (wanted + 1) * (n / total + PROBE_COST) < best[0]):
             best = (wanted + 1) * (n / total + PROBE_COST), shape, int(wanted) + 1
-    return best[1:] if best else ((2,), 2)
+    return best[1:] if best else None
 
 
 def matrix(column: pa.ListArray, dim: int) -> np.ndarray:
@@ -350,7 +350,7 @@ def _exact(entries: DataFrame, wanted: DataFrame, dim: int, k: int) -> DataFrame
     return out
 
 
-def _fit(entries: DataFrame, searched: DataFrame, dim: int, n: int, largest: float, kind: type, k: int) -> Layout:
+def _fit(entries: DataFrame, searched: DataFrame, dim: int, n: int, largest: float, kind: type, k: int) -> Layout | None:
     """The layout that CALIBRATION queries, chosen by hash, ask for; their true neighbours are found by one pass over all entries."""
     sample = tables.written(searched.orderBy(F.xxhash64("rep"), "rep").limit(CALIBRATION), "calibration")
     true = _exact(entries, sample, dim, k + 1)
@@ -363,14 +363,15 @@ def _fit(entries: DataFrame, searched: DataFrame, dim: int, n: int, largest: flo
     place = {rep: i for i, rep in enumerate(rows.column("rep").to_pylist())}
     of = np.array([place[q] for q in near.column("query").to_pylist()], np.int64)
     x = matrix(near.column("vec").combine_chunks(), dim) if len(of) else np.zeros((0, dim))
-    return Layout(n, dim, largest, kind, *fitted(matrix(rows.column("vec").combine_chunks(), dim), x, of, n, largest))
+    found = fitted(matrix(rows.column("vec").combine_chunks(), dim), x, of, n, largest)
+    return Layout(n, dim, largest, kind, *found) if found else None
 
 
 def search(vectors: DataFrame, query_ids: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20) -> DataFrame:
     """Each query's k nearest rows found, its own left out: (query_id, rank, vec_id, score), from rank 1; ties go to the smaller id.
 
     query_ids has a column query_id of ids of vectors. Every other row is a candidate; queries for which the tables find fewer than k rows are
-    held against all rows, so each gets k, or all there are. Rows with a null id, a null or zero vector, or null or non-finite components
+    held against all rows, so each gets k, or all there are; so are all queries, if no tables are found that reach TARGET with MOST_PROBES. Rows with a null id, a null or zero vector, or null or non-finite components
     take no part, nor do vectors of another length than the most frequent one. Repeated rows count once; if an id has several vectors,
     its best counts. An empty table gives no rows. Extra columns are ignored.
     """
@@ -393,7 +394,20 @@ def search(vectors: DataFrame, query_ids: DataFrame, *, id_col: str = "vec_id",
     asked = rows.join(query_ids.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi").distinct()
     asked = tables.written(asked.join(entries.select("rep", "vec"), "vec").select("id", "rep", "vec"), "queries")
     searched = asked.select("rep", "vec").distinct()
+    def ranked(found: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score, rank) with ids in the place of entries."""
+        nearest = W.partitionBy("query").orderBy(F.desc("score"), "rep")  # entries are in the order of their smallest ids, so no more than k + 1 can count
+        found = found.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n")
+        ids = found.join(entries.select("rep", "ids"), "rep").select("query", F.explode("ids").alias("vec_id"), "score")
+        first = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        ids = ids.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+        each = ids.join(asked.select(F.col("id").alias("query_id"), F.col("rep").alias("query")), "query").where("vec_id <> query_id")
+        each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
     layout = _fit(entries, searched, dim, n, largest, kind, k)
+    if layout is None:  # no tables find enough: all queries are held against all rows, once
+        return ranked(_exact(entries, searched, dim, k + 1)).select("query_id", "rank", "vec_id", "score")
     coded = tables.written(layout.coded(entries), "coded")
     hot = tables.written(layout.hot(coded), "hot-slots")
     n_hot = hot.count()
@@ -408,17 +422,6 @@ def search(vectors: DataFrame, query_ids: DataFrame, *, id_col: str = "vec_id",
         rest = layout.found(layout.points(coded), layout.queries(tables.written(bound, "bounds"), first, layout.probes), hot, k + 1)
         found = found.unionByName(tables.written(rest, "found"))
 
-    def ranked(found: DataFrame) -> DataFrame:
-        """(query_id, vec_id, score, rank) with ids in the place of entries."""
-        nearest = W.partitionBy("query").orderBy(F.desc("score"), "rep")  # entries are in the order of their smallest ids, so no more than k + 1 can count
-        found = found.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n")
-        ids = found.join(entries.select("rep", "ids"), "rep").select("query", F.explode("ids").alias("vec_id"), "score")
-        first = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-        ids = ids.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-        each = ids.join(asked.select(F.col("id").alias("query_id"), F.col("rep").alias("query")), "query").where("vec_id <> query_id")
-        each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-
     result = tables.written(ranked(found), "nearest")
     most = rows.select("id").distinct().limit(k + 1).count() - 1
     counts = result.groupBy(F.col("query_id").alias("id")).count()

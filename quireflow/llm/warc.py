@@ -29,6 +29,8 @@ from . import tables
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 256 << 20, 3
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
+#: Revisits, some 60 bytes each, that may be broadcast to the pages.
+BROADCAST_REVISITS = 500_000
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "page_id long, record_type string, record_id string, bundle string, frame int, frame_at long, frame_size long, record_at long, record_size long"
@@ -81,6 +83,8 @@ def read_seek_table(file, size: int) -> list[tuple[int, int, int]]:
         out.append((at, packed, whole))
         at += packed
     return out
+#: Revisits, some 60 bytes each, that may be broadcast to the pages.
+BROADCAST_REVISITS = 500_000
 
 
 class Bundler:
@@ -138,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     keyed = rows.where("page_id is not null").select("page_id", F.length("payload").alias("size"), F.unhex(F.sha2("payload", 256)).alias("digest")).where(F.col("size") >= LEAST_REVISIT)
     firsts = keyed.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("digest", "refers_to")
     revisits = tables.written(keyed.join(firsts, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits")
-    revisits = tables.small_or_not(revisits, 500_000).withColumnsRenamed({"page_id": "r_id", "digest": "r_digest"})
+    revisits = tables.small_or_not(revisits, BROADCAST_REVISITS).withColumnsRenamed({"page_id": "r_id", "digest": "r_digest"})
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     marked = rows.join(revisits, (F.col("page_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
     folder = folder.rstrip("/")
