@@ -54,10 +54,9 @@ def lifecycle(events: DataFrame, key: str = "document_id", minutes: int = 20, or
             return
         status, at = state.get if state.exists else (None, -1)
         for frame in frames:
-            for row in frame.sort_values(list(order)).itertuples():
-                ms = int(row.ts.timestamp() * 1000)
-                if ms >= at:
-                    status, at = row.status, ms
+            newest = frame[frame["ts"] == frame["ts"].max()]
+            if len(newest) and (ms := int(newest["ts"].iloc[0].timestamp() * 1000)) >= at:
+                status, at = newest.sort_values(list(order))["status"].iloc[-1], ms
         state.update((status, at))
         if status in ("uploaded", "processing"):
             state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + minutes * 60_000)
