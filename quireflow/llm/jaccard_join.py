@@ -36,6 +36,8 @@ BROADCAST_IDS = 1_000_000
 ROUNDS = 24
 #: Documents and shingles of a group, columns of a dense slice, and documents that are held against a group at a time.
 GROUP, GROUP_GRAMS, SLICE, ROWS = 256, 500_000, 8_192, 64
+#: Groups on either side that meet in a task.
+MEET = 8
 #: Rows that a task holds while it lists tokens, and while it compares those of one token (more only where one token has more).
 LISTED, ROWS_AT_ONCE = 2_500, 25_000
 KEYS = ("doc_id", "family", "band", "part")
@@ -187,10 +189,10 @@ def _listed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(listed, "token long, doc_id long, more array<long>")
 
 
-def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list[bytes], percent: int, steps: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list[bytes], percent: int, steps: int = 1, split: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, document, leader) within runs of one token: enough pairs to connect all that sizes and bitmaps leave possible, and the places of leaders.
 
-    In a long run, leaders are taken in turn, each with all that are close to it and have none yet. If members of two leaders are close, the leaders are
+    In a long run, and in one that is a part of a split token, leaders are taken in turn, each with all that are close to it and have none yet. If members of two leaders are close, the leaders are
     within three times the distance, so such leaders are joined; this may join more than is close, never less. steps says how many
     distances two may lie apart.
     """
@@ -211,8 +213,12 @@ def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list
             tables_[w] = place, out
         return tables_[w]
 
+    def sizes_fit(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        """Whether sets of these sizes may lie n distances apart; a little more than that, by rounding."""
+        return np.minimum(a, b) >= (percent / 100) ** n * np.maximum(a, b) * (1 - 1e-9)
+
     def near(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-        fits = (doc[i] != doc[j]) & (100**n * np.minimum(size[i], size[j]) >= percent**n * np.maximum(size[i], size[j]))
+        fits = (doc[i] != doc[j]) & sizes_fit(size[i], size[j], n)
         low = np.minimum(wide[i], wide[j])
         for w in np.unique(low[fits]):
             place, bits = bitmaps(int(w))
@@ -222,6 +228,23 @@ def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list
                 fits[at] = apart * (100 + percent) <= n * (size[i[at]] + size[j[at]]) * (100 - percent)
         return fits
 
+    upright: dict[int, np.ndarray] = {}
+
+    def near_one(i: int, j: np.ndarray, n: int) -> np.ndarray:
+        """near() of one row and many."""
+        fits = (doc[j] != doc[i]) & sizes_fit(size[i], size[j], n)
+        low = np.minimum(wide[i], wide[j])
+        for w in np.unique(low[fits]).tolist():
+            place, bits = bitmaps(w)
+            if w not in upright:
+                upright[w] = np.ascontiguousarray(bits.T)
+            chosen = np.flatnonzero(fits & (low == w))
+            at, apart = place[j[chosen]], np.zeros(len(chosen), np.int64)
+            for k in range(w):
+                apart += np.bitwise_count(upright[w][k][at] ^ bits[place[i], k])
+            fits[chosen] = apart * (100 + percent) <= n * (size[i] + size[j[chosen]]) * (100 - percent)
+        return fits
+
     starts = np.flatnonzero(np.diff(run, prepend=run[:1] ^ 1))
     counts = np.diff(np.append(starts, len(run)))
     left, right, leaders = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -232,24 +255,37 @@ def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list
         right.append(j[fits])
         return fits
 
-    small = np.repeat(counts <= 64, counts)
+    def joined(i: int, j: np.ndarray) -> None:
+        left.append(np.full(len(j), i))
+        right.append(j)
+
+    long = counts > 64 if split is None else (counts > 64) | split[starts]
+    small = np.repeat(~long, counts)
     end = np.repeat(starts + counts, counts)
-    for step in range(1, int(counts[counts <= 64].max(initial=1))):
+    for step in range(1, int(counts[~long].max(initial=1))):
         i = np.flatnonzero(small & (np.arange(len(run)) + step < end))
         add(i, i + step, steps)
     leaders.append(np.flatnonzero(small))
-    for s, n in zip(starts[counts > 64].tolist(), counts[counts > 64].tolist(), strict=True):
+    for s, n in zip(starts[long].tolist(), counts[long].tolist(), strict=True):
         free, chosen = np.arange(s, s + n), []
         while len(free):
-            chosen.append(free[0])
-            same = doc[free[1:]] == doc[free[0]]
-            free = free[1:][~(add(np.full(len(free) - 1, free[0]), free[1:], steps) | same)]
+            first, rest = int(free[0]), free[1:]
+            chosen.append(first)
+            close = near_one(first, rest, steps)
+            joined(first, rest[close])
+            free = rest[~close & (doc[rest] != doc[first])]
         chosen = np.array(chosen)
         leaders.append(chosen)
-        for x in range(0, len(chosen), 512):
-            for y in range(x, len(chosen), 512):
-                i, j = (v.ravel() for v in np.meshgrid(chosen[x : x + 512], chosen[y : y + 512], indexing="ij"))
-                add(i[i < j], j[i < j], 3 * steps)
+        part = np.arange(len(chosen))  # leaders that hang together need not be held against each other
+        for x in range(len(chosen) - 1):
+            others = x + 1 + np.flatnonzero(part[x + 1 :] != part[x])
+            if len(others):
+                others = others[near_one(int(chosen[x]), chosen[others], 3 * steps)]
+                joined(int(chosen[x]), chosen[others])
+                if len(others):
+                    part[np.isin(part, part[others])] = part[x]
+            elif (part == part[0]).all():
+                break
     i, j = np.concatenate(left), np.concatenate(right)
     _, node = np.unique(doc, return_inverse=True)
     root, ids = np.arange(node.max(initial=-1) + 1), np.zeros(node.max(initial=-1) + 1, np.int64)
@@ -270,19 +306,26 @@ def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list
 def _families(shared: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) of what may be linked: documents of one token that size and bitmap leave possible.
 
-    A token of more than ROWS_AT_ONCE documents is dealt into parts; the leaders of its parts are held against each other in a second round.
+    A token of more than ROWS_AT_ONCE documents is dealt into parts; the leaders of its parts are held against each other in a further round, dealt again while they are too many. Each
+    round's leaders stand for all within so many distances, so those of two that are close lie within three times as many: the next round looks that far, until one part is left.
     """
     described = sized.select("doc_id", F.col("n_shingles").cast("int").alias("n"), "sketch").distinct()
     tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = shared.groupBy("token").count().where(F.col("count") > ROWS_AT_ONCE).select("token", F.ceil(F.col("count") / ROWS_AT_ONCE).cast("int").alias("parts"))
-    hot = tables.written(hot, "hot-tokens")
-    split = shared.join(tables.small_or_not(hot, BROADCAST_IDS), "token", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
+    most = ROWS_AT_ONCE
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """(token, doc_id, part): the part of a token that a document is dealt to, null where there is but one."""
+        hot = rows.groupBy("token").count().where(F.col("count") > most).select("token", F.ceil(F.col("count") / most).cast("int").alias("parts"))
+        hot = tables.small_or_not(tables.written(hot, "hot-tokens"), BROADCAST_IDS)
+        return rows.join(hot, "token", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))).drop("parts")
+
+    split = dealt(shared)
 
     def edges(steps: int):
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def told(table: pa.Table) -> pa.RecordBatch:
                 token, part, doc = (table.column(c).to_numpy() for c in ("token", "part", "doc_id"))
-                a, b, leaders = close_pairs(token ^ part, doc, table.column("n").to_numpy().astype(np.int64), table.column("sketch").to_pylist(), percent, steps)
+                a, b, leaders = close_pairs(token ^ part, doc, table.column("n").to_numpy().astype(np.int64), table.column("sketch").to_pylist(), percent, steps, part >= 0)
                 leaders = leaders[part[leaders] >= 0]
                 kinds = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(token[leaders])])
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, doc[leaders]])), pa.array(np.concatenate([b, doc[leaders]])), kinds], names=["a", "b", "token"])
@@ -309,12 +352,25 @@ def _families(shared: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
         rows = rows.repartition(tasks, "token", "part").sortWithinPartitions("token", "part")
         return rows.mapInArrow(edges(steps), "a long, b long, token long")
 
-    first = tables.written(ran(split, 1), "edges")
-    out = first.where("token is null").select("a", "b")
-    if not hot.isEmpty():
-        leaders = first.where("token is not null").select("token", F.col("a").alias("doc_id"), F.lit(None).cast("int").alias("part")).distinct()
-        out = out.union(ran(leaders, 3).select("a", "b"))
-    return out.distinct()
+    out, steps, rows = None, 1, split
+    while True:
+        found = tables.written(ran(rows, steps), "edges")
+        near = found.where("token is null").select("a", "b")
+        out = near if out is None else out.union(near)
+        leaders = found.where("token is not null").select("token", F.col("a").alias("doc_id")).distinct()
+        if leaders.isEmpty():
+            return _fewer(out)
+        rows, steps = dealt(leaders), 3 * steps
+
+
+def _fewer(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same: each b with its smallest a, and that with its others, of which all of a family have much the same.
+
+    A document is a b at most once for each of its tokens, which bounds what is gathered for it.
+    """
+    lists = tables.written(edges.where("a <> b").groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("hubs")), "hubs")
+    among = lists.where(F.size("hubs") > 1).select(F.col("hubs")[0].alias("a"), F.explode(F.slice("hubs", 2, F.size("hubs"))).alias("b"))
+    return lists.select(F.col("hubs")[0].alias("a"), "b").union(among.distinct())
 
 
 def overlaps(rows: np.ndarray, grams: np.ndarray, n: int, others: np.ndarray, other_grams: np.ndarray, m: int) -> np.ndarray:
@@ -395,7 +451,21 @@ def connected(ids: np.ndarray, links: list[tuple[int, int]]) -> np.ndarray:
     return ids[[find(at[v]) for v in ids.tolist()]]
 
 
-_GROUP = {"ids": np.int64, "of": np.int64, "sizes": np.int64, "grams": np.uint64, "union": np.uint64}
+_GROUP = {"ids": np.int64, "of": np.int64, "sizes": np.int64, "union": np.uint64}
+
+
+def _places(grams: np.ndarray, union: np.ndarray) -> bytes:
+    """Shingles as their places in the union, of two bytes each if that is enough: members of a group share most."""
+    return np.searchsorted(union, grams).astype(np.uint16 if len(union) <= 1 << 16 else np.uint32).tobytes()
+
+
+def _shingles(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sizes, shingles on end, their union) of the group in a row."""
+    ids, sizes, union = (np.frombuffer(batch.column(c)[i].as_py(), _GROUP[c]) for c in ("ids", "sizes", "union"))
+    places = batch.column("grams")[i].as_py()
+    return ids, sizes, union[np.frombuffer(places, np.uint16 if len(places) == 2 * sizes.sum() else np.uint32)], union
+
+
 _PACKED = "family long, band int, part int, least long, ids binary, of binary, sizes binary, grams binary, union binary, links array<struct<a:long,b:long>>"
 
 
@@ -409,7 +479,7 @@ def _packed(columns: DataFrame, percent: int) -> DataFrame:
         union = np.unique(grams)
         alone = (ids, ids.copy(), sizes, grams, union)
         links = open_groups(alone, alone, percent)
-        binaries = [x.tobytes() for x in (ids, connected(ids, links), sizes, grams, union)]
+        binaries = [ids.tobytes(), connected(ids, links).tobytes(), sizes.tobytes(), _places(grams, union), union.tobytes()]
         found = pa.array([[{"a": a, "b": b} for a, b in links]], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
         return pa.Table.from_arrays([*(table.column(c).slice(0, 1).combine_chunks() for c in ("family", "band", "part")), pa.array([int(sizes.min())]), *(pa.array([x], pa.binary()) for x in binaries), found], names=[f.split()[0] for f in _PACKED.split(", ")])
 
@@ -429,7 +499,8 @@ def _heads(packed: DataFrame) -> DataFrame:
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, of, sizes, grams = (np.frombuffer(batch.column(c)[i].as_buffer(), _GROUP[c]) for c in ("ids", "of", "sizes", "grams"))
+                ids, sizes, grams, _ = _shingles(batch, i)
+                of = np.frombuffer(batch.column("of")[i].as_py(), np.int64)
                 _, first = np.unique(of, return_index=True)
                 ends = np.cumsum(sizes)
                 lists = pa.array([grams[ends[k] - sizes[k] : ends[k]].view(np.int64) for k in first], pa.list_(pa.int64()))
@@ -438,7 +509,7 @@ def _heads(packed: DataFrame) -> DataFrame:
 
     several = packed.groupBy("family", "band").count().where("count > 1").select("family", "band")
     chosen = packed.join(tables.small_or_not(tables.written(several, "several"), BROADCAST_IDS), ["family", "band"], "left_semi")
-    return chosen.select("family", "band", "ids", "of", "sizes", "grams").mapInArrow(heads, "family long, band int, doc_id long, n_shingles long, grams array<long>")
+    return chosen.select("family", "band", "ids", "of", "sizes", "grams", "union").mapInArrow(heads, "family long, band int, doc_id long, n_shingles long, grams array<long>")
 
 
 def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
@@ -507,21 +578,29 @@ def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFr
     by_group = of.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "component"))).alias("known"))  # GROUP entries or so
     both = wanted.select(*key).union(wanted.select("x_family", "x_band", "x_part")).distinct()
     full = packed.drop("links", "least", "of").join(tables.small_or_not(tables.written(both, "both"), BROADCAST_IDS), key, "left_semi").join(by_group, key)
-    left = full.select([F.col(c).alias(f"x_{c}") for c in full.columns])
+    # Groups meet in blocks of MEET by MEET, so a group moves once for each block that it is wanted in and not for each group.
+    block = ["family", "x_band", "x_block", "band", "block"]
+    tied = wanted.withColumns({"x_block": F.floor(F.col("x_part") / MEET), "block": F.floor(F.col("part") / MEET)})
+    of_x = tied.groupBy(*block, "x_part").agg(F.collect_list("part").alias("wanted")).withColumnRenamed("x_part", "part")
+    of_y = tied.select(*block, "part").distinct().withColumn("wanted", F.lit(None).cast("array<int>"))
+    payload = [c for c in full.columns if c not in key]
+    sides = [tables.small_or_not(tables.written(of, "meeting"), BROADCAST_IDS).join(full.withColumnRenamed("band", band), ["family", band, "part"]) for of, band in ((of_x, "x_band"), (of_y, "band"))]
+    met = sides[0].select(*block, "part", "wanted", *payload).unionByName(sides[1].select(*block, "part", "wanted", *payload))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def group(batch: pa.RecordBatch, i: int, prefix: str) -> tuple:
-            ids, sizes, grams, union = (np.frombuffer(batch.column(prefix + c)[i].as_buffer(), _GROUP[c]) for c in ("ids", "sizes", "grams", "union"))
-            known = dict(batch.column(prefix + "known")[i].as_py())
+    def search(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+
+        def group(i: int) -> tuple:
+            ids, sizes, grams, union = _shingles(batch, i)
+            known = dict(batch.column("known")[i].as_py())
             return ids, np.array([known[v] for v in ids.tolist()], np.int64), sizes, grams, union
 
-        for batch in batches:
-            found = [link for i in range(batch.num_rows) for link in open_groups(group(batch, i, "x_"), group(batch, i, ""), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+        asked, parts = batch.column("wanted").to_pylist(), batch.column("part").to_pylist()
+        others = {parts[i]: group(i) for i, ys in enumerate(asked) if ys is None}
+        found = [link for i, ys in enumerate(asked) if ys is not None for x in [group(i)] for y in ys for link in open_groups(x, others[y], percent)]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    payload = [c for c in full.columns if c not in key]
-    opened = wanted.join(left, ["x_family", "x_band", "x_part"]).join(full, key).select(*[f"x_{c}" for c in payload], *payload)
-    return links.union(opened.mapInArrow(search, "a long, b long"))
+    return links.union(met.groupBy(*block).applyInArrow(search, "a long, b long"))
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -537,8 +616,12 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes of the links (a, b): the smallest node that can be reached.
 
     Every node points at its smallest neighbour's smallest neighbour in turn, so the rounds grow with the logarithm of the longest path;
-    each is a table in the shared folder.
+    each is a table in the shared folder, of which the last is kept.
     """
+    return tables.finished(links.sparkSession, "components", lambda: _reached(links))
+
+
+def _reached(links: DataFrame) -> DataFrame:
     edges = tables.written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
     state = tables.written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node"), "components")
     while True:
@@ -559,12 +642,27 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     links. Rows of one id count as one document: what one of them links to, all do; each is returned. Extra columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return tables.finished(docs.sparkSession, "joined", lambda: _joined(docs, shingle_words, percent))
+
+
+def _joined(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    spark = docs.sparkSession
     sized = tables.written(_described(docs, shingle_words), "sets")
     known = sized.where("doc_id is not null and n_shingles > 0")
     # Equal sets: the smallest id stands for all.
     same = known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     same = tables.small_or_not(tables.written(same, "equal-sets"), BROADCAST_IDS)  # beyond that, Spark splits the rows of a hot set
     copies = tables.written(known.join(same, ["n_shingles", "h1", "h2"]).where("doc_id > first").select("doc_id", "first").distinct(), "copies")
+    # Families, and their groups opened through the matrix.
+    families = tables.finished(spark, "families", lambda: _by_token(docs, known, copies, shingle_words, percent))
+    sizes = families.join(known.select("doc_id", "n_shingles").distinct(), "doc_id")
+    links = tables.finished(spark, "links", lambda: _across(docs, sizes, shingle_words, percent))
+    every = components(links.union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))))
+    return sized.join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _by_token(docs: DataFrame, known: DataFrame, copies: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """(doc_id, family) of documents that share a token with another."""
     # Tokens that several documents have. The smallest of equal sets lists every token, so its copies are not needed, but for ids that have other sets as well.
     lists = _listed(docs.where("doc_id is not null and text is not null"), shingle_words, percent)
     by = W.partitionBy("token")
@@ -573,11 +671,12 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     several = known.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high")
     spare = copies.select("doc_id").join(several, "doc_id", "left_anti")
     shared = tables.written(shared.join(tables.small_or_not(tables.written(spare, "spare"), BROADCAST_IDS), "doc_id", "left_anti"), "tokens")
-    # Families, and their groups opened through the matrix.
-    families = components(_families(shared, known, percent)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    links = _across(docs, families.join(known.select("doc_id", "n_shingles").distinct(), "doc_id"), shingle_words, percent)
-    every = components(links.union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))))
-    return sized.join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Tokens of the very same documents say the same: copies share most of theirs. Each such set of documents is told by its size and two sums of hashes.
+    told = lambda salt: F.sum(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 31)))
+    alike = shared.groupBy("token").agg(F.count("*").alias("n"), told(1).alias("s"), told(2).alias("t"))
+    kept = tables.written(alike.groupBy("n", "s", "t").agg(F.min("token").alias("token")).select("token"), "kept-tokens")
+    shared = tables.written(shared.join(tables.small_or_not(kept, BROADCAST_IDS), "token", "left_semi"), "tokens")
+    return components(_families(shared, known, percent)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

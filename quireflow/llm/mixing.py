@@ -81,7 +81,7 @@ def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     keyed = docs.withColumns({"__h1": F.xxhash64(*columns), "__h2": F.xxhash64(F.lit(1), *columns)})
     rows = mix(keyed, id_col=id_col, text_col=text_col, source_col=source_col, keep=("__h1", "__h2"), **how)
     taken = tables.written(rows.groupBy("__h1", "__h2").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0"), "taken")
-    once = keyed.join(taken.where("__rows = 1"), ["__h1", "__h2"])
+    once = keyed.join(taken.where("__rows = 1").hint("shuffle_hash"), ["__h1", "__h2"])  # texts are not sorted for it
     if not taken.where("__rows > 1").isEmpty():
         once = once.unionByName(keyed.join(taken.where("__rows > 1"), ["__h1", "__h2"]).dropDuplicates(["__h1", "__h2"]))
     return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias(copy_col))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quireflow.llm import jaccard_join as jaccard
 from quireflow.llm.jaccard_join import classes, jaccard_join, tokens
 
 SCHEMA = "doc_id long, text string, source string, token string, component string"
@@ -87,3 +88,53 @@ def test_largest_set_of_a_piece_shares_a_token_with_a_larger_one_elsewhere():
         small = np.sort(large[r.permutation(len(large))[:n]])
         found = [set(tokens(x, np.array([0, len(x)]), 90)[0].tolist()) for x in (small, large)]
         assert found[0] & found[1]
+
+
+def test_a_hot_token_is_split_in_rounds(spark, monkeypatch):
+    """Documents of one template, most of them linked with none: parts of parts, and no link is lost."""
+    monkeypatch.setattr(jaccard, "ROWS_AT_ONCE", 70)
+    r = random.Random(21)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(330):
+        own = base[:70] + [f"x{i}y{k}" for k in range(r.choice([3, 25, 40]))]
+        rows.append((i, " ".join(own)))
+    rows += [(400 + i, " ".join([*base[:70], *(f"x{i}y{k}" for k in range(3)), "more"])) for i in range(0, 330, 9)]
+    df = spark.createDataFrame([(i, t, "s", "t", "c") for i, t in rows], SCHEMA).repartition(5)
+    for words, percent in ((1, 80), (3, 90)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join(df, shingle_words=words, percent=percent).collect()}
+        assert got == brute(rows, words, percent)
+        assert len({c for _, c in got.values()}) > 20
+
+
+def test_close_pairs_connect_all_that_is_close():
+    g = np.random.Generator(np.random.PCG64(4))
+    base = g.integers(0, 2**63, 90, dtype=np.uint64)
+    sets_ = [np.unique(np.concatenate([base[g.random(90) < 0.95], g.integers(0, 2**63, int(n), dtype=np.uint64)])) for n in g.choice([0, 2, 10, 60], 150)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets_])])
+    bits = jaccard.sketches(np.concatenate(sets_), offsets)
+    for steps in (1, 3, 27):
+        a, b, leaders = jaccard.close_pairs(np.zeros(150, np.int64), np.arange(150), np.diff(offsets), bits, 80, steps)
+        part = np.arange(150)
+        for x, y in zip(a, b, strict=True):
+            part[part == part[y]] = part[x]
+        for x in range(150):
+            for y in range(x):
+                both = len(np.intersect1d(sets_[x], sets_[y]))
+                if 100 * both >= 80 * (len(sets_[x]) + len(sets_[y]) - both):
+                    assert part[x] == part[y]
+        assert steps == 1 or len(leaders) == 1
+
+
+@pytest.mark.parametrize("meet", [1, 2, 8])
+def test_groups_meet_in_blocks(spark, monkeypatch, meet):
+    """Families of many small groups that are not one component: no link between groups is lost."""
+    monkeypatch.setattr(jaccard, "GROUP", 5)
+    monkeypatch.setattr(jaccard, "MEET", meet)
+    opened = []
+    links = jaccard._across
+    monkeypatch.setattr(jaccard, "_across", lambda *how: opened.append(1) or links(*how))
+    rows = [(100 * k + i, t) for k, (edits, count) in enumerate([(14, 90), (25, 60), (9, 40)]) for i, t in enumerate(family(k, count, 90, edits))]
+    df = spark.createDataFrame([(i, t, "s", "t", "c") for i, t in rows], SCHEMA).repartition(4)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join(df, shingle_words=2, percent=80).collect()}
+    assert got == brute(rows, 2, 80) and opened and 3 < len({c for _, c in got.values()}) < 180
