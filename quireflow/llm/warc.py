@@ -83,8 +83,6 @@ def read_seek_table(file, size: int) -> list[tuple[int, int, int]]:
         out.append((at, packed, whole))
         at += packed
     return out
-#: Revisits, some 60 bytes each, that may be broadcast to the pages.
-BROADCAST_REVISITS = 500_000
 
 
 class Bundler:

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quireflow.llm import decontaminate, language_id, nearest, quality, url_reputation, warc
@@ -69,3 +70,24 @@ def test_joins_beyond_what_is_broadcast(spark, monkeypatch, module, names):
     for n in names:
         monkeypatch.setattr(module, n, 0)
     assert rows() == whole
+
+
+def test_a_task_that_fills_several_bundles(monkeypatch, tmp_path):
+    """Frames and bundles are closed when they are full; each bundle's seek table finds its own frames, and every record its place."""
+    monkeypatch.setattr(warc, "FRAME_BYTES", 3_000)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 4_000)
+    g = np.random.Generator(np.random.PCG64(1))
+    out = warc.Bundler(f"file://{tmp_path}/bundles", 3, "try")
+    payloads = [g.bytes(int(n)) for n in g.integers(0, 2_500, 40)] + [g.bytes(20_000)]
+    for i, payload in enumerate(payloads):
+        out.add(i, "response", f"urn:{i}", warc.record("response", f"urn:{i}", i, None, payload, "0", None, "1970-01-01T00:00:00Z"))
+    out.end_bundle()
+    assert len({r[3] for r in out.rows}) > 5 and len(out.rows) == 41
+    for page, _, _, bundle, number, at, size, start, length in out.rows:
+        data = (tmp_path / "bundles" / bundle).read_bytes()
+        with (tmp_path / "bundles" / bundle).open("rb") as f:
+            table = warc.read_seek_table(f, len(data))
+        assert table[number][:2] == (at, size)
+        frame = zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=table[number][2])
+        head, block, _ = warc.parse(frame[start : start + length], 0)
+        assert head["x-page-id"] == str(page) and block == payloads[page]
