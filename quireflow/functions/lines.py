@@ -162,14 +162,12 @@ def mark_captions(rows: DataFrame, live: str = "live") -> DataFrame:
     goes_on = (F.col("bare") != "") & (F.length("bare") <= 170) & ~F.col("section_boundary")
     rows = rows.withColumns({"__counts": counts, "__goes": goes_on}).withColumn("__settles", F.col("__counts") & ~F.col("__goes"))
     rows = rows.withColumns({"__i": F.sum(F.col("__counts").cast("int")).over(_place()), "__part": F.sum(F.col("__settles").cast("int")).over(_place())})
-    part = W.partitionBy(_ROW, "__part").orderBy("pos")
-    whole = part.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    settled = F.first(F.when(F.col("__settles"), F.when(F.col("caption"), F.col("__i")).otherwise(F.lit(-9))), ignorenulls=True).over(whole)
-    # A caption more than two lines after the one before is the last one from there: what may depend on each other are runs of captions without such a gap.
+    # A part begins with the line that settles it. A caption more than two lines after the one before is the last one from there: what may depend on each other are runs of captions without such a gap.
+    settled = F.last(F.when(F.col("__settles"), F.when(F.col("caption"), F.col("__i")).otherwise(F.lit(-9))), ignorenulls=True).over(_place())
     could = F.when(F.col("__counts") & F.col("__goes") & F.col("caption"), F.col("__i"))
-    gap = could - F.coalesce(F.max(could).over(part.rowsBetween(W.unboundedPreceding, -1)), F.lit(-9)) > 2
+    gap = could - F.coalesce(F.max(could).over(_place().rowsBetween(W.unboundedPreceding, -1)), F.lit(-9)) > 2
     rows = rows.withColumns({"__first": F.coalesce(settled, F.lit(-9)), "__could": could, "__gap": F.coalesce(gap, F.lit(False)).cast("int")})
-    rows = rows.withColumn("__run", F.sum("__gap").over(part))
+    rows = rows.withColumn("__run", F.sum("__gap").over(_place()))
     rows = rows.withColumn("__both", F.collect_list("__could").over(W.partitionBy(_ROW, "__part", "__run").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     fired = F.aggregate("__both", F.array(F.col("__first")), lambda done, i: F.when(i - F.element_at(done, -1) > 2, F.concat(done, F.array(i))).otherwise(done))
     gone = F.exists(fired, lambda f: (F.col("__i") - f).between(0, 2)) & (F.col("__goes") | F.col("caption"))
