@@ -120,6 +120,21 @@ def test_answers_expire_whatever_their_order(spark, tmp_path):
     assert {(x.k, x.id) for x in spark.read.parquet(f"{place}/out").collect()} == want and 20 < len(want) < 120
 
 
+def test_answers_of_a_group_are_settled_at_once():
+    """By one call for all keys of a group, whatever the watermark; what is held is what is open or may still replace one that comes late."""
+    r = random.Random(9)
+    answers = [((r.choice(["1", "2", None]),), i % 50, r.randrange(90) * 1000, 0, False) for i in range(60)]
+    answers = [(k, i, t, t + r.choice([0, 1500, 9000, 40_000]), o) for k, i, t, _, o in answers]
+    over = {x: any(y[0] == x[0] and (x[2], x[1]) < (y[2], y[1]) and y[2] < x[3] for y in answers) for x in answers}
+    held, told = [], []
+    for low, now in ((0, 0), (20, 0), (40, 0), (60, 10), (60, 45), (60, 46), (60, 200)):
+        held, kept, first = E._settled(held + answers[low : low + 20], now)
+        told += kept
+        assert first == min((-(-x[3] // 1000) for x in held if not x[4]), default=None) and (first is None or first > now)
+        assert all(not x[4] or -(-x[2] // 1000) > now for x in held)
+    assert sorted(map(str, told)) == sorted(str((x[0], x[1], x[3])) for x in answers if not over[x]) and not held
+
+
 def test_state_that_ends_by_itself(spark, tmp_path):
     place, schema = f"file://{tmp_path}", "k string, id long"
 
