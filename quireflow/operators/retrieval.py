@@ -104,16 +104,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def hashing_embedder(dim: int = 64, prefix: str = ""):
-    """A deterministic stand-in for an embedding model: normalised sums of signed word hashes, loaded once per worker."""
+    """A deterministic stand-in for an embedding model: normalised sums of signed word hashes, loaded once per worker. Only texts without words have a zero vector."""
 
     @F.pandas_udf("array<float>")
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
             out = np.zeros((len(series), dim))
             for i, text in enumerate(series):
-                for w in (prefix + (text or "")).lower().split():
+                words = (prefix + (text or "")).lower().split()
+                for w in words:
                     h = zlib.crc32(w.encode())
                     out[i, h % dim] += 1 if h >> 31 else -1
+                if words and not out[i].any():  # they cancel each other: all of them count as one
+                    out[i, zlib.crc32(" ".join(words).encode()) % dim] = 1
             norm = np.linalg.norm(out, axis=1, keepdims=True)
             yield pd.Series(list((out / np.where(norm > 0, norm, 1)).astype(np.float32)))
 

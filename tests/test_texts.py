@@ -142,3 +142,11 @@ def test_tables_over_jdbc_in_parts(spark):
     rows.write.jdbc(url, "papers", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
     found = readers.jdbc(spark, url, 'SELECT "id", "name" FROM papers WHERE "id" < 40', driver="org.apache.derby.iapi.jdbc.AutoloadedDriver", partitionColumn="id", lowerBound="0", upperBound="40", numPartitions="4")
     assert found.rdd.getNumPartitions() == 4 and sorted(map(tuple, found.collect())) == [(i, f"name {i}") for i in range(40)]
+
+
+def test_words_that_cancel_each_other_have_a_vector(spark):
+    """`at!!` hashes to where `passage:` does, with the other sign."""
+    df = spark.createDataFrame([("AT!!",), ("itte.",), ("",), ("a b",)], "text string")
+    got = df.select(V.hashing_embedder(64, "passage: ")(F.col("text")).alias("v"), V.hashing_embedder(64)(F.col("text")).alias("bare")).collect()
+    assert [round(float(np.linalg.norm(x.v)), 6) for x in got] == [1, 1, 1, 1]
+    assert [round(float(np.linalg.norm(x.bare)), 6) for x in got] == [1, 1, 0, 1]
