@@ -225,13 +225,16 @@ def strong_clean(text: Column, *, normalize_first: bool = False, compose: bool =
 def merge_lines(lines: Column, shortest: int = 60) -> Column:
     """Lines with short ones appended to the line before, unless that is empty or ends a sentence; lines are stripped.
 
-    Whether a line is appended depends on it and the one before alone, so each is written with what stands before it and all are joined once.
+    Whether a line is appended depends on it and the one before alone, so each is written with what stands before it and all are joined once. Stripped lines are computed once, not for every line.
     """
-    bare = F.transform(lines, strip)
-    before = lambda i: F.coalesce(F.get(bare, i - 1), F.lit(""))
-    starts = lambda line, i: (line == "") | (F.length(line) >= shortest) | (before(i) == "") | before(i).rlike(r"[.:?!;]\z")
-    parts = F.transform(bare, lambda line, i: F.concat(F.when(i == 0, F.lit("")).when(starts(line, i), F.lit("\n")).otherwise(F.lit(" ")), line))
-    return F.split(F.array_join(parts, ""), "\n", -1)
+
+    def merged(bare: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(bare, i - 1), F.lit(""))
+        starts = lambda line, i: (line == "") | (F.length(line) >= shortest) | (before(i) == "") | before(i).rlike(r"[.:?!;]\z")
+        parts = F.transform(bare, lambda line, i: F.concat(F.when(i == 0, F.lit("")).when(starts(line, i), F.lit("\n")).otherwise(F.lit(" ")), line))
+        return F.array_join(parts, "")
+
+    return F.split(let(F.transform(lines, strip), merged), "\n", -1)
 
 
 def clean_academic_text(text: Column) -> Column:

@@ -150,3 +150,13 @@ def test_words_that_cancel_each_other_have_a_vector(spark):
     got = df.select(V.hashing_embedder(64, "passage: ")(F.col("text")).alias("v"), V.hashing_embedder(64)(F.col("text")).alias("bare")).collect()
     assert [round(float(np.linalg.norm(x.v)), 6) for x in got] == [1, 1, 1, 1]
     assert [round(float(np.linalg.norm(x.bare)), 6) for x in got] == [1, 1, 0, 1]
+
+
+def test_merged_lines_are_stripped_once(spark):
+    """Within a function over an array an expression is computed as often as it is written: the stripped lines have to be a variable there."""
+    lines = ["  Head ", "goes on", "", "x" * 70, "short", "Ends.", "next"] * 300
+    df = spark.createDataFrame([(lines,)], "x array<string>").select(T.merge_lines(F.col("x")).alias("y"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count(r"(?U)^\s+|\s+\z") == 1
+    got = df.first().y
+    assert got[:4] == ["Head goes on", "", "x" * 70 + " short Ends.", "next Head goes on"] and len(got) == 3 * 300 + 1
