@@ -1,4 +1,4 @@
-"""HTML pages as rows of tags, with the standard library's parser inside a vectorised function, and what papers say of themselves in them.
+"""HTML pages as rows of tags, with the standard library's parser over Arrow batches, and what papers say of themselves in them.
 
 A page is parsed once into rows (page, position, tag, text). All rules are flat columns over these (lines.describe); what must look at other
 tags of the page is a window over its positions.
@@ -7,15 +7,17 @@ tags of the page is a window over its positions.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from .lines import AFFILIATION_TERMS, NUMBERED, clean_body, describe, has_term, has_vietnamese, is_author_name
+from .lines import AFFILIATION_TERMS, NUMBERED, clean_body, dealt, describe, has_term, has_vietnamese, is_author_name
 from .text import clean_authors, clean_line, clean_metadata, clean_paragraph, crawl_abstract, download_url, match_key, strip, word_count
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -78,34 +80,44 @@ def _parsed(page: str | None) -> Tags:
     return parser
 
 
-@F.pandas_udf(ArrayType(TAG))
-def tags(html: pd.Series) -> pd.Series:
+def tags(page: str | None) -> list[dict]:
     """All tags of a page, with the whole text inside each, its pieces joined by single spaces; none for null."""
+    parser = _parsed(page)
+    return [{n: r[n] for n in ("pos", "last", "tag", "parent", "cls", "href")} | {"text": parser.text(r)} for r in parser.rows]
 
-    def parse(page: str | None) -> list[dict]:
-        parser = _parsed(page)
-        return [{n: r[n] for n in ("pos", "last", "tag", "parent", "cls", "href")} | {"text": parser.text(r)} for r in parser.rows]
 
-    return html.map(parse)
+def blocks(page: str | None) -> list[dict]:
+    """Headings, paragraphs and lists of a page with text, without what stands in tables, figures and code; of lists the items, and the first number."""
+    parser, out = _parsed(page), []
+    for r in parser.rows:
+        if r["hidden"] or r["tag"] not in (*HEADINGS, "p", "ul", "ol") or not (text := parser.text(r, False)):
+            continue
+        items = None
+        if r["tag"] in ("ul", "ol"):
+            inner = [x for x in parser.rows[r["pos"] + 1 : r["last"] + 1] if x["tag"] == "li" and not x["hidden"]]
+            items = [parser.text(x, False) for x in [x for x in inner if x["parent"] == r["pos"]] or inner]
+        out.append({"tag": r["tag"], "text": text, "items": items, "start": r["start"]})
+    return out
 
 
-@F.pandas_udf(ArrayType(BLOCK))
-def blocks(html: pd.Series) -> pd.Series:
-    """Headings, paragraphs and lists of a page with text, without what stands in tables, figures and code; of lists the items, and the first number."""
+#: Pages that a worker holds parsed at a time.
+HELD_PAGES = 64
+
+
+def _read(pages: DataFrame, key: str, html: Column, parse: Callable[[str | None], list[dict]], kind: StructType) -> DataFrame:
+    """(row, key, found): what parse finds in every page, a few pages at a time."""
+    rows = pages.select(F.monotonically_increasing_id().alias(_ROW), F.col(key), html.cast("string").alias("__html"))
+    schema = StructType([*rows.schema.fields[:2], StructField("found", ArrayType(kind))])
+    form = to_arrow_schema(schema)
 
-    def parse(page: str | None) -> list[dict]:
-        parser, out = _parsed(page), []
-        for r in parser.rows:
-            if r["hidden"] or r["tag"] not in (*HEADINGS, "p", "ul", "ol") or not (text := parser.text(r, False)):
-                continue
-            items = None
-            if r["tag"] in ("ul", "ol"):
-                inner = [x for x in parser.rows[r["pos"] + 1 : r["last"] + 1] if x["tag"] == "li" and not x["hidden"]]
-                items = [parser.text(x, False) for x in [x for x in inner if x["parent"] == r["pos"]] or inner]
-            out.append({"tag": r["tag"], "text": text, "items": items, "start": r["start"]})
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, HELD_PAGES):
+                part = batch.slice(low, HELD_PAGES)
+                found = pa.array([parse(page) for page in part.column(2).to_pylist()], form.field("found").type)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], names=form.names)
 
-    return html.map(parse)
+    return rows.mapInArrow(run, schema)
 
 
 _ROW = "__row"
@@ -113,8 +125,8 @@ _ROW = "__row"
 
 def tag_rows(pages: DataFrame, key: str, html: Column) -> DataFrame:
     """(row, key, pos, last, tag, parent, cls, href, text) of every tag; a page without tags has a row of nulls."""
-    found = pages.select(F.monotonically_increasing_id().alias(_ROW), F.col(key), tags(html).alias("found"))
-    return found.select(_ROW, key, F.inline_outer("found")).repartition(F.col(_ROW))  # before what is added to each: windows need no other exchange
+    found = _read(pages, key, html, tags, TAG)
+    return dealt(found.select(_ROW, key, F.inline_outer("found")))  # before what is added to each: windows need no other exchange
 
 
 # Labels of abstract and keywords.
@@ -172,9 +184,9 @@ def metadata(pages: DataFrame, key: str, html: Column) -> DataFrame:
 
 def _block_rows(pages: DataFrame, key: str, html: Column) -> DataFrame:
     """(row, key, index, tag, items, start, text, ...) of every block, described."""
-    found = pages.select(F.monotonically_increasing_id().alias(_ROW), F.col(key), blocks(html).alias("found"))
-    rows = found.select(_ROW, key, F.posexplode("found").alias("index", "b")).select(_ROW, key, "index", "b.*").repartition(F.col(_ROW))
-    return describe(rows, "text").withColumn("heading", F.col("tag").isin(*HEADINGS))
+    found = _read(pages, key, html, blocks, BLOCK)
+    rows = found.select(_ROW, key, F.posexplode("found").alias("index", "b")).select(_ROW, key, "index", "b.*")
+    return describe(dealt(rows), "text").withColumn("heading", F.col("tag").isin(*HEADINGS))
 
 
 def _with_start(rows: DataFrame) -> DataFrame:

@@ -124,13 +124,24 @@ def split_lines(text: Column) -> Column:
     return F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt by document to spark.sql.shuffle.partitions tasks. Without a number Spark merges tasks by their bytes, which are few beside the work that follows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(_ROW))
+
+
+#: Characters below these marks are composed as they are.
+_TO_COMPOSE = r"[^\x00-\x{2ff}]"
+
+
 def lines_of(docs: DataFrame, key: str, text: str, split=split_lines) -> DataFrame:
     """(row, key, pos, line): the lines of every document, composed and without control characters; null counts as empty.
 
     Lines are dealt by document here, before anything is added to them: windows over a document need no other exchange.
     """
-    composed = docs.select(F.monotonically_increasing_id().alias(_ROW), F.col(key), nfc(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
-    return composed.select(_ROW, key, F.posexplode(split(drop_control(F.col("__text")))).alias("pos", "line")).repartition(F.col(_ROW))
+    whole = docs.select(F.monotonically_increasing_id().alias(_ROW), F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    open_ = F.when(F.col("__text").rlike(_TO_COMPOSE), F.col("__text"))  # other texts do not go to Python
+    composed = whole.withColumn("__text", F.coalesce(nfc(open_), F.col("__text")))
+    return dealt(composed.select(_ROW, key, F.posexplode(split(drop_control(F.col("__text")))).alias("pos", "line")))
 
 
 def _place() -> object:

@@ -203,3 +203,13 @@ def test_what_pages_say_of_themselves(spark, pages):
         seen["title"] += bool(title)
         seen["authors"] += bool(authors)
     assert min(seen["title"], seen["abstract"]) > 20 and seen["authors"] > 3
+
+
+def test_rows_of_pages_are_dealt_to_all_tasks(spark):
+    """More pages than a worker holds at a time, in one batch; few bytes of them are not merged into one task."""
+    n = 2 * html.HELD_PAGES + 5
+    pages = spark.createDataFrame([(i, f"<p>p<a href='/{i}'>t</a>" if i % 3 else None) for i in range(n)], "id long, html string").coalesce(1)
+    rows = html.tag_rows(pages, "id", F.col("html"))
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((x.id, x.href) for x in html.links(pages, "id", "html").collect()) == [(i, f"/{i}") for i in range(n) if i % 3]
+    assert rows.select("id").distinct().count() == n
