@@ -5,7 +5,9 @@ After `register(spark)` it is read with format "archive". Another transport is a
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -24,8 +26,24 @@ class Page(InputPartition):
         self.number = number
 
 
+class Wanted(NamedTuple):
+    """Numbers of pages from low to below high and, where `only` is given, among these."""
+
+    low: int
+    high: int
+    only: frozenset[int] | None = None
+
+    def numbers(self) -> Iterable[int]:
+        if self.only is None:
+            return range(self.low, self.high)
+        return sorted(n for n in self.only if self.low <= n < self.high)
+
+
 class Archive(DataSource):
-    """(page, page_id, url, html) of an archive whose pages are numbered from 0. Executors fetch each page on its own; a page that cannot be fetched fails its task, which Spark tries again."""
+    """(page, page_id, url, html) of an archive whose pages are numbered from 0. Executors fetch each page on its own; a page that cannot be fetched fails its task, which Spark tries again.
+
+    An archive that holds many pages in a piece overrides `pieces` and `read_piece`, so that each piece is opened once and not once for every page in it.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -42,6 +60,14 @@ class Archive(DataSource):
         """The rows of one page, with the columns of the schema."""
         raise NotImplementedError
 
+    def pieces(self, wanted: Wanted) -> list[InputPartition]:
+        """What tasks read, each on its own, to have all pages that are wanted."""
+        return [Page(n) for n in wanted.numbers()]
+
+    def read_piece(self, piece: InputPartition) -> Iterable[pa.RecordBatch]:
+        """The rows of the wanted pages in a piece; what is no piece has none, as Spark asks for where there are no pieces."""
+        return self.fetch(piece.number) if isinstance(piece, Page) else ()
+
     def reader(self, schema) -> DataSourceReader:
         return Pages(self)
 
@@ -71,11 +97,11 @@ class Pages(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         past = self.archive.last_page() + 1
-        numbers = range(self.low, past if self.high is None else min(past, self.high))
-        return [Page(n) for n in numbers if self.only is None or n in self.only]
+        high = past if self.high is None else min(past, self.high)
+        return self.archive.pieces(Wanted(self.low, high, None if self.only is None else frozenset(self.only)))
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        return iter(self.archive.fetch(partition.number) if isinstance(partition, Page) else ())
+        return iter(self.archive.read_piece(partition))
 
 
 class NewPages(DataSourceStreamReader):
@@ -91,17 +117,33 @@ class NewPages(DataSourceStreamReader):
         return {"pages": self.archive.last_page() + 1}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [Page(n) for n in range(start["pages"], end["pages"])]
+        return self.archive.pieces(Wanted(start["pages"], end["pages"]))
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        return iter(self.archive.fetch(partition.number))
+        return iter(self.archive.read_piece(partition))
 
     def commit(self, end: dict) -> None:
         pass
 
 
+class Groups(InputPartition):
+    """Row groups of one file, and the pages that are wanted of them."""
+
+    def __init__(self, path: str, groups: list[int], wanted: Wanted) -> None:
+        super().__init__((path, groups, wanted))
+        self.path, self.groups, self.wanted = path, groups, wanted
+
+
+#: Bytes, before compression, of the row groups that a task reads, if it reads several, and of the rows that it holds at a time.
+PIECE_BYTES, HELD_BYTES = 32_000_000, 4_000_000
+
+
 class ParquetArchive(Archive):
-    """Pages out of a Parquet table of (page_id, url, html): option `path`, one that pyarrow can open, and `size`, so many ids a page. A row without id is on none."""
+    """Pages out of a Parquet table of (page_id, url, html): option `path`, one that pyarrow can open, and `size`, so many ids a page. A row without id is on none.
+
+    A task reads whole row groups, each once and some rows at a time, and tells for each row what page it is on: the work grows with the table, in whatever order its ids are.
+    Row groups whose ids are known to be on no wanted page are not read.
+    """
 
     def _data(self):
         import pyarrow.dataset as ds
@@ -112,15 +154,68 @@ class ParquetArchive(Archive):
     def size(self) -> int:
         return int(self.options.get("size", "100"))
 
+    def _groups(self) -> Iterator[tuple[str, int, int, tuple[int, int] | None]]:
+        """(file, number, bytes, first and last page or None if not known) of all row groups with rows."""
+        for file in self._data().get_fragments():
+            for g in file.row_groups:
+                ids = (g.statistics or {}).get("page_id")
+                if g.num_rows:
+                    yield file.path, g.id, g.total_byte_size, (ids["min"] // self.size, ids["max"] // self.size) if ids and ids["max"] is not None else None
+
     def last_page(self) -> int:
-        groups = [g for piece in self._data().get_fragments() for g in piece.row_groups]
-        ends = [s["page_id"]["max"] for g in groups if (s := g.statistics) and "page_id" in s and s["page_id"]["max"] is not None]
-        return max(ends, default=-1) // self.size if ends else -1
+        import pyarrow.compute as pc
 
-    def fetch(self, number: int) -> Iterator[pa.RecordBatch]:
-        import pyarrow.dataset as ds
+        last, unknown = -1, {}
+        for path, group, _, span in self._groups():
+            if span:
+                last = max(last, span[1])
+            else:
+                unknown.setdefault(path, []).append(group)
+        for path, groups in unknown.items():
+            for batch in self._open(path).iter_batches(row_groups=groups, columns=["page_id"], use_threads=False):
+                ids = batch.column(0).drop_null()
+                last = max(last, pc.max(ids).as_py() // self.size if len(ids) else -1)
+        return last
+
+    def pieces(self, wanted: Wanted) -> list[InputPartition]:
+        numbers = wanted.numbers()
+        out, held = [], 0
+        for path, group, n, span in self._groups():
+            if not len(numbers) or (span and bisect_right(numbers, span[1]) <= bisect_left(numbers, span[0])):
+                continue
+            if out and out[-1].path == path and held + n <= PIECE_BYTES:
+                out[-1].groups.append(group)
+                held += n
+            else:
+                out.append(Groups(path, [group], wanted))
+                held = n
+        return out
 
-        own = (ds.field("page_id") >= number * self.size) & (ds.field("page_id") < (number + 1) * self.size)
-        for batch in self._data().to_batches(columns=["page_id", "url", "html"], filter=own):
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([number] * batch.num_rows, pa.int64()), *batch.columns], names=["page", "page_id", "url", "html"])
+    def read_piece(self, piece: InputPartition) -> Iterator[pa.RecordBatch]:
+        if isinstance(piece, Groups):
+            yield from self._rows(piece.path, piece.groups, piece.wanted)
+
+    def fetch(self, number: int) -> Iterator[pa.RecordBatch]:
+        for piece in self.pieces(Wanted(number, number + 1)):
+            yield from self.read_piece(piece)
+
+    def _open(self, path: str):
+        import pyarrow.parquet as pq
+
+        return pq.ParquetFile(path, filesystem=self._data().filesystem, buffer_size=1 << 20, pre_buffer=False)
+
+    def _rows(self, path: str, groups: list[int], wanted: Wanted) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        file = self._open(path)
+        rows, total = (sum(x) for x in zip(*((g.num_rows, g.total_byte_size) for g in map(file.metadata.row_group, groups)), strict=True))
+        only = None if wanted.only is None else pa.array(wanted.numbers(), pa.int64())
+        for batch in file.iter_batches(max(1, min(256, HELD_BYTES * rows // max(1, total))), row_groups=groups, columns=["page_id", "url", "html"], use_threads=False):
+            batch = batch.filter(pc.is_valid(batch.column("page_id")))
+            page_id = batch.column("page_id").cast(pa.int64())
+            page = pa.array(page_id.to_numpy() // self.size, pa.int64())
+            own = pc.and_(pc.greater_equal(page, wanted.low), pc.less(page, wanted.high))
+            own = pc.and_(own, pc.is_in(page, only)) if only is not None else own
+            found = pa.RecordBatch.from_arrays([page, page_id, batch.column("url"), batch.column("html")], names=["page", "page_id", "url", "html"]).filter(own)
+            if found.num_rows:
+                yield found

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -118,6 +119,25 @@ def test_new_pages_come_as_a_stream(spark, tmp_path):
     assert sorted(x.page_id for x in spark.read.parquet(f"{place}/out").collect()) == sorted(10 * n + k for n in range(7) for k in (0, 1))
 
 
+@pytest.mark.parametrize("known", [True, False])
+def test_a_table_of_many_pages_is_read_by_row_groups(spark, tmp_path, known):
+    """Ids in no order, two files of three row groups each: 300 pages are six pieces at most, not 300, and each page has its rows."""
+    (tmp_path / "pages.parquet").mkdir()
+    ids = [*range(0, 600, 2), *range(599, 0, -2), None]
+    for i, half in enumerate((ids[::2], ids[1::2])):
+        rows = pa.table({"page_id": pa.array(half, pa.int64()), "url": [f"u{n}" for n in half], "html": [None if n == 7 else "h" * 50 for n in half]})
+        pq.write_table(rows, tmp_path / "pages.parquet" / f"{i}.parquet", row_group_size=101, write_statistics=known)
+    A.register(spark)
+    pages = lambda: spark.read.format("archive").option("path", str(tmp_path / "pages.parquet")).option("size", "2").load()
+    for where, wanted in (("true", range(600)), ("page = 4", (8, 9)), ("page > 2 AND page <= 5", range(6, 12)), ("page IN (1, 7, 900) AND page < 7", (2, 3)), ("page < 0", ())):
+        rows = pages().where(where)
+        assert sorted((x.page, x.page_id, x.url, x.html) for x in rows.collect()) == [(n // 2, n, f"u{n}", None if n == 7 else "h" * 50) for n in wanted]
+        assert rows.rdd.getNumPartitions() <= 6
+    place = f"file://{tmp_path}/run"
+    told = S.catch_up(spark.readStream.format("archive").option("path", str(tmp_path / "pages.parquet")).option("size", "2").load(), place)
+    assert sum(x["numInputRows"] for x in told) == 600 and sorted(x.page_id for x in spark.read.parquet(f"{place}/out").collect()) == [*range(600)]
+
+
 def test_an_archive_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
     A.register(spark)
