@@ -55,16 +55,21 @@ def attempt(row: dict, client: Callable[[dict, int], dict], policy: Policy, slee
     return None, n, waited, status, error
 
 
-def call(rows: DataFrame, client: Callable[[dict, int], dict], answer: str, *, asked: list[str], policy: Policy = CHECKS, at_once: int = 8, sleep: Callable[[float], None] = time.sleep, prefix: str = "call") -> DataFrame:
+#: Rows of an Arrow batch that are asked for and handed on at a time: no task holds more as Python objects.
+HELD_ROWS = 128
+
+
+def call(rows: DataFrame, client: Callable[[dict, int], dict], answer: str, *, asked: list[str], keep: list[str] | None = None, policy: Policy = CHECKS, at_once: int = 8, sleep: Callable[[float], None] = time.sleep, prefix: str = "call") -> DataFrame:
     """rows with the columns `{prefix}_answer`, `_attempts`, `_waited`, `_status`, `_error`: what the client said for each.
 
-    client(row, n) has the columns `asked` and the number of the attempt; its answer is a dict with the fields of the DDL string `answer`, of which those that are missing are null. Up to at_once
+    With keep only these columns of rows come back beside them: what is but asked, like a long text, need not. client(row, n) has the columns `asked` and the number of the attempt; its answer is a dict with the fields of the DDL string `answer`, of which those that are missing are null. Up to at_once
     rows of an Arrow batch are asked for at a time. The answer is null where the client failed to the end; an answer that does not fit the fields is an error of that row.
     A task that is tried again calls again: clients must bear that. Nulls are passed on as None, an empty table calls nothing, repeated rows are called for each.
     """
     kind = _parse_datatype_string(answer)
     added = [StructField(f"{prefix}_{name}", of) for name, of in (("answer", kind), ("attempts", IntegerType()), ("waited", DoubleType()), ("status", IntegerType()), ("error", StringType()))]
-    schema = StructType([*rows.schema, *added])
+    kept = rows.columns if keep is None else keep
+    schema = StructType([*[rows.schema[c] for c in kept], *added])
     form = to_arrow_schema(schema)
 
     def fits(value: dict | None) -> dict | None:
@@ -75,8 +80,10 @@ def call(rows: DataFrame, client: Callable[[dict, int], dict], answer: str, *, a
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(at_once) as pool:
             for batch in batches:
-                told = [*pool.map(lambda row: attempt(row, lambda r, n: fits(client(r, n)), policy, sleep), batch.select(asked).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, form.field(f.name).type) for f, c in zip(added, zip(*told, strict=True) if told else [[]] * len(added), strict=True)]], names=form.names)
+                for low in range(0, batch.num_rows, HELD_ROWS):
+                    part = batch.slice(low, HELD_ROWS)
+                    told = [*pool.map(lambda row: attempt(row, lambda r, n: fits(client(r, n)), policy, sleep), part.select(asked).to_pylist())]
+                    yield pa.RecordBatch.from_arrays([*part.select(kept).columns, *[pa.array(c, form.field(f.name).type) for f, c in zip(added, zip(*told, strict=True), strict=True)]], names=form.names)
 
     return rows.mapInArrow(run, schema)
 

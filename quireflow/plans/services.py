@@ -70,7 +70,7 @@ def summary_tokens(spark, d):
     """What summaries of each source have cost in tokens; the service never says how many it has read."""
     place = place_of_its_own(spark, "summaries")
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    C.call(docs, summarizer, "summary string, input_tokens long, output_tokens long", asked=["doc_id", "text"], policy=C.SUMMARIES, sleep=_no_time).drop("text").write.parquet(place)
+    C.call(docs, summarizer, "summary string, input_tokens long, output_tokens long", asked=["doc_id", "text"], keep=["source"], policy=C.SUMMARIES, sleep=_no_time).write.parquet(place)
     return C.token_totals(spark.read.parquet(place), "source")
 
 

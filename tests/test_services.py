@@ -77,6 +77,15 @@ def test_rows_of_a_batch_are_asked_for_together(spark):
         assert [x[0] for x in pool.map(lambda r: C.attempt(r, slow, C.CHECKS, services._no_time), rows)] == [{"x": i} for i in range(4)]
 
 
+def test_calls_hold_a_few_rows_of_a_batch_at_a_time(spark, tmp_path):
+    """Several parts of one batch, the last of fewer rows, come back whole; texts that are but asked do not come back."""
+    rows = spark.range(1000, numPartitions=1).selectExpr("id", "repeat('x', 2000) AS text", "id % 3 AS other")
+    told = C.call(rows, lambda row, n: {"label": str(len(row["text"]))}, "label string", asked=["id", "text"], keep=["id", "other"], sleep=services._no_time)
+    assert told.columns == ["id", "other", "call_answer", "call_attempts", "call_waited", "call_status", "call_error"]
+    assert [(x.id, x.other, x.call_answer.label) for x in told.orderBy("id").collect()] == [(i, i % 3, "2000") for i in range(1000)]
+    assert 1000 % C.HELD_ROWS and C.HELD_ROWS < 1000
+
+
 class Noted(A.Archive):
     """Twelve pages of two rows; every fetch leaves a file behind."""
 
