@@ -124,7 +124,7 @@ def hashing_embedder(dim: int = 64, prefix: str = ""):
 
 
 #: Numbers in the query vectors that are sent to all chunks at once, and scores that are held at a time.
-BLOCK_NUMBERS, HELD_SCORES = 4_000_000, 4_000_000
+BLOCK_NUMBERS, HELD_SCORES = 1_000_000, 1_000_000
 
 
 def _matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:

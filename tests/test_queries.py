@@ -238,6 +238,12 @@ def test_searches_ask_with_every_twentieth_vector(spark):
         assert {(r.query_id, r.chunk_id, r["rank"]) for r in catalogue.QUERIES[name](spark, small).collect()} == wanted
 
 
+def test_what_a_search_holds_is_bounded():
+    """A block's vectors, and its scores with the copies that rounding, partition and comparison make of them, in bytes, for each of a task's Python processes."""
+    assert 8 * (2 * retrieval.BLOCK_NUMBERS + 4 * retrieval.HELD_SCORES) <= 64_000_000
+
+
+
 def test_top_k_answers_all_queries(spark, monkeypatch):
     chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id long, vec array<double>")
     many = spark.range(10_050).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("vec"))
