@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def timed(rows: DataFrame, time: str, late: str) -> DataFrame:
@@ -43,10 +44,15 @@ def follow_up(first: DataFrame, then: DataFrame, *, key: str, first_time: str, t
 
 
 def arrivals(rows: DataFrame, number: Column, folder: str) -> Iterator[int]:
-    """Appends rows to folder one batch after the other, by ascending number, and yields that number. Numbers are counted to be few: they are collected."""
-    named = rows.withColumn("__batch", number)
-    for (n,) in sorted(named.select("__batch").distinct().collect()):
-        named.where(F.col("__batch") == n).drop("__batch").write.mode("append").parquet(folder)
+    """Appends rows to folder one batch after the other, by ascending number, and yields that number; a row without number never comes. Numbers are counted to be few: they are collected.
+
+    Rows are read and numbered once, and dealt to folders by their numbers beside `folder`, each of which is read when its rows come.
+    """
+    spark, dealt = rows.sparkSession, f"{folder}-dealt"
+    rows.withColumn("__batch", number.cast("long")).write.partitionBy("__batch").parquet(dealt)
+    numbered = StructType([*rows.schema.fields, StructField("__batch", LongType())])
+    for (n,) in sorted(spark.read.schema(numbered).parquet(dealt).where(F.col("__batch").isNotNull()).select("__batch").distinct().collect()):
+        spark.read.schema(rows.schema).parquet(f"{dealt}/__batch={n}").write.mode("append").parquet(folder)
         yield n
 
 

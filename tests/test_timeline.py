@@ -169,3 +169,22 @@ def test_joins_by_time_against_loops(spark):
         assert got == sorted((i, n) for i, k, s, e in spans for k2, t, n, _ in right if k is not None and k == k2 and s and t and s <= t <= e) and got
     assert T.as_of(a.limit(0), b, ["k"], left_time="ts", right_time="since", order="n").count() == 0
     assert T.as_of(a, b.limit(0), ["k"], left_time="ts", right_time="since", order="n").where("n IS NULL").count() == 150
+
+
+def test_arrivals_number_rows_once_and_leave_out_those_without_number(spark, tmp_path):
+    """Each row's number is found once, whatever the number of batches is."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def numbered(x):
+        asked.add(1)
+        return None if x == 7 else x % 3 - 1
+
+    rows = spark.createDataFrame([(i, None if i == 4 else f"r{i}") for i in range(9)], "i int, s string")
+    came, seen = [], 0
+    for n in S.arrivals(rows, numbered("i"), f"file://{tmp_path}/in"):
+        there = sorted(x.i for x in spark.read.schema(rows.schema).parquet(f"file://{tmp_path}/in").collect())
+        came.append((n, len(there) - seen))
+        seen = len(there)
+    assert came == [(-1, 3), (0, 2), (1, 3)] and asked.value == len(rows.collect())
+    assert {tuple(x) for x in spark.read.parquet(f"file://{tmp_path}/in").collect()} == {tuple(x) for x in rows.collect() if x.i != 7}
