@@ -1,7 +1,7 @@
 """Secrets in texts: three rules, and a convolutional network over characters for what the rules leave.
 
 Rules find the base spans. Candidates are all runs of characters that secrets are made of, long enough and with a digit, or very long. Those that a base
-span covers are labelled findings; a bounded sample of distinct ones of every kind, and of those that no rule covers, trains the network, a
+span covers are labelled findings; all distinct ones, and all of those that no rule covers, train the network, a
 quarter held out. On that quarter its probabilities are calibrated by a temperature, and each kind's threshold is the highest, within bounds, that still finds
 the wanted share of its held-out findings. Every candidate outside the base spans is then scored with the characters around it.
 """
@@ -35,8 +35,10 @@ LEAST, LEAST_WITHOUT_DIGIT = 8, 20
 #: Bytes of context on either side, and of a candidate seen at a time; longer ones are seen in several parts, the most secret of which counts.
 CONTEXT, SEEN = 24, 64
 WINDOW = CONTEXT + SEEN + CONTEXT
-#: Distinct first parts of candidates that train and calibrate the network, for every kind and for none: the sample's bound.
+#: Distinct first parts of candidates that examples() gives at most of every kind and of none.
 SAMPLE = 8_000
+#: Distinct first parts that train in one group, and steps in which thresholds are found where there are more.
+GROUP, STEPS = 16_000, 10_000
 #: Filters, bytes that each spans, rounds of training, and share of held-out findings of a kind to find.
 FILTERS, WIDTH, EPOCHS, RECALL = 32, 5, 6, 0.98
 #: Bounds of a threshold: below the one a span is likelier none, at the other it is surely one, be the known findings surer still.
@@ -153,15 +155,18 @@ def train(codes: np.ndarray, kind: np.ndarray, *, recall: float = RECALL, epochs
     return calibrated(fitted(codes[~held], kind[~held], epochs), codes[held], kind[held], recall)
 
 
-def fitted(codes: np.ndarray, kind: np.ndarray, epochs: int) -> Model:
-    """The network after so many rounds, more for few rows, over the rows with and without their context; rare kinds weigh more."""
+def fitted(codes: np.ndarray, kind: np.ndarray, epochs: int, start: Model | None = None, size: np.ndarray | None = None) -> Model:
+    """The network after so many rounds, more for few rows, over the rows with and without their context; rare kinds weigh more.
+
+    start has the weights to go on from, size the number of rows of each kind where these are but a part of all.
+    """
     r = np.random.Generator(np.random.PCG64(7))
     n = 1 + len(KINDS)
     m = Model((r.normal(size=(WIDTH, 256, FILTERS)) * 0.1).astype(np.float32), np.zeros(FILTERS, np.float32), (r.normal(size=(FILTERS, n)) * 0.2).astype(np.float32), np.zeros(n, np.float32), 1.0, np.full(len(KINDS), 2.0), np.zeros(len(KINDS)))
     x, y = np.concatenate([codes, blank(codes)]), np.tile(kind, 2)
-    size = np.bincount(y, minlength=n)
+    size = np.bincount(y, minlength=n) if size is None else size
     weight = np.sqrt(size.max(initial=1) / np.maximum(size, 1))[y]
-    weights = [np.array(w) for w in m[:4]]
+    weights = [np.array(w) for w in (start or m)[:4]]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for _ in range(epochs * max(1, 4_000 // max(1, len(x)))):
         for rows in np.array_split(r.permutation(len(x)), max(1, len(x) // 128)) if len(x) else []:
@@ -263,16 +268,123 @@ def _found(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "others", "labelled", "codes", "part_of"])
 
 
-def examples(found: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, kind) of at most so many distinct first parts of each kind and of none, those of the smallest hashes; a row seen with several kinds counts as the first listed."""
+def distinct_parts(found: DataFrame) -> DataFrame:
+    """(codes, kind) of all distinct first parts of candidates, as a written table; kind is len(KINDS) for none, and a row seen with several kinds counts as the first listed."""
     first = F.expr(f"filter(transform(sequence(1, greatest(size(part_of), 1)), i -> IF(size(part_of) > 0 AND (i = 1 OR part_of[i - 1] <> part_of[i - 2]), substring(codes, (i - 1) * {WINDOW} + 1, {WINDOW}), NULL)), x -> x IS NOT NULL)")
     rows = found.select(F.inline("labelled")).unionByName(found.select(F.lit(len(KINDS)).alias("kind"), F.explode(first).alias("codes")))
-    distinct = tables.written(rows.groupBy("codes").agg(F.min("kind").alias("kind")), "candidates")
+    return tables.written(rows.groupBy("codes").agg(F.min("kind").alias("kind")), "candidates")
+
+
+def examples(found: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, kind) of at most so many distinct first parts of each kind and of none, those of the smallest hashes, for who trains a network by hand; learned() takes all."""
+    return _taken(distinct_parts(found), sample)
+
+
+def _taken(distinct: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     taken = [r for k in range(len(KINDS) + 1) for r in distinct.where(F.col("kind") == k).orderBy(F.xxhash64("codes"), "codes").limit(sample).collect()]
     codes = np.frombuffer(b"".join(bytes(r.codes) for r in taken), np.uint8).reshape(-1, WINDOW)
     return codes, np.array([(r.kind + 1) % (len(KINDS) + 1) for r in taken], np.int64)
 
 
+def _matrix(codes: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(-1, WINDOW)
+
+
+def _round(rows: DataFrame, start: Model, size: np.ndarray) -> Model:
+    """The mean, by rows, of what the groups of rows (part, codes, kind) make of the network in a round of training each. Sums over groups are made in Spark, in the order of their numbers."""
+    sent = rows.sparkSession.sparkContext.broadcast((start, size))
+
+    def trained(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("codes")
+        start, size = sent.value
+        m = fitted(_matrix(table.column("codes").combine_chunks()), table.column("kind").to_numpy(), 1, start, size)
+        return pa.table({"part": table.column("part")[:1], "n": pa.array([table.num_rows], pa.int64()), "weights": pa.array([(np.concatenate([w.ravel() for w in m[:4]]).astype(np.float64) * table.num_rows).tobytes()], pa.binary())})
+
+    def summed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        total = sum(np.frombuffer(w, np.float64) for w in table.column("weights").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part long, n long, weights binary"
+    told = rows.groupBy("part").applyInArrow(trained, schema).groupBy(F.pmod("part", F.lit(16)).alias("sum")).applyInArrow(summed, schema).collect()
+    told = sorted(told, key=lambda r: r.part)
+    flat = (sum(np.frombuffer(bytes(r.weights), np.float64) for r in told) / sum(r.n for r in told)).astype(np.float32)
+    ends = np.cumsum([w.size for w in start[:4]])
+    return start._replace(**{name: part.reshape(w.shape) for name, part, w in zip(Model._fields, np.split(flat, ends[:-1]), start[:4], strict=False)})
+
+
+def _sizes(rows: DataFrame) -> np.ndarray:
+    out = np.zeros(1 + len(KINDS), np.int64)
+    for r in rows.groupBy("kind").count().collect():
+        out[r["kind"]] = r["count"]
+    return out
+
+
+def train_all(rows: DataFrame, n: int, *, recall: float = RECALL, epochs: int = EPOCHS) -> Model:
+    """train() over all n rows (codes, kind) of a table, however many: groups of about GROUP rows train by themselves from the same weights, which are averaged after every round.
+
+    Held-out rows are a quarter, by hash. What calibrates the network is summed over all of these: entropies in millionths, thresholds by counts of probabilities in steps of 1 / STEPS.
+    """
+    sc = rows.sparkSession.sparkContext
+    groups = max(1, -(-n // GROUP))
+    rows = rows.select("codes", "kind", F.pmod(F.xxhash64("codes"), F.lit(groups)).alias("part"), (F.pmod(F.xxhash64("codes", F.lit(1)), F.lit(4)) == 3).alias("held"))
+    blank_model = fitted(np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), 0)
+    own = rows.where(~F.col("held"))
+    size = _sizes(own)
+    early = sc.broadcast(_round(own, blank_model, size) if size.sum() else blank_model)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = probabilities(logits(early.value, _matrix(batch.column("codes"))), 1.0)[:, 0] if batch.num_rows else np.zeros(0)
+            yield batch.filter(pa.array((batch.column("kind").to_numpy() > 0) | (p >= 0.5)))
+
+    sure = tables.written(rows.mapInArrow(judged, rows.schema), "examples")
+    own, held = sure.where(~F.col("held")), sure.where("held")
+    m, size = blank_model, _sizes(own)
+    for _ in range(epochs if size.sum() else 0):
+        m = _round(own, m, size)
+    counts = _sizes(held)
+    if not counts.sum():
+        return m
+    final, heats = sc.broadcast(m), np.geomspace(0.25, 8, 41)
+
+    def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, logit = batch.column("kind").to_numpy(), logits(final.value, _matrix(batch.column("codes")))
+            wrong = 1 / (counts + 2)[kind]
+            for i, t in enumerate(heats):
+                p = np.clip(probabilities(logit, t)[np.arange(len(kind)), kind], 1e-9, 1 - 1e-9)
+                yield pa.RecordBatch.from_pydict({"heat": pa.array([i], pa.int64()), "cost": pa.array([int(np.round(-1e6 * ((1 - wrong) * np.log(p) + wrong * np.log(1 - p))).sum())], pa.int64())})
+
+    costs = held.select("codes", "kind").mapInArrow(entropies, "heat long, cost long").groupBy("heat").agg(F.sum("cost").alias("cost")).collect()
+    temperature = float(heats[min(costs, key=lambda r: (r.cost, r.heat)).heat])
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            p = probabilities(logits(final.value, _matrix(batch.column("codes"))), temperature)[np.arange(len(kind)), kind]
+            yield pa.RecordBatch.from_pydict({"kind": batch.column("kind").cast(pa.int64()), "step": pa.array(np.floor(p * STEPS), pa.int64())})
+
+    thresholds, found = m.thresholds.copy(), m.recall.copy()
+    told = held.where("kind > 0").select("codes", "kind").mapInArrow(steps, "kind long, step long").groupBy("kind", "step").count().collect()
+    for k in range(len(KINDS)):
+        by_step = np.zeros(STEPS + 2, np.int64)
+        for r in told:
+            if r["kind"] == k + 1:
+                by_step[r["step"]] += r["count"]
+        if n_own := by_step.sum():
+            thresholds[k] = np.clip(np.searchsorted(np.cumsum(by_step), int((1 - recall) * n_own), "right") / STEPS, LEAST_THRESHOLD, MOST_THRESHOLD)
+            found[k] = by_step[round(thresholds[k] * STEPS) :].sum() / n_own
+    return m._replace(temperature=temperature, thresholds=thresholds, recall=found)
+
+
+def learned(found: DataFrame) -> Model:
+    """The network that all distinct first parts train: on the driver if they are at most GROUP, else in groups, all of them as well."""
+    distinct = distinct_parts(found)
+    n = distinct.count()
+    return train(*_taken(distinct, n)) if n <= GROUP else train_all(distinct.select("codes", F.pmod(F.col("kind") + 1, F.lit(len(KINDS) + 1)).cast("long").alias("kind")), n)
+
+
 def scan(found: DataFrame, model: Model) -> DataFrame:
     """(doc_id, base, spans, base_sha256): the rules' spans and, in spans, those that the network adds to them; both by start, kind and end. base_sha256 is that of base as `kind:start:end`, joined by commas."""
     sent = found.sparkSession.sparkContext.broadcast(model)
@@ -301,7 +413,7 @@ def shown(spans: list[dict]) -> str:
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the rules and of the network in all documents; the network learns from what the rules find in them."""
     found = tables.written(find(tables.read(spark, sf_dir, "documents")), "findings")
-    scanned = scan(found, train(*examples(found)))
+    scanned = scan(found, learned(found))
     kinds = F.array(*map(F.lit, KINDS))
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")

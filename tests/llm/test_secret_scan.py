@@ -89,6 +89,28 @@ def test_the_network_finds_secrets_that_rules_miss_and_leaves_the_rest(spark):
     assert all(np.array_equal(a, b) for a, b in zip(model, again, strict=True))
 
 
+def test_groups_train_a_network_from_all_candidates(spark, monkeypatch, tmp_path):
+    """More distinct candidates than one group takes: none is left out, the network finds what one of a single group does, and does not depend on partitions."""
+    r = random.Random(4)
+    rows = [f"the value of it user.name{i}@mail.example and then 10.200.{i}.400 in the end" for i in range(600)]
+    rows += [f'so it goes token = "{secret(r)}" and so on {i}' for i in range(400)]
+    unseen = [f'so it goes auth = "{secret(r)[:23]}x" and so on' for _ in range(20)]
+    found = S.find(docs(spark, [(i, t, "l", "s") for i, t in enumerate([*rows, *unseen])])).cache()
+    seen = []
+    monkeypatch.setattr(S, "GROUP", 500)
+    monkeypatch.setattr(S, "SAMPLE", 1)
+    monkeypatch.setattr(S, "train_all", lambda rows, n, whole=S.train_all: seen.append((rows.count(), n)) or whole(rows, n))
+    model = S.learned(found)
+    first = S.distinct_parts(found).count()
+    assert seen == [(first, first)] and first > 1000
+    assert model.recall[0] >= S.RECALL and model.thresholds[1] == 2 and model.thresholds[0] >= S.LEAST_THRESHOLD
+    spans = {x.doc_id: x for x in S.scan(found, model).collect()}
+    assert sum(spans[i].base != spans[i].spans for i in range(600)) <= 6
+    assert sum(len(spans[1000 + i].spans) == 1 for i in range(20)) >= 18
+    again = S.learned(found.repartition(7))
+    assert all(np.array_equal(a, b) for a, b in zip(model, again, strict=True))
+
+
 def test_gradients_are_differences():
     r = np.random.Generator(np.random.PCG64(3))
     codes, kind, weight = r.integers(0, 256, (9, 20)).astype(np.uint8), r.integers(0, 4, 9), r.random(9)
