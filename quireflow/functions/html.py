@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from .lines import AFFILIATION_TERMS, NUMBERED, clean_body, dealt, describe, has_term, has_vietnamese, is_author_name
-from .text import clean_authors, clean_line, clean_metadata, clean_paragraph, crawl_abstract, download_url, match_key, strip, word_count
+from .lines import AFFILIATION_TERMS, NUMBERED, SHORT, clean_body, dealt, describe, has_term, has_vietnamese, is_author_name
+from .text import clean_authors, clean_line, clean_metadata, clean_paragraph, crawl_abstract, download_url, match_key, strip, strip_markdown, word_count
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style"}
@@ -134,10 +134,14 @@ ABSTRACT_LABEL, KEYWORD_LABEL = r"(?ius)T[oó]m\s*t[aăắ]t\s*:?\s*", r"(?ius)T
 ABSTRACT_TERMS, KEYWORD_TERMS = ("tom tat",), ("tu khoa",)
 
 
+#: A word that begins with no capital: what it stands in are no names.
+NO_NAME = r"(?U)(?:^|[\s,;])[^\s,;\p{Lu}]"
+
+
 def label_end(clean: Column, label: str, terms: tuple[str, ...]) -> Column:
     """Where a label in cleaned text ends, counted from 1; null unless it has a colon or starts the text."""
     at, found = F.regexp_instr(clean, F.lit(label)), F.regexp_substr(clean, F.lit(label))
-    fits = has_term(match_key(clean), terms) & (at > 0) & (F.contains(found, F.lit(":")) | (F.trim(F.substring(clean, F.lit(1), at - 1)) == ""))
+    fits = (at > 0) & (F.contains(found, F.lit(":")) | (F.trim(F.substring(clean, F.lit(1), at - 1)) == "")) & has_term(match_key(clean), terms)
     return F.when(fits, at + F.length(found))
 
 
@@ -155,7 +159,10 @@ def metadata(pages: DataFrame, key: str, html: Column) -> DataFrame:
     title is the first h1 or h2. authors are the names of the first tag after it, before the body, all of whose one to eight parts look like names. abstract
     and keywords are what follows their label in a tag of at most 220 words, innermost tags first; where a label stands alone, the next tag that has none.
     """
-    rows = describe(tag_rows(pages, key, html).withColumn("said", clean_metadata(F.col("text"))), "text")
+    rows = tag_rows(pages, key, html).withColumns({"said": clean_metadata(F.col("text")), "__plain": strip_markdown(F.col("text"))})
+    # Only what is short or numbered starts a body, and only capitalised words are names: the texts of outer tags, a page long each, are asked nothing else.
+    asked = (F.length("__plain") <= SHORT) | F.col("__plain").rlike(NUMBERED) | ~F.col("text").rlike(NO_NAME)
+    rows = describe(rows.withColumn("__asked", F.when(asked, F.col("text"))), "__asked")
     page = W.partitionBy(_ROW)
     title = F.min(F.when(F.col("tag").isin("h1", "h2"), F.col("pos"))).over(page)
     spoken = (F.col("text") != "") & ~F.col("tag").isin(*SILENT)
@@ -165,14 +172,16 @@ def metadata(pages: DataFrame, key: str, html: Column) -> DataFrame:
     alone = lambda end: F.min(F.when(F.col("spoken") & F.col(end).isNotNull() & (labelled(F.col("said"), F.col(end)) == ""), F.col("pos"))).over(page)
     rows = rows.withColumns({"after": after, "body_at": F.min(F.when(after & F.col("body_start"), F.col("pos"))).over(page), "a_alone": alone("a_end"), "k_alone": alone("k_end")})
     parts = F.filter(F.split("text", "[,;]"), lambda p: strip(p) != "")
-    named = F.size(parts).between(1, 8) & F.forall(parts, is_author_name) & ~has_term(F.col("key"), AFFILIATION_TERMS) & ~F.col("publication_metadata")
+    named = ~F.col("text").rlike(NO_NAME) & F.size(parts).between(1, 8) & F.forall(parts, is_author_name) & ~has_term(match_key(F.col("text")), AFFILIATION_TERMS) & ~F.col("publication_metadata")
     names = F.col("after") & (F.col("body_at").isNull() | (F.col("pos") < F.col("body_at"))) & named
     first = lambda c: F.min_by("text", F.when(c, F.col("pos")))
 
     def value(end: str, alone_at: str, stop: str | None, stop_terms: tuple[str, ...]) -> Column:
         own = labelled(F.col("said"), F.col(end), stop)
         best = F.max_by(own, F.when(F.col("spoken") & F.col(end).isNotNull() & (word_count(F.col("text")) <= 220) & (own != ""), F.col("pos")))
-        near = F.min_by(F.struct(F.col("said").alias("said"), (has_term(F.col("key"), stop_terms) if stop_terms else F.lit(False)).alias("stopped")), F.when(F.col("spoken") & F.col(end).isNull() & (F.col("pos") > F.col(alone_at)), F.col("pos")))
+        next_ = F.col("spoken") & F.col(end).isNull() & (F.col("pos") > F.col(alone_at))
+        stopped = F.when(next_, has_term(match_key(F.col("text")), stop_terms)) if stop_terms else F.lit(False)
+        near = F.min_by(F.struct(F.col("said").alias("said"), stopped.alias("stopped")), F.when(next_, F.col("pos")))
         return F.coalesce(best, F.when(~near["stopped"], near["said"]), F.lit(""))
 
     out = rows.groupBy(_ROW, key).agg(
@@ -224,8 +233,9 @@ def _rendered(rows: DataFrame, key: str, marks: bool, keep_front: bool) -> DataF
     level = F.coalesce(F.substring("tag", 2, 1).try_cast("int"), F.lit(0))
     rows = rows.select(_ROW, key, "index", "tag", "start", F.posexplode(F.coalesce("items", F.array("text"))).alias("item", "text"))
     plain = clean_paragraph(F.col("text"))
-    rows = describe(rows.withColumn("said", F.when(F.col("tag").isin(*HEADINGS), clean_line(F.col("text"))).otherwise(plain)), "said")
     listed = F.col("tag").isin("ul", "ol")
+    rows = rows.withColumn("said", F.when(F.col("tag").isin(*HEADINGS), clean_line(F.col("text"))).otherwise(plain))
+    rows = describe(rows.withColumn("__item", F.when(listed, F.col("said"))), "__item")  # only of items it is asked
     gone = F.col("artifact") if keep_front else F.col("artifact") | F.col("front_matter")
     mark = F.when(F.col("tag") == "ul", "- ").when(F.col("tag") == "ol", F.concat((F.col("start") + F.col("item")).cast("string"), F.lit(". ")))
     mark = mark.when(level > 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "))) if marks else mark
@@ -271,7 +281,7 @@ def raw_text(pages: DataFrame, key: str, html: str, head: int = 5000) -> DataFra
     named, once = _each_once(pages, html)
     said = metadata(once, "__page", F.substring("__html", 1, head)).select("__page", "title", "authors")
     rows = _block_rows(once, "__page", F.col("__html")).join(said.select("__page", match_key(F.col("title")).alias("__title")), "__page", "left")
-    same = ~F.col("artifact") & F.col("heading") & (F.col("__title") != "") & (match_key(F.col("text")) == F.col("__title"))
+    same = F.col("heading") & ~F.col("artifact") & (F.col("__title") != "") & (match_key(F.col("text")) == F.col("__title"))
     first = F.min(F.when(same, F.col("index"))).over(W.partitionBy(_ROW))
     rows = rows.withColumn("__skip", first).where(~F.col("artifact") & (F.col("__skip").isNull() | (F.col("index") != F.col("__skip"))))
     body = clean_body(_rendered(rows, "__page", False, True), "__page", "raw")

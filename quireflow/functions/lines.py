@@ -68,7 +68,18 @@ def is_author_name(token: Column) -> Column:
 
 
 #: What rules look at: the line stripped, without Markdown, its match key, that of what follows a number in a line that may be a heading, and counts of words.
+#: Rules compare words with MANY at most, and keys of short lines, of what begins like a heading or an affiliation, and of LONG characters at most: counts
+#: stop beyond MANY, and the keys of all other lines are left empty.
 VIEWS = ("bare", "plain", "key", "head", "words", "all_words")
+MANY, LONG = 28, 100
+SHORT = 140  # characters of a line that may be a heading without number
+_MANY_WORDS = rf"(?U)^\W*+(?:\w++\W++){{{MANY}}}\w"
+_LONG_KEY = rf"^(?:[^\p{{L}}\p{{Nd}}]*+[\p{{L}}\p{{Nd}}]){{{LONG + 1}}}"  # each letter or digit leaves one in the key
+
+
+def _few_words(text: Column) -> Column:
+    """The number of words, MANY + 1 if there are more: of long lines the beginning is read."""
+    return F.when(text.rlike(_MANY_WORDS), MANY + 1).otherwise(word_count(text))
 
 
 def describe(rows: DataFrame, line: str = "line") -> DataFrame:
@@ -76,29 +87,34 @@ def describe(rows: DataFrame, line: str = "line") -> DataFrame:
     text = F.col(line)
     rows = rows.withColumns({"bare": strip(text), "plain": strip_markdown(text)})
     plain = F.col("plain")
-    rows = rows.withColumns({"key": fold(plain), "words": word_count(plain), "all_words": word_count(text)})
-    terms = {"__front": has_term(F.col("key"), FRONT_MATTER_TERMS), "__numbered": plain.rlike(NUMBERED), "__details": plain.rlike(PUBLICATION) | plain.rlike(EMAIL_OR_URL), "__affiliated": plain.rlike(AFFILIATION_MARK) & has_term(F.col("key"), AFFILIATION_TERMS)}
+    details = plain.rlike(PUBLICATION) | ((F.contains(plain, F.lit("@")) | F.contains(plain, F.lit("://")) | plain.rlike("(?i)www")) & plain.rlike(EMAIL_OR_URL))
+    rows = rows.withColumns({"words": _few_words(plain), "__numbered": plain.rlike(NUMBERED), "__headed": F.contains(text, F.lit("#")) & text.rlike(HEADING), "__marked": plain.rlike(AFFILIATION_MARK), "__details": details})
+    rows = rows.withColumn("all_words", F.when(plain == text, F.col("words")).otherwise(_few_words(text)))
+    keyed = (F.col("words") <= MANY) | (F.col("all_words") <= MANY) | F.col("__numbered") | F.col("__headed") | F.col("__marked") | ~plain.rlike(_LONG_KEY)
+    rows = rows.withColumn("__keyed", keyed).withColumn("key", F.when(F.col("__keyed"), fold(plain)).when(~F.col("__keyed"), F.lit("")))
+    terms = {"__front": has_term(F.col("key"), FRONT_MATTER_TERMS), "__affiliated": F.col("__marked") & has_term(F.col("key"), AFFILIATION_TERMS)}
     rows = rows.withColumns({**terms, "__ruled": F.col("bare").rlike(RULE_LINE), "caption": (F.col("bare") != "") & text.rlike(CAPTION), "table": _table(F.col("bare")), "image": _image(F.col("bare"))})
-    some, short = plain != "", (F.col("words") <= 14) & (F.length("plain") <= 140)
+    some, short = plain != "", (F.col("words") <= 14) & (F.length("plain") <= SHORT)
     publication = some & (F.col("__details") | (F.col("__front") & (F.col("words") <= 20)) | F.col("__affiliated"))
-    rows = rows.withColumns({"section_boundary": some & (F.col("__numbered") | text.rlike(HEADING) | short), "bounded": some & (F.col("__numbered") | short), "publication_metadata": publication})
+    rows = rows.withColumns({"section_boundary": some & (F.col("__numbered") | F.col("__headed") | short), "bounded": some & (F.col("__numbered") | short), "publication_metadata": publication})
     rows = rows.withColumn("head", F.when(F.col("bounded"), fold(without_number(plain))).otherwise(F.lit("")))  # only such lines can be headings
-    front = lambda words, bounded: (F.col("key") != "") & ((F.col("__front") & ((F.col(words) <= 28) | F.col(bounded))) | F.col("publication_metadata"))
+    front = lambda words, bounded: (~F.col("__keyed") | (F.col("key") != "")) & ((F.col("__front") & ((F.col(words) <= 28) | F.col(bounded))) | F.col("publication_metadata"))
     rows = rows.withColumns({"front_matter": front("all_words", "section_boundary"), "__front_plain": front("words", "bounded"), "body_stop": F.col("bounded") & has_term(F.col("head"), BODY_STOP_TERMS), "__start": F.col("bounded") & has_term(F.col("head"), BODY_START_TERMS)})
     inside = some & ~F.col("__front_plain") & ~F.col("body_stop")
     numbered = F.col("__numbered") & has_vietnamese(plain) & (F.col("words") <= 16)
     plainly = F.col("__ruled") | F.col("caption") | F.col("table") | F.col("image")
     flags = {"body_start_term": inside & F.col("__start"), "body_start": inside & (F.col("__start") | numbered), "author_name": is_author_name(text), "artifact": (F.col("bare") != "") & (plainly | F.col("publication_metadata")), "early_artifact": plainly | F.col("__details"), "junk": _junk(text)}
-    return rows.withColumns({**flags, "numbered": F.col("__numbered")}).drop("__front", "__numbered", "__details", "__affiliated", "__ruled", "__front_plain", "__start")
+    return rows.withColumns({**flags, "numbered": F.col("__numbered")}).drop("__front", "__numbered", "__headed", "__marked", "__keyed", "__details", "__affiliated", "__ruled", "__front_plain", "__start")
 
 
 def _table(bare: Column) -> Column:
-    return bare.rlike(TABLE_RULE) | bare.rlike(TABLE_GRID) | (bare.rlike(TABLE_ROW) & (F.length(bare) >= 2))
+    return (F.contains(bare, F.lit("---")) & bare.rlike(TABLE_RULE)) | (bare.startswith("+") & bare.rlike(TABLE_GRID)) | (bare.startswith("|") & bare.rlike(TABLE_ROW) & (F.length(bare) >= 2))
 
 
 def _image(bare: Column) -> Column:
-    low = F.lower(bare)
-    return bare.rlike(IMAGE) | bare.rlike(IMAGE_REST) | low.startswith("(picture") | low.startswith("[image") | F.contains(low, F.lit("data:image/")) | F.contains(low, F.lit("<img"))
+    start = F.lower(F.substring(bare, 1, 8))
+    inside = (F.contains(bare, F.lit("/")) | F.contains(bare, F.lit("<"))) & bare.rlike("(?i)data:image/|<img")
+    return (bare.startswith("![") & bare.rlike(IMAGE)) | bare.rlike(IMAGE_REST) | start.startswith("(picture") | start.startswith("[image") | inside
 
 
 def _junk(line: Column) -> Column:

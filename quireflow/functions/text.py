@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+#: Characters without which a text is no Markdown and has no control characters.
+MARKED = r"[#`*_\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+#: Unicode's white space, as (?U)\s has it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.pandas_udf(StringType())
@@ -54,7 +58,7 @@ def strip_accents(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def drop_control(text: Column) -> Column:
@@ -67,7 +71,7 @@ def drop_illegal(text: Column) -> Column:
 
 
 def normalize_whitespace(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"[ \t]+", " "))
+    return strip(F.regexp_replace(text, r"[ \t]{2,}|\t", " "))
 
 
 def strip_markdown(text: Column) -> Column:
@@ -77,11 +81,11 @@ def strip_markdown(text: Column) -> Column:
     out = F.regexp_replace(out, "`[^`]*`", "")
     for _ in range(3):
         out = F.regexp_replace(out, r"[_*]{1,3}(.*?)[_*]{1,3}", "$1")
-    return strip(F.regexp_replace(out, "[*_]", ""))
+    return F.when(text.rlike(MARKED), strip(F.regexp_replace(out, "[*_]", ""))).otherwise(strip(text))
 
 
 def clean_line(text: Column) -> Column:
-    return normalize_whitespace(strip_markdown(drop_control(text)))
+    return normalize_whitespace(strip_markdown(text))
 
 
 def fold(plain: Column) -> Column:
@@ -173,7 +177,8 @@ def drop_citations(text: Column) -> Column:
 
 def clean_paragraph(text: Column) -> Column:
     """A paragraph with words joined that were hyphenated over a line end, without citations."""
-    joined = F.regexp_replace(drop_control(text), r"(?U)(\w)-\s+(\w)", "$1$2")
+    out = drop_control(text)
+    joined = F.when(out.rlike(r"(?U)-\s"), F.regexp_replace(out, r"(?U)(\w)-\s+(\w)", "$1$2")).otherwise(out)
     return normalize_whitespace(drop_citations(joined))
 
 

@@ -8,7 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quireflow.functions import html
+from quireflow.functions import html, lines
+from quireflow.functions import text as T
 from quireflow.functions.lines import clean_body
 
 TEXTS = (
@@ -213,3 +214,22 @@ def test_rows_of_pages_are_dealt_to_all_tasks(spark):
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted((x.id, x.href) for x in html.links(pages, "id", "html").collect()) == [(i, f"/{i}") for i in range(n) if i % 3]
     assert rows.select("id").distinct().count() == n
+
+
+def test_long_lines_are_read_as_far_as_rules_compare(spark):
+    """Counts stop and keys are empty where no rule looks at more; what the rules find is the same, at the end of long lines as well."""
+    long = "dài hơn một dòng " * 40
+    found = {"long": long, "mail": long + "a@example.org", "web": long + "WWW.x", "heading": "2.1 " + long + "abstract", "mark": "† " + long + "university", "few": "x" * 101, "many": "a " * 30}
+    rows = {x.i: x for x in lines.describe(spark.createDataFrame([*found.items()], "i string, line string")).collect()}
+    assert {i for i, x in rows.items() if not x.key} == {"long", "mail", "web"}
+    assert {i: x.words for i, x in rows.items() if i in ("long", "few", "many")} == {"long": lines.MANY + 1, "few": 1, "many": lines.MANY + 1}
+    assert {i for i, x in rows.items() if x.publication_metadata and x.artifact} == {"mail", "web", "mark"}
+    assert {i for i, x in rows.items() if x.front_matter} == {"mail", "web", "heading", "mark"}
+    tags = "<div><h1>A Title</h1><p>Nguyen Van An, Tran Binh</p><h2>Introduction</h2><p>" + long + "</p></div>"
+    page = html.metadata(spark.createDataFrame([(1, tags), (2, "<div>" + tags + "</div>")], "id long, x string"), "id", F.col("x")).collect()
+    assert {(x.title, x.authors) for x in page} == {("A Title", "Nguyen Van An, Tran Binh")}
+
+
+def test_white_space_is_what_patterns_take_for_it(spark):
+    all_ = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    assert {x.c for x in all_.where(F.col("c").rlike(r"(?U)\s")).collect()} == set(T.WHITE)
