@@ -45,18 +45,41 @@ _ROWS = "level int, target long, part long, kind int, body binary, types array<l
 _PARTS = "part long, body binary, docs long, learnt long, tokens long"
 
 
+def _planes(a: np.ndarray) -> tuple[str, bytes]:
+    return a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes()
+
+
+def _numbers(kind: str, value: bytes) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(value, np.uint8).reshape(wide, -1).T).reshape(-1).view(kind)
+
+
+def _packed(a) -> tuple:
+    if not isinstance(a, np.ndarray):
+        return "", a
+    if a.dtype == np.float64 and len(a):  # sums of a few discounts: every byte of a number would repeat which of them it is
+        bits, codes = np.unique(np.ascontiguousarray(a).view(np.uint64), return_inverse=True)
+        if len(bits) <= min(1 << 16, len(a) // 4):
+            return "codes", (bits.tobytes(), *_planes(codes.astype(np.uint8 if len(bits) <= 256 else np.uint16)))
+    return _planes(a)
+
+
 def pack(*arrays) -> bytes:
-    """Arrays of numbers, each as its lowest bytes, then its second lowest and so on, which compresses best; anything else as it is."""
-    plain = [("", a) if not isinstance(a, np.ndarray) else (a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes()) for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(plain, protocol=5))
+    """Arrays of numbers, each as its lowest bytes, then its second lowest and so on, which compresses best; anything else as it is.
+
+    Of fractions few of which are distinct, the distinct ones and a code for each.
+    """
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps([_packed(a) for a in arrays], protocol=5))
 
 
 def unpack(body: bytes) -> tuple:
     out = []
     for kind, value in pickle.loads(zstandard.ZstdDecompressor().decompress(body)):
-        if kind:
-            wide = np.dtype(kind).itemsize
-            value = np.ascontiguousarray(np.frombuffer(value, np.uint8).reshape(wide, -1).T).reshape(-1).view(kind)
+        if kind == "codes":
+            distinct, *codes = value
+            value = np.frombuffer(distinct, np.float64)[_numbers(*codes)]
+        elif kind:
+            value = _numbers(kind, value)
         out.append(value)
     return tuple(out)
 

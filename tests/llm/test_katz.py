@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,13 @@ def test_counts_beyond_32_bits(spark, monkeypatch):
         x = got[i]
         assert (x.n_tokens, x.n_known, x.train_tokens) == (n, known, total) and total > 2**40
         assert x.base_score == pytest.approx(base, abs=1e-6) and x.score == pytest.approx(score, abs=1e-6)
+
+
+def test_few_distinct_fractions_take_a_byte_at_most():
+    """Bit for bit, be they few, many, none or negative zeros."""
+    r = np.random.default_rng(3)
+    few = r.choice(np.array([0.37, 0.61, 1e-3, 0.98, 1.35, -0.0, 0.0]), 4000)
+    for a in (few, np.round(r.random(4000), 2) + 0.1, np.concatenate([np.arange(300) / 7] * 9), r.random(50), np.zeros(0), np.ones(1)):
+        got = katz.unpack(katz.pack(a, np.arange(3), "x"))
+        assert got[0].dtype == np.float64 and got[0].tobytes() == a.tobytes() and got[1].tolist() == [0, 1, 2] and got[2] == "x"
+    assert len(katz.pack(few)) < len(few) / 2
