@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .text import clean_line, drop_citations, drop_control, fold, nfc, normalize_whitespace, strip, strip_markdown, word_count
+from .text import clean_line, drop_citations, drop_control, fold, nfc, normalize_whitespace, strip, strip_markdown, trim_white, word_count
 
 # Terms that mark lines, as match keys.
 BODY_START_TERMS = (
@@ -85,7 +85,7 @@ def _few_words(text: Column) -> Column:
 def describe(rows: DataFrame, line: str = "line") -> DataFrame:
     """rows with the columns of VIEWS and one for each of FLAGS."""
     text = F.col(line)
-    rows = rows.withColumns({"bare": strip(text), "plain": strip_markdown(text)})
+    rows = rows.withColumns({"bare": trim_white(text), "plain": strip_markdown(text)})
     plain = F.col("plain")
     details = plain.rlike(PUBLICATION) | ((F.contains(plain, F.lit("@")) | F.contains(plain, F.lit("://")) | plain.rlike("(?i)www")) & plain.rlike(EMAIL_OR_URL))
     rows = rows.withColumns({"words": _few_words(plain), "__numbered": plain.rlike(NUMBERED), "__headed": F.contains(text, F.lit("#")) & text.rlike(HEADING), "__marked": plain.rlike(AFFILIATION_MARK), "__details": details})

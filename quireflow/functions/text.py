@@ -58,6 +58,11 @@ def strip_accents(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+def trim_white(text: Column) -> Column:
+    """strip(), without reading what stands between the ends as a pattern: for long texts."""
     return F.btrim(text, F.lit(WHITE))
 
 
@@ -71,7 +76,7 @@ def drop_illegal(text: Column) -> Column:
 
 
 def normalize_whitespace(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"[ \t]{2,}|\t", " "))
+    return trim_white(F.regexp_replace(text, r"[ \t]{2,}|\t", " "))
 
 
 def strip_markdown(text: Column) -> Column:
@@ -81,7 +86,7 @@ def strip_markdown(text: Column) -> Column:
     out = F.regexp_replace(out, "`[^`]*`", "")
     for _ in range(3):
         out = F.regexp_replace(out, r"[_*]{1,3}(.*?)[_*]{1,3}", "$1")
-    return F.when(text.rlike(MARKED), strip(F.regexp_replace(out, "[*_]", ""))).otherwise(strip(text))
+    return F.when(text.rlike(MARKED), trim_white(F.regexp_replace(out, "[*_]", ""))).otherwise(trim_white(text))
 
 
 def clean_line(text: Column) -> Column:
