@@ -51,8 +51,8 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make() gives, as a written table; all other tables written meanwhile are deleted, and if it fails all of them.
+def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """What make() gives, as a written table, partitioned by columns if some are given; all other tables written meanwhile are deleted, and if it fails all of them.
 
     Steps may be nested: the result of an inner one is a table of the outer one. What make() gives may read nothing that is deleted: only the result is handed out.
     """
@@ -60,7 +60,7 @@ def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> D
     token = _step.set(own)
     kept = None
     try:
-        result = written(make(), name)
+        result = written(make(), name, by)
         kept = own[-1]
         if outer is not None:
             outer.append(kept)

@@ -159,3 +159,37 @@ def test_few_distinct_fractions_take_a_byte_at_most():
         got = katz.unpack(katz.pack(a, np.arange(3), "x"))
         assert got[0].dtype == np.float64 and got[0].tobytes() == a.tobytes() and got[1].tolist() == [0, 1, 2] and got[2] == "x"
     assert len(katz.pack(few)) < len(few) / 2
+
+
+@pytest.mark.parametrize(("order", "target", "part"), [(3, 1_500_000, 1_000_000), (2, 300, 200), (3, 400, 250), (4, 700, 900)])
+def test_messages_of_one_level_at_a_time_and_of_wanted_weights_alone(spark, monkeypatch, order, target, part):
+    """Scores are as by definition where weights are those of histories alone from which held-out texts back off."""
+    for name, value in (("TARGET_TOKENS", target), ("PART_TOKENS", part)):
+        monkeypatch.setattr(katz, name, value)
+    written, delete, names, asked = katz.tables.written, katz.tables.delete, [], []
+    monkeypatch.setattr(katz.tables, "written", lambda df, name, by=(): names.append(name) or written(df, name, by))
+
+    def deleted(session, path):
+        asked.append(session.read.parquet(path).agg(F.sum(F.length("body"))).first()[0])
+        delete(session, path)
+
+    monkeypatch.setattr(katz.tables, "delete", deleted)
+    r = random.Random(order * target)
+    rows = [(i, " ".join(f"w{min(299, int(r.expovariate(0.03)))}" for _ in range(r.randrange(90)))) for i in range(160)] + [(160, None), (161, "w1 w2 never-seen w3"), (None, "W1 w2")]
+    df = spark.createDataFrame([(i, t, "s", "w", 1) for i, t in rows], SCHEMA).repartition(3)
+    weights = []
+    for whole in (True, False):
+        model, scored = katz.fit_and_score(df, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, order=order, whole=whole)
+        assert names == ["parts", *["counts"] * order, *["asked"] * katz.ROUNDS, "weights"] and len(asked) == katz.ROUNDS
+        weights.append((sum(asked), {}))
+        for x in model.weights.collect():
+            keys, alpha = katz.unpack(x.body)
+            weights[-1][1].update({(x.level, x.target, k): a for k, a in zip(keys.cumsum(dtype="uint64").tolist(), alpha.tolist(), strict=True)})
+        key = lambda x: (str(x[0]), x[2])
+        for a, b in zip(sorted(map(tuple, scored.collect()), key=key), sorted(brute(rows, is_held, order), key=key), strict=True):
+            assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=1e-6)
+        names.clear()
+        asked.clear()
+    (all_bytes, all_weights), (few_bytes, few_weights) = weights
+    assert few_bytes < all_bytes and 0 < len(few_weights) < len(all_weights)
+    assert {k: all_weights[k] for k in few_weights} == pytest.approx(few_weights)
