@@ -262,13 +262,13 @@ def _each_once(pages: DataFrame, html: str) -> tuple[DataFrame, DataFrame]:
     return named, named.groupBy("__page").agg(F.first(F.coalesce(F.col(html), F.lit(""))).alias("__html"))
 
 
-def record(pages: DataFrame, key: str, html: str, head: int = 5000) -> DataFrame:
-    """(key, title, authors, abstract, keywords, content): the body, and what the first characters of the page say of it; empty where nothing is found.
+def record(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, title, authors, abstract, keywords, content): the body, and what the whole page says of it; empty where nothing is found.
 
     Every row of pages gets its own, once, be its key null or that of other rows as well.
     """
     named, once = _each_once(pages, html)
-    said = metadata(once, "__page", F.substring("__html", 1, head))
+    said = metadata(once, "__page", F.col("__html"))
     told = said.join(body_text(once, "__page", "__html"), "__page", "left").select(*said.columns, F.coalesce("body", F.lit("")).alias("content"))
     return named.select(key, "__page").join(told, "__page").drop("__page")
 

@@ -158,6 +158,18 @@ def test_bodies_of_pages(spark):
     assert of(spark, late, html.body_text).startswith("Gamma delta")
 
 
+def _late(n):
+    """A page whose title, authors, abstract and keywords begin after n characters of a long lead."""
+    lead = "<ul>" + "<li>an entry of a long list that stands before the paper</li>" * (n // 60 + 1) + "</ul>"
+    return lead + "<h1>A title of a paper</h1><p>Nguyen Van An, Tran Thi Binh</p><p>Tóm tắt: What it says. Từ khóa: one, two</p><h2>1. Introduction</h2><p>The text of the introduction is here.</p>"
+
+
+@pytest.mark.parametrize("n", [6_000, 70_000])
+def test_records_read_whole_pages(spark, n):
+    got = of(spark, _late(n), html.record)
+    assert tuple(got)[:4] == ("A title of a paper", "Nguyen Van An, Tran Thi Binh", "What it says", "one, two") and got.content.endswith("The text of the introduction is here.")
+
+
 def test_every_page_has_its_own_record(spark):
     """Pages of one id, of none, and the same page twice."""
     other = PAPER.replace("A title of a paper", "Another title")
