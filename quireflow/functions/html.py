@@ -273,13 +273,13 @@ def record(pages: DataFrame, key: str, html: str) -> DataFrame:
     return named.select(key, "__page").join(told, "__page").drop("__page")
 
 
-def raw_text(pages: DataFrame, key: str, html: str, head: int = 5000) -> DataFrame:
-    """(key, text): all text of a page without headings' marks, front matter and references included, under its title and authors.
+def raw_text(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, text): all text of a page without headings' marks, front matter and references included, under the title and the authors that the whole page names.
 
     The first heading that equals the title is left out, as the title stands above. Every row of pages gets its own, once, be its key null or that of other rows as well.
     """
     named, once = _each_once(pages, html)
-    said = metadata(once, "__page", F.substring("__html", 1, head)).select("__page", "title", "authors")
+    said = metadata(once, "__page", F.col("__html")).select("__page", "title", "authors")
     rows = _block_rows(once, "__page", F.col("__html")).join(said.select("__page", match_key(F.col("title")).alias("__title")), "__page", "left")
     same = F.col("heading") & ~F.col("artifact") & (F.col("__title") != "") & (match_key(F.col("text")) == F.col("__title"))
     first = F.min(F.when(same, F.col("index"))).over(W.partitionBy(_ROW))

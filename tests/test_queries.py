@@ -170,6 +170,12 @@ def test_records_read_whole_pages(spark, n):
     assert tuple(got)[:4] == ("A title of a paper", "Nguyen Van An, Tran Thi Binh", "What it says", "one, two") and got.content.endswith("The text of the introduction is here.")
 
 
+@pytest.mark.parametrize("n", [6_000, 70_000])
+def test_raw_texts_read_whole_pages(spark, n):
+    raw = of(spark, _late(n), html.raw_text)
+    assert raw.startswith("Tiêu đề: A title of a paper\nTác giả: Nguyen Van An, Tran Thi Binh\n\n") and raw.count("A title of a paper") == 1 and raw.endswith("The text of the introduction is here.")
+
+
 def test_every_page_has_its_own_record(spark):
     """Pages of one id, of none, and the same page twice."""
     other = PAPER.replace("A title of a paper", "Another title")
