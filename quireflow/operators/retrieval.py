@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.text import strip
+from ..functions.text import trim_white
 
 # --- chunks
 
@@ -138,16 +138,30 @@ def _matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return m[good] / length[good, None], rows[good]
 
 
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the scores of each row that are not below its k-th best, ties included; -inf is never among them."""
-    if scores.shape[1] > k:
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
-        return np.nonzero((scores >= least) & (scores > -np.inf))
-    return np.nonzero(scores > -np.inf)
+def _best(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best scores of each row that are not below its floor, ties to the first column; -inf is never among them."""
+    if scores.shape[1] <= k:
+        return np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
+    above, tied = scores > least, (scores == least) & (least > -np.inf)
+    free = k - above.sum(axis=1, keepdims=True)
+    if (tied.sum(axis=1, keepdims=True) > free).any():
+        tied &= np.cumsum(tied, axis=1) <= free
+    return np.nonzero((above | tied) & (scores >= floor[:, None]))
+
+
+def _first(rows: pa.Table, k: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(the k best rows of each query by score, ties to the smaller chunk; the queries that have as many, and the least score of each)."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("__q", "ascending"), ("score", "descending"), ("chunk_id", "ascending")], null_placement="at_start")).combine_chunks()
+    q = rows.column("__q").to_numpy()
+    starts = np.flatnonzero(np.diff(q, prepend=-1))
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    last = np.flatnonzero(place == k - 1)
+    return rows.filter(pa.array(place < k)), q[last], rows.column("score").to_numpy()[last]
 
 
 def _scored(chunks: DataFrame, block: pa.Table, width: int, k: int, scope: str | None, others: bool, digits: int | None) -> DataFrame:
-    """Chunks with query_id and score, the best k and their ties of each batch for each query of a block, as one matrix product a batch."""
+    """Chunks with query_id and score, the best k of each task for each query of a block, as one matrix product a batch. What a task holds are so many rows for each query, twice."""
     matrix, rows = _matrix(block.column("vec").combine_chunks() if block.num_rows else pa.array([], block.schema.field("vec").type), width)
     ids = block.column("query_id").take(pa.array(rows)).combine_chunks()
     scopes = block.column(scope).take(pa.array(rows)).to_pylist() if scope else None
@@ -163,7 +177,10 @@ def _scored(chunks: DataFrame, block: pa.Table, width: int, k: int, scope: str |
                 if x is not None:
                     groups.setdefault(x, []).append(i)
         step = max(1, HELD_SCORES // max(1, len(asked)))
+        held: list[pa.Table] = []  # the best so far, then what may be better
+        floor, n = np.full(len(asked), -np.inf), 0
         for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("chunk_id"), null_placement="at_start"))
             units, places = _matrix(batch.column("vec"), width)
             members: dict = {None: np.arange(len(places))}
             if scope:
@@ -171,7 +188,7 @@ def _scored(chunks: DataFrame, block: pa.Table, width: int, k: int, scope: str |
                 for i, x in enumerate(batch.column(scope).take(pa.array(places)).to_pylist()):
                     members.setdefault(x, []).append(i)
             for group in groups.keys() & members.keys():
-                queries, own = groups[group], np.asarray(members[group])
+                queries, own = np.asarray(groups[group]), np.asarray(members[group])
                 for low in range(0, len(own), step):
                     some = own[low : low + step]
                     score = asked[queries] @ units[some].T
@@ -179,14 +196,24 @@ def _scored(chunks: DataFrame, block: pa.Table, width: int, k: int, scope: str |
                         score = np.round(score, digits)
                     told = pa.array(places[some])
                     if others:
-                        mine, theirs = ids.take(pa.array(np.asarray(queries))).to_numpy(zero_copy_only=False), batch.column("chunk_id").take(told).to_numpy(zero_copy_only=False)
+                        mine, theirs = ids.take(pa.array(queries)).to_numpy(zero_copy_only=False), batch.column("chunk_id").take(told).to_numpy(zero_copy_only=False)
                         score[mine[:, None] == theirs[None, :]] = -np.inf
-                    q, c = _best(score, k)
+                    q, c = _best(score, k, floor[queries])
                     taken = batch.select(kept).take(told.take(pa.array(c)))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, ids.take(pa.array(np.asarray(queries)[q])), pa.array(score[q, c])], names=[*kept, "query_id", "score"])
+                    held.append(pa.Table.from_arrays([*taken.columns, pa.array(queries[q]), pa.array(score[q, c])], names=[*kept, "__q", "score"]))
+                    n += len(q)
+                    if n > 2 * k * len(asked):
+                        best, full, least = _first(pa.concat_tables(held), k)
+                        held, n = [best], best.num_rows
+                        floor[full] = least
+        if n:
+            best = _first(pa.concat_tables(held), k)[0]
+            named = pa.Table.from_arrays([*best.select(kept).columns, ids.take(best.column("__q").combine_chunks()), best.column("score")], names=[*kept, "query_id", "score"])
+            yield from named.combine_chunks().to_batches(max_chunksize=10_000)
 
     schema = StructType([*[f for f in chunks.schema if f.name != "vec"], StructField("query_id", from_arrow_type(ids.type)), StructField("score", DoubleType())])
-    return chunks.mapInArrow(run, schema)
+    # One task a core: each sends k rows for every query, however many chunks it reads.
+    return chunks.coalesce(max(1, chunks.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, schema)
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, *, k: int = 20, threshold: float | None = 0.45, fallback: bool = True, scope: str | None = None, others: bool = False, digits: int | None = None) -> DataFrame:
@@ -194,7 +221,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, *, k: int = 20, threshold: floa
 
     Only scores of at least threshold count; with fallback, a query that has none gets its best k all the same. With scope (a project, say) a query sees only the chunks of its own; null is nobody's.
     With others, an entry does not answer itself; digits rounds scores before they are ranked. Vectors that are null or zero, or hold nulls or what is not finite, or are not as long as the longest query take
-    no part. Queries are sent to the chunks in blocks of so many numbers as BLOCK_NUMBERS; chunks stay where they are, and only the best of every batch are shuffled.
+    no part. Queries are sent to the chunks in blocks of so many numbers as BLOCK_NUMBERS; chunks stay where they are, and only the best of every task are shuffled.
     """
     asked = queries.select("query_id", "vec", *([scope] if scope else []))
     n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
@@ -246,18 +273,39 @@ def retyped(chunks: DataFrame, size: int, vec: str = "embedding") -> DataFrame:
 # --- sources, prompts, citations
 
 
+def text_name(text: Column, longest_dropped: int = 40) -> Column:
+    """What tells a stripped text from all others; null for one of at most so many characters, which is no source."""
+    return F.when(F.length(trim_white(text)) > longest_dropped, F.unhex(F.sha2(trim_white(text), 256)))
+
+
 def distinct_chunks(found: DataFrame, longest_dropped: int = 40) -> DataFrame:
-    """Per query the first of equal stripped texts of more than so many characters, numbered source 1.. in rank order."""
-    rows = found.withColumn("text", strip(F.col("text"))).where(F.length("text") > longest_dropped)
-    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("query_id", "text").orderBy("rank"))).where("__n = 1").drop("__n")
-    return rows.withColumn("source", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+    """Per query the first of equal stripped texts of more than so many characters, numbered source 1.. in rank order. Where found has the names of its texts (name, by text_name), no text moves."""
+    if "name" in found.columns:
+        rows = found.where(F.col("name").isNotNull())
+    else:
+        rows = found.withColumns({"text": trim_white(F.col("text")), "name": text_name(F.col("text"), longest_dropped)}).where(F.col("name").isNotNull())
+    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("query_id", "name").orderBy("rank"))).where("__n = 1").drop("__n")
+    rows = rows.withColumn("source", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+    return rows if "name" in found.columns else rows.drop("name")
+
+
+#: Ids (8 bytes each) that may be broadcast to pick texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def with_texts(sources: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """sources (doc_id, name, ...) with their stripped texts. ids has the ids (doc_id) that are asked for, once each: texts of no other documents move, and none is sorted."""
+    if ids.count() <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = docs.select("doc_id", trim_white(F.col("text")).alias("text"), text_name(F.col("text")).alias("name"))
+    return texts.join(sources.hint("shuffle_hash"), ["doc_id", "name"])
 
 
 def sources_block(sources: DataFrame, with_file: bool = False) -> DataFrame:
-    """(query_id, block): every source under its mark, in order."""
+    """(query_id, block): every source under its mark, in order; a source that is there twice counts once."""
     head = F.concat(F.lit("[S"), F.col("source"), F.lit("]"), *([F.lit(" ("), F.col("file_name"), F.lit(", "), F.col("chunk_index"), F.lit(")")] if with_file else []))
     rows = sources.select("query_id", F.struct("source", F.concat(head, F.lit("\n"), F.col("text"), F.lit("\n\n")).alias("part")).alias("row"))
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["part"]), "").alias("block"))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.array_distinct(F.collect_list("row"))), lambda r: r["part"]), "").alias("block"))
 
 
 def history_block(messages: DataFrame, thread: str, order: str, role: str, content: str, *, newest: int = 10, shown: int = 5) -> DataFrame:

@@ -107,9 +107,14 @@ def history_block(spark, d):
 
 
 def _found(spark, d):
-    """The whole texts of the documents that were found for each query, best first."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id"), "text")
-    return _retrieved(spark, d, True, k=20).select("query_id", "chunk_id", "rank").join(docs, "chunk_id").drop("chunk_id")
+    """The documents that were found for each query, best first."""
+    return _retrieved(spark, d, True, k=20).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+
+
+def _distinct(spark, d, found):
+    """The sources among what was found: texts are told apart by their names, and stay where they are."""
+    named = table(spark, d, "documents").select("doc_id", V.text_name(F.col("text")).alias("name")).where(F.col("name").isNotNull())
+    return V.distinct_chunks(found.join(named, "doc_id"))
 
 
 _SOURCES = _SCORED.replace("SELECT query_id, chunk_id, source, rank FROM r WHERE rank <= 5 AND ", r"""
@@ -122,12 +127,18 @@ s AS (SELECT query_id, doc_id, text, row_number() OVER (PARTITION BY query_id OR
 
 @ADD(_SOURCES + "SELECT query_id, doc_id, source FROM s")
 def dedup_chunks(spark, d):
-    return V.distinct_chunks(_found(spark, d)).select("query_id", "doc_id", "source")
+    return _distinct(spark, d, _found(spark, d)).select("query_id", "doc_id", "source")
 
 
 @ADD(_SOURCES + "SELECT query_id, string_agg('[S' || source || ']' || chr(10) || text || chr(10) || chr(10), '' ORDER BY source) AS block FROM s GROUP BY query_id")
 def sources_block(spark, d):
-    return V.sources_block(V.distinct_chunks(_found(spark, d)))
+    """What was found is written, a few numbers a row: the texts of these documents alone move."""
+    place = place_of_its_own(spark, "found")
+    found = _found(spark, d)
+    found.write.parquet(place)
+    found = spark.read.schema(found.schema).parquet(place)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return V.sources_block(V.with_texts(_distinct(spark, d, found), docs, found.select("doc_id").distinct()))
 
 
 @ADD("SELECT doc_id, unnest(list_filter(range(1, 11), lambda s: contains('See [S' || doc_id % 10 || '] and [S' || doc_id % 7 || '].', '[S' || s || ']')))::INT AS source FROM documents")

@@ -295,6 +295,38 @@ def test_top_k_by_scope_against_a_loop(spark):
     assert retrieval.top_k(q.limit(0), c, k=4).count() == 0 and retrieval.top_k(q, c.limit(0), k=4).count() == 0
 
 
+def test_tasks_send_their_best_chunks_alone(spark, monkeypatch):
+    """However many batches a task reads, and however many chunks are alike: k rows for each query, ties to the smaller chunk."""
+    monkeypatch.setattr(retrieval, "HELD_SCORES", 60)
+    r = random.Random(9)
+    of_ = {i: r.choice([[1.0, 0.0], [1.0, 0.5], [r.random(), r.random()]]) for i in r.sample(range(1000), 300)}
+    chunks = spark.createDataFrame([*of_.items()], "chunk_id long, vec array<double>").repartition(1)
+    queries = spark.createDataFrame([(i, [1.0, i / 8]) for i in range(9)], "query_id long, vec array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sent = retrieval._scored(chunks, queries.toArrow(), 2, 5, None, False, 9).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want = {(q, n) for q in range(9) for _, n in sorted((-round(float(unit([1.0, q / 8]) @ unit(v)), 9), n) for n, v in of_.items())[:5]}
+    assert len(sent) == 45 and {(x.query_id, x.chunk_id) for x in sent} == want
+
+
+def test_sources_move_no_other_texts(spark):
+    """Texts are told apart by names: dedup_chunks moves none, sources_block those that were found; a document that is there twice is one source."""
+    small = "/root/testdata/sf0.001"
+    plan = catalogue.QUERIES["dedup_chunks"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.split("\n") if "Join" in line or "Window" in line]
+    assert joined and not any("text#" in line for line in joined)
+    docs = spark.createDataFrame([(1, " " + "a" * 50), (1, " " + "a" * 50), (2, "a" * 50 + "\n"), (3, "b" * 41), (4, "short"), (5, None), (6, "c" * 60)], "doc_id long, text string")
+    found = spark.createDataFrame([(1, n, n) for n in range(1, 6)] + [(2, 3, 1), (2, 1, 2)], "query_id long, doc_id long, rank int")
+    named = docs.select("doc_id", retrieval.text_name(F.col("text")).alias("name"))
+    told = retrieval.distinct_chunks(found.join(named, "doc_id"))
+    got = retrieval.sources_block(retrieval.with_texts(told, docs, found.select("doc_id").distinct()))
+    a, b = "a" * 50, "b" * 41
+    assert dict(map(tuple, got.collect())) == {1: f"[S1]\n{a}\n\n[S2]\n{b}\n\n", 2: f"[S1]\n{b}\n\n[S2]\n{a}\n\n"}
+
+
 def test_stored_chunks_are_read_by_shelf(spark, tmp_path):
     place = f"file://{tmp_path}/store"
     chunks = spark.range(200).selectExpr("'p' || id % 20 AS project_id", "id AS chunk_id", "array(1.0D, CAST(id AS DOUBLE)) AS vec")
