@@ -40,6 +40,8 @@ GROUP, GROUP_GRAMS, SLICE, ROWS = 256, 500_000, 8_192, 64
 MEET = 8
 #: Rows that a task holds while it lists tokens, and while it compares those of one token (more only where one token has more).
 LISTED, ROWS_AT_ONCE = 2_500, 25_000
+#: Shingles whose tokens are listed at once, or whose groups meet, and the most turns that this takes for more: only a part of all tokens, or of all groups that meet, is on disk then.
+TURN_SHINGLES, TURNS = 5_000_000, 4
 KEYS = ("doc_id", "family", "band", "part")
 
 
@@ -156,8 +158,8 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(describe, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
 
 
-def _listed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(token, doc_id, more): per batch and token, its smallest document and the others, null if none. Equal sets of a batch count once, as the smallest id."""
+def _listed(docs: DataFrame, n: int, percent: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(token, doc_id, more): per batch and token of those whose turn it is, its smallest document and the others, null if none. Equal sets of a batch count once, as the smallest id."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(low, LISTED) for b in batches for low in range(0, b.num_rows, LISTED)):
@@ -173,7 +175,8 @@ def _listed(docs: DataFrame, n: int, percent: int) -> DataFrame:
             smallest = np.zeros(len(same), bool)
             smallest[order[np.diff(same[order], prepend=same[order][:1] ^ np.uint64(1)) != 0]] = True
             token, row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            token, doc = token[smallest[row]], ids[row[smallest[row]]]
+            own = smallest[row] & ((token >> np.uint64(32)) % np.uint64(turns) == turn)
+            token, doc = token[own], ids[row[own]]
             order = np.lexsort((doc, token))
             token, doc = token[order], doc[order]
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
@@ -189,6 +192,11 @@ def _listed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(listed, "token long, doc_id long, more array<long>")
 
 
+def _turns(sized: DataFrame) -> int:
+    """Turns that work on so many shingles takes."""
+    return min(TURNS, max(1, -(-(sized.agg(F.sum("n_shingles")).first()[0] or 0) // TURN_SHINGLES)))
+
+
 def close_pairs(run: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: list[bytes], percent: int, steps: int = 1, split: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, document, leader) within runs of one token: enough pairs to connect all that sizes and bitmaps leave possible, and the places of leaders.
 
@@ -584,8 +592,7 @@ def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFr
     of_x = tied.groupBy(*block, "x_part").agg(F.collect_list("part").alias("wanted")).withColumnRenamed("x_part", "part")
     of_y = tied.select(*block, "part").distinct().withColumn("wanted", F.lit(None).cast("array<int>"))
     payload = [c for c in full.columns if c not in key]
-    sides = [tables.small_or_not(tables.written(of, "meeting"), BROADCAST_IDS).join(full.withColumnRenamed("band", band), ["family", band, "part"]) for of, band in ((of_x, "x_band"), (of_y, "band"))]
-    met = sides[0].select(*block, "part", "wanted", *payload).unionByName(sides[1].select(*block, "part", "wanted", *payload))
+    sides = [(tables.small_or_not(tables.written(of, "meeting"), BROADCAST_IDS), band) for of, band in ((of_x, "x_band"), (of_y, "band"))]
 
     def search(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
@@ -600,7 +607,12 @@ def _across(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFr
         found = [link for i, ys in enumerate(asked) if ys is not None for x in [group(i)] for y in ys for link in open_groups(x, others[y], percent)]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return links.union(met.groupBy(*block).applyInArrow(search, "a long, b long"))
+    turns = _turns(members)
+    for turn in range(turns):
+        here = full.where(F.pmod(F.xxhash64("family"), F.lit(turns)) == turn)
+        met = [side.join(here.withColumnRenamed("band", band), ["family", band, "part"]).select(*block, "part", "wanted", *payload) for side, band in sides]
+        links = links.union(tables.written(met[0].unionByName(met[1]).groupBy(*block).applyInArrow(search, "a long, b long"), "met"))
+    return links
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -664,13 +676,19 @@ def _joined(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
 def _by_token(docs: DataFrame, known: DataFrame, copies: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """(doc_id, family) of documents that share a token with another."""
     # Tokens that several documents have. The smallest of equal sets lists every token, so its copies are not needed, but for ids that have other sets as well.
-    lists = _listed(docs.where("doc_id is not null and text is not null"), shingle_words, percent)
-    by = W.partitionBy("token")
-    lists = lists.withColumns({"low": F.min("doc_id").over(by), "high": F.max("doc_id").over(by)}).where("low < high or more is not null")
-    shared = lists.select("token", F.explode(F.concat(F.array("doc_id"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc_id"))
     several = known.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high")
-    spare = copies.select("doc_id").join(several, "doc_id", "left_anti")
-    shared = tables.written(shared.join(tables.small_or_not(tables.written(spare, "spare"), BROADCAST_IDS), "doc_id", "left_anti"), "tokens")
+    spare = tables.written(copies.select("doc_id").join(several, "doc_id", "left_anti"), "spare")
+    asked, few = docs.where("doc_id is not null and text is not null"), spare.count() <= BROADCAST_IDS
+    if few:  # copies list nothing; more of them list theirs, as else all texts would move
+        asked = asked.join(F.broadcast(spare), "doc_id", "left_anti")
+    turns = _turns(known)
+    by, shared = W.partitionBy("token"), None
+    for turn in range(turns):
+        lists = _listed(asked, shingle_words, percent, turn, turns)
+        lists = lists.withColumns({"low": F.min("doc_id").over(by), "high": F.max("doc_id").over(by)}).where("low < high or more is not null")
+        found = lists.select("token", F.explode(F.concat(F.array("doc_id"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc_id"))
+        found = tables.written(found if few else found.join(spare, "doc_id", "left_anti"), "tokens")
+        shared = found if shared is None else shared.union(found)
     # Tokens of the very same documents say the same: copies share most of theirs. Each such set of documents is told by its size and two sums of hashes.
     told = lambda salt: F.sum(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 31)))
     alike = shared.groupBy("token").agg(F.count("*").alias("n"), told(1).alias("s"), told(2).alias("t"))

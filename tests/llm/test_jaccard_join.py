@@ -126,6 +126,23 @@ def test_close_pairs_connect_all_that_is_close():
         assert steps == 1 or len(leaders) == 1
 
 
+def test_tokens_are_listed_and_groups_meet_in_turns(spark, monkeypatch):
+    """Each token has one turn, copies list none, and no link is lost; before, all tokens of all documents were on disk at once."""
+    rows = [(100 * k + i, t) for k, (edits, count) in enumerate([(14, 90), (25, 60), (9, 40)]) for i, t in enumerate(family(k, count, 90, edits))]
+    rows += [(1000 + i, t) for i, t in rows[:150]]
+    df = spark.createDataFrame([(i, t, "s", "t", "c") for i, t in rows], SCHEMA).repartition(4)
+    docs = df.select("doc_id", "text")
+    parts = [{x.token for x in jaccard._listed(docs, 2, 80, turn, 3).select("token").distinct().collect()} for turn in range(3)]
+    whole = {x.token for x in jaccard._listed(docs, 2, 80).select("token").distinct().collect()}
+    assert set().union(*parts) == whole and sum(map(len, parts)) == len(whole) and max(map(len, parts)) < len(whole) / 2
+    monkeypatch.setattr(jaccard, "GROUP", 5)
+    monkeypatch.setattr(jaccard, "TURN_SHINGLES", 4_000)
+    listed, asked = jaccard._listed, []
+    monkeypatch.setattr(jaccard, "_listed", lambda docs, n, percent, *turn: asked.append((docs.count(), *turn)) or listed(docs, n, percent, *turn))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join(df, shingle_words=2, percent=80).collect()}
+    assert got == brute(rows, 2, 80) and [x[1:] for x in asked] == [(i, 4) for i in range(4)] and asked[0][0] == len({t for _, t in rows})
+
+
 @pytest.mark.parametrize("meet", [1, 2, 8])
 def test_groups_meet_in_blocks(spark, monkeypatch, meet):
     """Families of many small groups that are not one component: no link between groups is lost."""
